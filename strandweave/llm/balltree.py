@@ -129,7 +129,7 @@ def _search(k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        x, q = _matrix(left["v"]), _matrix(right["v"])
+        x, q = _matrix(left["v"]), _matrix(right["qv"])
         width = max(x.shape[1], q.shape[1])
         x, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, q))
         qid = right["query_id"].to_numpy(np.int64)
@@ -148,12 +148,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_vectors: in
     n, m = vectors.count(), queries.count()
     shards, blocks = max(1, -(-n // shard_vectors)), max(1, -(-m // query_block))
     x = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)))
-    q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("home", F.pmod(F.col("block"), F.lit(shards)))
+    q = queries.select("query_id", F.col("v").alias("qv")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("home", F.pmod(F.col("block"), F.lit(shards)))
     schema = "query_id long, vec_id long, score long"
     home = x.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where(F.pmod(F.col("block"), F.lit(shards)) == F.col("shard"))
     first = (
         home.select("vec_id", "v", "shard", "block").groupBy("shard", "block")
-        .cogroup(q.withColumn("floor", F.lit(None).cast("long")).select("query_id", "v", F.col("home").alias("shard"), "block", "floor").groupBy("shard", "block"))
+        .cogroup(q.withColumn("floor", F.lit(None).cast("long")).select("query_id", "qv", F.col("home").alias("shard"), "block", "floor").groupBy("shard", "block"))
         .applyInPandas(_search(k), schema)
     )
     if shards == 1:
@@ -168,7 +168,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_vectors: in
         spread = x.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         rest = (
             spread.select("vec_id", "v", "shard", "block").groupBy("shard", "block")
-            .cogroup(others.select("query_id", "v", "shard", "block", "floor").groupBy("shard", "block"))
+            .cogroup(others.select("query_id", "qv", "shard", "block", "floor").groupBy("shard", "block"))
             .applyInPandas(_search(k), schema)
         )
         found = first.unionByName(rest)
