@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strandweave.llm import balltree, flac, sharding, tokens
+from strandweave.llm import balltree, flac, neardup, sharding, tokens
 
 QUERIES = {
     "op2_flac_media": flac.op2_flac_media,
     "op5_rank_merge_tokens": tokens.op5_rank_merge_tokens,
     "op6_minimax_shards": sharding.op6_minimax_shards,
     "op8_ball_tree_topk": balltree.op8_ball_tree_topk,
+    "op10_minhash_neardup": neardup.op10_minhash_neardup,
 }
 ORACLE = {"op8_ball_tree_topk": balltree.OP8_SQL}
