@@ -30,6 +30,7 @@ from strandweave.llm.common import byte_buffer, documents, slices
 
 BLOCK = 1024
 RATE = 8000
+SLICE = 1 << 20  # bytes of text or media at work in a task: numpy lanes need some hundred times as much
 FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
 
 
@@ -432,7 +433,7 @@ def encode_text_column(docs: DataFrame, keep: str = "doc_id", text: str = "text"
     """keep, n_bytes, media: the text's padded bytes as a FLAC stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text):
+        for b in slices(batches, text, SLICE):
             payload, to, size = payload_of(b.column(text))
             yield pa.RecordBatch.from_arrays([b.column(keep), pa.array(size), pa.array(encode(payload, to, block), pa.binary())], names=[keep, "n_bytes", "media"])
 
@@ -444,7 +445,7 @@ def decode_blocks(media: DataFrame, keep: str = "doc_id", column: str = "media")
     """keep, block, sample_offset, samples, byte_offset, pcm: one row for each frame of each stream, checked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, column):
+        for b in slices(batches, column, SLICE):
             b = b.filter(pa.compute.is_valid(b.column(column)))
             if not b.num_rows:
                 continue
@@ -463,7 +464,7 @@ def digest(media: DataFrame, keep: str = "doc_id") -> DataFrame:
     """Read each stored stream back, check it and describe payload, tail and signal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "media"):
+        for b in slices(batches, "media", SLICE):
             streams = b.column("media").to_pylist()
             samples, stream, _, n, _ = decode(streams)
             at = np.searchsorted(stream, np.arange(len(streams)))
