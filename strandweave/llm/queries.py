@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandweave.llm import balltree, flac, neardup, sharding, tokens
+from strandweave.llm import balltree, exactdedup, flac, neardup, sharding, tokens
 
 QUERIES = {
+    "op1_suffix_dedup": exactdedup.op1_suffix_dedup,
     "op2_flac_media": flac.op2_flac_media,
     "op5_rank_merge_tokens": tokens.op5_rank_merge_tokens,
     "op6_minimax_shards": sharding.op6_minimax_shards,
