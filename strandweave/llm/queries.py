@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from strandweave.llm import balltree, exactdedup, flac, neardup, packing, sharding, tokens
+from strandweave.llm import balltree, exactdedup, flac, mixing, neardup, packing, sharding, tokens
 
 QUERIES = {
     "op1_suffix_dedup": exactdedup.op1_suffix_dedup,
     "op2_flac_media": flac.op2_flac_media,
     "op5_rank_merge_tokens": tokens.op5_rank_merge_tokens,
     "op6_minimax_shards": sharding.op6_minimax_shards,
+    "op7_temperature_mixing": mixing.op7_temperature_mixing,
     "op8_ball_tree_topk": balltree.op8_ball_tree_topk,
     "op9_bm25_packing": packing.op9_bm25_packing,
     "op10_minhash_neardup": neardup.op10_minhash_neardup,
 }
-ORACLE = {"op8_ball_tree_topk": balltree.OP8_SQL}
+ORACLE = {"op7_temperature_mixing": mixing.OP7_SQL, "op8_ball_tree_topk": balltree.OP8_SQL}
