@@ -99,16 +99,21 @@ def unit_vectors(sums: np.ndarray) -> np.ndarray:
 
 
 def pooled(column, vectors: np.ndarray) -> np.ndarray:
-    """Mean and standard deviation of the word vectors of each text; zeros for a text without words."""
+    """Of each text's word vectors: mean, standard deviation, mean cosine and share of equals one and two words on, and the log of their number; zeros for a text without words."""
     w, first = word_buckets(*byte_buffer(column))
     n = np.diff(first)
-    out = np.zeros((len(n), 2 * DIMS))
+    out = np.zeros((len(n), 2 * DIMS + 5))
     full = np.flatnonzero(n)
     if len(full):
         v = vectors[w]
         mean = np.add.reduceat(v, first[:-1][full], axis=0, dtype=np.float64) / n[full, None]
         square = np.add.reduceat(v * v, first[:-1][full], axis=0, dtype=np.float64) / n[full, None]
-        out[full] = np.hstack([mean, np.sqrt(np.maximum(square - mean * mean, 0))])
+        near = []
+        text = np.repeat(np.arange(len(n)), n)
+        for k in (1, 2):
+            c = np.einsum("ij,ij->i", v[:-k], v[k:]) * (text[k:] == text[:-k]) if len(v) > k else np.zeros(0)
+            near += [np.bincount(text[: len(c)], weights=x, minlength=len(n))[full] / n[full] for x in (c, c > 0.999)]
+        out[full] = np.hstack([mean, np.sqrt(np.maximum(square - mean * mean, 0)), np.array(near).T, np.log1p(n[full])[:, None]])
     return out
 
 
