@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strandweave.llm import balltree, exactdedup, flac, mixing, neardup, packing, quality, sharding, tokens
+from strandweave.llm import balltree, exactdedup, flac, mixing, neardup, packing, pii, quality, sharding, tokens
 
 QUERIES = {
     "op1_suffix_dedup": exactdedup.op1_suffix_dedup,
     "op2_flac_media": flac.op2_flac_media,
     "op3_quality_classifier": quality.op3_quality_classifier,
+    "op4_boosted_pii": pii.op4_boosted_pii,
     "op5_rank_merge_tokens": tokens.op5_rank_merge_tokens,
     "op6_minimax_shards": sharding.op6_minimax_shards,
     "op7_temperature_mixing": mixing.op7_temperature_mixing,
