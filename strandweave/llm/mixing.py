@@ -38,11 +38,17 @@ def entropy(w: dict[str, float]) -> float:
     return -sum(x * math.log(x) for x in w.values() if x > 0)
 
 
-def repetition(tokens: dict[str, int], alpha: float, budget: int) -> float:
-    return max(x * budget / tokens[s] for s, x in weights(tokens, alpha).items())
+def whole_budget(tokens: dict[str, int], alpha: float) -> float:
+    """The smallest budget whose quotas hold every source once."""
+    return max(tokens[s] / x for s, x in weights(tokens, alpha).items())
 
 
-def bisect_alpha(tokens: dict[str, int], budget: int, flatten: float, most_repeats: float) -> float:
+def repetition(tokens: dict[str, int], alpha: float, budget: int | None) -> float:
+    b = whole_budget(tokens, alpha) if budget is None else budget
+    return max(x * b / tokens[s] for s, x in weights(tokens, alpha).items())
+
+
+def bisect_alpha(tokens: dict[str, int], budget: int | None, flatten: float, most_repeats: float) -> float:
     """Smallest alpha in [0, 1], to six digits, whose entropy is at most natural + flatten * (uniform - natural) and whose repetition is within the limit; 1 if none is."""
     natural, uniform = entropy(weights(tokens, 1.0)), math.log(len(tokens))
     goal = natural + flatten * (uniform - natural)
@@ -63,8 +69,11 @@ def hash32(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
 
 
-def copies(docs: DataFrame, budget_share: float = 1.0, flatten: float = 0.5, most_repeats: float = 4.0, block_rows: int = BLOCK_ROWS, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, tokens, block, weight, copies of every row of `docs`; carry: more of its columns."""
+def copies(docs: DataFrame, budget_share: float | None = 1.0, flatten: float = 0.5, most_repeats: float = 4.0, block_rows: int = BLOCK_ROWS, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, tokens, block, weight, copies of every row of `docs`; carry: more of its columns.
+
+    budget_share: of the corpus's tokens; None: the smallest budget that leaves no document out.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("mix_source"), (F.ceil(F.octet_length(text) / 4) + 1).cast("long").alias("tokens"), *carry)
     base = base.withColumn("pick", hash32(F.lit(str(seed)), F.col("doc_id").cast("string")))
@@ -75,11 +84,12 @@ def copies(docs: DataFrame, budget_share: float = 1.0, flatten: float = 0.5, mos
     schema = "mix_source string, weight double, whole long, rest long, blocks long"
     plan = []
     if tokens:
-        budget = int(sum(tokens.values()) * budget_share)
-        w = weights(tokens, bisect_alpha(tokens, budget, flatten, most_repeats))
+        budget = None if budget_share is None else int(sum(tokens.values()) * budget_share)
+        alpha = bisect_alpha(tokens, budget, flatten, most_repeats)
+        w = weights(tokens, alpha)
         for r in stats:
             s = r["mix_source"]
-            quota = math.floor(w[s] * budget)
+            quota = math.floor(w[s] * budget) if budget is not None else max(tokens[s], math.floor(w[s] * whole_budget(tokens, alpha)))
             plan.append((s, w[s], quota // tokens[s], quota % tokens[s], -(-r["n"] // block_rows)))
     sources = docs.sparkSession.createDataFrame(plan, schema)
     rows = base.join(sources, "mix_source").withColumn("block", F.pmod(F.col("pick"), F.col("blocks")))

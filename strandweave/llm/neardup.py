@@ -18,7 +18,8 @@ Scale. Bucket and class keys are joined and aggregated, not windowed, so that Sp
 Steps are written to the shared folder. Nothing is collected but counts.
 
 Null texts and texts without words have the empty set, are linked with nothing and are kept. Repeated
-rows with one doc_id stay as many rows, with equal values.
+rows with one doc_id stay as many rows, with equal values. Rows without a doc_id are compared with nothing
+and kept.
 """
 
 from __future__ import annotations
@@ -106,6 +107,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     found = written(sketches(docs, words), "op10-sketch")
+    unnamed, found = found.where("doc_id IS NULL"), found.where("doc_id IS NOT NULL")
     size = F.col("n_shingles")
     reps = written(
         found.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "buckets")).alias("r"))
@@ -139,7 +141,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = reps.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("label", "rep").alias("component_id"))
     full = found.where("key IS NOT NULL").select("doc_id", "n_shingles", "key").join(classes, "key").select("doc_id", "n_shingles", "component_id")
     none = found.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(none).withColumn("kept", F.col("doc_id") == F.col("component_id")).select("doc_id", size.alias("n_shingles"), "component_id", "kept")
+    every = full.unionByName(none).unionByName(unnamed.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", size.alias("n_shingles"), "component_id", "kept")
 
 
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
