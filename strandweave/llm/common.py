@@ -63,3 +63,26 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by key, dealt anew into batches of at least `rows` rows that never cut a group."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(key).to_numpy()
+        if held and n >= rows:
+            other = k != held[-1].column(key)[-1].as_py()
+            same = int(np.argmax(other)) if other.any() else len(k)
+            if same:
+                held.append(b.slice(0, same))
+            if same == len(k):
+                continue
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            b, held, n = b.slice(same), [], 0
+        held.append(b)
+        n += b.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

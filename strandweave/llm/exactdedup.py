@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import byte_buffer, documents, slices, written
+from strandweave.llm.common import byte_buffer, documents, slices, whole_groups, written
 from strandweave.llm.deepshallow import neighbours_common, suffix_order
 from strandweave.llm.shingles import mix
 
@@ -124,35 +124,11 @@ def repeated(group: np.ndarray, strings: list[bytes], rel: np.ndarray, windows:
     return [runs_of(hit[i, : windows[i]]) for i in range(n)]
 
 
-def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut at group borders; input comes sorted by gram."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        g = b.column("gram").to_numpy()
-        if held and rows >= BATCH_STRETCHES:
-            last = held[-1].column("gram")[-1].as_py()
-            same = int(np.argmax(g != last)) if (g != last).any() else len(g)
-            if same:
-                held.append(b.slice(0, same))
-                b, g = b.slice(same), g[same:]
-            if b.num_rows:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, rows = [], 0
-        if b.num_rows:
-            held.append(b)
-            rows += b.num_rows
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def sort_groups(found: DataFrame) -> DataFrame:
     """gram, content, starts, ends: repeated byte ranges of each different stretch, counted from its start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _sorted_groups(batches):
+        for b in whole_groups(batches, "gram", BATCH_STRETCHES):
             gram, place = b.column("gram").to_numpy(), b.column("place").to_numpy()
             got = repeated(gram, b.column("bytes").to_pylist(), place & 1023, place >> 10 & 1023, b.column("times").to_numpy())
             starts = pa.array([[p for p, _ in r] for r in got], pa.list_(pa.int32()))

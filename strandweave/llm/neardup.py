@@ -9,10 +9,10 @@ only representatives are sketched further, so groups of copies of any size cost
 
 Edges. Every bucket links its members to its smallest member only: a star, never all pairs. Each
 candidate is confirmed on both full sets, recomputed from the whole texts. A star can leave members of
-a bucket unlinked, so buckets that still hold more than one component go on: more members become
-centres, four times as many a round, against members of other components only, until all members of
-such buckets have been centres. So no link found by the sketch is lost, while groups of near copies,
-however large, are done after the first star.
+a bucket unlinked; buckets that still hold more than one component therefore compare their members of
+different components once more, by size and by whole signature (five standard deviations below the
+threshold), in blocks of bounded size, and what is left is confirmed on full sets too. So links that
+the star missed are found, while groups of near copies, however large, are done after the star.
 
 Scale. Bucket and class keys are joined and aggregated, not windowed, so that Spark can split hot ones.
 Steps are written to the shared folder. Nothing is collected but counts.
@@ -29,16 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import documents, slices, written
+from strandweave.llm.common import documents, slices, whole_groups, written
 from strandweave.llm.components import components
 from strandweave.llm.shingles import mix, shingle_sets, similar
 
 BINS, ROWS = 252, 6
 BANDS = BINS // ROWS
 PROBES = 2048
+BLOCK, PAIR_ROWS = 2048, 20_000
 
 
 def probe_order() -> np.ndarray:
@@ -104,6 +105,64 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def signatures(texts: DataFrame, words: int) -> DataFrame:
+    """rep, sig: the low byte of every bin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = probe_order()
+        for b in slices(batches, "text"):
+            sigs = [sketch(s, order).astype(np.uint8).tobytes() for s in shingle_sets(b.column("text"), words)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sigs, pa.binary())], names=["rep", "sig"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, sig binary")
+
+
+def least_matches(n: np.ndarray, percent: int) -> np.ndarray:
+    """Equal bins that sets of n shingles and more have at the threshold, less five standard deviations."""
+    j = percent / 100
+    return BINS * (j - 5 * np.sqrt(j * (1 - j) / np.minimum(n, BINS)))
+
+
+def likely_pairs(left: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of one bucket and two components that sizes and signatures do not rule out.
+
+    Members of a bucket are dealt into blocks of about BLOCK; a task compares two blocks.
+    """
+    sigs = signatures(texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words)
+    blocks = F.ceil(F.col("m") / BLOCK)
+    rows = left.join(sigs, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    rows = rows.select(F.xxhash64("bucket", "lo", "hi").alias("group"), "lo", "hi", "block", "rep", "n", "label", "sig")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "group", PAIR_ROWS):
+            g, lo, hi, block, rep, n, label = (t.column(c).to_numpy() for c in ("group", "lo", "hi", "block", "rep", "n", "label"))
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, BINS)
+            cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
+            out: list[np.ndarray] = []
+            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if (label[s:e] == label[s]).all():
+                    continue
+                one, two = (np.arange(s, e),) * 2 if lo[s] == hi[s] else (np.flatnonzero(block[s:e] == lo[s]) + s, np.flatnonzero(block[s:e] == hi[s]) + s)
+                step = max(1, (4 << 20) // (BINS * max(1, len(two))))
+                for i in range(0, len(one), step):
+                    x = one[i : i + step]
+                    small, big = np.minimum(n[x][:, None], n[two]), np.maximum(n[x][:, None], n[two])
+                    ok = (label[x][:, None] != label[two]) & (100 * small >= percent * big)
+                    if lo[s] == hi[s]:
+                        ok &= rep[x][:, None] < rep[two]
+                    r, c = np.nonzero(ok)
+                    for k in range(0, len(r), 1 << 14):
+                        rr, cc = r[k : k + (1 << 14)], c[k : k + (1 << 14)]
+                        same = (sig[x[rr]] == sig[two[cc]]).sum(axis=1)
+                        good = same >= least_matches(small[rr, cc], percent)
+                        out.append(np.stack([rep[x[rr[good]]], rep[two[cc[good]]]]))
+            pairs = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1) if out else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     found = written(sketches(docs, words), "op10-sketch")
@@ -124,20 +183,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nodes = shared.select(F.col("rep").alias("doc_id")).distinct()
     texts = written(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "op10-texts")
     links = written(confirmed(star, texts, words, percent), "op10-links")
-    low, high = 1, 4
-    while True:
-        labels = components(links)
-        named = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
-        open_ = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
-        left = written(named.join(open_, "bucket").withColumn("rank", rank), "op10-open")
-        most = left.agg(F.max("rank")).first()[0]
-        if not most or low >= most:
-            break
-        centres = left.where((F.col("rank") > low) & (F.col("rank") <= high)).select("bucket", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"), F.col("rank").alias("ra"))
-        more = centres.join(left, "bucket").where((F.col("rank") > F.col("ra")) & (F.col("label") != F.col("la")) & fits).select("a", F.col("rep").alias("b")).distinct()
-        links = written(links.unionByName(confirmed(more, texts, words, percent)).distinct(), "op10-links")
-        low, high = high, 4 * high
+    labels = components(links)
+    named = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    open_ = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x < y").select("bucket", "m")
+    left = written(named.join(open_, "bucket"), "op10-open")
+    likely = written(likely_pairs(left, texts, words, percent), "op10-likely")
+    labels = components(written(links.unionByName(confirmed(likely, texts, words, percent)), "op10-links"))
     classes = reps.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("label", "rep").alias("component_id"))
     full = found.where("key IS NOT NULL").select("doc_id", "n_shingles", "key").join(classes, "key").select("doc_id", "n_shingles", "component_id")
     none = found.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
