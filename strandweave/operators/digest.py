@@ -1,0 +1,55 @@
+"""Restriction digests: cuts, fragments, classes of enzymes, digests' outcomes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def cuts(sites: DataFrame) -> DataFrame:
+    """doc_id, cut, enzymes: distinct top-strand cuts of usable sites, with all enzymes that make them."""
+    return sites.where("status = 'ok'").groupBy("doc_id", F.col("top_cut").alias("cut")).agg(F.array_sort(F.collect_set("enzyme")).alias("enzymes"))
+
+
+def fragments(seqs: DataFrame, sites: DataFrame, circular: bool = False) -> DataFrame:
+    """doc_id, fragment, start, end, length: n + 1 pieces of a line, n of a circle (end may pass the origin); whole if uncut.
+
+    A sequence with any unusable site gives no fragments. Cuts at the very ends of a line do not divide it.
+    """
+    bad = sites.where("status <> 'ok'").select("doc_id").distinct()
+    sized = seqs.select("doc_id", F.length("seq").alias("n")).where("n > 0").join(bad, "doc_id", "left_anti")
+    w = Window.partitionBy("doc_id").orderBy("cut")
+    c = cuts(sites).join(sized, "doc_id", "right")
+    if circular:
+        c = c.withColumn("cut", F.col("cut") % F.col("n")).select("doc_id", "n", "cut").distinct()
+        first = F.min("cut").over(Window.partitionBy("doc_id"))
+        out = c.select("doc_id", "n", F.coalesce("cut", F.lit(0)).alias("start"), F.coalesce(F.lead("cut").over(w), first + F.col("n"), F.col("n")).alias("end"))
+    else:
+        inner = c.where("cut > 0 AND cut < n").select("doc_id", "n", "cut")
+        ends = sized.select("doc_id", "n", F.lit(0).alias("cut"))
+        out = inner.unionByName(ends).distinct().select("doc_id", "n", F.col("cut").alias("start"), F.coalesce(F.lead("cut").over(w), F.col("n")).alias("end"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("start"))
+    return out.select("doc_id", rank.alias("fragment"), "start", "end", (F.col("end") - F.col("start")).alias("length"))
+
+
+def sites_per_enzyme(seqs: DataFrame, sites: DataFrame, enzymes: list[str]) -> DataFrame:
+    """doc_id, enzyme, active, flank, category: a row for every sequence and enzyme asked for, zeros included."""
+    counts = sites.groupBy("doc_id", "enzyme").agg(F.count_if(F.col("status") == "ok").alias("active"), F.count_if(F.col("status") != "ok").alias("flank"))
+    every = seqs.select("doc_id").withColumn("enzyme", F.explode(F.array(*map(F.lit, enzymes))))
+    out = every.join(counts, ["doc_id", "enzyme"], "left").fillna(0, ["active", "flank"])
+    return out.withColumn("category", F.when(F.col("active") > 0, "active-double-strand").when(F.col("flank") > 0, "insufficient-flanking-bases").otherwise("no-site"))
+
+
+def unique_cutters(sites: DataFrame) -> DataFrame:
+    """doc_id, enzyme, position of enzymes that cut a sequence exactly once."""
+    return sites.where("status = 'ok'").groupBy("doc_id", "enzyme").agg(F.count("*").alias("k"), F.min("position").alias("position")).where("k = 1").drop("k")
+
+
+def clusters(sites: DataFrame, min_gap: int, max_span: int) -> DataFrame:
+    """doc_id, cluster_start, cluster_end, n: sites run together while gaps stay within min_gap; an island wider than max_span is cut by its width."""
+    w = Window.partitionBy("doc_id").orderBy("position", "enzyme")
+    new = F.when(F.col("position") - F.lag("position").over(w) <= min_gap, 0).otherwise(1)
+    island = sites.withColumn("new", new).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    begin = F.min("position").over(Window.partitionBy("doc_id", "island"))
+    cut = island.withColumn("part", F.floor((F.col("position") - begin) / (max_span + 1)))
+    return cut.groupBy("doc_id", "island", "part").agg(F.min("position").alias("cluster_start"), F.max("position").alias("cluster_end"), F.count("*").alias("n")).select("doc_id", "cluster_start", "cluster_end", "n")

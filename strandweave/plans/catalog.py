@@ -23,4 +23,4 @@ def register(name: str, sql: str | None = None):
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return QUERIES["digest_fragments"](spark, sf_dir)
