@@ -194,8 +194,13 @@ class Frames:
         padded = np.concatenate([data, np.zeros(16, np.uint8)])
         self.window = np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view(">u8").ravel().astype(np.uint64)
         self.start, self.bps = start, bps
-        self._header()
-        self._samples()
+        try:
+            self._header()
+            self._samples()
+        except IndexError as e:
+            raise ValueError("a frame runs past the end of its stream") from e
+        if (self.end > len(data)).any():
+            raise ValueError("a frame runs past the end of its stream")
         got = checksums(data, start, self.end - 2 - start, 16)
         if (got != (data[self.end - 2].astype(np.int64) << 8 | data[self.end - 1])).any():
             raise ValueError("a frame's CRC-16 does not match")

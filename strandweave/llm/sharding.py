@@ -99,7 +99,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, atom_bits: int = 16) -> D
         shard = F.when(F.col("atom") == a, F.lit(k)).otherwise(shard)
     cells = F.array(*[F.lit(max(1, -(-int(n) // CELL_ROWS))) for n in rows])
     placed = base.withColumn("shard", shard.cast("int")).withColumn(
-        "cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.element_at(cells, F.col("shard") + 1)).cast("int")
+        "cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.get(cells, F.col("shard"))).cast("int")
     )
     counts = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
