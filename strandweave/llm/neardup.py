@@ -106,15 +106,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
 
 def signatures(texts: DataFrame, words: int) -> DataFrame:
-    """rep, sig: the low byte of every bin."""
+    """rep, sig (the low byte of every bin), small (the low half of every shingle's hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = probe_order()
         for b in slices(batches, "text"):
-            sigs = [sketch(s, order).astype(np.uint8).tobytes() for s in shingle_sets(b.column("text"), words)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sigs, pa.binary())], names=["rep", "sig"])
+            sets = shingle_sets(b.column("text"), words)
+            sigs = [sketch(s, order).astype(np.uint8).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sigs, pa.binary()), pa.array([s.astype(np.uint32).tobytes() for s in sets], pa.binary())], names=["rep", "sig", "small"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "rep long, sig binary")
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, sig binary, small binary")
 
 
 def least_matches(n: np.ndarray, percent: int) -> np.ndarray:
@@ -124,41 +125,54 @@ def least_matches(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def likely_pairs(left: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of one bucket and two components that sizes and signatures do not rule out.
+    """The pairs (a, b) of one bucket and two components that can be similar.
 
-    Members of a bucket are dealt into blocks of about BLOCK; a task compares two blocks.
+    Members of a bucket are dealt into blocks of about BLOCK; a task compares two blocks. A pair is looked
+    at in the first bucket that it shares only, by size, by signature, and last by the halved hashes of both
+    sets, whose intersection is never smaller than the true one; so what leaves is next to nothing but links.
     """
     sigs = signatures(texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words)
     blocks = F.ceil(F.col("m") / BLOCK)
     rows = left.join(sigs, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    rows = rows.select(F.xxhash64("bucket", "lo", "hi").alias("group"), "lo", "hi", "block", "rep", "n", "label", "sig")
+    rows = rows.select(F.xxhash64("bucket", "lo", "hi").alias("group"), "band", "lo", "hi", "block", "rep", "n", "label", "sig", "small")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "group", PAIR_ROWS):
-            g, lo, hi, block, rep, n, label = (t.column(c).to_numpy() for c in ("group", "lo", "hi", "block", "rep", "n", "label"))
+            g, band, lo, hi, block, rep, n, label = (t.column(c).to_numpy() for c in ("group", "band", "lo", "hi", "block", "rep", "n", "label"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, BINS)
+            small = t.column("small")
             cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
-            out: list[np.ndarray] = []
+            a, b = [], []
             for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if (label[s:e] == label[s]).all():
                     continue
+                sets: dict[int, frozenset] = {}
+
+                def hashes(i: int, sets: dict = sets) -> frozenset:
+                    if i not in sets:
+                        sets[i] = frozenset(np.frombuffer(small[i].as_py(), np.uint32).tolist())
+                    return sets[i]
+
                 one, two = (np.arange(s, e),) * 2 if lo[s] == hi[s] else (np.flatnonzero(block[s:e] == lo[s]) + s, np.flatnonzero(block[s:e] == hi[s]) + s)
-                step = max(1, (4 << 20) // (BINS * max(1, len(two))))
+                step = max(1, (1 << 20) // max(1, len(two)))
                 for i in range(0, len(one), step):
                     x = one[i : i + step]
-                    small, big = np.minimum(n[x][:, None], n[two]), np.maximum(n[x][:, None], n[two])
-                    ok = (label[x][:, None] != label[two]) & (100 * small >= percent * big)
+                    ok = (label[x][:, None] != label[two]) & (100 * np.minimum(n[x][:, None], n[two]) >= percent * np.maximum(n[x][:, None], n[two]))
                     if lo[s] == hi[s]:
                         ok &= rep[x][:, None] < rep[two]
                     r, c = np.nonzero(ok)
                     for k in range(0, len(r), 1 << 14):
-                        rr, cc = r[k : k + (1 << 14)], c[k : k + (1 << 14)]
-                        same = (sig[x[rr]] == sig[two[cc]]).sum(axis=1)
-                        good = same >= least_matches(small[rr, cc], percent)
-                        out.append(np.stack([rep[x[rr[good]]], rep[two[cc[good]]]]))
-            pairs = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1) if out else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                        p, q = x[r[k : k + (1 << 14)]], two[c[k : k + (1 << 14)]]
+                        same = sig[p] == sig[q]
+                        first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                        good = (first == band[s]) & (same.sum(axis=1) >= least_matches(np.minimum(n[p], n[q]), percent))
+                        for u, v in zip(p[good].tolist(), q[good].tolist(), strict=True):
+                            both = len(hashes(u) & hashes(v))
+                            if 100 * both >= percent * (n[u] + n[v] - both):
+                                a.append(rep[u])
+                                b.append(rep[v])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long").distinct()
 
@@ -173,9 +187,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .select("key", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.buckets").alias("buckets")),
         "op10-classes",
     )
-    members = reps.select("rep", "n", F.explode("buckets").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    shared = written(members.join(shared.select("bucket", "centre"), "bucket"), "op10-buckets")
+    members = reps.select("rep", "n", F.posexplode("buckets").alias("band", "bucket"))
+    shared = members.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1").select("bucket", "centre")
+    # Written first, so that both sides of the join are plain exchanges and Spark can split a hot bucket.
+    shared = written(members.join(written(shared, "op10-centres"), "bucket"), "op10-buckets")
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     star = shared.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b"), "n").distinct()
     sizes = reps.select(F.col("rep").alias("a"), F.col("n").alias("m"))
@@ -184,7 +199,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     texts = written(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "op10-texts")
     links = written(confirmed(star, texts, words, percent), "op10-links")
     labels = components(links)
-    named = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    named = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", "n", F.coalesce("label", "rep").alias("label"))
     open_ = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x < y").select("bucket", "m")
     left = written(named.join(open_, "bucket"), "op10-open")
     likely = written(likely_pairs(left, texts, words, percent), "op10-likely")
