@@ -159,6 +159,7 @@ def repeated_ranges(docs: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
     found = written(find_stretches(docs), "op1-stretches")
     each = found.select("row", F.explode(F.arrays_zip("grams", "contents", "places")).alias("x")).select("row", F.col("x.grams").alias("gram"), F.col("x.contents").alias("content"), F.col("x.places").alias("place"))
     shared = each.groupBy("gram").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("mixed"))
+    shared = written(shared, "op1-grams")  # so that both sides of the join are plain exchanges and Spark can split a hot gram
     each = written(each.join(shared, "gram"), "op1-shared")
     start, windows = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(1023)
     alike = each.where("NOT mixed").select("row", start.alias("start"), (start + windows + SPAN - 1).alias("end"))
