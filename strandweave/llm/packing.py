@@ -193,7 +193,7 @@ def fill_windows(n: np.ndarray, index: Bm25, window: int = WINDOW, step: int = S
 
 def pack(tokens: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece. tokens: as tokenised() gives, written."""
-    sigs = tokens.groupBy("sig").agg(F.count("*").alias("k"))
+    sigs = written(tokens.groupBy("sig").agg(F.count("*").alias("k")), "op9-sigs")  # so that Spark can split the join for a hot signature
     shards = max(1, -(-tokens.count() // shard_docs))
     salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("k") / (shard_docs // 4)))
     dealt = tokens.join(sigs, "sig").withColumn("shard", F.pmod(F.xxhash64("sig", salt), F.lit(shards))).drop("k")
