@@ -91,8 +91,8 @@ def copies(docs: DataFrame, budget_share: float | None = 1.0, flatten: float = 0
             s = r["mix_source"]
             quota = math.floor(w[s] * budget) if budget is not None else max(tokens[s], math.floor(w[s] * whole_budget(tokens, alpha)))
             plan.append((s, w[s], quota // tokens[s], quota % tokens[s], -(-r["n"] // block_rows)))
-    sources = docs.sparkSession.createDataFrame(plan, schema)
-    rows = base.join(sources, "mix_source").withColumn("block", F.pmod(F.col("pick"), F.col("blocks")))
+    sources = docs.sparkSession.createDataFrame(plan, schema)  # one row a source, which the driver holds anyway
+    rows = base.join(F.broadcast(sources), "mix_source").withColumn("block", F.pmod(F.col("pick"), F.col("blocks")))
     order = hash32(F.lit(str(seed)), "mix_source", F.col("block").cast("string"), F.col("whole").cast("string"))
     sums = rows.groupBy("mix_source", "block", "whole", "rest").agg(F.sum("tokens").alias("t")).withColumn("order", order)
     before = Window.partitionBy("mix_source").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1)
