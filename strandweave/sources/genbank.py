@@ -66,7 +66,7 @@ def parse_features(lines: list[str]) -> list[dict]:
         strands = {s["strand"] for s in seg}
         rows.append({
             "type": f["type"], "start": min((s["start"] for s in seg), default=None), "end": max((s["end"] for s in seg), default=None), "strand": strands.pop() if len(strands) == 1 else 0,
-            "operator": op, "status": "ok" if ok and seg else "quarantined", "segments": seg, "qualifiers": [{"name": n, "value": v.strip('"').replace('""', '"')} for n, v in f["q"]],
+            "operator": op, "status": "ok" if ok and seg else "quarantined", "segments": seg, "qualifiers": [{"name": n, "value": (v[1:-1] if len(v) > 1 and v[0] == v[-1] == '"' else v).replace('""', '"')} for n, v in f["q"]],
         })
     return rows
 
