@@ -53,13 +53,40 @@ RESIDUE_MASS = {
 RESIDUE_OTHER, RESIDUE_WATER = 111.1, 18.015
 # --- fixed values: restriction enzymes: recognition, top cut, bottom cut, counted from the site's start ---
 ENZYMES = {
-    "AluI": ("AGCT", 2, 2), "HaeIII": ("GGCC", 2, 2), "RsaI": ("GTAC", 2, 2), "TaqI": ("TCGA", 1, 3), "MseI": ("TTAA", 1, 3), "Sau3AI": ("GATC", 0, 4),
-    "EcoRI": ("GAATTC", 1, 5), "BamHI": ("GGATCC", 1, 5), "HindIII": ("AAGCTT", 1, 5), "XbaI": ("TCTAGA", 1, 5), "SalI": ("GTCGAC", 1, 5), "PstI": ("CTGCAG", 5, 1),
-    "XhoI": ("CTCGAG", 1, 5), "NcoI": ("CCATGG", 1, 5), "NdeI": ("CATATG", 2, 4), "SpeI": ("ACTAGT", 1, 5), "KpnI": ("GGTACC", 5, 1), "SacI": ("GAGCTC", 5, 1),
-    "SmaI": ("CCCGGG", 3, 3), "BglII": ("AGATCT", 1, 5), "ClaI": ("ATCGAT", 2, 4), "EcoRV": ("GATATC", 3, 3), "AgeI": ("ACCGGT", 1, 5), "NheI": ("GCTAGC", 1, 5),
-    "MluI": ("ACGCGT", 1, 5), "ScaI": ("AGTACT", 3, 3), "ApaI": ("GGGCCC", 5, 1), "SphI": ("GCATGC", 5, 1), "NotI": ("GCGGCCGC", 2, 6), "AccI": ("GTMKAC", 2, 4),
-    "HincII": ("GTYRAC", 3, 3), "PvuI": ("CGATCG", 4, 2), "PvuII": ("CAGCTG", 3, 3), "DraI": ("TTTAAA", 3, 3), "HpaI": ("GTTAAC", 3, 3), "MfeI": ("CAATTG", 1, 5), "BsaI": ("GGTCTC", 7, 11),
+    "AluI": ("AGCT", 2, 2), "DpnI": ("GATC", 2, 2), "DpnII": ("GATC", 0, 4), "HaeIII": ("GGCC", 2, 2), "HhaI": ("GCGC", 3, 1),
+    "HpaII": ("CCGG", 1, 3), "MboI": ("GATC", 0, 4), "MseI": ("TTAA", 1, 3), "MspI": ("CCGG", 1, 3), "RsaI": ("GTAC", 2, 2), "Sau3AI": ("GATC", 0, 4),
+    "TaqI": ("TCGA", 1, 3), "Tsp509I": ("AATT", 0, 4), "CfoI": ("GCGC", 3, 1), "Csp6I": ("GTAC", 1, 3), "EcoRI": ("GAATTC", 1, 5),
+    "BamHI": ("GGATCC", 1, 5), "HindIII": ("AAGCTT", 1, 5), "XbaI": ("TCTAGA", 1, 5), "SalI": ("GTCGAC", 1, 5), "PstI": ("CTGCAG", 5, 1),
+    "XhoI": ("CTCGAG", 1, 5), "NcoI": ("CCATGG", 1, 5), "NdeI": ("CATATG", 2, 4), "SpeI": ("ACTAGT", 1, 5), "KpnI": ("GGTACC", 5, 1),
+    "SacI": ("GAGCTC", 5, 1), "SmaI": ("CCCGGG", 3, 3), "BglII": ("AGATCT", 1, 5), "ClaI": ("ATCGAT", 2, 4), "EcoRV": ("GATATC", 3, 3),
+    "AgeI": ("ACCGGT", 1, 5), "NheI": ("GCTAGC", 1, 5), "MluI": ("ACGCGT", 1, 5), "ScaI": ("AGTACT", 3, 3), "ApaI": ("GGGCCC", 5, 1),
+    "SphI": ("GCATGC", 5, 1), "NotI": ("GCGGCCGC", 2, 6), "AatII": ("GACGTC", 5, 1), "AccI": ("GTMKAC", 2, 4), "AflII": ("CTTAAG", 1, 5),
+    "ApaLI": ("GTGCAC", 1, 5), "AscI": ("GGCGCGCC", 2, 6), "AseI": ("ATTAAT", 2, 4), "AvrII": ("CCTAGG", 1, 5), "BclI": ("TGATCA", 1, 5),
+    "BlpI": ("GCTNAGC", 2, 5), "BmtI": ("GCTAGC", 5, 1), "BsiWI": ("CGTACG", 1, 5), "BspEI": ("TCCGGA", 1, 5), "BspHI": ("TCATGA", 1, 5),
+    "BsrGI": ("TGTACA", 1, 5), "BstBI": ("TTCGAA", 2, 4), "BstEII": ("GGTNACC", 1, 6), "BstXI": ("CCANNNNNNTGG", 8, 4), "DraI": ("TTTAAA", 3, 3),
+    "EagI": ("CGGCCG", 1, 5), "FseI": ("GGCCGGCC", 6, 2), "FspI": ("TGCGCA", 3, 3), "HincII": ("GTYRAC", 3, 3), "HpaI": ("GTTAAC", 3, 3),
+    "KasI": ("GGCGCC", 1, 5), "MfeI": ("CAATTG", 1, 5), "NarI": ("GGCGCC", 2, 4), "NgoMIV": ("GCCGGC", 1, 5), "NruI": ("TCGCGA", 3, 3),
+    "NsiI": ("ATGCAT", 5, 1), "PacI": ("TTAATTAA", 5, 3), "PciI": ("ACATGT", 1, 5), "PmeI": ("GTTTAAAC", 4, 4), "PmlI": ("CACGTG", 3, 3),
+    "PpuMI": ("RGGWCCY", 2, 5), "PsiI": ("TTATAA", 3, 3), "PvuI": ("CGATCG", 4, 2), "PvuII": ("CAGCTG", 3, 3), "SacII": ("CCGCGG", 4, 2),
+    "SbfI": ("CCTGCAGG", 6, 2), "SfoI": ("GGCGCC", 3, 3), "SgrAI": ("CRCCGGYG", 2, 6), "SnaBI": ("TACGTA", 3, 3), "SrfI": ("GCCCGGGC", 4, 4),
+    "StuI": ("AGGCCT", 3, 3), "SwaI": ("ATTTAAAT", 4, 4), "XmaI": ("CCCGGG", 1, 5), "BspDI": ("ATCGAT", 2, 4), "BspMII": ("TCCGGA", 1, 5),
+    "BstYI": ("RGATCY", 1, 5), "Cfr10I": ("RCCGGY", 1, 5), "DraIII": ("CACNNNGTG", 6, 3), "AlwNI": ("CAGNNNCTG", 6, 3), "EcoO109I": ("RGGNCCY", 2, 5),
+    "MscI": ("TGGCCA", 3, 3), "NaeI": ("GCCGGC", 3, 3), "PaeR7I": ("CTCGAG", 1, 5), "SfiI": ("GGCCNNNNNGGCC", 8, 5), "SgrDI": ("CGTCGACG", 2, 6),
+    "SstI": ("GAGCTC", 5, 1), "SstII": ("CCGCGG", 4, 2), "XhoII": ("RGATCY", 1, 5), "XmaIII": ("CGGCCG", 1, 5), "AsiSI": ("GCGATCGC", 5, 3),
+    "Sse8387I": ("CCTGCAGG", 6, 2), "Sse8647I": ("AGGWCCT", 2, 5), "BsaI": ("GGTCTC", 7, 11), "BbsI": ("GAAGAC", 8, 12), "BsmBI": ("CGTCTC", 7, 11),
+    "Esp3I": ("CGTCTC", 7, 11), "SapI": ("GCTCTTC", 8, 11), "BtgZI": ("GCGATG", 16, 20), "BpiI": ("GAAGAC", 8, 12), "LguI": ("GCTCTTC", 8, 11),
+    "BsmFI": ("GGGAC", 15, 19), "BspQI": ("GCTCTTC", 8, 11), "AclI": ("AACGTT", 2, 4), "AflIII": ("ACRYGT", 1, 5), "AhdI": ("GACNNNNNGTC", 6, 5),
+    "AleI": ("CACNNNNGTG", 5, 5), "BglI": ("GCCNNNNNGGC", 7, 4), "BsaBI": ("GATNNNNATC", 5, 5), "BsiEI": ("CGRYCG", 4, 2),
+    "BsiHKAI": ("GWGCWC", 5, 1), "BsoBI": ("CYCGRG", 1, 5), "BsrFI": ("RCCGGY", 1, 5), "BstAPI": ("GCANNNNNTGC", 7, 4), "BstZ17I": ("GTATAC", 3, 3),
+    "BtgI": ("CCRYGG", 1, 5), "DrdI": ("GACNNNNNNGTC", 7, 4), "EarI": ("CTCTTC", 7, 10), "EspI": ("GCTNAGC", 2, 5), "MlsI": ("TGGCCA", 3, 3),
+    "MluCI": ("AATT", 0, 4), "NspI": ("RCATGY", 5, 1), "SfeI": ("CTRYAG", 1, 5), "XcmI": ("CCANNNNNNNNNTGG", 12, 9), "ZraI": ("GACGTC", 3, 3),
+    "AvaI": ("CYCGRG", 1, 5), "AvaII": ("GGWCC", 1, 4), "BalI": ("TGGCCA", 3, 3), "BcuI": ("ACTAGT", 1, 5), "BmgBI": ("CACGTC", 3, 3),
+    "BsrBI": ("CCGCTC", 3, 3), "BssSI": ("CACGAG", 1, 5), "BssHII": ("GCGCGC", 1, 5), "CsiI": ("ACCGGT", 1, 5), "Eco53kI": ("GAGCTC", 3, 3),
+    "EcoT22I": ("ATGCAT", 5, 1), "HindII": ("GTYRAC", 3, 3), "MboII": ("GAAGA", 13, 12), "TasI": ("AATT", 0, 4), "TfiI": ("GAWTC", 1, 4),
+    "TseI": ("GCWGC", 1, 4), "Tth111I": ("GACNNNGTC", 4, 5),
 }
+# --- fixed values: nicking enzymes: recognition, place of the one cut, strand ---
+NICKASES = {"Nb.BbvCI": ("CCTCAGC", 9, "bottom"), "Nt.BbvCI": ("CCTCAGC", 2, "top"), "Nt.BstNBI": ("GAGTC", 9, "top")}
 
 
 def code_string(table_id: int = 1) -> str:

@@ -174,3 +174,35 @@ def prosite_regex(pattern: str) -> str:
 
 def iupac_regex(pattern: str) -> str:
     return "".join(b if len(b := facts.IUPAC[c]) == 1 else f"[{b}]" for c in pattern.upper())
+
+
+def substituted(seq: Column, pos: Column, base: Column) -> Column:
+    """The base at a 0-based place replaced; a place outside the sequence changes nothing."""
+    inside = (pos >= 0) & (pos < F.length(seq))
+    return F.when(inside, F.overlay(seq, base, (pos + 1).cast("int"), F.lit(1))).otherwise(seq)
+
+
+def inserted(seq: Column, pos: Column, bases: Column) -> Column:
+    """Bases put in after a place; -1 is the front. A place outside changes nothing."""
+    inside = (pos >= -1) & (pos < F.length(seq))
+    return F.when(inside, F.overlay(seq, bases, (pos + 2).cast("int"), F.lit(0))).otherwise(seq)
+
+
+def deleted(seq: Column, pos: Column, count: Column) -> Column:
+    """Up to `count` bases taken out from a place on. A place outside changes nothing."""
+    inside = (pos >= 0) & (pos < F.length(seq)) & (count > 0)
+    return F.when(inside, F.overlay(seq, F.lit(""), (pos + 1).cast("int"), F.least(count, F.length(seq) - pos).cast("int"))).otherwise(seq)
+
+
+def variant_label(reference: Column, alternate: Column, start: Column) -> Column:
+    """REF>ALT at a 1-based place; empty alleles read as '-'."""
+    shown = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "-").otherwise(c)
+    return F.concat(shown(reference), F.lit(">"), shown(alternate), F.lit(" at "), (start + 1).cast("string"))
+
+
+def residue_class(a: Column, b: Column, masks: dict[str, int]) -> Column:
+    """match, ambiguous or substitution of two symbols; unknown symbols and N are never a match."""
+    m = F.create_map(*[F.lit(x) for kv in masks.items() for x in kv])
+    x, y = F.try_element_at(m, F.translate(F.upper(a), "U", "T")), F.try_element_at(m, F.translate(F.upper(b), "U", "T"))
+    one = (F.bit_count(x) == 1) & (F.bit_count(y) == 1)
+    return F.when(x.isNull() | y.isNull(), "ambiguous").when(one & (x == y), "match").when(x.bitwiseAND(y) != 0, "ambiguous").otherwise("substitution")

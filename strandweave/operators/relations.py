@@ -89,3 +89,23 @@ def next_of(ids: DataFrame, column: str, bucket: int = 1 << 16) -> DataFrame:
     heads = b.groupBy("bucket").agg(F.min(column).alias("head"))
     after = heads.withColumn("after", F.lead("head").over(Window.orderBy("bucket"))).select("bucket", "after")  # one row a bucket
     return inside.join(after, "bucket").select(column, F.coalesce("next", "after").alias("next")).where("next IS NOT NULL")
+
+
+def resolved_codons(code: DataFrame, iupac: dict[str, str]) -> DataFrame:
+    """codon, residue, is_start of every codon of IUPAC symbols: a residue only if all of its plain codons agree, a start only if all are starts.
+
+    code: codon, aa, is_start. Each plain codon is spread over the symbol codons that include it.
+    """
+    holds = {b: [k for k, v in iupac.items() if b in v] for b in "ACGT"}
+    table = F.create_map(*[x for b, ks in holds.items() for x in (F.lit(b), F.array(*map(F.lit, ks)))])
+    e = code
+    for i in range(3):
+        e = e.withColumn(f"s{i}", F.explode(F.try_element_at(table, F.substring("codon", i + 1, 1))))
+    g = e.groupBy(F.concat("s0", "s1", "s2").alias("symbols")).agg(F.min("aa").alias("lo"), F.max("aa").alias("hi"), F.bool_and("is_start").alias("is_start"))
+    return g.select(F.col("symbols").alias("codon"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("residue"), "is_start")
+
+
+def reassigned(code: DataFrame, changes: DataFrame) -> DataFrame:
+    """A genetic code (codon, aa, is_start) with changes (codon, new_aa); a start that becomes a stop is a start no longer."""
+    aa = F.coalesce("new_aa", "aa")
+    return code.join(changes, "codon", "left").select("codon", aa.alias("aa"), (F.col("is_start") & (aa != "*")).alias("is_start"))

@@ -181,3 +181,18 @@ def longest_overlap(left: Column, right: Column, low: int, high: int) -> Column:
     """Longest k in [low, high] with the last k bases of left equal to the first k of right; null if none."""
     ks = F.filter(F.sequence(F.lit(low), F.lit(high)), lambda k: (F.length(left) >= k) & (F.length(right) >= k) & (F.right(left, k) == F.left(right, k)))
     return F.array_max(ks)
+
+
+def gapped_codons(rows: DataFrame, key: str, column: str, frame: int = 0, table_id: int = 1) -> DataFrame:
+    """key, codon, residue, first_column, last_column, spans_gap: codons over the ungapped bases of aligned rows."""
+    code = facts.code_string(table_id)
+
+    def find(s: str) -> Iterator[tuple]:
+        at = [i for i, c in enumerate(s) if c != "-"]
+        for k in range(frame, len(at) - 2, 3):
+            a, b, c = at[k : k + 3]
+            digits = [facts.BASES.find(s[i]) for i in (a, b, c)]
+            residue = "X" if min(digits) < 0 else code[16 * digits[0] + 4 * digits[1] + digits[2]]
+            yield (k - frame) // 3, residue, a, c, c - a > 2
+
+    return scan(rows, key, column, find, "codon int, residue string, first_column int, last_column int, spans_gap boolean")

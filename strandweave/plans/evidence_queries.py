@@ -135,6 +135,67 @@ def rollup_counts(spark, d):  # 111
     return table(spark, d, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"))
 
 
+_IUPAC = ", ".join(f"('{k}', {sum(1 << 'ACGT'.index(c) for c in v)})" for k, v in facts.IUPAC.items())
+MASKS = {k: sum(1 << "ACGT".index(c) for c in v) for k, v in facts.IUPAC.items()}
+
+
+@register("residue_classes", f"WITH m(s, x) AS (VALUES {_IUPAC}) SELECT a.s AS a, b.s AS b, CASE WHEN a.x = b.x AND bit_count(a.x) = 1 THEN 'match' WHEN a.x & b.x <> 0 THEN 'ambiguous' ELSE 'substitution' END AS class FROM m a, m b")
+def residue_classes(spark, d):  # 55
+    one = spark.createDataFrame([(k,) for k in MASKS], "a string")
+    return one.withColumn("b", F.explode(F.array(*map(F.lit, MASKS)))).select("a", "b", S.residue_class(F.col("a"), F.col("b"), MASKS).alias("class"))
+
+
+def _code(spark, table_id):
+    from itertools import product
+
+    starts = set(facts.CODES[table_id][1].split())
+    rows = [("".join(c), aa, "".join(c) in starts) for c, aa in zip(product(facts.BASES, repeat=3), facts.code_string(table_id), strict=True)]
+    return spark.createDataFrame(rows, "codon string, aa string, is_start boolean")
+
+
+_CODE = f"code AS (SELECT substr('TCAG', CAST(i // 16 + 1 AS BIGINT), 1) || substr('TCAG', CAST(i // 4 % 4 + 1 AS BIGINT), 1) || substr('TCAG', CAST(i % 4 + 1 AS BIGINT), 1) AS codon, substr('{facts.code_string(1)}', CAST(i + 1 AS BIGINT), 1) AS aa FROM range(64) t(i))"
+_SYMBOLS = ", ".join(f"('{k}', '{v}')" for k, v in facts.IUPAC.items())
+
+
+@register("resolved_codons", f"WITH {_CODE}, s AS (SELECT symbol, unnest(string_split(b, '')) AS base FROM (VALUES {_SYMBOLS}) v(symbol, b)), p AS (SELECT x.symbol || y.symbol || z.symbol AS codon, x.base || y.base || z.base AS plain FROM s x, s y, s z) SELECT p.codon, CASE WHEN min(aa) = max(aa) THEN min(aa) END AS residue, bool_and(plain IN ('TTG', 'CTG', 'ATG')) AS is_start FROM p JOIN code ON plain = code.codon GROUP BY p.codon")
+def resolved_codons(spark, d):  # 41
+    return relations.resolved_codons(_code(spark, 1), facts.IUPAC)
+
+
+@register("reassigned_code", f"WITH {_CODE} SELECT codon, CASE codon WHEN 'TGA' THEN 'W' WHEN 'ATG' THEN '*' ELSE aa END AS aa, codon IN ('TTG', 'CTG') AS is_start FROM code")
+def reassigned_code(spark, d):  # 45
+    return relations.reassigned(_code(spark, 1), spark.createDataFrame([("TGA", "W"), ("ATG", "*")], "codon string, new_aa string"))
+
+
+@register("edited_sequences", f"WITH {SEQS}, e AS (SELECT doc_id, seq, doc_id % 50 AS p FROM seqs) SELECT doc_id, sha256(CASE WHEN p < length(seq) THEN substr(seq, 1, p) || 'N' || substr(seq, p + 2) ELSE seq END) AS substituted, sha256(CASE WHEN p < length(seq) THEN substr(seq, 1, p + 1) || 'GATTACA' || substr(seq, p + 2) ELSE seq END) AS inserted, sha256(CASE WHEN p < length(seq) THEN substr(seq, 1, p) || substr(seq, p + 6) ELSE seq END) AS deleted FROM e")
+def edited_sequences(spark, d):  # 135
+    s, p = F.col("seq"), (F.col("doc_id") % 50).cast("int")
+    return seqs(spark, d).select("doc_id", F.sha2(S.substituted(s, p, F.lit("N")), 256).alias("substituted"), F.sha2(S.inserted(s, p, F.lit("GATTACA")), 256).alias("inserted"), F.sha2(S.deleted(s, p, F.lit(5)), 256).alias("deleted"))
+
+
+@register("variant_labels", f"WITH {CALLS} SELECT DISTINCT ref, pos, base, substr('ACGT', CAST(pos % 4 + 1 AS BIGINT), 1) || '>' || base || ' at ' || (pos + 1) AS label FROM calls WHERE base <> substr('ACGT', CAST(pos % 4 + 1 AS BIGINT), 1)")
+def variant_labels(spark, d):  # 51
+    r = F.lit("ACGT").substr((F.col("pos") % 4 + 1).cast("int"), F.lit(1))
+    return calls(spark, d).where(F.col("base") != r).select("ref", "pos", "base", S.variant_label(r, F.col("base"), F.col("pos")).alias("label")).distinct()
+
+
+GAPPED = f"gapped AS (SELECT doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '-', 'g')), '{S.LETTERS}', '{S.CYCLE}') AS aligned FROM documents WHERE text IS NOT NULL)"
+
+
+@register("gapped_translation", f"""WITH {GAPPED}, c AS (SELECT doc_id, p, substr(aligned, p + 1, 1) AS b FROM (SELECT doc_id, aligned, unnest(range(length(aligned))) AS p FROM gapped)), n AS (SELECT doc_id, p, b, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS i FROM c WHERE b <> '-'),
+k AS (SELECT doc_id, i // 3 AS codon, string_agg(b, '' ORDER BY p) AS c, min(p) AS a, max(p) AS z, count(*) AS m FROM n GROUP BY doc_id, i // 3)
+SELECT doc_id, CAST(codon AS INTEGER) AS codon, substr('{facts.code_string(1)}', CAST(16 * (instr('TCAG', substr(c, 1, 1)) - 1) + 4 * (instr('TCAG', substr(c, 2, 1)) - 1) + instr('TCAG', substr(c, 3, 1)) AS BIGINT), 1) AS residue, CAST(a AS INTEGER) AS first_column, CAST(z AS INTEGER) AS last_column, z - a > 2 AS spans_gap FROM k WHERE m = 3""")
+def gapped_translation(spark, d):  # 48
+    g = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "-")), S.LETTERS, S.CYCLE).alias("aligned"))
+    return scans.gapped_codons(g, "doc_id", "aligned")
+
+
+@register("alphabet_anomalies", "SELECT DISTINCT upper(w) AS w FROM (SELECT unnest(string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' ')) AS w FROM documents WHERE text IS NOT NULL) WHERE length(w) >= 5 AND regexp_full_match(upper(w), '[ACGTUN]+')")
+def alphabet_anomalies(spark, d):  # 59: words that read as nucleotides though their row is not
+    w = table(spark, d, "documents").where("text IS NOT NULL").select(F.explode(F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " ")).alias("w"))
+    return w.where((F.length("w") >= 5) & F.upper("w").rlike("^[ACGTUN]+$")).select(F.upper("w").alias("w")).distinct()
+
+
 @register("star_alignments")
 def star_alignments(spark, d):  # 145, 146: words of one length and the same ends form small groups
     o = oligos(spark, d).withColumn("group", F.concat(F.substring("seq", 1, 6), F.right("seq", F.lit(2))))

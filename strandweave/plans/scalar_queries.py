@@ -45,9 +45,10 @@ def reverse_complement(spark, d):  # 31, 49
 
 @register("iupac_pair_compatibility", "SELECT a, b, list_has_any(string_split(x, ''), string_split(y, '')) AS compatible FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in facts.IUPAC.items()) + ") l(a, x), (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in facts.IUPAC.items()) + ") r(b, y)")
 def iupac_pair_compatibility(spark, d):  # 32
-    one = spark.createDataFrame([(k, sum(1 << "ACGT".index(c) for c in v)) for k, v in facts.IUPAC.items()], "a string, x int")
-    two = one.select(F.col("a").alias("b"), F.col("x").alias("y"))
-    return one.join(two, F.col("x").bitwiseAND(F.col("y")) != -1).select("a", "b", (F.col("x").bitwiseAND(F.col("y")) != 0).alias("compatible"))
+    masks = {k: sum(1 << "ACGT".index(c) for c in v) for k, v in facts.IUPAC.items()}
+    m = F.create_map(*[F.lit(x) for kv in masks.items() for x in kv])
+    pairs = spark.createDataFrame([(k,) for k in masks], "a string").withColumn("b", F.explode(F.map_keys(m)))
+    return pairs.select("a", "b", (F.try_element_at(m, F.col("a")).bitwiseAND(F.try_element_at(m, F.col("b"))) != 0).alias("compatible"))
 
 
 @register("nucleotide_composition", f"WITH {LETTERS} SELECT doc_id, " + ", ".join(f"{n_sql('s', b)} AS n_{b.lower()}" for b in "ATUGCN") + ", length(s) - " + " - ".join(n_sql("s", b) for b in "ATUGCN") + " AS n_other FROM letters")
