@@ -32,9 +32,9 @@ def n_sql(s: str, x: str) -> str:
     return f"(length({s}) - length(replace({s}, '{x}', '')))"
 
 
-@register("alphabet_inspection", f"WITH {LETTERS} SELECT doc_id, list_aggregate(list_distinct_ordered, 'string_agg', '') AS invalid, len(list_distinct_ordered) > 0 AS is_invalid FROM (SELECT doc_id, list_filter(string_split(regexp_replace(replace(s, 'U', 'T'), '[ACGTRYSWKMBDHVN]', '', 'g'), ''), lambda x, i: x <> '' AND list_position(string_split(regexp_replace(replace(s, 'U', 'T'), '[ACGTRYSWKMBDHVN]', '', 'g'), ''), x) = i) AS list_distinct_ordered FROM letters)")
+@register("alphabet_inspection", f"WITH {LETTERS}, x AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split(regexp_replace(replace(s, 'U', 'T'), '[ACGTRYSWKMBDHVN]', '', 'g'), ''), lambda x: x <> ''))) AS bad FROM letters) SELECT doc_id, CASE WHEN len(bad) > 0 THEN array_to_string(bad, '') END AS invalid, len(bad) > 0 AS is_invalid FROM x")
 def alphabet_inspection(spark, d):  # 29
-    bad = F.filter(S.invalid_symbols(F.col("s")), lambda x: x != "")
+    bad = F.array_sort(F.filter(S.invalid_symbols(F.col("s")), lambda x: x != ""))
     return letters(spark, d).select("doc_id", F.when(F.size(bad) > 0, F.array_join(bad, "")).alias("invalid"), (F.size(bad) > 0).alias("is_invalid"))
 
 
