@@ -27,8 +27,9 @@ def _site_patterns() -> str:
     return ", ".join(rows)
 
 
-# Sites by splitting at each pattern would miss overlaps; every place is compared, eight bases at a time.
-SITES = f"""{SEQS}, grams AS MATERIALIZED (SELECT doc_id, n, p, substr(seq, p + 1, 6) AS g FROM (SELECT doc_id, seq, length(seq) AS n, unnest(range(length(seq))) AS p FROM seqs)),
+# Splitting at a pattern would miss overlaps; every place is compared, six bases at a time.
+SITES = f"""{SEQS}, chars AS (SELECT doc_id, length(seq) AS n, unnest(range(length(seq))) AS p, unnest(string_split(seq, '')) AS c FROM seqs WHERE seq <> ''),
+grams AS MATERIALIZED (SELECT doc_id, n, p, concat(c, lead(c, 1) OVER w, lead(c, 2) OVER w, lead(c, 3) OVER w, lead(c, 4) OVER w, lead(c, 5) OVER w) AS g FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
 pats(enzyme, pat, strand, t, b) AS (VALUES {_site_patterns()}),
 sites AS MATERIALIZED (SELECT doc_id, enzyme, CAST(p AS INTEGER) AS position, strand, CAST(p + t AS INTEGER) AS top_cut, CAST(p + b AS INTEGER) AS bottom_cut,
   CASE WHEN least(p + t, p + b) >= 0 AND greatest(p + t, p + b) <= n THEN 'ok' ELSE 'insufficient_flanking_bases' END AS status FROM grams JOIN pats ON g = pat)"""
