@@ -155,14 +155,20 @@ def dimer(a: str, b: str, least: int = 3, tail: int = 5) -> tuple[float, int]:
 def primer_candidates(seqs: DataFrame, target_start: Column, target_end: Column, lengths: tuple[int, int] = (18, 28), flank: int = 50, target_tm: float = 60.0,
                       tolerance: float = 3.0, gc: tuple[float, float] = (0.3, 0.7), least_hairpin: float = -3.0, least_dimer: float = -5.0) -> DataFrame:
     """doc_id, side, start, end, oligo, tm, gc, distance, score of the oligos before a target (forward) and behind it (reverse) that pass every test."""
+    # The stretch around each end of the target is cut out once; only it goes through the explodes.
     base = seqs.select("doc_id", "seq", target_start.cast("int").alias("ts"), target_end.cast("int").alias("te"), F.length("seq").alias("n")).where("ts >= 0 AND te > ts AND te <= n")
+    f_low, r_low = F.greatest(F.lit(0), F.col("ts") - flank), F.greatest(F.lit(0), F.col("te") - lengths[1])
+    cut = lambda low, end: [low.alias("low"), F.col("seq").substr(low + 1, end - low).alias("near")]
     size = F.explode(F.sequence(F.lit(lengths[0]), F.lit(lengths[1]))).alias("len")
-    f = base.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("ts") - flank), F.col("ts"))).alias("start")).select("*", size)
-    f = f.select("doc_id", "n", F.lit("forward").alias("side"), "start", (F.col("start") + F.col("len")).alias("end"), (F.col("ts") - F.col("start")).alias("distance"), "seq")
-    r = base.select("*", F.explode(F.sequence(F.col("te"), F.least(F.col("n"), F.col("te") + flank))).alias("end")).select("*", size).where("end >= len AND end - len < te")
-    r = r.select("doc_id", "n", F.lit("reverse").alias("side"), (F.col("end") - F.col("len")).alias("start"), "end", (F.col("end") - F.col("te")).alias("distance"), "seq")
-    site = F.col("seq").substr(F.col("start") + 1, F.col("end") - F.col("start"))
-    c = f.unionByName(r).where("end <= n").withColumn("oligo", F.when(F.col("side") == "forward", site).otherwise(S.reverse_complement(site))).drop("seq", "n")
+    f = base.select("doc_id", "ts", "n", *cut(f_low, F.col("ts") + lengths[1]))
+    f = f.select("*", F.explode(F.sequence("low", "ts")).alias("start")).select("*", size).where("start + len <= n")
+    f = f.select("doc_id", F.lit("forward").alias("side"), "start", (F.col("start") + F.col("len")).alias("end"), (F.col("ts") - F.col("start")).alias("distance"), F.col("near").substr(F.col("start") - F.col("low") + 1, F.col("len")).alias("oligo"))
+    r_end = F.least(F.col("n"), F.col("te") + flank)
+    r = base.select("doc_id", "te", r_end.alias("last"), *cut(r_low, r_end))
+    r = r.select("*", F.explode(F.sequence("te", "last")).alias("end")).select("*", size).where("end >= len AND end - len < te")
+    r_start = F.col("end") - F.col("len")
+    r = r.select("doc_id", F.lit("reverse").alias("side"), r_start.alias("start"), "end", (F.col("end") - F.col("te")).alias("distance"), S.reverse_complement(F.col("near").substr(r_start - F.col("low") + 1, F.col("len"))).alias("oligo"))
+    c = f.unionByName(r)
     c = c.withColumn("gc", S.gc_fraction(F.col("oligo"))).where(F.col("gc").between(*gc) & S.gc_clamp(F.col("oligo")) & F.col("oligo").rlike("^[ACGT]+$"))
     c = c.withColumn("tm", S.melting_temperature(F.col("oligo"))).where(F.abs(F.col("tm") - target_tm) <= tolerance)
 
