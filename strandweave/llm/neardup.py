@@ -106,16 +106,24 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
 
 def signatures(texts: DataFrame, words: int) -> DataFrame:
-    """rep, sig (the low byte of every bin), small (the low half of every shingle's hash)."""
+    """rep, keys (its buckets, a band each), sig (the low byte of every bin), small (the low half of every shingle's hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = probe_order()
         for b in slices(batches, "text"):
             sets = shingle_sets(b.column("text"), words)
-            sigs = [sketch(s, order).astype(np.uint8).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sigs, pa.binary()), pa.array([s.astype(np.uint32).tobytes() for s in sets], pa.binary())], names=["rep", "sig", "small"])
+            bins = [sketch(s, order) for s in sets]
+            keys, sigs, small = [bands(x).tobytes() for x in bins], [x.astype(np.uint8).tobytes() for x in bins], [s.astype(np.uint32).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.binary()) for x in (keys, sigs, small))], names=["rep", "keys", "sig", "small"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "rep long, sig binary, small binary")
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, keys binary, sig binary, small binary")
+
+
+def numbered(small: np.ndarray) -> np.ndarray:
+    """Halved hashes with the number of their repeat above: two such sets share each value as often as both have it."""
+    s = np.sort(small).astype(np.uint64)
+    at = np.arange(len(s), dtype=np.uint64)
+    return s + (at - at[np.searchsorted(s, s)] << np.uint64(32))
 
 
 def least_matches(n: np.ndarray, percent: int) -> np.ndarray:
@@ -135,12 +143,13 @@ def likely_pairs(left: DataFrame, texts: DataFrame, words: int, percent: int) ->
     blocks = F.ceil(F.col("m") / BLOCK)
     rows = left.join(sigs, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    rows = rows.select(F.xxhash64("bucket", "lo", "hi").alias("group"), "band", "lo", "hi", "block", "rep", "n", "label", "sig", "small")
+    rows = rows.select(F.xxhash64("bucket", "lo", "hi").alias("group"), "band", "lo", "hi", "block", "rep", "n", "label", "keys", "sig", "small")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "group", PAIR_ROWS):
             g, band, lo, hi, block, rep, n, label = (t.column(c).to_numpy() for c in ("group", "band", "lo", "hi", "block", "rep", "n", "label"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, BINS)
+            keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)
             small = t.column("small")
             cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
             a, b = [], []
@@ -151,7 +160,7 @@ def likely_pairs(left: DataFrame, texts: DataFrame, words: int, percent: int) ->
 
                 def hashes(i: int, sets: dict = sets) -> frozenset:
                     if i not in sets:
-                        sets[i] = frozenset(np.frombuffer(small[i].as_py(), np.uint32).tolist())
+                        sets[i] = frozenset(numbered(np.frombuffer(small[i].as_py(), np.uint32)).tolist())
                     return sets[i]
 
                 one, two = (np.arange(s, e),) * 2 if lo[s] == hi[s] else (np.flatnonzero(block[s:e] == lo[s]) + s, np.flatnonzero(block[s:e] == hi[s]) + s)
@@ -165,7 +174,7 @@ def likely_pairs(left: DataFrame, texts: DataFrame, words: int, percent: int) ->
                     for k in range(0, len(r), 1 << 14):
                         p, q = x[r[k : k + (1 << 14)]], two[c[k : k + (1 << 14)]]
                         same = sig[p] == sig[q]
-                        first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                        first = (keys[p] == keys[q]).argmax(axis=1)
                         good = (first == band[s]) & (same.sum(axis=1) >= least_matches(np.minimum(n[p], n[q]), percent))
                         for u, v in zip(p[good].tolist(), q[good].tolist(), strict=True):
                             both = len(hashes(u) & hashes(v))

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +175,35 @@ def test_likely_pairs_over_several_blocks(spark, monkeypatch):
     assert [got[i] for i in range(24)] == want
 
 
+def likely(spark, texts, pairs):
+    """What likely_pairs makes of the buckets that each pair shares, every text being a component of its own; and the pairs with such a bucket."""
+    order = neardup.probe_order()
+    sets = neardup.shingle_sets(pa.array(texts), 1)
+    keys = [neardup.bands(neardup.sketch(s, order)) for s in sets]
+    left = [(int(keys[i][k]), k, i, len(sets[i]), i, 2) for p in pairs for k in np.flatnonzero(keys[p[0]] == keys[p[1]]).tolist() for i in p]
+    left = spark.createDataFrame(left, "bucket long, band int, rep long, n long, label long, m long")
+    got = {(r.a, r.b) for r in neardup.likely_pairs(left, docs(spark, texts), 1, 80).collect()}
+    return got, {p for p in pairs if (keys[p[0]] == keys[p[1]]).any()}
+
+
+def test_likely_pairs_whose_low_bytes_agree_in_an_earlier_band(spark):
+    texts = []
+    for i in range(150):
+        same = [f"s{i}x{k}" for k in range(900)]
+        texts += [" ".join([*same, *(f"{side}{i}x{k}" for k in range(98))]) for side in "ab"]
+    got, want = likely(spark, texts, [(i, i + 1) for i in range(0, 300, 2)])
+    assert len(want) > 145 and got == want
+
+
+def test_likely_pairs_with_equal_halved_hashes(spark):
+    words = [f"w{k}" for k in range(200_000)]
+    low = np.array([int(s[0]) & 0xFFFFFFFF for s in neardup.shingle_sets(pa.array(words), 1)])
+    order = np.argsort(low, kind="stable")
+    x, y = next((words[i], words[j]) for i, j in zip(order[:-1], order[1:], strict=True) if low[i] == low[j])
+    got, want = likely(spark, [f"{x} {y} c d", f"{x} {y} c d e"], [(0, 1)])
+    assert got == want == {(0, 1)}
+
+
 def test_near_duplicates_empty_and_repeated(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
     twice = spark.createDataFrame([(4, "a b c"), (4, "a b c"), (None, "a b c")], "doc_id long, text string")
