@@ -5,8 +5,9 @@
    smallest hash of a neighbouring id pair, which brings like documents to one shard.
 2. Shards hold about SHARD_DOCS documents. A signature shared by very many documents (copies) is dealt
    over as many shards as it needs, so no shard grows with a hot group.
-3. In each shard a BM25 inverted index returns, for the seed of each window, the unused documents by
-   falling score; they fill the window. The last one is cut where the window ends (at a multiple of 32
+3. In each shard a BM25 inverted index returns, for the seed of each window, the shard's unused documents by
+   falling score; they fill the window. Document counts of terms and the mean length are those of all
+   documents; documents of other shards are not searched. The last one is cut where the window ends (at a multiple of 32
    of its ids), and its rest is the seed of the next window, whose neighbours are its own. Texts longer
    than a window fill whole windows first. Documents without a term in common follow in shard order.
 
@@ -124,17 +125,37 @@ def piece_crcs(upto_start: np.ndarray, upto_end: np.ndarray, nbytes: np.ndarray)
     return moved ^ upto_end
 
 
+def corpus(tokens: DataFrame) -> tuple[int, float, np.ndarray]:
+    """Number of documents, mean length, and the number of documents with each term: at most one row a term for the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(65536, np.int64)
+        for b in batches:
+            df += np.bincount(np.frombuffer(b"".join(b.column("terms").to_pylist()), "<u2"), minlength=65536)
+        has = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(df[has])], names=["term", "df"])
+
+    n, mean = tokens.agg(F.count("*"), F.avg("n")).first()
+    df = np.zeros(65536, np.int64)
+    for term, k in tokens.select("terms").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df")).collect():
+        df[term] = k
+    return n, mean or 0.0, df
+
+
 class Bm25:
-    """Inverted index of one shard; classic idf, so a term in more than half of the documents weighs nothing."""
+    """Inverted index of one shard; classic idf, so a term in more than half of the documents weighs nothing.
+
+    sizes: lengths of the shard's documents; whole: what corpus() gives. Without them the shard is the corpus.
+    """
 
-    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray]):
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], sizes: np.ndarray | None = None, whole: tuple[int, float, np.ndarray] | None = None):
         n = len(terms)
         flat, tf = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
         doc = np.repeat(np.arange(n), [len(t) for t in terms])
-        size = np.bincount(doc, weights=tf, minlength=n)
-        df = np.bincount(flat, minlength=65536)
-        idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0)
-        w = idf[flat] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / size.mean()))
+        size = np.bincount(doc, weights=tf, minlength=n) if sizes is None else sizes
+        total, mean, df = whole or (n, size.mean(), np.bincount(flat, minlength=65536))
+        idf = np.maximum(np.log((total - df + 0.5) / (df + 0.5)), 0)
+        w = idf[flat] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
         keep = w > 0
         order = np.argsort(flat[keep], kind="stable")
         self.doc, self.weight = doc[keep][order], w[keep][order]
@@ -194,15 +215,16 @@ def fill_windows(n: np.ndarray, index: Bm25, window: int = WINDOW, step: int = S
 def pack(tokens: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece. tokens: as tokenised() gives, written."""
     sigs = written(tokens.groupBy("sig").agg(F.count("*").alias("k")), "op9-sigs")  # so that Spark can split the join for a hot signature
-    shards = max(1, -(-tokens.count() // shard_docs))
+    whole = corpus(tokens)
+    shards = max(1, -(-whole[0] // shard_docs))
     salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("k") / (shard_docs // 4)))
     dealt = tokens.join(sigs, "sig").withColumn("shard", F.pmod(F.xxhash64("sig", salt), F.lit(shards))).drop("k")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["sig", "doc_id"], kind="stable").reset_index(drop=True)
         terms = [np.frombuffer(t, "<u2") for t in pdf["terms"]]
-        index = Bm25(terms, [np.frombuffer(c, "<u2") for c in pdf["counts"]])
         n = pdf["n"].to_numpy(np.int64)
+        index = Bm25(terms, [np.frombuffer(c, "<u2") for c in pdf["counts"]], n, whole)
         got = np.array(fill_windows(n, index), np.int64)
         doc, start, length, seq, offset = got.T
         crcs = [np.frombuffer(c, "<u4") for c in pdf["crcs"]]

@@ -193,6 +193,30 @@ def test_packing(spark):
         assert g.length.sum() <= 2048 and (g.offset == g.length.cumsum() - g.length).all()
 
 
+def test_packing_weighs_terms_by_the_whole_corpus(spark):
+    random.seed(4)
+    words = [[f" {c}{chr(97 + k)}x" for k in range(12)] for c in ("alpha", "river", "stone", "cloud", "green", "house")]
+    texts = ["".join(random.choice(words[i % 6] if random.random() < 0.7 else random.choice(words)) for _ in range(random.randint(20, 400))) for i in range(90)]
+    tokens = packing.tokenised(docs(spark, texts)).cache()
+    rows = tokens.toPandas().set_index("doc_id").sort_index()
+    index = packing.Bm25([np.frombuffer(t, "<u2") for t in rows.terms], [np.frombuffer(c, "<u2") for c in rows.counts])
+    got = packing.pack(tokens, shard_docs=16).toPandas()
+    assert (got.sequence_id // 2**32).nunique() > 2
+
+    class Part:
+        def __init__(self, ids):
+            self.ids = ids
+
+        def scores(self, seed):
+            return index.scores(self.ids[seed])[self.ids]
+
+    for _, g in got.groupby(got.sequence_id // 2**32):
+        own = rows.loc[g.doc_id.unique()].reset_index().sort_values(["sig", "doc_id"])
+        ids, n = own.doc_id.to_numpy(), own.n.to_numpy()
+        want = [(ids[d], start, length, seq, offset) for d, start, length, seq, offset in packing.fill_windows(n, Part(ids))]
+        assert sorted(want) == sorted(zip(g.doc_id, g.start, g.length, g.sequence_id % 2**32, g["offset"], strict=True))
+
+
 def test_bm25_against_brute_force():
     random.seed(8)
     terms = [np.unique(np.array([random.randint(0, 60) for _ in range(random.randint(1, 30))], "<u2")) for _ in range(30)]
