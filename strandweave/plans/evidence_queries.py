@@ -62,7 +62,7 @@ def pcr_products(spark, d):  # 69, 70
 
 @register("fitting_ends", f"""WITH {FRAGMENTS}, e AS (SELECT f.doc_id, fragment, right(substr(seq, start + 1, "end" - start), 4) AS r, left(substr(seq, start + 1, "end" - start), 4) AS l FROM fragments f JOIN seqs USING (doc_id))
 SELECT a.doc_id, a.fragment, count(b.doc_id) AS fits FROM e a LEFT JOIN e b ON a.doc_id = b.doc_id AND b.l = reverse(translate(a.r, 'ACGT', 'TGCA')) GROUP BY ALL""")
-def fitting_ends(spark, d):  # 84, 85
+def fitting_ends(spark, d):  # 84, as counts; chains (85) are not enumerated
     s = seqs(spark, d)
     e = digest.fragments(s, sites(spark, d)).join(s, "doc_id").selectExpr("doc_id", "fragment", "right(substring(seq, start + 1, end - start), 4) AS right_end", "substring(seq, start + 1, least(4, end - start)) AS left_end")
     return assembly.fitting_ends(e)

@@ -40,7 +40,7 @@ def sites(spark, d):
 
 
 @register("restriction_sites", f"WITH {SITES} SELECT * FROM sites")
-def restriction_sites(spark, d):  # 64, 72, 57
+def restriction_sites(spark, d):  # 64, 57; of 72 only BsaI
     return sites(spark, d)
 
 
@@ -133,7 +133,7 @@ def open_reading_frames(spark, d):  # 68
 
 
 @register("kmer_counts", f"WITH {SEQS} SELECT kmer, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, substr(seq, CAST(p + 1 AS BIGINT), 6) AS kmer FROM (SELECT doc_id, seq, unnest(range(length(seq) - 5)) AS p FROM seqs)) GROUP BY kmer")
-def kmer_counts(spark, d):  # 73, 75
+def kmer_counts(spark, d):  # counts only: the strand vote (73) and seed anchors (75) are not built
     return scans.kmers(seqs(spark, d), 6).groupBy("kmer").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
 
