@@ -16,9 +16,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that all machines share: spark.checkpoint.dir; a temporary one only on a local master where that is unset (tests).
+
+    On a cluster a folder of the driver's machine would hold part of each table only, so there it is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="strandweave-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
