@@ -16,7 +16,8 @@ window.
    with two or more occurrences are repeated.
 4. Repeated windows go back to their occurrences, are united per document and cut.
 
-Scale. All texts are shuffled once, by row; everything else that moves is 8-byte hashes and places of
+Scale. Texts are read for the stretches, joined by row once with the stretches wanted of them and once with
+the ranges to cut; everything else that moves is 8-byte hashes and places of
 stretches and the differing stretches of shared anchors. Hot anchors: occurrences are counted before the
 shuffle and joined (Spark splits such joins); an anchor with more than GROUP_MOST different stretches
 (a line in a third of all documents) is not sorted in one task: its windows are dealt out one by one
@@ -59,8 +60,7 @@ def stretches(data: np.ndarray, off: np.ndarray, span: int = SPAN) -> tuple[np.n
         return none
     h = gram_hashes(data)
     w = span - GRAM + 1
-    bits = max(1, int(len(h)).bit_length())
-    low = np.uint64((1 << bits) - 1)
+    low = np.uint64((1 << 32) - 1)  # fixed, so that equal windows of any two batches take one anchor: equal high halves go to the left
     key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     pad = (-len(key)) % w + w
     blocks = np.concatenate([key, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)

@@ -1,15 +1,15 @@
 """FLAC media columns: store bytes as 8-bit mono FLAC, decode Rice residuals and linear predictors.
 
 Streams are ordinary FLAC files (STREAMINFO with MD5, a SEEKTABLE with one point a frame, frames with
-CRC-8 and CRC-16). Samples are byte - 128. The encoder takes, frame by frame, the fixed predictor with
-the smallest residual (or a given linear predictor) and one Rice parameter. The decoder reads mono
+CRC-8 and CRC-16). Samples are byte - 128. The encoder takes, frame by frame, the smallest of the fixed
+predictors of orders 0 to 2 and a linear predictor of order 4 fitted to the frame, and one Rice parameter. The decoder reads mono
 streams of 4 to 24 bits with constant, verbatim, fixed and LPC subframes, Rice and Rice2 residuals, any
 partition order and escapes; it checks both checksums of every frame and the MD5, and gives PCM blocks
 with their sample and byte offsets, so that a reader can seek to any block.
 
 All frames of a slice of documents advance together as numpy lanes; there is no loop over samples of
 one document. Slices are cut by bytes, so memory is bounded however long or many the texts are, except
-that one text is always whole. There is no shuffle.
+that one text is always whole. The media table is written to the shared folder and read back from there; there is no shuffle.
 
 Null and empty texts become one block of 64 zero bytes. Repeated rows give equal values. A frame with a
 bad checksum raises ValueError; it is never passed over.
@@ -24,12 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from strandweave.llm.common import byte_buffer, documents, slices
+from strandweave.llm.common import byte_buffer, documents, slices, written
 
 BLOCK = 1024
 RATE = 8000
+LPC_ORDER = 4
 SLICE = 1 << 20  # bytes of text or media at work in a task: numpy lanes need some hundred times as much
 FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
 
@@ -98,10 +98,34 @@ def utf8_number(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v, np.where(n < 0x80, 8, np.where(n < 0x800, 16, np.where(n < 0x10000, 24, 32)))
 
 
+def fitted_lpc(s: np.ndarray, start: np.ndarray, size: np.ndarray, order: int = LPC_ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Of each frame the linear predictor that its autocorrelation asks for (Levinson and Durbin), as integers and their shift."""
+    r = [np.add.reduceat(s * s, start).astype(np.float64)]
+    for lag in range(1, order + 1):
+        both = np.zeros_like(s)
+        np.multiply(s[lag:], s[:-lag], out=both[lag:])
+        for i in range(lag):  # the first samples of a frame have no earlier ones
+            both[start + np.minimum(i, size - 1)] = 0
+        r.append(np.add.reduceat(both, start).astype(np.float64))
+    a, err = np.zeros((order, len(start))), r[0] * (1 + 1e-9) + 1e-9
+    for i in range(order):
+        k = (r[i + 1] - sum(a[j] * r[i - j] for j in range(i))) / err
+        a[:i], a[i] = a[:i] - k * a[:i][::-1], k
+        err = np.maximum(err * (1 - k * k), 1e-9)
+    shift = np.clip(np.floor(np.log2(16383 / np.maximum(np.abs(a).max(axis=0), 1e-9))), 0, 15).astype(np.int64)
+    return np.clip(np.rint(a * 2.0**shift), -16384, 16383).astype(np.int64), shift
+
+
+def rice_bits(total: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rice parameter for n values of that sum, and about how many bits they take."""
+    k = np.clip(np.floor(np.log2(np.maximum(total / np.maximum(n, 1), 1))), 0, 14).astype(np.int64)
+    return k, n * (1 + k) + (total >> k)
+
+
 def encode(payload: np.ndarray, offsets: np.ndarray, block: int = BLOCK, lpc: tuple[list[int], int] | None = None) -> list[bytes]:
     """One FLAC stream for each payload payload[offsets[i]:offsets[i + 1]] (16 bytes at least).
 
-    lpc: (coefficients, shift) used for every frame in place of the fixed predictors.
+    lpc: (coefficients, shift) used for every frame in place of the choice by size.
     """
     count = np.diff(offsets)
     frames = -(-count // block)
@@ -112,52 +136,64 @@ def encode(payload: np.ndarray, offsets: np.ndarray, block: int = BLOCK, lpc: tu
     s = payload.astype(np.int32) - 128
     of = np.repeat(np.arange(len(doc)), size)
     within = np.arange(len(s)) - start[of]
+    each = np.ones(len(doc), np.int64)
     if lpc is None:
-        kinds = [([], 0), ([1], 0), ([2, -1], 0)]
+        kinds = [(False, np.array(c, np.int64)[:, None] * each, 0 * each) for c in ([], [1], [2, -1])] + [(True, *fitted_lpc(s, start, size))]
     else:
-        kinds = [lpc]
-    cost, residuals = [], []
-    for coefs, shift in kinds:
-        pred = np.zeros(len(s), np.int64)
-        for j, c in enumerate(coefs):
-            pred[j + 1 :] += c * s[: len(s) - j - 1].astype(np.int64)
-        r = (s - (pred >> shift)).astype(np.int32)
-        r[within < len(coefs)] = 0
-        residuals.append(r)
-        cost.append(np.add.reduceat(np.abs(r), start))
-    pick = np.argmin(np.array(cost), axis=0)
-    order = np.array([len(c) for c, _ in kinds])[pick]
-    r = residuals[0]
-    for k in range(1, len(kinds)):
-        r = np.where((pick == k)[of], residuals[k], r)
-    u = (r.astype(np.int64) << 1) ^ (r >> 31)
-    mean = np.add.reduceat(u, start) / np.maximum(size - order, 1)
-    k = np.clip(np.floor(np.log2(np.maximum(mean, 1))), 0, 14).astype(np.int64)
+        kinds = [(True, np.array(lpc[0], np.int64)[:, None] * each, lpc[1] * each)]
+    best, us = None, []
+    for j, (linear, coefs, shift) in enumerate(kinds):
+        order = len(coefs)
+        pred = np.zeros(len(s), np.int32)
+        for i, c in enumerate(coefs.astype(np.int32)):
+            pred[i + 1 :] += (np.repeat(c, size)[i + 1 :] if linear else c[0]) * s[: len(s) - i - 1]
+        r = s - (pred >> np.repeat(shift.astype(np.int32), size) if linear else pred)
+        for i in range(order):
+            r[start + np.minimum(i, size - 1)] = 0
+        v = (r << 1) ^ (r >> 31)
+        us.append(v)
+        k, bits = rice_bits(np.add.reduceat(v, start, dtype=np.int64), size - order)
+        bits = bits + 8 * order + (9 + 15 * order if linear else 0)
+        if best is None:
+            best, pick, rice = bits, 0 * each, k
+        else:
+            less = bits < best
+            best, pick, rice = np.where(less, bits, best), np.where(less, j, pick), np.where(less, k, rice)
+    order = np.array([len(c) for _, c, _ in kinds])[pick]
+    linear = np.array([x for x, _, _ in kinds])[pick]
+    k = rice
+    u = us[0]
+    for j in range(1, len(kinds)):
+        if (pick == j).any():
+            u = np.where(np.repeat(pick == j, size), us[j], u)
+    u = u.astype(np.int64)
     coded = within >= order[of]
     kk = k[of]
     length = np.where(coded, (u >> kk) + 1 + kk, 0)
     num_v, num_b = utf8_number(number)
-    extra = 0 if lpc is None else 9 + 15 * len(lpc[0])
+    extra = np.where(linear, 9 + 15 * order, 0)
     head = 32 + num_b + 16
-    body = head + 8 + 8 + 8 * order + extra + 10
+    body = head + 8 + 8 * order + extra + 10 + 8
     bits = body + np.add.reduceat(length, start)
     nbytes = (bits + 7 >> 3) + 2
     at = np.cumsum(nbytes) - nbytes
     w = BitWriter(int(nbytes.sum()) * 8)
     p = at * 8
-    n = np.ones(len(p), np.int64)
+    n = each
     w.put(p, 32 * n, n * 0xFFF87402)
     w.put(p + 32, num_b, num_v)
     w.put(p + 32 + num_b, 16 * n, size - 1)
-    w.put(p + head + 8, 8 * n, (np.where(order == 0, 8, 8 + order) if lpc is None else 31 + order) << 1)
+    w.put(p + head + 8, 8 * n, np.where(linear, 31 + order, 8 + order) << 1)
     for j in range(int(order.max(initial=0))):
         has = order > j
         w.put((p + head + 16 + 8 * j)[has], (8 * n)[has], s[start[has] + j] & 0xFF)
     q = p + head + 16 + 8 * order
-    if lpc is not None:
-        w.put(q, 9 * n, n * (14 << 5 | lpc[1]))
-        for j, c in enumerate(lpc[0]):
-            w.put(q + 9 + 15 * j, 15 * n, n * (c & 0x7FFF))
+    for j, (is_lpc, coefs, shift) in enumerate(kinds):
+        on = np.flatnonzero(pick == j)
+        if is_lpc and len(on):
+            w.put(q[on], 9 * n[on], 14 << 5 | shift[on])
+            for i, c in enumerate(coefs):
+                w.put(q[on] + 9 + 15 * i, 15 * n[on], c[on] & 0x7FFF)
     w.put(q + extra, 10 * n, k)
     total = np.cumsum(length)
     end = (p + body)[of] + total - (total - length)[start][of]
@@ -465,11 +501,20 @@ def decode_blocks(media: DataFrame, keep: str = "doc_id", column: str = "media")
     return media.select(keep, column).mapInArrow(run, f"{keep} {kind}, block long, sample_offset long, samples long, byte_offset long, pcm binary")
 
 
+DIGEST = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+
+
 def digest(media: DataFrame, keep: str = "doc_id") -> DataFrame:
-    """Read each stored stream back, check it and describe payload, tail and signal."""
+    """Read each stored stream back, check it and describe payload, tail and signal; a null stream gives nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "media", SLICE):
+            none = b.filter(pa.compute.is_null(b.column("media")))
+            if none.num_rows:
+                yield pa.RecordBatch.from_arrays([none.column(keep), none.column("n_bytes"), *[pa.nulls(none.num_rows, t) for t in DIGEST.values()]], names=[keep, "n_bytes", *DIGEST])
+                b = b.filter(pa.compute.is_valid(b.column("media")))
+                if not b.num_rows:
+                    continue
             streams = b.column("media").to_pylist()
             samples, stream, _, n, _ = decode(streams)
             at = np.searchsorted(stream, np.arange(len(streams)))
@@ -488,7 +533,7 @@ def digest(media: DataFrame, keep: str = "doc_id") -> DataFrame:
                     raise ValueError("a stream's MD5 does not match")
                 rows.append((z, hashlib.sha256(own).hexdigest(), zlib.crc32(own[-64:]), len(streams[i]), hashlib.sha256(streams[i]).hexdigest(), f"rms={int(np.sqrt(energy[i] / z) * 1000)};turns={turns[i]};peak={peak[i]}"))
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([b.column(keep), b.column("n_bytes"), *[pa.array(c) for c in cols]], names=[keep, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pa.RecordBatch.from_arrays([b.column(keep), b.column("n_bytes"), *[pa.array(c, t) for c, t in zip(cols, DIGEST.values(), strict=True)]], names=[keep, "n_bytes", *DIGEST])
 
     kind = media.schema[keep].dataType.simpleString()
     return media.select(keep, "n_bytes", "media").mapInArrow(run, f"{keep} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
@@ -499,4 +544,5 @@ def stream_parts_md5(stream: bytes) -> bytes:
 
 
 def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(encode_text_column(documents(spark, sf_dir))).select(F.col("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    stored = written(encode_text_column(documents(spark, sf_dir)), "op2-media")
+    return digest(stored).select("doc_id", "n_bytes", *DIGEST)

@@ -7,18 +7,20 @@ as whole epochs of the source and a part of one more: documents lie in blocks of
 hash, every epoch has its own permutation of the blocks, whole blocks are taken in that order while they
 fit and the first that does not fit gives its documents in hash order as far as they fit.
 
-Scale. The driver holds one row a source (shares, as any table of mixing weights). Blocks are summed and
-ordered, not rows, so a source with a third of all rows has no sort of its own; only the one cut block
-of each source is sorted. Texts are read once, for their sizes, unless rows carry their texts along.
+Scale. Sources are a table like any other: alpha is bisected by aggregates over it (a row each for 100 tries
+a round, three rounds), so the number of sources is not bounded by the driver. Rows meet the tables of sources
+and blocks in plain joins: small tables are broadcast by their measured size, large ones are shuffled and hot
+keys split. Blocks are summed and ordered, not rows, and their order is by ranges of its hash, so a source
+with a third of all rows has no sort of its own; only the one cut block of each source is sorted. Texts
+are read for their sizes and, where whole rows are asked for, once more, but are not shuffled for it.
 
 A token is four bytes of text, and one for the document's end. A null source is the source ''; null and
-empty texts count one token. Repeated rows are kept and counted. An empty table gives an empty result.
+empty texts count one token. Repeated rows are kept and counted, and go in or out together. A null doc_id is hashed as none.
+Columns of any other name are no matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,41 +29,40 @@ from strandweave.llm.common import documents, written
 BLOCK_ROWS = 5000
 
 
-def weights(tokens: dict[str, int], alpha: float) -> dict[str, float]:
-    total = sum(tokens.values())
-    raw = {s: (t / total) ** alpha for s, t in sorted(tokens.items())}
-    norm = sum(raw.values())
-    return {s: x / norm for s, x in raw.items()}
-
-
-def entropy(w: dict[str, float]) -> float:
-    return -sum(x * math.log(x) for x in w.values() if x > 0)
+TRIES, DIGITS = 100, 6
+ORDER_CELLS = 1024
 
 
-def whole_budget(tokens: dict[str, int], alpha: float) -> float:
-    """The smallest budget whose quotas hold every source once."""
-    return max(tokens[s] / x for s, x in weights(tokens, alpha).items())
+def tried(sources: DataFrame, alphas: list[float]) -> list:
+    """For each alpha: entropy of the weights, and the largest repetition for a budget of all tokens and for the smallest whole budget."""
+    each = sources.select("p", F.posexplode(F.array(*[F.lit(a) for a in alphas])).alias("i", "a")).select("i", "a", "p", F.pow("p", "a").alias("x"))
+    sums = each.groupBy("i", "a").agg(F.sum("x").alias("z"), F.sum(F.col("x") * F.log("p")).alias("s"), F.max(F.pow("p", F.col("a") - 1)).alias("most"), F.max(F.pow("p", 1 - F.col("a"))).alias("least"))
+    return sums.select("i", (F.log("z") - F.col("a") * F.col("s") / F.col("z")).alias("entropy"), (F.col("most") / F.col("z")).alias("repeats"), (F.col("most") * F.col("least")).alias("whole_repeats"), (F.col("least") * F.col("z")).alias("whole_budget")).orderBy("i").collect()
 
 
-def repetition(tokens: dict[str, int], alpha: float, budget: int | None) -> float:
-    b = whole_budget(tokens, alpha) if budget is None else budget
-    return max(x * b / tokens[s] for s, x in weights(tokens, alpha).items())
+def bisect_alpha(sources: DataFrame, budget_share: float | None, flatten: float, most_repeats: float) -> float:
+    """Smallest alpha in [0, 1], to six digits, whose entropy is at most natural + flatten * (uniform - natural) and whose repetition is within the limit; 1 if none is.
 
-
-def bisect_alpha(tokens: dict[str, int], budget: int | None, flatten: float, most_repeats: float) -> float:
-    """Smallest alpha in [0, 1], to six digits, whose entropy is at most natural + flatten * (uniform - natural) and whose repetition is within the limit; 1 if none is."""
-    natural, uniform = entropy(weights(tokens, 1.0)), math.log(len(tokens))
-    goal = natural + flatten * (uniform - natural)
-    found = 0.0
-    for fits in (lambda a: entropy(weights(tokens, a)) <= goal + 1e-12, lambda a: repetition(tokens, a, budget) <= most_repeats + 1e-12):
-        lo, hi = 0.0, 1.0
-        if not fits(lo):
-            for _ in range(50):
-                mid = (lo + hi) / 2
-                lo, hi = (lo, mid) if fits(mid) else (mid, hi)
-            lo = hi
-        found = max(found, lo)
-    return math.ceil(found * 1e6 - 1e-6) / 1e6
+    sources: p, the token share of each. Both bounds fall as alpha grows, so each round keeps one of TRIES intervals.
+    """
+    uniform, natural = tried(sources, [0.0, 1.0])
+    goal = natural["entropy"] + flatten * (uniform["entropy"] - natural["entropy"])
+
+    def fits(r) -> bool:
+        repeats = r["whole_repeats"] if budget_share is None else r["repeats"] * budget_share
+        return r["entropy"] <= goal + 1e-12 and repeats <= most_repeats + 1e-12
+
+    if fits(uniform):
+        return 0.0
+    low, width = 0, 10**DIGITS  # the answer lies in (low, low + width]
+    while width > 1:
+        step = -(-width // TRIES)
+        at = [min(low + step * k, low + width) for k in range(1, -(-width // step) + 1)]
+        good = next((k for k, r in enumerate(tried(sources, [x / 10**DIGITS for x in at])) if fits(r)), None)
+        if good is None:
+            return 1.0
+        low, width = (at[good - 1] if good else low), at[good] - (at[good - 1] if good else low)
+    return (low + 1) / 10**DIGITS
 
 
 def hash32(*parts: Column | str) -> Column:
@@ -69,40 +70,53 @@ def hash32(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
 
 
-def copies(docs: DataFrame, budget_share: float | None = 1.0, flatten: float = 0.5, most_repeats: float = 4.0, block_rows: int = BLOCK_ROWS, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, tokens, block, weight, copies of every row of `docs`; carry: more of its columns.
+def copies(docs: DataFrame, budget_share: float | None = 1.0, flatten: float = 0.5, most_repeats: float = 4.0, block_rows: int = BLOCK_ROWS, seed: int = 7, whole_rows: bool = False) -> DataFrame:
+    """doc_id, source, tokens, block, weight, copies of every row of `docs`; whole_rows: and the row itself as the struct `row`.
 
     budget_share: of the corpus's tokens; None: the smallest budget that leaves no document out.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("mix_source"), (F.ceil(F.octet_length(text) / 4) + 1).cast("long").alias("tokens"), *carry)
-    base = base.withColumn("pick", hash32(F.lit(str(seed)), F.col("doc_id").cast("string")))
-    if not carry:
-        base = written(base, "op7-sizes")  # else the texts would be read for every pass
-    stats = base.groupBy("mix_source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()
-    tokens = {r["mix_source"]: r["t"] for r in stats}
-    schema = "mix_source string, weight double, whole long, rest long, blocks long"
-    plan = []
-    if tokens:
-        budget = None if budget_share is None else int(sum(tokens.values()) * budget_share)
-        alpha = bisect_alpha(tokens, budget, flatten, most_repeats)
-        w = weights(tokens, alpha)
-        for r in stats:
-            s = r["mix_source"]
-            quota = math.floor(w[s] * budget) if budget is not None else max(tokens[s], math.floor(w[s] * whole_budget(tokens, alpha)))
-            plan.append((s, w[s], quota // tokens[s], quota % tokens[s], -(-r["n"] // block_rows)))
-    sources = docs.sparkSession.createDataFrame(plan, schema)  # one row a source, which the driver holds anyway
-    rows = base.join(F.broadcast(sources), "mix_source").withColumn("block", F.pmod(F.col("pick"), F.col("blocks")))
-    order = hash32(F.lit(str(seed)), "mix_source", F.col("block").cast("string"), F.col("whole").cast("string"))
-    sums = rows.groupBy("mix_source", "block", "whole", "rest").agg(F.sum("tokens").alias("t")).withColumn("order", order)
-    before = Window.partitionBy("mix_source").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1)
-    cut = sums.withColumn("before", F.coalesce(F.sum("t").over(before), F.lit(0)))
+    size = (F.ceil(F.octet_length(F.coalesce(F.col("text"), F.lit(""))) / 4) + 1).cast("long")
+    every = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_rows else []
+    base = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), size.alias("tokens"), *every).withColumn("pick", hash32(F.lit(str(seed)), F.col("doc_id").cast("string")))
+    small = written(base.drop("row"), "op7-sizes")  # else the texts would be read for every pass
+    if not whole_rows:
+        base = small
+    totals = written(small.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")), "op7-totals")
+    total = totals.agg(F.sum("t")).first()[0]
+    if not total:
+        return base.select("doc_id", "source", "tokens", F.lit(0).cast("long").alias("block"), F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("copies"), *(["row"] if whole_rows else []))
+    shares = totals.withColumn("p", F.col("t") / F.lit(float(total)))
+    alpha = bisect_alpha(shares, budget_share, flatten, most_repeats)
+    at = tried(shares, [alpha])[0]
+    power = F.pow("p", F.lit(alpha))
+    norm = shares.agg(F.sum(power)).first()[0]
+    if budget_share is None:
+        quota = F.greatest("t", F.floor(F.col("weight") * F.lit(total * at["whole_budget"])))
+    else:
+        quota = F.floor(F.col("weight") * F.lit(int(total * budget_share)))
+    plan = shares.withColumn("weight", power / F.lit(norm)).withColumn("quota", quota)
+    plan = plan.select("source", "weight", F.expr("quota div t").alias("whole"), (F.col("quota") % F.col("t")).alias("rest"), F.ceil(F.col("n") / block_rows).alias("blocks"))
+    plan = written(plan, "op7-sources")  # joined by its measured size
+    block = F.pmod(F.col("pick"), F.col("blocks"))
+    order = hash32(F.lit(str(seed)), "source", F.col("block").cast("string"), F.col("whole").cast("string"))
+    sums = small.join(plan, "source").withColumn("block", block).groupBy("source", "block", "whole", "rest").agg(F.sum("tokens").alias("t"))
+    sums = written(sums.withColumn("order", order).withColumn("cell", F.shiftright("order", 32 - ORDER_CELLS.bit_length() + 1)), "op7-blocks")
+    cells = sums.groupBy("source", "cell").agg(F.sum("t").alias("t"))
+    earlier = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("source", "cell", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("source", "cell").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1)
+    cut = sums.join(cells, ["source", "cell"]).withColumn("before", F.col("base") + F.coalesce(F.sum("t").over(within), F.lit(0)))
     state = F.when(F.col("before") + F.col("t") <= F.col("rest"), "in").when(F.col("before") < F.col("rest"), "cut").otherwise("out")
-    rows = rows.join(cut.select("mix_source", "block", "before", state.alias("state")), ["mix_source", "block"])
-    whole = rows.where("state <> 'cut'").withColumn("more", (F.col("state") == "in").cast("int"))
-    upto = Window.partitionBy("mix_source").orderBy("pick", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    part = rows.where("state = 'cut'").withColumn("more", (F.col("before") + F.sum("tokens").over(upto) <= F.col("rest")).cast("int"))
-    return whole.unionByName(part).select("doc_id", F.col("mix_source").alias("source"), "tokens", "block", "weight", (F.col("whole") + F.col("more")).alias("copies"), *carry)
+    cut = written(cut.select("source", "block", "before", "rest", state.alias("state")), "op7-states")
+    # Of each source's one cut block, the last document that still fits, in the order of (pick, doc_id); equal rows go together.
+    edge = cut.where("state = 'cut'").select("source", "block", "before", "rest")
+    upto = Window.partitionBy("source").orderBy("pick", "doc_id").rangeBetween(Window.unboundedPreceding, 0)
+    edge = small.join(plan.select("source", "blocks"), "source").withColumn("block", block).join(edge, ["source", "block"]).withColumn("upto", F.col("before") + F.sum("tokens").over(upto))
+    edge = written(edge.where("upto <= rest").groupBy("source").agg(F.max(F.struct("pick", "doc_id")).alias("last")), "op7-edges")
+    # Every block's own row of the plan: one join by source gives the number of blocks, one by block its state.
+    rows = base.join(plan, "source").withColumn("block", block).join(cut.select("source", "block", "state"), ["source", "block"]).join(edge, "source", "left")
+    more = F.when(F.col("state") == "in", 1).when((F.col("state") == "cut") & F.coalesce(F.struct("pick", "doc_id") <= F.col("last"), F.lit(False)), 1).otherwise(0)
+    return rows.select("doc_id", "source", "tokens", "block", "weight", (F.col("whole") + more).alias("copies"), *(["row"] if whole_rows else []))
 
 
 def mixed(docs: DataFrame, seed: int = 7, **how) -> DataFrame:

@@ -11,14 +11,16 @@ Edges. Every bucket links its members to its smallest member only: a star, never
 candidate is confirmed on both full sets, recomputed from the whole texts. A star can leave members of
 a bucket unlinked; buckets that still hold more than one component therefore compare their members of
 different components once more, by size and by whole signature (five standard deviations below the
-threshold), in blocks of bounded size, and what is left is confirmed on full sets too. So links that
+threshold), in blocks of bounded size, and what is left is confirmed on full sets too. Of buckets with more
+members than a block only those that share a rare shingle are compared (an exact prefix filter). So links that
 the star missed are found, while groups of near copies, however large, are done after the star.
 
 Scale. Bucket and class keys are joined and aggregated, not windowed, so that Spark can split hot ones.
 Steps are written to the shared folder. Nothing is collected but counts.
 
 Null texts and texts without words have the empty set, are linked with nothing and are kept. Repeated
-rows with one doc_id stay as many rows, with equal values. Rows without a doc_id are compared with nothing
+rows with one doc_id stay as many rows; where their texts differ, they are one document with all of these
+texts: it is linked through any of them and has one component_id. Rows without a doc_id are compared with nothing
 and kept.
 """
 
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandweave.llm.common import documents, slices, whole_groups, written
@@ -102,11 +104,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
 def signatures(texts: DataFrame, words: int) -> DataFrame:
-    """rep, keys (its buckets, a band each), sig (the low byte of every bin), small (the low half of every shingle's hash)."""
+    """rep, n, keys (its buckets, a band each), sig (the low byte of every bin), small (the low half of every shingle's hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = probe_order()
@@ -114,9 +116,9 @@ def signatures(texts: DataFrame, words: int) -> DataFrame:
             sets = shingle_sets(b.column("text"), words)
             bins = [sketch(s, order) for s in sets]
             keys, sigs, small = [bands(x).tobytes() for x in bins], [x.astype(np.uint8).tobytes() for x in bins], [s.astype(np.uint32).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.binary()) for x in (keys, sigs, small))], names=["rep", "keys", "sig", "small"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, sigs, small))], names=["rep", "n", "keys", "sig", "small"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "rep long, keys binary, sig binary, small binary")
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, n long, keys binary, sig binary, small binary")
 
 
 def numbered(small: np.ndarray) -> np.ndarray:
@@ -132,16 +134,46 @@ def least_matches(n: np.ndarray, percent: int) -> np.ndarray:
     return BINS * (j - 5 * np.sqrt(j * (1 - j) / np.minimum(n, BINS)))
 
 
+def redealt(hot: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Hot buckets dealt anew by rare shingles: bucket, band, rep, label, m, as `hot`, which has more members in each bucket.
+
+    Two sets at the threshold share one of the n - ceil(n * percent / 100) + 1 shingles of each that are rarest
+    in the bucket (the prefix filter), so nothing is lost; a passage that many unlike documents
+    share is frequent there and brings none of them together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 1 << 20):
+            sets = shingle_sets(b.column("text"), words)
+            ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], names=["rep", "size", "hashes"])
+
+    sets = texts.join(hot.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "rep long, size long, hashes array<long>")
+    each = written(hot.join(sets, "rep").select("bucket", "rep", "label", "size", F.xxhash64("hashes").alias("text"), F.explode("hashes").alias("hash")), "op10-shingles")
+    often = written(each.groupBy("bucket", "hash").agg(F.count("*").alias("often")), "op10-often")  # so that Spark can split hot shingles
+    rank = F.row_number().over(Window.partitionBy("bucket", "rep", "text").orderBy("often", "hash"))
+    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    rare = each.join(often.where("often > 1").select("bucket", "hash", "often"), ["bucket", "hash"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    rare = rare.withColumn("rank", rank).where((F.col("rank") <= prefix) & (F.col("often") > 1))
+    dealt = written(rare.select(F.xxhash64("bucket", "hash").alias("bucket"), F.lit(-1).alias("band"), "rep", "label").distinct(), "op10-redealt")
+    open_ = dealt.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x < y").select("bucket", "m")
+    return dealt.join(written(open_, "op10-redealt-open"), "bucket")
+
+
 def likely_pairs(left: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of one bucket and two components that can be similar.
 
-    Members of a bucket are dealt into blocks of about BLOCK; a task compares two blocks. A pair is looked
+    A bucket of more than BLOCK members is dealt anew by rare shingles. Members of a bucket are then dealt into
+    blocks of about BLOCK; a task compares two blocks. A pair is looked
     at in the first bucket that it shares only, by size, by signature, and last by the halved hashes of both
     sets, whose intersection is never smaller than the true one; so what leaves is next to nothing but links.
     """
+    hot = left.where(F.col("m") > BLOCK)
+    if not hot.isEmpty():
+        left = left.where(F.col("m") <= BLOCK).select("bucket", "band", "rep", "label", "m").unionByName(redealt(hot, texts, words, percent))
     sigs = signatures(texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words)
     blocks = F.ceil(F.col("m") / BLOCK)
-    rows = left.join(sigs, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = left.select("bucket", "band", "rep", "label", "m").join(sigs, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     rows = rows.select(F.xxhash64("bucket", "lo", "hi").alias("group"), "band", "lo", "hi", "block", "rep", "n", "label", "keys", "sig", "small")
 
@@ -175,7 +207,7 @@ def likely_pairs(left: DataFrame, texts: DataFrame, words: int, percent: int) ->
                         p, q = x[r[k : k + (1 << 14)]], two[c[k : k + (1 << 14)]]
                         same = sig[p] == sig[q]
                         first = (keys[p] == keys[q]).argmax(axis=1)
-                        good = (first == band[s]) & (same.sum(axis=1) >= least_matches(np.minimum(n[p], n[q]), percent))
+                        good = ((first == band[s]) | (band[s] < 0)) & (same.sum(axis=1) >= least_matches(np.minimum(n[p], n[q]), percent))
                         for u, v in zip(p[good].tolist(), q[good].tolist(), strict=True):
                             both = len(hashes(u) & hashes(v))
                             if 100 * both >= percent * (n[u] + n[v] - both):
@@ -205,7 +237,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sizes = reps.select(F.col("rep").alias("a"), F.col("n").alias("m"))
     star = star.join(sizes, "a").where(fits).select("a", "b")
     nodes = shared.select(F.col("rep").alias("doc_id")).distinct()
-    texts = written(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "op10-texts")
+    texts = written(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "op10-texts")
     links = written(confirmed(star, texts, words, percent), "op10-links")
     labels = components(links)
     named = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", "n", F.coalesce("label", "rep").alias("label"))

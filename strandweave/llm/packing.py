@@ -15,9 +15,9 @@ Padding is the gap under 32 ids at a window's end and one open window a shard. C
 from the CRCs of two prefixes, because CRC-32 is linear; ids are never shuffled.
 
 Tokens. The rank file of the same vocabulary is read by its fast encoder, special strings as the
-`tokenizers` library takes them; the tests compare ids with that library.
+`tokenizers` library takes them; the tests hold the ids of a whole table against that library and its file.
 
-Null and empty texts are the single id 1. Repeated rows are documents of their own. An empty table gives
+Null and empty texts are the single id 1. Repeated rows are documents of their own. A null doc_id stays null. An empty table gives
 an empty result.
 """
 
@@ -29,7 +29,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +89,7 @@ def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
             for x in ids:
                 t, c = np.unique(np.frombuffer(x, "<u4"), return_counts=True)
                 terms.append(t.astype("<u2").tobytes())
-                counts.append(np.minimum(c, 65535).astype("<u2").tobytes())
+                counts.append(c.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array([prefix_crcs(x) for x in ids], pa.binary()), pa.array(terms, pa.binary()), pa.array(counts, pa.binary()), pa.array(sig)], names=["doc_id", "n", "crcs", "terms", "counts", "sig"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, crcs binary, terms binary, counts binary, sig long")
@@ -220,25 +219,25 @@ def pack(tokens: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
     salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("k") / (shard_docs // 4)))
     dealt = tokens.join(sigs, "sig").withColumn("shard", F.pmod(F.xxhash64("sig", salt), F.lit(shards))).drop("k")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sig", "doc_id"], kind="stable").reset_index(drop=True)
-        terms = [np.frombuffer(t, "<u2") for t in pdf["terms"]]
-        n = pdf["n"].to_numpy(np.int64)
-        index = Bm25(terms, [np.frombuffer(c, "<u2") for c in pdf["counts"]], n, whole)
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("sig", "ascending"), ("doc_id", "ascending")])
+        terms = [np.frombuffer(x, "<u2") for x in t.column("terms").to_pylist()]
+        n = t.column("n").to_numpy()
+        index = Bm25(terms, [np.frombuffer(c, "<u4") for c in t.column("counts").to_pylist()], n, whole)
         got = np.array(fill_windows(n, index), np.int64)
         doc, start, length, seq, offset = got.T
-        crcs = [np.frombuffer(c, "<u4") for c in pdf["crcs"]]
+        crcs = [np.frombuffer(c, "<u4") for c in t.column("crcs").to_pylist()]
         upto = np.concatenate(crcs).astype(np.int64)
         base = np.cumsum([0, *map(len, crcs)])[:-1]
         end = start + length
         head = np.where(start > 0, upto[base[doc] + np.maximum(start // STEP - 1, 0)], 0)
         tail = upto[base[doc] + -(-end // STEP) - 1]
-        return pd.DataFrame({
-            "doc_id": pdf["doc_id"].to_numpy()[doc], "start": start, "length": length, "ids_crc32": piece_crcs(head, tail, 4 * length),
-            "doc_tokens": n[doc], "sequence_id": int(key[0]) << 32 | seq, "offset": offset,
+        return pa.table({
+            "doc_id": t.column("doc_id").combine_chunks().take(pa.array(doc)), "start": start, "length": length, "ids_crc32": piece_crcs(head, tail, 4 * length),
+            "doc_tokens": n[doc], "sequence_id": key[0].as_py() << 32 | seq, "offset": offset,
         })
 
-    return dealt.groupBy("shard").applyInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return dealt.groupBy("shard").applyInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:

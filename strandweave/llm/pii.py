@@ -16,6 +16,7 @@ Null and empty texts have no spans. Positions count code points, ends are exclus
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -155,6 +156,25 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, int]]:
     return out
 
 
+class Taken:
+    """Places of a text that spans cover, as sorted disjoint intervals: tests and additions by bisection."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, start: int, end: int) -> bool:
+        i = bisect.bisect_right(self.ends, start)
+        return i == len(self.starts) or self.starts[i] >= end
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect.bisect_left(self.ends, start)
+        j = bisect.bisect_right(self.starts, end)
+        if i < j:
+            start, end = min(start, self.starts[i]), max(end, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [start], [end]
+
+
 class Detector:
     def __init__(self):
         x, y, kinds = [], [], []
@@ -183,15 +203,19 @@ class Detector:
     def spans(self, text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
         """Base spans, and base and chosen spans together."""
         base = base_spans(text)
-        found = [c for c in candidates(text) if not any(s < c[1] and e > c[0] for s, e, _ in base)]
+        taken = Taken()
+        for s, e, _ in base:
+            taken.add(s, e)
+        found = [c for c in candidates(text) if taken.free(c[0], c[1])]
         if not found:
             return base, base
         p = self.model.probability(np.array([features(text, *c) for c in found]))
         chosen: list[tuple[int, int, str]] = []
         for i in np.argsort(-p, kind="stable"):
             s, e, kind = found[i]
-            if p[i] >= self.threshold[kind] and not any(a < e and b > s for a, b, _ in chosen):
+            if p[i] >= self.threshold[kind] and taken.free(s, e):
                 chosen.append(found[i])
+                taken.add(s, e)
         return base, sorted(base + chosen, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -200,7 +224,6 @@ def detector() -> Detector:
     return Detector()
 
 
-AT = re.compile(r"[(\[]\x20?at\x20?[)\]]", re.I)
 SIGN = np.zeros(256, np.int64)
 SIGN[[*range(0x30, 0x3A), ord("@"), ord("("), ord("[")]] = 1
 

@@ -5,7 +5,8 @@ Words are runs of letters, of digits and of other signs, as written. Every word
 buckets; each bucket has a fixed sparse random index vector, and its word vector is the sum of the index
 vectors of all words that stand within REACH places of it anywhere in the corpus. Sums are integers, so
 the vectors do not depend on the order of work. A document is the mean and the spread of its words'
-normalised vectors. The network is fitted on a bounded sample of labelled rows whose crc32(doc_id) mod 5
+normalised vectors, the mean cosine of words one and two apart, the share of those that are equal (local repetition),
+and the log of its number of words. The network is fitted on a bounded sample of labelled rows whose crc32(doc_id) mod 5
 is not 0 (at most `most_labelled`, those with the smallest hash); part of that sample sets the temperature.
 
 Scale. Vectors come from all documents: each task sends at most BUCKETS rows of DIMS sums, which are
@@ -181,18 +182,19 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, most_labelled:
     return Network(np.array([r["x"] for r in got]), y, np.array([r["fold"] == 1 for r in got]))
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_labelled: int = MOST_LABELLED) -> DataFrame:
-    """The rows of `docs` with score and predicted added."""
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_labelled: int = MOST_LABELLED, score_name: str = "score", predicted_name: str = "predicted") -> DataFrame:
+    """The rows of `docs` with score and predicted added; columns of those names that `docs` has are replaced."""
+    docs = docs.drop(score_name, predicted_name)
     vectors = unit_vectors(context_sums(docs))
     model = fit(docs, labels, vectors, most_labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
             s = model.scores(pooled(b.column("text"), vectors))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*b.schema.names, score_name, predicted_name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, score double, predicted int")
+    return docs.mapInArrow(run, f"{fields}, `{score_name}` double, `{predicted_name}` int")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,7 +108,7 @@ def plan_shards(sums: list[tuple[int, int, int]], shards: int) -> tuple[list[int
     _, starts = minimax_cuts(np.array([s[1] for s in sums], dtype=np.int64), shards)
     rows = np.zeros(shards, dtype=np.int64)
     total = np.concatenate([[0], np.cumsum([s[2] for s in sums])]).astype(np.int64)
-    ends = [*starts[1:], len(sums)]
+    ends = [*starts[1:], len(sums)] if starts else []
     for k, (a, b) in enumerate(zip(starts, ends, strict=True)):
         rows[k] = total[b] - total[a]
     return [sums[i][0] for i in starts[1:]], rows

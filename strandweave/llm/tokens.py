@@ -8,7 +8,7 @@ once; rounds go on until no row has a mergeable pair. What survives is counted.
 library; results equal that library's, which the tests check.
 
 Scale. No shuffle: one pass over the texts by mapInArrow, texts whole. Vocabulary tables are built
-once a worker; the memo of pre-token counts is bounded and refilled when full.
+once a worker; the memo of pre-token counts holds MEMO_CHARS characters at most, none of it of long runs, and starts anew when full.
 
 Null and empty texts have 0 bytes and 0 tokens; repeated rows and any other columns are no matter.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandweave.llm.common import documents, slices
 
-MEMO_WORDS = 700_000
+MEMO_CHARS, MEMO_LONGEST = 16 << 20, 64
 BATCH_SYMBOLS = 1 << 20
 
 
@@ -148,14 +148,13 @@ class Counter:
         self.inner = np.array([vocab[byte[b]] for b in range(256)], np.int32)
         self.last = np.array([vocab[byte[b] + self.suffix] for b in range(256)], np.int32)
         self.memo: dict[str, int] = {}
+        self.held = 0  # characters in the memo
 
     def lowered(self, s: str) -> str:
         return s.lower() if s.isascii() or "Σ" not in s else "".join(c.lower() for c in s)  # letter by letter
 
-    def words(self, chunks: list[str]) -> None:
-        """Fill the memo for these white-space-free chunks."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
+    def words(self, chunks: list[str]) -> dict[str, int]:
+        """Counts of these white-space-free chunks; those that are not long go to the memo."""
         pre, owner = [], []
         for k, c in enumerate(chunks):
             n = unicodedata.normalize("NFC", c) if self.nfc and not c.isascii() else c
@@ -180,7 +179,13 @@ class Counter:
                 out[part] = merge_ragged(sym, lens[part], self.pairs)
                 i = j
             counts = np.bincount(np.array(owner), weights=out, minlength=len(chunks)).astype(np.int64)
-        self.memo.update(zip(chunks, counts.tolist(), strict=True))
+        got = dict(zip(chunks, counts.tolist(), strict=True))
+        short = {w: n for w, n in got.items() if len(w) <= MEMO_LONGEST}
+        self.held += sum(map(len, short))
+        if self.held > MEMO_CHARS:
+            self.memo, self.held = {}, sum(map(len, short))
+        self.memo.update(short)
+        return got
 
     def count(self, texts: list[str]) -> list[int]:
         base, plain = [0] * len(texts), []
@@ -191,12 +196,8 @@ class Counter:
             plain.append(t.split() if not self.odd.search(t) else self.space.split(t))
         memo = self.memo
         new = {w for ws in plain for w in ws if w not in memo}
-        if new:
-            old = len(memo) + len(new) > MEMO_WORDS
-            self.words(list({w for ws in plain for w in ws} if old else new))
-            memo = self.memo
-        get = memo.__getitem__
-        return [b + sum(map(get, ws)) for b, ws in zip(base, plain, strict=True)]
+        got = self.words(list(new)) if new else {}
+        return [b + sum([memo[w] if w in memo else got[w] for w in ws]) for b, ws in zip(base, plain, strict=True)]
 
 
 @lru_cache(maxsize=2)

@@ -157,7 +157,7 @@ def test_shards(spark):
     assert sharding.shard_documents(docs(spark, []), 8).count() == 0
 
 
-@pytest.mark.parametrize("shard,block", [(8192, 4096), (40, 3)])
+@pytest.mark.parametrize("shard,block", [(8192, 4096), (100, 3), (20, 2)])
 def test_top_k(spark, shard, block):
     rng = np.random.default_rng(2)
     x = rng.normal(0, 1, (230, 8)).astype("float32")
@@ -204,7 +204,7 @@ def test_packing_weighs_terms_by_the_whole_corpus(spark):
     texts = ["".join(random.choice(words[i % 6] if random.random() < 0.7 else random.choice(words)) for _ in range(random.randint(20, 400))) for i in range(90)]
     tokens = packing.tokenised(docs(spark, texts)).cache()
     rows = tokens.toPandas().set_index("doc_id").sort_index()
-    index = packing.Bm25([np.frombuffer(t, "<u2") for t in rows.terms], [np.frombuffer(c, "<u2") for c in rows.counts])
+    index = packing.Bm25([np.frombuffer(t, "<u2") for t in rows.terms], [np.frombuffer(c, "<u4") for c in rows.counts])
     got = packing.pack(tokens, shard_docs=16).toPandas()
     assert (got.sequence_id // 2**32).nunique() > 2
 

@@ -113,14 +113,25 @@ def test_mixing_budget_and_repeats(spark):
     assert whole.copies.min() == 1 and whole.copies.max() <= 2
 
 
-def test_alpha_bisection():
+def test_alpha_bisection(spark):
     t = {"a": 1000, "b": 100, "c": 10}
-    a = mixing.bisect_alpha(t, 1110, 0.5, 100.0)
-    goal = mixing.entropy(mixing.weights(t, 1.0))
+
+    def weights(alpha):
+        raw = {k: (v / 1110) ** alpha for k, v in t.items()}
+        return {k: x / sum(raw.values()) for k, x in raw.items()}
+
+    def entropy(w):
+        return -sum(x * math.log(x) for x in w.values())
+
+    p = spark.createDataFrame([(v / 1110,) for v in t.values()], "p double")
+    goal = entropy(weights(1.0))
     goal += 0.5 * (math.log(3) - goal)
-    assert abs(mixing.entropy(mixing.weights(t, a)) - goal) < 1e-3
-    tight = mixing.bisect_alpha(t, 1110, 0.5, 2.0)
-    assert tight > a and abs(mixing.repetition(t, tight, 1110) - 2.0) < 1e-3
+    a = mixing.bisect_alpha(p, 1.0, 0.5, 100.0)
+    assert entropy(weights(a)) <= goal + 1e-9 < entropy(weights(a - 1.5e-6))
+    tight = mixing.bisect_alpha(p, 1.0, 0.5, 2.0)
+    repeats = lambda alpha: max(x * 1110 / t[k] for k, x in weights(alpha).items())
+    assert tight > a and repeats(tight) <= 2.0 + 1e-9 < repeats(tight - 1.5e-6)
+    assert mixing.bisect_alpha(p, 1.0, 1.0, 1e9) == 0.0 and mixing.bisect_alpha(p, 1.0, 0.5, 0.5) == 1.0
 
 
 def brute_components(texts, words, percent=80):
