@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from strandweave.llm.common import byte_buffer, documents, slices, written
@@ -487,7 +488,7 @@ def decode_blocks(media: DataFrame, keep: str = "doc_id", column: str = "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, column, SLICE):
-            b = b.filter(pa.compute.is_valid(b.column(column)))
+            b = b.filter(pc.is_valid(b.column(column)))
             if not b.num_rows:
                 continue
             streams = b.column(column).to_pylist()
@@ -509,10 +510,10 @@ def digest(media: DataFrame, keep: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "media", SLICE):
-            none = b.filter(pa.compute.is_null(b.column("media")))
+            none = b.filter(pc.is_null(b.column("media")))
             if none.num_rows:
                 yield pa.RecordBatch.from_arrays([none.column(keep), none.column("n_bytes"), *[pa.nulls(none.num_rows, t) for t in DIGEST.values()]], names=[keep, "n_bytes", *DIGEST])
-                b = b.filter(pa.compute.is_valid(b.column("media")))
+                b = b.filter(pc.is_valid(b.column("media")))
                 if not b.num_rows:
                     continue
             streams = b.column("media").to_pylist()
