@@ -85,6 +85,16 @@ ENZYMES = {
     "EcoT22I": ("ATGCAT", 5, 1), "HindII": ("GTYRAC", 3, 3), "MboII": ("GAAGA", 13, 12), "TasI": ("AATT", 0, 4), "TfiI": ("GAWTC", 1, 4),
     "TseI": ("GCWGC", 1, 4), "Tth111I": ("GACNNNGTC", 4, 5),
 }
+# --- fixed values: methylation: target and state that a site needs to be cut; enzymes whose sites depend on context ---
+METHYLATION = {"DpnI": ("dam", "methylated"), "DpnII": ("dam", "unmethylated"), "MboI": ("dam", "unmethylated"), "HhaI": ("cpg", "unmethylated"), "HpaII": ("cpg", "unmethylated")}
+CONTEXT_DEPENDENT = {"MspI"}
+# --- fixed values: named lists of enzymes ---
+PRESETS = {
+    "golden-gate-type-iis": ["BsaI", "BbsI", "BsmBI", "Esp3I", "SapI", "BspQI"],
+    "common-mcs": ["EcoRI", "BamHI", "HindIII", "XbaI", "SalI", "PstI", "NotI", "XhoI", "NcoI", "NdeI", "SpeI", "KpnI", "SacI", "SmaI", "BglII", "ClaI", "EcoRV", "AgeI", "NheI", "MluI"],
+    "classic-6-cutter": ["EcoRI", "BamHI", "HindIII", "XbaI", "SalI", "PstI", "NotI", "XhoI", "NcoI", "NdeI", "SpeI", "KpnI", "SacI", "SmaI", "BglII", "ClaI", "EcoRV", "ScaI", "ApaI", "SphI"],
+    "diagnostic-screening": ["AluI", "HaeIII", "TaqI", "HpaII", "MspI", "DpnI", "MboI", "Sau3AI", "RsaI", "MseI", "Tsp509I", "HhaI"],
+}
 # --- fixed values: nicking enzymes: recognition, place of the one cut, strand ---
 NICKASES = {"Nb.BbvCI": ("CCTCAGC", 9, "bottom"), "Nt.BbvCI": ("CCTCAGC", 2, "top"), "Nt.BstNBI": ("GAGTC", 9, "top")}
 

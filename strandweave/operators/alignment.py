@@ -9,15 +9,42 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.functions import facts
+from strandweave.operators.batches import cut, emit, flat
+
 
 def column_counts(rows: DataFrame) -> DataFrame:
-    """alignment, column, symbol, n, first_row over non-gap cells."""
-    cells = rows.select("alignment", "row", F.posexplode(F.split("aligned", "")).alias("column", "symbol")).where("symbol <> '-'")
-    return cells.groupBy("alignment", "column", "symbol").agg(F.count("*").alias("n"), F.min("row").alias("first_row"))
+    """alignment, column, symbol, n, first_row over non-gap cells; counted a batch of rows at a time, so what is summed is columns."""
+    kind = rows.schema["alignment"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut(batches, "aligned"):
+            data, off = flat(b.column("aligned"))
+            names = b.column("alignment").dictionary_encode()
+            group, row = names.indices.fill_null(len(names.dictionary)).to_numpy().astype(np.int64), b.column("row").to_numpy()
+            n = np.diff(off)
+            of = np.repeat(np.arange(len(n)), n)
+            on = np.flatnonzero(data != 45)
+            key = group[of[on]] << 40 | (on - off[:-1][of[on]]) << 8 | data[on]
+            order = np.lexsort((row[of[on]], key))
+            key, first = key[order], row[of[on]][order]
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            if len(at):
+                k = key[at]
+                which = pa.array(k >> 40)
+                none = pc.equal(which, len(names.dictionary))
+                yield pa.RecordBatch.from_arrays([
+                    names.dictionary.take(pc.if_else(none, pa.scalar(None, pa.int64()), which)), pa.array((k >> 8 & 0xFFFFFFFF).astype(np.int32)),
+                    pa.array([chr(c) for c in (k & 255).tolist()]), pa.array(np.diff(np.append(at, len(key)))), pa.array(first[at]),
+                ], names=["alignment", "column", "symbol", "n", "first_row"])
+
+    part = rows.select("alignment", F.col("row").cast("long").alias("row"), "aligned").mapInArrow(run, f"alignment {kind}, column int, symbol string, n long, first_row long")
+    return part.groupBy("alignment", "column", "symbol").agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row"))
 
 
 def column_stats(rows: DataFrame, alphabet: int = 4) -> DataFrame:
@@ -45,24 +72,64 @@ def consensus(rows: DataFrame) -> DataFrame:
     return column_counts(rows).groupBy("alignment", "column").agg(F.max_by("symbol", F.struct("n", -F.col("first_row"))).alias("symbol"))
 
 
-def needleman_wunsch(a: str, b: str, match: int = 2, mismatch: int = -1, gap: int = -2) -> tuple[str, str, int]:
-    """Global alignment with linear gaps; the way back prefers the diagonal, then a gap in b, then in a."""
-    x, y = np.frombuffer(a.encode("latin-1"), np.uint8), np.frombuffer(b.encode("latin-1"), np.uint8)
-    n, m = len(x), len(y)
-    h = np.empty((n + 1, m + 1), np.int32)
-    steps = np.arange(m + 1) * gap
-    h[0] = steps
-    for i in range(1, n + 1):
-        best = np.maximum(h[i - 1, :-1] + np.where(y == x[i - 1], match, mismatch), h[i - 1, 1:] + gap)
-        row = np.concatenate([[i * gap], best])
-        h[i] = np.maximum.accumulate(row - steps) + steps  # gaps in a, all at once
-    i, j, out_a, out_b = n, m, [], []
+# --- fixed values: symbols of alignments and what they may stand for; scores; work limits ---
+SYMBOLS = {"dna": "ACGTRYSWKMBDHVN?", "rna": "ACGURYSWKMBDHVN?", "protein": "ACDEFGHIKLMNPQRSTVWYOUJBXZ*?"}
+NUCLEOTIDE_SETS = facts.IUPAC | {"U": "T", "?": "ACGT"}
+RESIDUE_SETS = {"B": "DN", "Z": "EQ", "J": "IL", "X": "ACDEFGHIKLMNPQRSTVWY", "?": "ACDEFGHIKLMNPQRSTVWY"}
+MATCH, MISMATCH, GAP = 2, -1, -2
+FULL_CELLS, LINEAR_CELLS, MOST_CELLS, SEGMENT_CELLS = 25_000_000, 100_000_000, 250_000_000, 4_000_000
+SEED, SEED_PLACES = 12, 32
+
+
+def symbol_masks(molecule: str) -> np.ndarray:
+    """What each symbol may stand for, as bits, by its code."""
+    m = np.zeros(256, np.int64)
+    for c in SYMBOLS[molecule]:
+        m[ord(c)] = sum(1 << (ord(x) - 32) for x in (RESIDUE_SETS.get(c, c) if molecule == "protein" else NUCLEOTIDE_SETS[c]))
+    return m
+
+
+MASKS = {m: symbol_masks(m) for m in SYMBOLS}
+
+
+def molecule_of(a: str, b: str) -> str | None:
+    """The first alphabet that both sequences fit: RNA if there is a U, else DNA, else protein; None if none."""
+    for m in (["rna"] if "U" in a + b else ["dna"]) + ["protein"]:
+        if set(a + b) <= set(SYMBOLS[m]):
+            return m
+    return None
+
+
+def codes(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("latin-1", "replace"), np.uint8)
+
+
+def score_rows(x: np.ndarray, y: np.ndarray, keep: bool) -> np.ndarray:
+    """Score matrix of a global alignment (keep), or its last row, in linear space. x, y: masks."""
+    steps = np.arange(len(y) + 1, dtype=np.int32) * GAP
+    out = np.empty((len(x) + 1, len(y) + 1), np.int32) if keep else None
+    row = steps.copy()
+    if keep:
+        out[0] = row
+    for i in range(1, len(x) + 1):
+        best = np.maximum(row[:-1] + np.where(y & x[i - 1], MATCH, MISMATCH), row[1:] + GAP)
+        row = (np.maximum.accumulate(np.concatenate([[i * GAP], best]) - steps) + steps).astype(np.int32)  # gaps in a, all at once
+        if keep:
+            out[i] = row
+    return out if keep else row
+
+
+def full_matrix(a: str, b: str, masks: np.ndarray) -> tuple[str, str]:
+    """Global alignment; the way back prefers the diagonal, then a gap in b, then in a."""
+    x, y = masks[codes(a)], masks[codes(b)]
+    h = score_rows(x, y, True)
+    i, j, out_a, out_b = len(a), len(b), [], []
     while i or j:
-        if i and j and h[i, j] == h[i - 1, j - 1] + (match if x[i - 1] == y[j - 1] else mismatch):
+        if i and j and h[i, j] == h[i - 1, j - 1] + (MATCH if x[i - 1] & y[j - 1] else MISMATCH):
             i, j = i - 1, j - 1
             out_a.append(a[i])
             out_b.append(b[j])
-        elif i and h[i, j] == h[i - 1, j] + gap:
+        elif i and h[i, j] == h[i - 1, j] + GAP:
             i -= 1
             out_a.append(a[i])
             out_b.append("-")
@@ -70,24 +137,220 @@ def needleman_wunsch(a: str, b: str, match: int = 2, mismatch: int = -1, gap: in
             j -= 1
             out_a.append("-")
             out_b.append(b[j])
-    return "".join(out_a[::-1]), "".join(out_b[::-1]), int(h[n, m])
+    return "".join(out_a[::-1]), "".join(out_b[::-1])
+
+
+def linear_space(a: str, b: str, masks: np.ndarray) -> tuple[str, str]:
+    """The same score by halving a and splitting b where both halves' rows sum highest (leftmost)."""
+    left, right = [], []
+    todo = [(a, b)]
+    while todo:
+        p, q = todo.pop()
+        if not p or not q:
+            left.append(p or "-" * len(q))
+            right.append(q or "-" * len(p))
+        elif len(p) == 1 or len(q) == 1:
+            u, v = full_matrix(p, q, masks)
+            left.append(u)
+            right.append(v)
+        else:
+            half = len(p) // 2
+            y = masks[codes(q)]
+            total = score_rows(masks[codes(p[:half])], y, False) + score_rows(masks[codes(p[half:][::-1])], y[::-1], False)[::-1]
+            at = int(total.argmax())
+            todo += [(p[half:], q[at:]), (p[:half], q[:at])]
+    return "".join(left), "".join(right)
+
+
+def seed_anchors(a: str, b: str) -> list[tuple[int, int, int]]:
+    """Exact runs (start in a, start in b, length), in order in both: from the left each word of a takes its first place in b that still follows."""
+    k = min(SEED, len(a), len(b))
+    if k < 4:
+        return []
+    places: dict[str, list[int]] = {}
+    for i in range(len(b) - k + 1):
+        own = places.setdefault(b[i : i + k], [])
+        if len(own) < SEED_PLACES:
+            own.append(i)
+    out, done_a, done_b, i = [], 0, 0, 0  # both are free from there on
+    while i <= len(a) - k:
+        j = next((p for p in places.get(a[i : i + k], ()) if p >= done_b), None)
+        if j is not None and i >= done_a:
+            back = 0
+            while i - back > 0 and j - back > 0 and a[i - back - 1] == b[j - back - 1]:
+                back += 1
+            n = k + back
+            while i - back + n < len(a) and j - back + n < len(b) and a[i - back + n] == b[j - back + n]:
+                n += 1
+            if i - back >= done_a and j - back >= done_b:
+                out.append((i - back, j - back, n))
+                done_a, done_b = i - back + n, j - back + n
+                i = done_a
+                continue
+        i += 1
+    return out
+
+
+def seeded(a: str, b: str, masks: np.ndarray) -> tuple[str, str]:
+    """Runs between anchors aligned one by one; a run too large for that is written side by side."""
+    left, right, p, q = [], [], 0, 0
+    for i, j, n in [*seed_anchors(a, b), (len(a), len(b), 0)]:
+        x, y = a[p:i], b[q:j]
+        if x and y and len(x) * len(y) <= SEGMENT_CELLS:
+            x, y = full_matrix(x, y, masks)
+        else:
+            x, y = x.ljust(len(y), "-"), y.ljust(len(x), "-")
+        left += [x, a[i : i + n]]
+        right += [y, b[j : j + n]]
+        p, q = i + n, j + n
+    return "".join(left), "".join(right)
 
 
-def align_pairs(pairs: DataFrame, most_cells: int = 25_000_000) -> DataFrame:
-    """Adds aligned_a, aligned_b, score, identity (percent of columns, one decimal) and status to rows with a and b; beyond the cell limit only the status."""
+def aligned_pair(a: str, b: str, molecule: str | None = None, most: int = MOST_CELLS) -> tuple[str | None, str | None, str, str]:
+    """Both rows, method and molecule of a global comparison; rows are null beyond the work limit or for symbols of no alphabet."""
+    a, b = a.upper(), b.upper()
+    molecule = molecule or molecule_of(a, b)
+    if molecule is None or not set(a + b) <= set(SYMBOLS[molecule]):
+        return None, None, "invalid", ""
+    cells = len(a) * len(b)
+    if cells > most:
+        return None, None, "work-limit", molecule
+    method = "needleman-wunsch" if cells <= FULL_CELLS else "linear-space" if cells <= LINEAR_CELLS else "seed-and-extend"
+    f = {"needleman-wunsch": full_matrix, "linear-space": linear_space, "seed-and-extend": seeded}[method]
+    return *f(a, b, MASKS[molecule]), method, molecule
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            out = []
-            for a, b in zip(p["a"], p["b"], strict=True):
-                if a is None or b is None or len(a) * len(b) > most_cells:
-                    out.append((None, None, None, None, "invalid" if a is None or b is None else "work_limit"))
-                    continue
-                s, t, score = needleman_wunsch(a, b)
-                same = sum(u == v for u, v in zip(s, t, strict=True))
-                out.append((s, t, score, np.floor(1000 * same / len(s) + 0.5) / 10 if s else 100.0, "ok"))
-            extra = pd.DataFrame(out, columns=["aligned_a", "aligned_b", "score", "identity", "status"], index=p.index)
-            yield pd.concat([p, extra.astype({"score": "Int32", "identity": "float64"})], axis=1)
+
+def classified(a: np.ndarray, b: np.ndarray, molecule: str) -> np.ndarray:
+    """Of two rows' columns: 0 match, 1 ambiguous, 2 substitution, 3 a gap in a, 4 a gap in b."""
+    m = MASKS[molecule]
+    same = m[a] == m[b] if molecule != "protein" else a == b
+    wild = np.isin(a, codes("X?" if molecule == "protein" else "N?"))
+    out = np.where(m[a] & m[b] == 0, 2, np.where(same & ~wild, 0, 1))
+    return np.where(a == 45, 3, np.where(b == 45, 4, out))
+
+
+def identity_of(hits: int, columns: int) -> float:
+    return float(np.floor(1000 * hits / columns + 0.5) / 10) if columns else 0.0
+
+
+def align_pairs(pairs: DataFrame, molecule: str | None = None, most: int = MOST_CELLS) -> DataFrame:
+    """Adds aligned_a, aligned_b, score, identity (percent of columns, ambiguous ones count), mismatches, insertions, deletions, ambiguous, method to rows with a and b.
+
+    Null or odd sequences are `invalid`; beyond the limit of cells a pair is only `work-limit`. Pairs of great size are dealt by the caller's rows, one at a time.
+    """
+    names = ["aligned_a", "aligned_b", "score", "identity", "mismatches", "insertions", "deletions", "ambiguous", "method"]
+
+    def one(a: str | None, b: str | None) -> tuple:
+        if a is None or b is None:
+            return (*(None,) * 8, "invalid")
+        s, t, method, kind = aligned_pair(a, b, molecule, most)
+        if s is None:
+            return (*(None,) * 8, method)
+        n = np.bincount(classified(codes(s), codes(t), kind), minlength=5).tolist()
+        return s, t, MATCH * (n[0] + n[1]) + MISMATCH * n[2] + GAP * (n[3] + n[4]), identity_of(n[0] + n[1], len(s)), n[2], n[3], n[4], n[1], method
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.string(), pa.int32(), pa.float64(), *[pa.int32()] * 4, pa.string()]
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                rows = [one(x, y) for x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=[*part.schema.names, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return pairs.mapInPandas(run, f"{fields}, aligned_a string, aligned_b string, score int, identity double, status string")
+    return pairs.mapInArrow(run, f"{fields}, aligned_a string, aligned_b string, score int, identity double, mismatches int, insertions int, deletions int, ambiguous int, method string")
+
+
+def star_centres(rows: DataFrame, most_pairs: int = 10) -> DataFrame:
+    """group, row, seq of each group's centre: the row most like all others in groups of up to most_pairs, of the median length in larger ones; ties to the smallest row.
+
+    Only small groups are compared pair by pair; of large ones lengths are counted, so that no task holds a group.
+    """
+    n = rows.groupBy("group").agg(F.count("*").alias("n"))
+    small = rows.join(n.where(F.col("n").between(2, most_pairs)), "group")
+    other = small.select("group", F.col("row").alias("row_b"), F.col("seq").alias("b"))
+    pairs = small.select("group", F.col("row").alias("row_a"), F.col("seq").alias("a")).join(other, "group").where("row_a < row_b")
+    likeness = align_pairs(pairs).select("group", F.explode(F.array("row_a", "row_b")).alias("row"), "identity").groupBy("group", "row").agg(F.round(F.sum("identity"), 6).alias("s"))
+    best = likeness.groupBy("group").agg(F.min(F.struct((-F.col("s")).alias("m"), "row")).alias("x")).select("group", F.col("x.row").alias("row"))
+    lengths = rows.join(n.where(F.col("n") > most_pairs), "group").groupBy("group", "n", F.length("seq").alias("k")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("group").orderBy("k"))
+    middle = lengths.withColumn("upto", upto).withColumn("place", F.floor(F.col("n") / 2) - (F.col("upto") - F.col("c"))).where("place >= 0 AND place < c").select("group", "k", "place")
+    rank = F.row_number().over(Window.partitionBy("group").orderBy("row")) - 1
+    median = rows.join(middle, "group").where(F.length("seq") == F.col("k")).withColumn("rank", rank).where("rank = place").select("group", "row")
+    return rows.join(best.unionByName(median), ["group", "row"]).select("group", "row", "seq")
+
+
+def star_alignments(rows: DataFrame, most_pairs: int = 10) -> DataFrame:
+    """group, row, aligned of groups of two and more rows (group, row, seq): each aligned to the centre, gaps merged by the widest at each place of the centre.
+
+    Members meet their centre in a join, slots are a maximum by (group, place): a group of any size needs no task of its own.
+    """
+    centres = star_centres(rows, most_pairs).select("group", F.col("row").alias("centre"), F.col("seq").alias("a"))
+    pairs = align_pairs(rows.withColumnRenamed("seq", "b").join(centres, "group")).where("aligned_a IS NOT NULL").select("group", "row", "aligned_a", "aligned_b", "centre")
+    # Runs of gaps in the centre's row, by the number of its own residues before them.
+    run = F.regexp_extract_all("aligned_a", F.lit("-*[^-]"), F.lit(0))
+    tail = F.length(F.regexp_extract("aligned_a", "-*$", 0))
+    slots = F.concat(F.transform(run, lambda x: F.length(x) - 1), F.array(tail))
+    widest = pairs.select("group", F.posexplode(slots).alias("at", "k")).groupBy("group", "at").agg(F.max("k").alias("k")).where("k > 0")
+    merged = widest.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("at", "k"))).alias("slots"))
+    cols = pairs.join(merged, "group", "left")
+    # A gap run keeps its own columns first, then takes the rest of the merged slot.
+    piece = F.regexp_extract_all("aligned_a", F.lit("-*[^-]|-+$"), F.lit(0))
+    ends = F.transform(F.sequence(F.lit(1), F.size(piece)), lambda i: F.aggregate(F.slice(piece, 1, i), F.lit(0), lambda s, x: s + F.length(x)))
+    cols = cols.withColumn("piece", piece).withColumn("ends", F.when(F.size("piece") > 0, ends))
+    want = lambda i: F.coalesce(F.try_element_at("slots", i), F.lit(0))
+
+    def widened(i):
+        p, e = F.element_at("piece", i + 1), F.element_at("ends", i + 1)
+        n = F.length(p)
+        own = F.substring("aligned_b", e - n + 1, n)
+        closed = ~p.endswith("-")
+        gaps = F.when(closed, n - 1).otherwise(n)
+        pad = F.repeat(F.lit("-"), want(i) - gaps)
+        return F.when(closed, F.concat(F.left(own, n - 1), pad, F.right(own, F.lit(1)))).otherwise(F.concat(own, pad))
+
+    last = F.when(~F.element_at("piece", -1).endswith("-"), F.repeat(F.lit("-"), want(F.size("piece")))).otherwise("")
+    line = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.size("piece") - 1), widened), ""), last)
+    return cols.select("group", "row", line.alias("aligned"), (F.col("row") == F.col("centre")).alias("centre"))
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """alignment, columns, rows, identity, gaps, conserved of aligned rows (alignment, row, aligned): mean identity with the majority (one decimal), gap cells, columns in which all rows agree."""
+    majority = consensus(rows).withColumnRenamed("symbol", "major")
+    agree = column_counts(rows).join(majority, ["alignment", "column"])
+    n = rows.groupBy("alignment").agg(F.count("*").alias("rows"), F.max(F.length("aligned")).alias("columns"), F.sum(F.length(F.regexp_replace("aligned", "[^-]", ""))).alias("gaps"))
+    per = agree.groupBy("alignment").agg(F.sum(F.when(F.col("symbol") == F.col("major"), F.col("n"))).alias("same"), F.count_distinct("column").alias("filled"))
+    whole = agree.where("symbol = major").join(n.select("alignment", "rows"), "alignment").where("n = rows").groupBy("alignment").agg(F.count("*").alias("conserved"))
+    s = n.join(per, "alignment").join(whole, "alignment", "left")
+    identity = F.floor(F.col("same") / (F.col("filled") * F.col("rows")) * 1000 + 0.5) / 10
+    return s.select("alignment", "columns", "rows", identity.alias("identity"), "gaps", F.coalesce("conserved", F.lit(0)).alias("conserved"))
+
+
+def pattern_hits(rows: DataFrame, query: str, molecule: str = "dna") -> DataFrame:
+    """row, start_column, end_column of every place where a query fits a row's ungapped residues, ambiguity on both sides; none for an empty query or one with gaps."""
+    q = query.strip().upper()
+    if molecule != "protein":
+        q = q.replace("U", "T")
+    m = MASKS["dna" if molecule == "rna" else molecule]
+    needle = m[codes(q)] if q and "-" not in q and "." not in q else np.zeros(0, np.int64)
+
+    def work(data: np.ndarray, off: np.ndarray) -> tuple | None:
+        if not len(needle):
+            return None
+        up = data.copy()
+        up[(up >= 97) & (up <= 122)] -= 32
+        if molecule != "protein":
+            up[up == 85] = 84
+        of = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        on = np.flatnonzero((up != 45) & (up != 46))
+        x, text = m[up[on]], of[on]
+        k = len(needle)
+        if len(on) < k:
+            return None
+        ok = text[: len(on) - k + 1] == text[k - 1 :]
+        for j in range(k):
+            ok &= (x[j : j + len(ok)] & needle[j]) != 0
+        at = np.flatnonzero(ok)
+        return text[at], on[at] - off[:-1][text[at]], on[at + k - 1] - off[:-1][text[at]]
+
+    return emit(rows, "row", "aligned", work, "start_column int, end_column int")

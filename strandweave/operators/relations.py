@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.functions.sequence import reverse_complement
-
 
 def lookup(asked: DataFrame, catalogue: DataFrame, name: str) -> DataFrame:
     """Every name asked for, with the catalogue's facts and whether it is known."""
@@ -67,28 +65,16 @@ def quality_summary(reads: DataFrame) -> DataFrame:
     return reads.select("doc_id", F.round(total / n, 6).alias("mean_q"), F.round(100.0 * good / n, 6).alias("q20"))
 
 
-def junctions(fragments: DataFrame, seqs: DataFrame, overhang: int = 4) -> DataFrame:
-    """doc_id, fragment, right_end, next_left, junction of ordered neighbours."""
-    e = fragments.join(seqs, "doc_id").select(
-        "doc_id", "fragment",
-        F.expr(f"right(substring(seq, start + 1, end - start), {overhang})").alias("right_end"),
-        F.expr(f"substring(seq, start + 1, least({overhang}, end - start))").alias("left_end"),
-    )
-    nxt = F.lead("left_end").over(Window.partitionBy("doc_id").orderBy("fragment"))
-    state = F.when(F.col("next_left").isNull(), "open").when(F.col("right_end") == reverse_complement(F.col("next_left")), "compatible").otherwise("incompatible")
-    return e.withColumn("next_left", nxt).withColumn("junction", state).select("doc_id", "fragment", "right_end", "next_left", "junction")
-
-
-def next_of(ids: DataFrame, column: str, bucket: int = 1 << 16) -> DataFrame:
-    """column, next: the following value of every value in the whole table, without sorting it in one task.
+def ranked(rows: DataFrame, key: str, cell: Column, order: list) -> DataFrame:
+    """rows with rank within the key by `order`, whose first parts are told by `cell` (larger cells come later).
 
-    Values are filed in buckets; each bucket's first value is the next of the last value of the bucket before.
+    A key's rows are numbered cell by cell and the counts of earlier cells are added, so that a hot key is not one task.
     """
-    b = ids.select(column).distinct().withColumn("bucket", F.floor(F.col(column) / bucket))
-    inside = b.withColumn("next", F.lead(column).over(Window.partitionBy("bucket").orderBy(column)))
-    heads = b.groupBy("bucket").agg(F.min(column).alias("head"))
-    after = heads.withColumn("after", F.lead("head").over(Window.orderBy("bucket"))).select("bucket", "after")  # one row a bucket
-    return inside.join(after, "bucket").select(column, F.coalesce("next", "after").alias("next")).where("next IS NOT NULL")
+    r = rows.withColumn("_cell", cell)
+    counts = r.groupBy(key, "_cell").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy(key, "_cell").orderBy(*order))
+    return r.withColumn("_within", within).join(counts.select(key, "_cell", before.alias("_before")), [key, "_cell"]).withColumn("rank", (F.col("_within") + F.col("_before")).cast("long")).drop("_cell", "_within", "_before")
 
 
 def resolved_codons(code: DataFrame, iupac: dict[str, str]) -> DataFrame:

@@ -6,24 +6,24 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import facts
 from strandweave.functions import sequence as S
-from strandweave.operators import alignment, design, digest
+from strandweave.operators import alignment, design
 from strandweave.plans.catalog import register
 from strandweave.plans.scalar_queries import SEQS, seqs
-from strandweave.plans.table_queries import FRAGMENTS, PANEL, ROWS, rows, sites
+from strandweave.plans.site_queries import FRAGMENTS, PANEL, fragments
+from strandweave.plans.table_queries import ROWS, rows
 from strandweave.session import table
 
 _Y = "floor(greatest(0, least(1, 1.1::DOUBLE - 0.25::DOUBLE * log10(size))) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE"
 
 
-@register("co_migrating_bands", f"""WITH RECURSIVE {FRAGMENTS}, f AS (SELECT doc_id, "end" - start AS size FROM fragments), y AS (SELECT doc_id, size, {_Y} AS y FROM f),
+@register("co_migrating_bands", f"""WITH RECURSIVE {FRAGMENTS}, f AS (SELECT doc_id, length AS size FROM fragments), y AS (SELECT doc_id, size, {_Y} AS y FROM f),
 o AS MATERIALIZED (SELECT doc_id, size, y, row_number() OVER (PARTITION BY doc_id ORDER BY y, size DESC) AS i FROM y),
 b AS (SELECT doc_id, i, 0 AS band, 1 AS k, y AS total, ln(size) AS logs FROM o WHERE i = 1 UNION ALL
  SELECT o.doc_id, o.i, CASE WHEN near THEN band ELSE band + 1 END, CASE WHEN near THEN k + 1 ELSE 1 END, CASE WHEN near THEN total + o.y ELSE o.y END, CASE WHEN near THEN logs + ln(o.size) ELSE ln(o.size) END
  FROM (SELECT b.*, o.y, o.size, o.i AS next, abs(o.y - total / k) <= 0.008 AS near FROM b JOIN o ON o.doc_id = b.doc_id AND o.i = b.i + 1) x JOIN o ON o.doc_id = x.doc_id AND o.i = x.next)
 SELECT doc_id AS lane, band, floor(max_by(total, i) / max(k) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS position, CAST(greatest(1, floor(exp(max_by(logs, i) / max(k)) + 0.5)) AS BIGINT) AS size, CAST(max(k) AS BIGINT) AS fragments FROM b GROUP BY doc_id, band""")
 def co_migrating_bands(spark, d):  # 102
-    f = digest.fragments(seqs(spark, d), sites(spark, d))
-    return design.co_migrating_bands(f.select(F.col("doc_id").alias("lane"), F.col("length").alias("size")))
+    return design.co_migrating_bands(fragments(spark, d).select(F.col("doc_id").alias("lane"), F.col("length").alias("size")))
 
 
 @register("selection_summary", f"""WITH {ROWS}, s AS (SELECT alignment, "column", sum(n) AS k, max(n) AS m, sum(n * log2(n)) AS nlogn FROM counts WHERE symbol <> '' GROUP BY ALL),

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import facts
 from strandweave.functions import sequence as S
-from strandweave.operators import assembly, digest, relations, scans, verification
+from strandweave.operators import alignment, assembly, relations, scans, verification
 from strandweave.plans.catalog import register
 from strandweave.plans.scalar_queries import OLIGOS, SEQS, n_sql, oligos, seqs
-from strandweave.plans.table_queries import FRAGMENTS, sites
 from strandweave.session import table
 from strandweave.streaming import windows
 
@@ -52,29 +51,25 @@ def required_regions(spark, d):  # 104
 
 
 FORWARD, REVERSE = "GACTCA", "TGCATC"
+_BACK = facts.reverse_complement(REVERSE)
 
 
-@register("pcr_products", f"""WITH {SEQS}, h AS (SELECT doc_id, p, substr(seq, p + 1, 6) AS g FROM (SELECT doc_id, seq, unnest(range(length(seq))) AS p FROM seqs)), f AS (SELECT doc_id, p FROM h WHERE g = '{FORWARD}'), r AS (SELECT doc_id, p FROM h WHERE g = '{facts.reverse_complement(REVERSE)}')
-SELECT doc_id, CAST(f.p AS INTEGER) AS start, CAST(r.p + 6 AS INTEGER) AS "end", CAST(r.p + 6 - f.p AS INTEGER) AS length, 0 AS mismatches FROM f JOIN r USING (doc_id) WHERE r.p >= f.p + 6 AND r.p + 6 - f.p <= 50000""")
-def pcr_products(spark, d):  # 69, 70
-    return assembly.pcr_products(scans.primer_bindings(seqs(spark, d), [("f", FORWARD), ("r", REVERSE)], 0, 6), "f", "r")
-
-
-@register("fitting_ends", f"""WITH {FRAGMENTS}, e AS (SELECT f.doc_id, fragment, right(substr(seq, start + 1, "end" - start), 4) AS r, left(substr(seq, start + 1, "end" - start), 4) AS l FROM fragments f JOIN seqs USING (doc_id))
-SELECT a.doc_id, a.fragment, count(b.doc_id) AS fits FROM e a LEFT JOIN e b ON a.doc_id = b.doc_id AND b.l = reverse(translate(a.r, 'ACGT', 'TGCA')) GROUP BY ALL""")
-def fitting_ends(spark, d):  # 84, as counts; chains (85) are not enumerated
+@register("pcr_products", f"""WITH {SEQS}, h AS (SELECT doc_id, n, p, concat(c, lead(c, 1) OVER w, lead(c, 2) OVER w, lead(c, 3) OVER w, lead(c, 4) OVER w, lead(c, 5) OVER w) AS g FROM (SELECT doc_id, length(seq) AS n, unnest(range(length(seq))) AS p, unnest(string_split(seq, '')) AS c FROM seqs WHERE seq <> '') WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+f AS (SELECT doc_id, n, p FROM h WHERE g = '{FORWARD}'), r AS (SELECT doc_id, p FROM h WHERE g = '{_BACK}'),
+j AS (SELECT doc_id, n, f.p AS s, r.p AS rs, r.p + 6 AS e, r.p + 6 <= f.p AS wraps FROM f JOIN r USING (doc_id)), k AS (SELECT *, CASE WHEN wraps THEN n - s + e ELSE e - s END AS len FROM j),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len, s, rs) AS rank, count(*) OVER (PARTITION BY doc_id) - 1 AS rivals FROM k WHERE len <= 2000)
+SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", CAST(len AS INTEGER) AS length, 0 AS mismatches, wraps, CAST(rank AS INTEGER) AS rank, CAST(rivals AS INTEGER) AS rivals, sha256(CASE WHEN wraps THEN substr(seq, s + 1) || left(seq, e) ELSE substr(seq, s + 1, len) END) AS product FROM m JOIN seqs USING (doc_id) WHERE rank <= 20""")
+def pcr_products(spark, d):  # 69, 70: the twenty best products of each circle, up to 2,000 bases
     s = seqs(spark, d)
-    e = digest.fragments(s, sites(spark, d)).join(s, "doc_id").selectExpr("doc_id", "fragment", "right(substring(seq, start + 1, end - start), 4) AS right_end", "substring(seq, start + 1, least(4, end - start)) AS left_end")
-    return assembly.fitting_ends(e)
+    p = assembly.pcr_products(scans.primer_bindings(s, [("f", FORWARD), ("r", REVERSE)], 0, 6), s, ("f", FORWARD), ("r", REVERSE), longest=2000, circular=True).where("rank <= 20")
+    return p.select("doc_id", "start", "end", "length", "mismatches", "wraps", "rank", "rivals", F.sha2("product", 256).alias("product"))
 
 
-@register("junction_fidelity", """WITH c AS (SELECT o_custkey % 16 AS "left", o_orderkey % 16 AS "right", count(*) AS n FROM orders GROUP BY ALL), b AS (SELECT "left", "right", sum(n) AS n FROM (SELECT * FROM c UNION ALL SELECT "right", "left", n FROM c) GROUP BY ALL),
-j AS (SELECT s_suppkey % 16 AS "left", (s_suppkey * 7 + 3) % 16 AS "right" FROM supplier WHERE s_suppkey < 6 GROUP BY ALL), ends AS (SELECT "left" AS e FROM j UNION SELECT "right" FROM j), a AS (SELECT "left" AS e, sum(n) AS total FROM b WHERE "right" IN (SELECT e FROM ends) GROUP BY 1)
-SELECT j."left", j."right", round(coalesce(n, 0)::DOUBLE / nullif(coalesce(x.total, 0) + coalesce(y.total, 0) - coalesce(n, 0), 0), 9) AS fidelity FROM j LEFT JOIN b USING ("left", "right") LEFT JOIN a x ON x.e = j."left" LEFT JOIN a y ON y.e = j."right" """)
-def junction_fidelity(spark, d):  # 109
-    c = table(spark, d, "orders").groupBy((F.col("o_custkey") % 16).alias("left"), (F.col("o_orderkey") % 16).alias("right")).agg(F.count("*").alias("n"))
-    j = table(spark, d, "supplier").where("s_suppkey < 6").selectExpr("s_suppkey % 16 AS left", "(s_suppkey * 7 + 3) % 16 AS right").distinct()
-    return assembly.junction_fidelity(c, j).withColumn("fidelity", F.round("fidelity", 9))
+@register("primer_bindings", f"""WITH {SEQS}, c AS (SELECT doc_id, p, concat(c, lead(c, 1) OVER w, lead(c, 2) OVER w, lead(c, 3) OVER w, lead(c, 4) OVER w, lead(c, 5) OVER w, lead(c, 6) OVER w, lead(c, 7) OVER w, lead(c, 8) OVER w, lead(c, 9) OVER w) AS g FROM (SELECT doc_id, unnest(range(length(seq))) AS p, unnest(string_split(seq, '')) AS c FROM seqs WHERE seq <> '') WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+f AS (SELECT doc_id, p, g, right(g, 6) = 'CTAGAC' AS exact, list_sum(list_transform(range(1, 5), lambda i: CASE WHEN substr(g, i, 1) <> substr('GATTCTAGAC', i, 1) THEN 1 ELSE 0 END)) AS wrong, CASE WHEN substr(g, 4, 1) <> 'T' THEN 6 WHEN substr(g, 3, 1) <> 'T' THEN 7 WHEN substr(g, 2, 1) <> 'A' THEN 8 WHEN substr(g, 1, 1) <> 'G' THEN 9 ELSE 10 END AS run FROM c WHERE length(g) = 10)
+SELECT doc_id, CAST(p AS INTEGER) AS start, CAST(wrong AS INTEGER) AS mismatches, CAST(run AS INTEGER) AS run FROM f WHERE exact AND wrong <= 2""")
+def primer_bindings(spark, d):  # 69: two mismatches allowed behind six matching bases
+    return scans.primer_bindings(seqs(spark, d), [("p", "GATTCTAGAC")], 2, 6).where("strand = 1").select("doc_id", "start", "mismatches", "run")
 
 
 @register("codon_usage", f"WITH {SEQS}, c AS (SELECT lang, unnest(regexp_extract_all(seq, '...')) AS codon FROM seqs JOIN documents USING (doc_id)), n AS (SELECT lang, codon, count(*) AS n FROM c GROUP BY ALL) SELECT lang, codon, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY lang), 9) AS share FROM n")
@@ -106,18 +101,6 @@ def primer_ranking(spark, d):  # 120, 121: the best hundred is the feature
     return t.orderBy("score", "seq").limit(100)
 
 
-@register("kit_conformance", "SELECT p_partkey, p_size, p_size IN (SELECT s_suppkey FROM supplier) AS matched FROM part")
-def kit_conformance(spark, d):  # 61
-    kit = table(spark, d, "supplier").select(F.col("s_suppkey").alias("site")).distinct()
-    p = table(spark, d, "part").select("p_partkey", "p_size", F.col("p_size").cast("long").alias("site"))
-    return relations.lookup(p, kit, "site").select("p_partkey", "p_size", F.col("known").alias("matched"))
-
-
-@register("latest_records", "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, count(*) AS versions FROM conversations GROUP BY conv_id")
-def latest_records(spark, d):  # 128, 164, 165
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("role", "turn").alias("role"), F.count("*").alias("versions"))
-
-
 @register("duplicate_products", "SELECT doc_id, sha256(text) AS key, count(*) OVER (PARTITION BY text) > 1 AS duplicate FROM documents WHERE text IS NOT NULL")
 def duplicate_products(spark, d):  # 89, 90: counts by key are joined back, so a hot key is split
     x = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("key"))
@@ -190,13 +173,7 @@ def gapped_translation(spark, d):  # 48
     return scans.gapped_codons(g, "doc_id", "aligned")
 
 
-@register("alphabet_anomalies", "SELECT DISTINCT upper(w) AS w FROM (SELECT unnest(string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' ')) AS w FROM documents WHERE text IS NOT NULL) WHERE length(w) >= 5 AND regexp_full_match(upper(w), '[ACGTUN]+')")
-def alphabet_anomalies(spark, d):  # 59: words that read as nucleotides though their row is not
-    w = table(spark, d, "documents").where("text IS NOT NULL").select(F.explode(F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " ")).alias("w"))
-    return w.where((F.length("w") >= 5) & F.upper("w").rlike("^[ACGTUN]+$")).select(F.upper("w").alias("w")).distinct()
-
-
 @register("star_alignments")
-def star_alignments(spark, d):  # 145, 146: words of one length and the same ends form small groups
+def star_alignments(spark, d):  # 145, 146: words of one length and the same ends form groups of any size
     o = oligos(spark, d).withColumn("group", F.concat(F.substring("seq", 1, 6), F.right("seq", F.lit(2))))
-    return assembly.star_alignments(o.select("group", F.xxhash64("seq").alias("row"), "seq"))
+    return alignment.star_alignments(o.select("group", F.xxhash64("seq").alias("row"), "seq"))

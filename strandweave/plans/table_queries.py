@@ -7,119 +7,11 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import facts
 from strandweave.functions import sequence as S
-from strandweave.operators import alignment, digest, intervals, kernels, relations, scans
+from strandweave.operators import alignment, intervals, kernels, relations, scans
 from strandweave.plans.catalog import register
 from strandweave.plans.scalar_queries import LETTERS, SEQS, letters, oligos, seqs
 from strandweave.session import table
 
-PANEL = ["EcoRI", "BamHI", "HindIII", "XhoI", "PstI", "SmaI", "HincII", "BsaI"]
-
-
-def _site_patterns() -> str:
-    rows = []
-    for e in PANEL:
-        rec, top, bottom = facts.ENZYMES[e]
-        for p in facts.concrete(rec):
-            rows.append(f"('{e}', '{p}', 1, {top}, {bottom})")
-        back = facts.reverse_complement(rec)
-        if back != rec:
-            rows += [f"('{e}', '{p}', -1, {len(rec) - bottom}, {len(rec) - top})" for p in facts.concrete(back)]
-    return ", ".join(rows)
-
-
-# Splitting at a pattern would miss overlaps; every place is compared, six bases at a time.
-SITES = f"""{SEQS}, chars AS (SELECT doc_id, length(seq) AS n, unnest(range(length(seq))) AS p, unnest(string_split(seq, '')) AS c FROM seqs WHERE seq <> ''),
-grams AS MATERIALIZED (SELECT doc_id, n, p, concat(c, lead(c, 1) OVER w, lead(c, 2) OVER w, lead(c, 3) OVER w, lead(c, 4) OVER w, lead(c, 5) OVER w) AS g FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
-pats(enzyme, pat, strand, t, b) AS (VALUES {_site_patterns()}),
-sites AS MATERIALIZED (SELECT doc_id, enzyme, CAST(p AS INTEGER) AS position, strand, CAST(p + t AS INTEGER) AS top_cut, CAST(p + b AS INTEGER) AS bottom_cut,
-  CASE WHEN least(p + t, p + b) >= 0 AND greatest(p + t, p + b) <= n THEN 'ok' ELSE 'insufficient_flanking_bases' END AS status FROM grams JOIN pats ON g = pat)"""
-
-
-def sites(spark, d):
-    return scans.restriction_sites(seqs(spark, d), {e: facts.ENZYMES[e] for e in PANEL})
-
-
-@register("restriction_sites", f"WITH {SITES} SELECT * FROM sites")
-def restriction_sites(spark, d):  # 64, 57; of 72 only BsaI
-    return sites(spark, d)
-
-
-@register("sites_per_enzyme", f"""WITH {SITES}, every AS (SELECT doc_id, e AS enzyme FROM seqs, (SELECT unnest({PANEL}) AS e)),
-c AS (SELECT doc_id, enzyme, count_if(status = 'ok') AS active, count_if(status <> 'ok') AS flank FROM sites GROUP BY ALL)
-SELECT doc_id, enzyme, coalesce(active, 0)::BIGINT AS active, coalesce(flank, 0)::BIGINT AS flank, CASE WHEN active > 0 THEN 'active-double-strand' WHEN flank > 0 THEN 'insufficient-flanking-bases' ELSE 'no-site' END AS category FROM every LEFT JOIN c USING (doc_id, enzyme)""")
-def sites_per_enzyme(spark, d):  # 91, 94
-    return digest.sites_per_enzyme(seqs(spark, d), sites(spark, d), PANEL)
-
-
-@register("unique_cutters", f"WITH {SITES} SELECT doc_id, enzyme, min(position) AS position FROM sites WHERE status = 'ok' GROUP BY doc_id, enzyme HAVING count(*) = 1")
-def unique_cutters(spark, d):  # 92
-    return digest.unique_cutters(sites(spark, d))
-
-
-@register("non_cutters", f"WITH {SITES} SELECT doc_id, enzyme FROM (SELECT doc_id, e AS enzyme FROM seqs, (SELECT unnest({PANEL}) AS e)) EXCEPT SELECT doc_id, enzyme FROM sites WHERE status = 'ok'")
-def non_cutters(spark, d):  # 93, 131
-    every = seqs(spark, d).select("doc_id").withColumn("enzyme", F.explode(F.array(*map(F.lit, PANEL))))
-    return every.join(sites(spark, d).where("status = 'ok'"), ["doc_id", "enzyme"], "left_anti")
-
-
-@register("distinct_cuts", f"WITH {SITES} SELECT doc_id, top_cut AS cut, array_to_string(list_sort(list(DISTINCT enzyme)), ',') AS enzymes FROM sites WHERE status = 'ok' GROUP BY doc_id, top_cut")
-def distinct_cuts(spark, d):  # 127
-    return digest.cuts(sites(spark, d)).withColumn("enzymes", F.array_join("enzymes", ","))
-
-
-FRAGMENTS = f"""{SITES}, good AS (SELECT doc_id, length(seq) AS n FROM seqs WHERE length(seq) > 0 AND doc_id NOT IN (SELECT doc_id FROM sites WHERE status <> 'ok')),
-ends AS (SELECT doc_id, n, 0 AS cut FROM good UNION SELECT doc_id, n, top_cut FROM sites JOIN good USING (doc_id) WHERE top_cut > 0 AND top_cut < n),
-fragments AS (SELECT doc_id, CAST(row_number() OVER w AS INTEGER) AS fragment, cut::INTEGER AS start, coalesce(lead(cut) OVER w, n)::INTEGER AS "end" FROM ends WINDOW w AS (PARTITION BY doc_id ORDER BY cut))"""
-
-
-@register("digest_fragments", f'WITH {FRAGMENTS} SELECT doc_id, fragment, start, "end", "end" - start AS length FROM fragments')
-def digest_fragments(spark, d):  # 113, 160
-    return digest.fragments(seqs(spark, d), sites(spark, d))
-
-
-@register("gel_bands", f"""WITH {FRAGMENTS} SELECT doc_id, "end" - start AS size, count(*) AS n, round(least(1.0, 0.6 + 0.2 * count(*)), 3)::DOUBLE AS intensity FROM fragments GROUP BY doc_id, "end" - start""")
-def gel_bands(spark, d):  # 101
-    f = digest.fragments(seqs(spark, d), sites(spark, d))
-    return f.groupBy("doc_id", F.col("length").alias("size")).agg(F.count("*").alias("n"), F.round(F.least(F.lit(1.0), 0.6 + 0.2 * F.count("*")), 3).alias("intensity"))
-
-
-@register("site_clusters", f"""WITH {SITES}, o AS (SELECT *, CASE WHEN position - lag(position) OVER w <= 200 THEN 0 ELSE 1 END AS brk FROM sites WINDOW w AS (PARTITION BY doc_id ORDER BY position, enzyme)),
-i AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY position, enzyme ROWS UNBOUNDED PRECEDING) AS island FROM o), b AS (SELECT *, min(position) OVER (PARTITION BY doc_id, island) AS begin FROM i)
-SELECT doc_id, min(position) AS cluster_start, max(position) AS cluster_end, count(*) AS n FROM b GROUP BY doc_id, island, (position - begin) // 501""")
-def site_clusters(spark, d):  # 114
-    return digest.clusters(sites(spark, d), 200, 500)
-
-
-@register("site_density_bins", f"WITH {SITES} SELECT doc_id, CAST(position * 64 // length(seq) AS BIGINT) AS bin, count(*) AS n, round(avg(position), 6) AS mean_position FROM sites JOIN seqs USING (doc_id) GROUP BY ALL")
-def site_density_bins(spark, d):  # 108
-    s = sites(spark, d).join(seqs(spark, d).select("doc_id", F.length("seq").alias("len")), "doc_id")
-    return s.groupBy("doc_id", F.floor(F.col("position").cast("long") * 64 / F.col("len")).alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("position"), 6).alias("mean_position"))
-
-
-@register("overview_bins", f"""WITH {FRAGMENTS}, x AS (SELECT f.doc_id, unnest(range(start::BIGINT * 32 // n, least(31, ("end"::BIGINT - 1) * 32 // n) + 1)) AS bin FROM (SELECT f.*, length(seq) AS n FROM fragments f JOIN seqs USING (doc_id)) f) SELECT doc_id, CAST(bin AS BIGINT) AS bin, count(*) AS n FROM x GROUP BY ALL""")
-def overview_bins(spark, d):  # 107
-    f = digest.fragments(seqs(spark, d), sites(spark, d)).join(seqs(spark, d).select("doc_id", F.length("seq").alias("n")), "doc_id")
-    return intervals.overview_bins(f.select("doc_id", "n", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")), "doc_id", 32)
-
-
-@register("sliding_gc", f"""WITH {SEQS}, b AS (SELECT doc_id, length(seq) AS n, unnest(range(length(seq))) AS p, seq FROM seqs), c AS (SELECT doc_id, n, p, sum(CASE WHEN substr(seq, p + 1, 1) IN ('G', 'C') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING) AS g FROM b)
-SELECT doc_id, CAST(p AS INTEGER) AS position, round(g::DOUBLE / least(100, n), 9) AS gc FROM c WHERE (p <= n - 100 OR p = 0) AND p % 50 = 0 UNION ALL SELECT doc_id, 0, 0 FROM seqs WHERE length(seq) = 0""")
-def sliding_gc(spark, d):  # 112
-    return scans.sliding_gc(seqs(spark, d), 100, 50).withColumn("gc", F.round("gc", 9))
-
-
-@register("motif_scan", f"""WITH {SEQS}, g AS (SELECT doc_id, p, substr(seq, p + 1, 6) AS m FROM (SELECT doc_id, seq, unnest(range(length(seq))) AS p FROM seqs))
-SELECT doc_id, CAST(p AS INTEGER) AS start, CAST(p + 6 AS INTEGER) AS "end", m AS match FROM g WHERE regexp_full_match(m, '[AG]GC[ACGT][CT]A')""")
-def motif_scan(spark, d):  # 52, 65
-    return scans.motif_matches(seqs(spark, d), "doc_id", "seq", S.iupac_regex("RGCNYA"))
-
-
-@register("prosite_scan", f"""WITH {LETTERS}, g AS (SELECT doc_id, p, substr(s, p + 1, 4) AS m FROM (SELECT doc_id, s, unnest(range(length(s))) AS p FROM letters))
-SELECT doc_id, CAST(p AS INTEGER) AS start, CAST(p + 4 AS INTEGER) AS "end", m AS match FROM g WHERE regexp_full_match(m, 'N[^P][ST][^P]')""")
-def prosite_scan(spark, d):  # 53, 66
-    return scans.motif_matches(letters(spark, d), "doc_id", "s", S.prosite_regex("N-{P}-[ST]-{P}"))
-
-
 @register("open_reading_frames", f"""WITH {SEQS}, both_strands AS (SELECT doc_id, 1 AS strand, seq FROM seqs UNION ALL SELECT doc_id, -1, reverse(translate(seq, 'ACGT', 'TGCA')) FROM seqs),
 codons AS (SELECT doc_id, strand, length(seq) AS n, p, p % 3 AS f, substr(seq, p + 1, 3) AS c FROM (SELECT *, unnest(range(length(seq) - 2)) AS p FROM both_strands)),
 nexts AS (SELECT *, min(CASE WHEN c IN ('TAA', 'TAG', 'TGA') THEN p END) OVER (PARTITION BY doc_id, strand, f ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM codons),
@@ -185,6 +77,42 @@ def quality_trim(spark, d):  # 115
     return kernels.quality_trim(seqs(spark, d), 12, 20.0)
 
 
+@register("sliding_gc", f"""WITH {SEQS}, b AS (SELECT doc_id, length(seq) AS n, unnest(range(length(seq))) AS p, unnest(string_split(seq, '')) AS c FROM seqs WHERE seq <> ''), c AS (SELECT doc_id, n, p, sum(CASE WHEN c IN ('G', 'C') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING) AS g FROM b)
+SELECT doc_id, CAST(p AS INTEGER) AS position, round(g::DOUBLE / least(100, n), 9) AS gc FROM c WHERE p <= n - 100 OR p = 0 UNION ALL SELECT doc_id, 0, 0 FROM seqs WHERE seq = ''""")
+def sliding_gc(spark, d):  # 112
+    return scans.sliding_gc(seqs(spark, d)).withColumn("gc", F.round("gc", 9))
+
+
+_SIX = f"""{SEQS}, g AS (SELECT doc_id, p, concat(c, lead(c, 1) OVER w, lead(c, 2) OVER w, lead(c, 3) OVER w, lead(c, 4) OVER w, lead(c, 5) OVER w) AS m FROM (SELECT doc_id, unnest(range(length(seq))) AS p, unnest(string_split(seq, '')) AS c FROM seqs WHERE seq <> '') WINDOW w AS (PARTITION BY doc_id ORDER BY p))"""
+
+
+@register("pattern_scan", f"""WITH {_SIX} SELECT doc_id, CAST(p AS INTEGER) AS start, CAST(p + 6 AS INTEGER) AS "end", m AS match FROM g WHERE regexp_full_match(m, '[AG]GC[ACGT][CT]A')""")
+def pattern_scan(spark, d):  # 52, 65
+    return scans.pattern_matches(seqs(spark, d), "doc_id", "seq", S.iupac_regex("RGCNYA"))
+
+
+@register("prosite_scan", f"""WITH {LETTERS}, g AS (SELECT doc_id, p, concat(c, lead(c, 1) OVER w, lead(c, 2) OVER w, lead(c, 3) OVER w) AS m FROM (SELECT doc_id, unnest(range(length(s))) AS p, unnest(string_split(s, '')) AS c FROM letters WHERE s <> '') WINDOW w AS (PARTITION BY doc_id ORDER BY p))
+SELECT doc_id, CAST(p AS INTEGER) AS start, CAST(p + 4 AS INTEGER) AS "end", m AS match FROM g WHERE regexp_full_match(m, 'N[^P][ST][^P]')""")
+def prosite_scan(spark, d):  # 53, 66
+    return scans.pattern_matches(letters(spark, d), "doc_id", "s", S.prosite_regex("N-{P}-[ST]-{P}"))
+
+
+@register("earliest_matches", f"""WITH {_SIX} SELECT CAST(p AS INTEGER) AS start, doc_id FROM g WHERE m = 'GAATTC' ORDER BY p, doc_id LIMIT 50""")
+def earliest_matches(spark, d):  # 124
+    return scans.pattern_matches(seqs(spark, d), "doc_id", "seq", "GAATTC").orderBy("start", "doc_id").select("start", "doc_id").limit(50)
+
+
+# Words of the texts with dots as gaps: rows of an alignment by the query's own columns.
+GAPS = f"gaps AS (SELECT doc_id AS row, translate(upper(regexp_replace(text, '[^A-Za-z]', '-', 'g')), '{S.LETTERS}', '{S.CYCLE}') AS aligned FROM documents WHERE text IS NOT NULL)"
+
+
+@register("aligned_pattern_hits", f"""WITH {GAPS}, c AS (SELECT row, unnest(range(length(aligned))) AS p, unnest(string_split(aligned, '')) AS c FROM gaps WHERE aligned <> ''), r AS (SELECT row, p, concat(c, lead(c, 1) OVER w, lead(c, 2) OVER w, lead(c, 3) OVER w, lead(c, 4) OVER w, lead(c, 5) OVER w, lead(c, 6) OVER w) AS m, lead(p, 6) OVER w AS q FROM c WHERE c <> '-' WINDOW w AS (PARTITION BY row ORDER BY p))
+SELECT row, CAST(p AS INTEGER) AS start_column, CAST(q AS INTEGER) AS end_column FROM r WHERE regexp_full_match(m, 'GA[AG]TC[ACGT][CT]')""")
+def aligned_pattern_hits(spark, d):  # 67, 124
+    g = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("row"), F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "-")), S.LETTERS, S.CYCLE).alias("aligned"))
+    return alignment.pattern_hits(g, "gartcny")
+
+
 EV = "ev AS (SELECT user_id AS k, event_id AS id, event_id % 997 * 3 AS start, event_id % 997 * 3 + event_id % 89 + 1 AS \"end\" FROM events)"
 
 
@@ -229,83 +157,73 @@ def contained_spans(spark, d):  # 80, 82
     return intervals.contained(s, outer, "k").select("k", "id", "span")
 
 
-@register("catalogue_lookup", "WITH asked AS (SELECT lower(p_brand) AS name, min(p_partkey) AS first FROM part GROUP BY 1), cat AS (SELECT lower(p_brand) AS name, max(p_retailprice) AS price FROM part WHERE p_size > 25 GROUP BY 1) SELECT name, first, price, price IS NOT NULL AS known FROM asked LEFT JOIN cat USING (name)")
-def catalogue_lookup(spark, d):  # 77, 78, 79
-    p = table(spark, d, "part").withColumn("name", F.lower("p_brand"))
-    return relations.lookup(p.groupBy("name").agg(F.min("p_partkey").alias("first")), p.where("p_size > 25").groupBy("name").agg(F.max("p_retailprice").alias("price")), "name")
-
-
-@register("source_union", "SELECT DISTINCT lower(s) AS name FROM (SELECT c_mktsegment AS s FROM customer UNION ALL SELECT p_brand FROM part UNION ALL SELECT o_orderpriority FROM orders)")
-def source_union(spark, d):  # 79, 125, 126
-    one = lambda t, c: table(spark, d, t).select(F.lower(c).alias("name"))
-    return one("customer", "c_mktsegment").unionByName(one("part", "p_brand")).unionByName(one("orders", "o_orderpriority")).distinct()
-
-
-@register("freshness", """SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'stale' WHEN c_acctbal < 0 THEN 'unverified' ELSE 'fresh' END AS state, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN c_acctbal < 0 THEN 'unattested' END AS reason FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 20) c ON o_custkey = c_custkey""")
-def freshness(spark, d):  # 86, 163
-    saved = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("record"))
-    now = table(spark, d, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("record"), (F.col("c_acctbal") >= 0).alias("attested"))
-    return relations.freshness(saved, now, "record").select("o_orderkey", "state", "reason")
-
-
 @register("expected_and_observed", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'unexpected' ELSE 'found' END AS state FROM (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 40) a FULL JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R') b ON a.k = b.k")
 def expected_and_observed(spark, d):  # 88
     li = table(spark, d, "lineitem")
     return relations.compare(li.where("l_quantity > 40").select(F.col("l_partkey").alias("k")), li.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("k")), "k")
 
 
-@register("hit_ranking", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_discount, l_extendedprice DESC, l_orderkey, l_linenumber) AS INTEGER) AS rank FROM lineitem")
-def hit_ranking(spark, d):  # 119, 122
-    w = Window.partitionBy("l_suppkey").orderBy("l_discount", F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).alias("rank"))
+@register("dependency_closure", """WITH RECURSIVE t AS (SELECT conv_id, turn, turn AS root FROM conversations WHERE role = 'system' OR turn = 0 UNION SELECT c.conv_id, c.turn, t.root FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1) SELECT conv_id, root, count(DISTINCT turn) AS reached FROM t GROUP BY ALL""")
+def dependency_closure(spark, d):  # 129, 130
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    roots = c.where("role = 'system' OR turn = 0").select("conv_id", F.col("turn").alias("root")).distinct()
+    return relations.chain_closure(roots, c.select("conv_id", "turn").distinct())
 
 
-@register("earliest_matches", f"""WITH {SEQS}, g AS (SELECT doc_id, p, substr(seq, p + 1, 6) AS m FROM (SELECT doc_id, seq, unnest(range(length(seq))) AS p FROM seqs)) SELECT CAST(p AS INTEGER) AS start, doc_id FROM g WHERE m = 'GAATTC' ORDER BY p, doc_id LIMIT 50""")
-def earliest_matches(spark, d):  # 67, 124
-    return scans.motif_matches(seqs(spark, d), "doc_id", "seq", "GAATTC").orderBy("start", "doc_id").select("start", "doc_id").limit(50)
+@register("hairpins")
+def hairpins(spark, d):  # 147
+    return kernels.hairpins(oligos(spark, d))
 
 
-@register("downsampled_rows", f"""WITH {SITES}, r AS (SELECT doc_id, position, enzyme, row_number() OVER (PARTITION BY doc_id ORDER BY position, enzyme) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM sites)
-SELECT doc_id, position, enzyme FROM r WHERE n <= 16 OR i IN (SELECT k * (n - 1) // 15 FROM range(16) t(k))""")
-def downsampled_rows(spark, d):  # 116
-    return relations.downsample(sites(spark, d).select("doc_id", "position", "enzyme"), "doc_id", ["position", "enzyme"], 16)
+@register("self_dimers")
+def self_dimers(spark, d):  # 148
+    return kernels.self_dimers(oligos(spark, d))
 
 
-@register("dependency_closure", """WITH RECURSIVE t AS (SELECT conv_id, turn, turn AS root FROM conversations WHERE role = 'system' OR turn = 0 UNION SELECT c.conv_id, c.turn, t.root FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1) SELECT conv_id, root, count(DISTINCT turn) AS reached FROM t GROUP BY ALL""")
-def dependency_closure(spark, d):  # 129, 130
-    c = table(spark, d, "conversations").select("conv_id", "turn", "role")
-    roots = c.where("role = 'system' OR turn = 0").select("conv_id", F.col("turn").alias("root")).distinct()
-    return relations.chain_closure(roots, c.select("conv_id", "turn").distinct())
+# Neighbouring turns of a conversation as pairs of short sequences: SQL fills the score matrix row by row.
+PAIRS = f"""turn AS (SELECT conv_id, turn, left(translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{S.LETTERS}', '{S.CYCLE}'), 12) AS s FROM conversations),
+pairs AS (SELECT conv_id, turn, s AS a, lead(s) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM turn)"""
 
 
-@register("ligation_neighbours", f"""WITH {FRAGMENTS}, e AS (SELECT f.doc_id, fragment, right(substr(seq, start + 1, "end" - start), 4) AS r, left(substr(seq, start + 1, "end" - start), 4) AS l FROM fragments f JOIN seqs USING (doc_id)),
-n AS (SELECT *, lead(l) OVER (PARTITION BY doc_id ORDER BY fragment) AS next FROM e) SELECT doc_id, fragment, r AS right_end, next AS next_left, CASE WHEN next IS NULL THEN 'open' WHEN r = reverse(translate(next, 'ACGT', 'TGCA')) THEN 'compatible' ELSE 'incompatible' END AS junction FROM n""")
-def ligation_neighbours(spark, d):  # 84
-    s = seqs(spark, d)
-    return relations.junctions(digest.fragments(s, sites(spark, d)), s)
+def turn_pairs(spark, d, size):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    s = F.substring(S.as_bases(F.coalesce("text", F.lit(""))), 1, size)
+    t = table(spark, d, "conversations").select("conv_id", "turn", s.alias("a"))
+    return t.withColumn("b", F.lead("a").over(w)).where("b IS NOT NULL")
 
 
-@register("overlap_search", f"""WITH {SEQS}, p AS (SELECT doc_id, seq, lead(seq) OVER (ORDER BY doc_id) AS nxt FROM seqs), k AS (SELECT doc_id, k FROM p, range(3, 31) t(k) WHERE length(seq) >= k AND length(nxt) >= k AND right(seq, k) = left(nxt, k)) SELECT doc_id, CAST(max(k) AS INTEGER) AS overlap FROM k GROUP BY doc_id""")
-def overlap_search(spark, d):  # 71
-    s = seqs(spark, d)
-    ids = relations.next_of(s.select("doc_id"), "doc_id")
-    tail = s.select("doc_id", F.right("seq", F.lit(30)).alias("tail"))
-    head = s.select(F.col("doc_id").alias("next"), F.substring("seq", 1, 30).alias("head"))
-    k = scans.longest_overlap(F.col("tail"), F.col("head"), 3, 30)
-    return ids.join(tail, "doc_id").join(head, "next").select("doc_id", k.alias("overlap")).where("overlap IS NOT NULL")
+@register("alignment_scores", f"""WITH RECURSIVE {PAIRS}, h AS (SELECT conv_id, turn, a, b, 0 AS i, list_transform(range(length(b) + 1), lambda j: CAST(-2 * j AS BIGINT)) AS r FROM pairs WHERE b IS NOT NULL
+UNION ALL SELECT conv_id, turn, a, b, i + 1, list_transform(range(length(b) + 1), lambda j: list_max(list_transform(range(j + 1), lambda k: CASE WHEN k = 0 THEN -2 * (i + 1) ELSE greatest(r[k] + CASE WHEN substr(a, i + 1, 1) = substr(b, k, 1) THEN 2 ELSE -1 END, r[k + 1] - 2) END - 2 * (j - k)))) FROM h WHERE i < length(a))
+SELECT conv_id, turn, CAST(r[length(b) + 1] AS INTEGER) AS score FROM h WHERE i = length(a)""")
+def alignment_scores(spark, d):  # 142
+    return alignment.align_pairs(turn_pairs(spark, d, 12), "dna").select("conv_id", "turn", "score")
 
 
 @register("pairwise_alignment")
-def pairwise_alignment(spark, d):  # 142
-    return alignment.align_pairs(kernels.oligo_pairs(oligos(spark, d)))
+def pairwise_alignment(spark, d):  # 142, 143, 144: whole neighbouring turns
+    return alignment.align_pairs(turn_pairs(spark, d, 2**31 - 1))
 
 
-@register("hairpins")
-def hairpins(spark, d):  # 147
-    return kernels.hairpins(oligos(spark, d))
+@register("alignment_summary", f"""WITH {ROWS}, j AS (SELECT c.*, arg_max(symbol, (n, -first_row)) OVER (PARTITION BY alignment, "column") AS major FROM counts c WHERE symbol <> ''), p AS (SELECT alignment, sum(n) FILTER (symbol = major) AS same, count(DISTINCT "column") AS filled FROM j GROUP BY 1),
+w AS (SELECT j.alignment, count(*) AS k FROM j JOIN totals USING (alignment) WHERE symbol = major AND n = total GROUP BY 1), m AS (SELECT alignment, max(length(seq)) AS columns FROM rws GROUP BY 1)
+SELECT alignment, CAST(columns AS INTEGER) AS columns, total AS rows, floor(same::DOUBLE / (filled * total) * 1000 + 0.5) / 10 AS identity, 0::BIGINT AS gaps, coalesce(k, 0)::BIGINT AS conserved FROM p JOIN totals USING (alignment) JOIN m USING (alignment) LEFT JOIN w USING (alignment)""")
+def alignment_summary(spark, d):  # 100
+    return alignment.summary(rows(spark, d))
 
 
-@register("self_dimers")
-def self_dimers(spark, d):  # 148
-    return kernels.self_dimers(oligos(spark, d))
+@register("strand_votes", f"""WITH t AS (SELECT conv_id, turn, translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{S.LETTERS}', '{S.CYCLE}') AS s FROM conversations), p AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE s END AS read, lead(s) OVER (PARTITION BY conv_id ORDER BY turn) || s AS template FROM t),
+k AS (SELECT *, greatest(3, least(7, length(read), length(template))) AS k FROM p WHERE template IS NOT NULL), w AS (SELECT conv_id, turn, list_distinct(list_transform(range(length(template) - k + 1), lambda i: substr(template, CAST(i + 1 AS BIGINT), k))) AS own FROM k),
+v AS (SELECT k.conv_id, k.turn, k, len(list_filter(list_transform(range(length(read) - k + 1), lambda i: substr(read, CAST(i + 1 AS BIGINT), k)), lambda x: list_contains(own, x))) AS f, len(list_filter(list_transform(range(length(read) - k + 1), lambda i: substr(reverse(translate(read, 'ACGT', 'TGCA')), CAST(i + 1 AS BIGINT), k)), lambda x: list_contains(own, x))) AS r FROM k JOIN w USING (conv_id, turn))
+SELECT conv_id, turn, CAST(k AS INTEGER) AS k, CAST(f AS INTEGER) AS forward, CAST(r AS INTEGER) AS reverse, CASE WHEN r > f THEN 'reverse' ELSE 'forward' END AS orientation FROM v""")
+def strand_votes(spark, d):  # 73: odd turns are turned round; the template is the next turn and the turn itself
+    p = turn_pairs(spark, d, 2**31 - 1)
+    read = F.when(F.col("turn") % 2 == 1, S.reverse_complement(F.col("a"))).otherwise(F.col("a"))
+    return scans.strand_votes(p.select("conv_id", "turn", read.alias("read"), F.concat("b", "a").alias("template"))).drop("read", "template")
+
 
+@register("hit_sort", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_tax, l_discount, l_extendedprice DESC, l_shipmode_key, l_orderkey, l_linenumber) AS BIGINT) AS rank FROM (SELECT *, l_partkey % 100 AS l_shipmode_key FROM lineitem)")
+def hit_sort(spark, d):  # 119: by the chosen key, then expectation, falling bit score, accession and first place
+    li = table(spark, d, "lineitem").withColumn("accession", F.col("l_partkey") % 100)
+    order = ["l_tax", "l_discount", F.desc("l_extendedprice"), "accession", "l_orderkey", "l_linenumber"]
+    cell = F.round(F.col("l_tax") * 100) * 100 + F.round(F.col("l_discount") * 100)
+    return relations.ranked(li, "l_suppkey", cell, order).select("l_orderkey", "l_linenumber", "rank")
