@@ -284,7 +284,7 @@ def gibson(fragments: DataFrame, low: int = 15, high: int = 60, circular: bool =
     g = f.groupBy("design").agg(
         F.array_sort(F.collect_list(F.struct("ord", F.substring(F.upper("seq"), (F.col("before") + 1).cast("int"), F.length("seq")).alias("piece"), "k", "text"))).alias("x"),
         F.count_if(F.col("next").isNotNull() & F.col("k").isNull()).alias("missing"), F.count_if(F.col("tm") < IDEAL_OVERLAP_TM).alias("low_tm"), F.count("*").alias("n"),
-        F.max_by("k", "ord").alias("closing"), F.count_if(F.col("o.unique") == F.lit(False)).alias("alternate"),
+        F.max_by("k", "ord").alias("closing"), F.count_if(F.size("o.lengths") > 1).alias("alternate"),
     )
     whole = F.array_join("x.piece", "")
     closed = F.left(whole, F.greatest(F.lit(0), F.length(whole) - F.coalesce("closing", F.lit(0)))) if circular else whole

@@ -334,7 +334,7 @@ def overhang_set_ranking(spark, d):  # 122
 _FRAG = """fragments AS (SELECT doc_id AS design, i::INTEGER AS ord, CASE i WHEN 0 THEN substr(seq, 1, 200) WHEN 1 THEN CASE WHEN doc_id % 6 = 0 THEN 'ACGTTGCA' ELSE '' END || substr(seq, 201 - k, 150 + k) ELSE substr(seq, 331, 70) || substr(seq, 1, 30) END AS seq FROM (SELECT *, CAST(15 + doc_id % 30 AS BIGINT) AS k, unnest(range(3)) AS i FROM seqs WHERE length(seq) >= 430))"""
 OVERLAPS = f"""{SEQS}, {_FRAG}, n AS (SELECT *, coalesce(lead(seq) OVER w, first_value(seq) OVER w) AS nxt FROM fragments WINDOW w AS (PARTITION BY design ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 ks AS (SELECT design, ord, list(k ORDER BY k DESC) AS ks FROM n, range(15, 61) t(k) WHERE length(seq) >= k AND length(nxt) >= k AND right(seq, k) = left(nxt, k) GROUP BY ALL),
-overlaps AS MATERIALIZED (SELECT n.*, CAST(ks[1] AS INTEGER) AS k, coalesce(len(ks), 0) AS many FROM n LEFT JOIN ks USING (design, ord))"""
+found_overlaps AS MATERIALIZED (SELECT n.*, CAST(ks[1] AS INTEGER) AS k, coalesce(len(ks), 0) AS many FROM n LEFT JOIN ks USING (design, ord))"""
 
 
 def gibson_fragments(spark, d):
@@ -344,7 +344,7 @@ def gibson_fragments(spark, d):
     return s.select(F.col("doc_id").alias("design"), F.posexplode(texts).alias("ord", "seq"))
 
 
-@register("overlap_search", f"WITH {OVERLAPS} SELECT design, ord, k AS overlap, many = 1 AS is_unique, CASE WHEN many = 1 THEN 'exact' WHEN many > 1 THEN 'multiple_exact' ELSE 'none' END AS reason FROM overlaps")
+@register("overlap_search", f"WITH {OVERLAPS} SELECT design, ord, k AS overlap, many = 1 AS is_unique, CASE WHEN many = 1 THEN 'exact' WHEN many > 1 THEN 'multiple_exact' ELSE 'none' END AS reason FROM found_overlaps")
 def overlap_search(spark, d):  # 71
     from pyspark.sql import Window
 
@@ -354,7 +354,7 @@ def overlap_search(spark, d):  # 71
     return f.select("design", "ord", F.col("o.length").alias("overlap"), F.col("o.unique").alias("is_unique"), "o.reason")
 
 
-@register("gibson_assemblies", f"""WITH {OVERLAPS}, b AS (SELECT *, coalesce(lag(k) OVER (PARTITION BY design ORDER BY ord), 0) AS before, right(seq, k) AS text FROM overlaps), g AS (SELECT design, count_if(k IS NULL) AS missing, string_agg(substr(seq, before + 1), '' ORDER BY ord) AS s, arg_max(k, ord) AS closing, string_agg(k::VARCHAR, ',' ORDER BY ord) AS ks, count_if(many > 1) AS alternate, count(text) - count(DISTINCT text) AS reused FROM b GROUP BY design)
+@register("gibson_assemblies", f"""WITH {OVERLAPS}, b AS (SELECT *, coalesce(lag(k) OVER (PARTITION BY design ORDER BY ord), 0) AS before, right(seq, k) AS text FROM found_overlaps), g AS (SELECT design, count_if(k IS NULL) AS missing, string_agg(substr(seq, before + 1), '' ORDER BY ord) AS s, arg_max(k, ord) AS closing, string_agg(k::VARCHAR, ',' ORDER BY ord) AS ks, count_if(many > 1) AS alternate, count(text) - count(DISTINCT text) AS reused FROM b GROUP BY design)
 SELECT design, missing = 0 AS success, CASE WHEN missing > 0 THEN 'no_overlap' ELSE '' END AS errors, coalesce(ks, '') AS overlaps, CAST(alternate AS BIGINT) AS alternate, CAST(reused AS INTEGER) AS reused, sha256(CASE WHEN missing = 0 THEN left(s, length(s) - closing) ELSE '' END) AS product FROM g""")
 def gibson_assemblies(spark, d):  # 152
     return cloning.gibson(gibson_fragments(spark, d), circular=True).select("design", "success", "errors", "overlaps", "alternate", "reused", F.sha2("product", 256).alias("product"))
