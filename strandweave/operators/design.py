@@ -1,8 +1,7 @@
-"""Design of oligos and coding sequences: primer pairs, domestication, spacers, co-migrating bands, reads on their reference.
+"""Design of coding sequences and gels: domestication, spacers, orientation, isoschizomers, co-migrating bands.
 
-Candidates are exploded and filtered as Columns; only duplex energies, codon edits and alignments run as
-small helpers over Arrow or pandas batches. Pairs of primers meet within one template, among ranked
-candidates whose number is a parameter. Null and empty sequences give no candidates and no edits.
+What concerns one row is Columns; only codon edits and the bands of a lane run as small helpers over batches.
+Null and empty sequences give no edits.
 """
 
 from __future__ import annotations
@@ -18,7 +17,6 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import facts
 from strandweave.functions import sequence as S
-from strandweave.operators.kernels import best_hairpin, best_self_dimer, stack_energy
 from strandweave.operators.scans import scan
 
 # --- fixed values: distance = a - b * log10(bp) by agarose percent; distance within which fragments share a band ---
@@ -98,15 +96,15 @@ def isoschizomers(enzymes: DataFrame, common: list[str]) -> DataFrame:
     return g.select("recognition", "top_cut", "bottom_cut", F.element_at("x.name", 1).alias("primary"), F.array_join("x.name", ",").alias("names"))
 
 
-def domesticated(seqs: DataFrame, motifs: list[str], table_id: int = 1, passes: int = 100) -> DataFrame:
-    """doc_id, sites, mutations, remaining, complete, product: coding sequences (from base 0) without the motifs, on either strand.
+def domesticated(seqs: DataFrame, words_out: list[str], table_id: int = 1, passes: int = 100) -> DataFrame:
+    """doc_id, sites, mutations, remaining, complete, product: coding sequences (from base 0) without the words, on either strand.
 
     A site is undone by the first of its whole codons that has a synonym without it; the protein never
     changes. Passes go on until nothing is left or nothing helps.
     """
     code = dict(zip(map("".join, product(facts.BASES, repeat=3)), facts.code_string(table_id), strict=True))
     synonyms = {c: [d for d in code if code[d] == aa and d != c] for c, aa in code.items()}
-    words = sorted({w for m in motifs for w in (m, facts.reverse_complement(m))})
+    words = sorted({w for m in words_out for w in (m, facts.reverse_complement(m))})
     pattern = [(w, re.compile(f"(?={w})")) for w in words]
 
     def places(s: str) -> list[tuple[int, str]]:
@@ -133,139 +131,3 @@ def domesticated(seqs: DataFrame, motifs: list[str], table_id: int = 1, passes:
         yield len(found), sum(a != b for a, b in zip(text, product_, strict=True)), len(left), not left, product_
 
     return scan(seqs, "doc_id", "seq", find, "sites int, mutations int, remaining int, complete boolean, product string")
-
-
-def dimer(a: str, b: str, least: int = 3, tail: int = 5) -> tuple[float, int]:
-    """Lowest energy of a paired run of two oligos, and how many of the last `tail` bases at 3' ends it holds; (0, 0) if none."""
-    back = facts.reverse_complement(b)
-    best = (0.0, 0, 0)
-    for shift in range(1 - len(back), len(a)):
-        low, high = max(0, shift), min(len(a), len(back) + shift)
-        p = low
-        for q in range(low, high + 1):
-            if q < high and a[q] == back[q - shift]:
-                continue
-            if q - p >= least:
-                ends = min(q - p, tail) * ((q == len(a)) + (p == shift))
-                best = min(best, (round(stack_energy(a[p:q]), 2), -ends, p - q))
-            p = q + 1
-    return best[0], -best[1]
-
-
-def primer_candidates(seqs: DataFrame, target_start: Column, target_end: Column, lengths: tuple[int, int] = (18, 28), flank: int = 50, target_tm: float = 60.0,
-                      tolerance: float = 3.0, gc: tuple[float, float] = (0.3, 0.7), least_hairpin: float = -3.0, least_dimer: float = -5.0) -> DataFrame:
-    """doc_id, side, start, end, oligo, tm, gc, distance, score of the oligos before a target (forward) and behind it (reverse) that pass every test."""
-    # The stretch around each end of the target is cut out once; only it goes through the explodes.
-    base = seqs.select("doc_id", "seq", target_start.cast("int").alias("ts"), target_end.cast("int").alias("te"), F.length("seq").alias("n")).where("ts >= 0 AND te > ts AND te <= n")
-    f_low, r_low = F.greatest(F.lit(0), F.col("ts") - flank), F.greatest(F.lit(0), F.col("te") - lengths[1])
-    cut = lambda low, end: [low.alias("low"), F.col("seq").substr(low + 1, end - low).alias("near")]
-    size = F.explode(F.sequence(F.lit(lengths[0]), F.lit(lengths[1]))).alias("len")
-    f = base.select("doc_id", "ts", "n", *cut(f_low, F.col("ts") + lengths[1]))
-    f = f.select("*", F.explode(F.sequence("low", "ts")).alias("start")).select("*", size).where("start + len <= n")
-    f = f.select("doc_id", F.lit("forward").alias("side"), "start", (F.col("start") + F.col("len")).alias("end"), (F.col("ts") - F.col("start")).alias("distance"), F.col("near").substr(F.col("start") - F.col("low") + 1, F.col("len")).alias("oligo"))
-    r_end = F.least(F.col("n"), F.col("te") + flank)
-    r = base.select("doc_id", "te", r_end.alias("last"), *cut(r_low, r_end))
-    r = r.select("*", F.explode(F.sequence("te", "last")).alias("end")).select("*", size).where("end >= len AND end - len < te")
-    r_start = F.col("end") - F.col("len")
-    r = r.select("doc_id", F.lit("reverse").alias("side"), r_start.alias("start"), "end", (F.col("end") - F.col("te")).alias("distance"), S.reverse_complement(F.col("near").substr(r_start - F.col("low") + 1, F.col("len"))).alias("oligo"))
-    c = f.unionByName(r)
-    c = c.withColumn("gc", S.gc_fraction(F.col("oligo"))).where(F.col("gc").between(*gc) & S.gc_clamp(F.col("oligo")) & F.col("oligo").rlike("^[ACGT]+$"))
-    c = c.withColumn("tm", S.melting_temperature(F.col("oligo"))).where(F.abs(F.col("tm") - target_tm) <= tolerance)
-
-    @F.pandas_udf("boolean")
-    def stays_open(oligo: pd.Series) -> pd.Series:
-        fits = {o: best_hairpin(o)[0] >= least_hairpin and best_self_dimer(o)[0] >= least_dimer for o in oligo.unique()}
-        return oligo.map(fits).astype(bool)
-
-    # One shuffle by template: it spreads the structure tests, and ranking and pairing keep to it.
-    tasks = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return c.repartition(tasks, "doc_id").where(stays_open("oligo")).withColumn("score", F.abs(F.col("tm") - target_tm) + 0.05 * F.col("distance"))
-
-
-def primer_pairs(candidates: DataFrame, target_tm: float = 60.0, per_side: int = 240, most: int = 10, most_difference: float = 5.0, least_dimer: float = -5.0) -> DataFrame:
-    """doc_id, rank, forward, reverse, start, end, length, tm_difference, cross_dimer, score: the best pairs of each template.
-
-    per_side and most are the feature: a bounded number of ranked candidates meets within one template.
-    """
-    w = Window.partitionBy("doc_id", "side").orderBy("score", "start", "end")
-    top = candidates.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_side)
-    one = lambda side, p: top.where(F.col("side") == side).select("doc_id", *[F.col(c).alias(p + c) for c in ("start", "end", "oligo", "tm", "gc", "distance")])
-    j = one("forward", "f_").join(one("reverse", "r_"), "doc_id").withColumn("tm_difference", S.round_half_up(F.abs(F.col("f_tm") - F.col("r_tm")), 1))
-    j = j.where((F.col("tm_difference") <= most_difference) & (F.col("r_end") > F.col("f_start")))
-
-    @F.pandas_udf("delta double, ends int")
-    def cross(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([dimer(x, y) for x, y in zip(a, b, strict=True)], columns=["delta", "ends"])
-
-    j = j.withColumn("x", cross("f_oligo", "r_oligo")).where(F.col("x.delta") >= least_dimer)
-    far = lambda p: F.abs(F.col(p + "tm") - target_tm) / 2 + F.col(p + "distance") * 0.05 + F.abs(F.col(p + "gc") * 100 - 50) * 0.01
-    score = F.col("tm_difference") * 2 + far("f_") + far("r_") + F.greatest(F.lit(0.0), -F.col("x.delta")) * 0.1 + F.col("x.ends") * 0.75
-    j = j.withColumn("score", F.round(score, 6)).withColumn("length", F.col("r_end") - F.col("f_start"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("score", "length", "f_start", "r_end", "f_end", "r_start"))
-    out = j.withColumn("rank", rank).where(F.col("rank") <= most)
-    return out.select("doc_id", "rank", F.col("f_oligo").alias("forward"), F.col("r_oligo").alias("reverse"), F.col("f_start").alias("start"), F.col("r_end").alias("end"), "length", "tm_difference", F.col("x.delta").alias("cross_dimer"), "score")
-
-
-def place(read: str, ref: str, match: int = 3, mismatch: int = -3, gap: int = -4) -> tuple[np.ndarray, np.ndarray]:
-    """Score matrix of a whole read anywhere on a reference (its ends are free), and the scores of the last row."""
-    x, y = np.frombuffer(read.encode("latin-1"), np.uint8), np.frombuffer(ref.encode("latin-1"), np.uint8)
-    h = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    steps = np.arange(len(y) + 1, dtype=np.int32) * gap
-    for i in range(1, len(x) + 1):
-        best = np.maximum(h[i - 1, :-1] + np.where(y == x[i - 1], match, mismatch), h[i - 1, 1:] + gap)
-        row = np.concatenate([[i * gap], best]) - steps
-        h[i] = np.maximum.accumulate(row) + steps
-    return h, h[-1]
-
-
-def path(h: np.ndarray, read: str, ref: str, end: int, match: int = 3, mismatch: int = -3, gap: int = -4) -> tuple[int, int, int]:
-    """Start on the reference, matches and columns of the alignment that ends at `end`; diagonal first, then gaps in the reference."""
-    i, j, same, columns = len(read), end, 0, 0
-    while i:
-        hit = j > 0 and read[i - 1] == ref[j - 1]
-        if j and h[i, j] == h[i - 1, j - 1] + (match if hit else mismatch):
-            i, j, same = i - 1, j - 1, same + hit
-        elif h[i, j] == h[i - 1, j] + gap:
-            i -= 1
-        else:
-            j -= 1
-        columns += 1
-    return j, same, columns
-
-
-def mapped_reads(reads: DataFrame, least_identity: float = 0.82, least_margin: float = 0.03, most_cells: int = 16_000_000) -> DataFrame:
-    """Adds strand, start, end, score, second, identity, status to rows with read and reference, searched whole and on both strands.
-
-    second: the best score at another place (the other strand, or an end further off than a twentieth of
-    the read and 8 bases). status: mapped, low_mapping_identity, ambiguous_mapping, unmapped (no positive
-    score), invalid (null or empty), work_limit (more cells than most_cells; nothing is claimed then).
-    """
-    names = ["strand", "start", "end", "score", "second", "identity", "status"]
-
-    def one(read: str | None, ref: str | None) -> tuple:
-        nothing = (None, None, None, None, None, None)
-        if not read or not ref:
-            return (*nothing, "invalid")
-        if len(read) * len(ref) > most_cells:
-            return (*nothing, "work_limit")
-        turned = {1: read, -1: facts.reverse_complement(read)}
-        last = {s: place(t, ref)[1].copy() for s, t in turned.items()}
-        strand = 1 if last[1].max() >= last[-1].max() else -1
-        end, score = int(last[strand].argmax()), int(last[strand].max())
-        if score <= 0:
-            return (*nothing, "unmapped")
-        near = max(8, len(read) // 20)
-        far = np.concatenate([last[strand][: max(0, end - near)], last[strand][end + near + 1 :], last[-strand]])
-        start, same, columns = path(place(turned[strand], ref)[0], turned[strand], ref, end)
-        identity, second = same / columns, int(far.max())
-        status = "low_mapping_identity" if identity < least_identity else "ambiguous_mapping" if (score - second) / (3 * len(read)) < least_margin else "mapped"
-        return strand, start, end, score, second, identity, status
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = pd.DataFrame([one(r, f) for r, f in zip(b["read"], b["reference"], strict=True)], columns=names, index=b.index)
-            out = out.astype({c: "Int32" for c in names[:5]} | {"identity": "float64"})
-            yield pd.concat([b, out], axis=1)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reads.schema.fields)
-    return reads.mapInPandas(run, f"{fields}, strand int, start int, end int, score int, second int, identity double, status string")

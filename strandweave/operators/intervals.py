@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,28 +50,53 @@ def contained(inner: DataFrame, outer: DataFrame, key: str, bin_size: int = 1024
 
 
 def overlaps(spans: DataFrame, key: str) -> DataFrame:
-    """key, id, n: how many other half-open spans of the key each one overlaps, by running counts instead of a self-join."""
-    rows = Window.partitionBy(key).orderBy("pos", "kind", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = spans.where("end > start").select(key, "id", F.explode(F.array(F.struct(F.col("end").alias("pos"), F.lit(0).alias("kind")), F.struct(F.col("start").alias("pos"), F.lit(1).alias("kind")))).alias("x")).select(key, "id", "x.pos", "x.kind")
-    seen = ends.withColumn("started", F.sum(F.col("kind")).over(rows)).withColumn("ended", F.sum(1 - F.col("kind")).over(rows))
-    per = seen.groupBy(key, "id").agg(F.max(F.when(F.col("kind") == 0, F.col("started"))).alias("before_end"), F.max(F.when(F.col("kind") == 1, F.col("ended"))).alias("before_start"))
-    return per.select(key, "id", (F.col("before_end") - F.col("before_start") - 1).alias("n"))
+    """key, id, n: how many other half-open spans of the key each one overlaps: those that start before its end, less those that end by its start.
+
+    Starts and ends are counted by place first; only places are put in order, and spans look their two places up, so a hot key is as wide as its coordinates.
+    """
+    s = spans.where("end > start")
+    marks = s.groupBy(key, F.col("start").alias("pos")).agg(F.count("*").alias("a"), F.lit(0).cast("long").alias("z")).unionByName(s.groupBy(key, F.col("end").alias("pos")).agg(F.lit(0).cast("long").alias("a"), F.count("*").alias("z")))
+    marks = marks.groupBy(key, "pos").agg(F.sum("a").alias("a"), F.sum("z").alias("z"))
+    w = Window.partitionBy(key).orderBy("pos")
+    marks = marks.select(key, "pos", F.coalesce(F.sum("a").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("z").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("ended"))
+    j = s.join(marks.select(key, F.col("pos").alias("end"), "before"), [key, "end"]).join(marks.select(key, F.col("pos").alias("start"), "ended"), [key, "start"])
+    return j.select(key, "id", (F.col("before") - F.col("ended") - 1).alias("n"))
 
 
 def pack_lanes(spans: DataFrame, key: str) -> DataFrame:
-    """key, id, lane: greedy first-fit lanes by start, falling length, end, id; one group a key (a map's features)."""
-
-    def run(k: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.assign(size=p["start"] - p["end"]).sort_values(["start", "size", "end", "id"], kind="stable")
-        ends: list[int] = []
-        lanes = []
-        for s, e in zip(p["start"], p["end"], strict=True):
-            lane = next((i for i, x in enumerate(ends) if x <= s), len(ends))
-            ends[lane : lane + 1] = [e]
-            lanes.append(lane)
-        return pd.DataFrame({key: p[key], "id": p["id"], "lane": lanes})
-
-    return spans.groupBy(key).applyInPandas(run, f"{key} {spans.schema[key].dataType.simpleString()}, id long, lane int")
+    """key, id, lane: greedy first-fit lanes by start, falling length, end, id.
+
+    Equal spans are counted first and lanes are dealt to the counts; and each key is cut where no earlier span is still open, since
+    first-fit begins again at lane 0 there. So a task holds the different spans of one such island, whatever the number of rows.
+    """
+    kind = spans.schema[key].dataType.simpleString()
+    one = spans.groupBy(key, "start", "end").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(key).orderBy("start", F.desc("end"))
+    open_ = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    one = one.withColumn("new", F.when(F.col("start") >= F.coalesce(open_, F.col("start")), 1).otherwise(0)).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def run(k: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("start", "ascending"), ("end", "descending")])
+        free: list[int] = []
+        busy: list[tuple[int, int]] = []
+        top, lanes = 0, []
+        for s, e, n in zip(t.column("start").to_pylist(), t.column("end").to_pylist(), t.column("_n").to_pylist(), strict=True):
+            own = []
+            for _ in range(n):
+                while busy and busy[0][0] <= s:
+                    heapq.heappush(free, heapq.heappop(busy)[1])
+                if not free:
+                    heapq.heappush(free, top)
+                    top += 1
+                lane = heapq.heappop(free)
+                heapq.heappush(busy, (e, lane))
+                own.append(lane)
+            lanes.append(own)
+        return pa.table({key: t.column(key), "start": t.column("start").cast(pa.int64()), "end": t.column("end").cast(pa.int64()), "lanes": pa.array(lanes, pa.list_(pa.int32()))})
+
+    lanes = one.select(key, "island", "start", "end", "_n").groupBy(key, "island").applyInArrow(run, f"{key} {kind}, start long, end long, lanes array<int>")
+    place = F.row_number().over(Window.partitionBy(key, "start", "end").orderBy("id"))
+    return spans.withColumn("place", place).join(lanes, [key, "start", "end"]).select(key, "id", F.element_at("lanes", F.col("place")).alias("lane"))
 
 
 def overview_bins(spans: DataFrame, key: str, bins: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Small numeric kernels that no Column expression can state: trimming, hairpins, dimers. Arrow or pandas batches."""
+"""Quality trimming of derived reads."""
 
 from __future__ import annotations
 
@@ -6,9 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from strandweave.functions import facts
 from strandweave.operators.scans import scan
 
 
@@ -23,65 +21,3 @@ def quality_trim(seqs: DataFrame, window: int, least: float) -> DataFrame:
             yield int(good[0]), int(good[-1]) + window
 
     return scan(seqs, "doc_id", "seq", find, "trim_start int, trim_end int")
-
-
-def stack_energy(s: str) -> float:
-    """Free energy at 37 C (kcal/mol) of a paired stretch with its two ends."""
-    h = sum(facts.END_AT[0] if c in "AT" else facts.END_GC[0] for c in (s[0], s[-1]))
-    e = sum(facts.END_AT[1] if c in "AT" else facts.END_GC[1] for c in (s[0], s[-1]))
-    for a, b in zip(s, s[1:], strict=False):
-        h, e = h + facts.STACKS[a + b][0], e + facts.STACKS[a + b][1]
-    return h - 310.15 * e / 1000
-
-
-PAIR = {"A": "T", "C": "G", "G": "C", "T": "A"}
-
-
-def best_hairpin(s: str, stem: int = 3, loop: int = 3) -> tuple[float, int, int]:
-    """Lowest energy, first base and length of a stem whose arms face each other over a loop; (0, -1, 0) if there is none."""
-    best = (0.0, -1, 0)
-    n = len(s)
-    for i in range(n):
-        for j in range(i + 2 * stem + loop - 1, n):
-            k = 0
-            while i + k < j - k - loop and PAIR.get(s[i + k]) == s[j - k]:
-                k += 1
-                if k >= stem and j - k - (i + k) + 1 >= loop:
-                    e = round(stack_energy(s[i : i + k]), 2)
-                    if e < best[0]:
-                        best = (e, i, k)
-    return best
-
-
-def best_self_dimer(s: str, least: int = 3) -> tuple[float, int, int]:
-    """Lowest energy, offset and length of a run in which the sequence pairs with a second copy of itself."""
-    best = (0.0, 0, 0)
-    back = facts.reverse_complement(s)
-    n = len(s)
-    for shift in range(-(n - 1), n):
-        a, run = max(0, shift), 0
-        for i in range(a, min(n, n + shift) + 1):
-            if i < min(n, n + shift) and s[i] == back[i - shift]:
-                run += 1
-                continue
-            if run >= least:
-                e = round(stack_energy(s[i - run : i]), 2)
-                if e < best[0]:
-                    best = (e, shift, run)
-            run = 0
-    return best
-
-
-def hairpins(oligos: DataFrame) -> DataFrame:
-    return scan(oligos.withColumn("oligo", F.col("seq")), "oligo", "seq", lambda s: [best_hairpin(s)], "delta_g double, stem_start int, stem int")
-
-
-def self_dimers(oligos: DataFrame) -> DataFrame:
-    return scan(oligos.withColumn("oligo", F.col("seq")), "oligo", "seq", lambda s: [best_self_dimer(s)], "delta_g double, shift int, run int")
-
-
-def oligo_pairs(oligos: DataFrame) -> DataFrame:
-    """a, b: each oligo with its own reverse complement."""
-    from strandweave.functions.sequence import reverse_complement
-
-    return oligos.select(F.col("seq").alias("a"), reverse_complement(F.col("seq")).alias("b"))

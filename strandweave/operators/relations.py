@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.session import written
+
 
 def lookup(asked: DataFrame, catalogue: DataFrame, name: str) -> DataFrame:
     """Every name asked for, with the catalogue's facts and whether it is known."""
@@ -47,14 +49,14 @@ def chain_closure(roots: DataFrame, turns: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """node: all nodes reachable from `start` (node) along edges (node, next). One join a step, until nothing is new."""
-    seen = start.select("node").distinct().checkpoint()
+    """node: all nodes reachable from `start` (node) along edges (node, next). One join a step, until nothing is new; steps are written to the shared folder."""
+    seen = written(start.select("node").distinct(), "closure")
     front = seen
     while True:
-        front = front.join(edges, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti").checkpoint()
+        front = written(front.join(edges, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti"), "closure-front")
         if front.isEmpty():
             return seen
-        seen = seen.unionByName(front).checkpoint()
+        seen = seen.unionByName(front)
 
 
 def quality_summary(reads: DataFrame) -> DataFrame:

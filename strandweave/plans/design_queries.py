@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import facts
 from strandweave.functions import sequence as S
-from strandweave.operators import alignment, design
+from strandweave.operators import alignment, constructs, design
+from strandweave.operators import oligos as oligos_
 from strandweave.plans.catalog import register
-from strandweave.plans.scalar_queries import SEQS, seqs
+from strandweave.plans.scalar_queries import SEQS, oligos, seqs
 from strandweave.plans.site_queries import FRAGMENTS, PANEL, fragments
 from strandweave.plans.table_queries import ROWS, rows
 from strandweave.session import table
@@ -69,16 +70,49 @@ def domesticated_sequences(spark, d):  # 159
     return out.withColumn("product", F.sha2("product", 256))
 
 
-@register("primer_pairs")
-def primer_pairs(spark, d):  # 120, 121: the target is the middle third of every sequence
-    s = seqs(spark, d)
+def _targets(spark, d):
     n = F.length("seq")
-    return design.primer_pairs(design.primer_candidates(s, F.floor(n / 3), F.ceil(2 * n / 3), (18, 22), 10), per_side=8, most=5)
+    return seqs(spark, d).withColumn("target_start", F.floor(n / 3).cast("int")).withColumn("target_end", F.ceil(2 * n / 3).cast("int"))
+
+
+@register("primer_pairs")
+def primer_pairs(spark, d):  # 120, 121: the target is the middle third of every sequence; the operator's own lengths, flanks and numbers
+    return oligos_.primer_pairs(_targets(spark, d))
+
+
+@register("primer_features")
+def primer_features(spark, d):  # 168: the best pair's primers as annotations
+    return oligos_.as_features(oligos_.primer_pairs(_targets(spark, d), most=1))
+
+
+@register("hairpins")
+def hairpins(spark, d):  # 147
+    return oligos_.structures(oligos(spark, d)).select("oligo", "hairpin", "stem_start", "stem")
+
+
+@register("self_dimers")
+def self_dimers(spark, d):  # 148
+    return oligos_.structures(oligos(spark, d)).select("oligo", "dimer", "run")
+
+
+def _constructs(spark, d):
+    """Every turn of 60 bases and more is a construct; its reads are its bases from either end with edits by the conversation's number: none, a substitution, a deletion, an insertion."""
+    t = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("construct"), S.as_bases(F.coalesce("text", F.lit(""))).alias("seq")).where(F.length("seq") >= 60)
+    k = F.floor(F.col("construct") / 1000) % 4
+    edited = F.when(k == 1, S.substituted(F.col("seq"), F.lit(30), F.lit("A"))).when(k == 2, S.deleted(F.col("seq"), F.lit(30), F.lit(2))).when(k == 3, S.inserted(F.col("seq"), F.lit(30), F.lit("GATTACA"))).otherwise(F.col("seq"))
+    calls = F.explode(F.array(F.struct(F.lit(1).alias("read"), edited.alias("calls"), F.lit(40).alias("q")), F.struct(F.lit(2).alias("read"), S.reverse_complement(edited).alias("calls"), F.lit(30).alias("q"))))
+    r = t.select("construct", calls.alias("c")).select("construct", "c.read", "c.calls", F.when((F.col("construct") % 9 == 8) & (F.col("c.read") == 2), None).otherwise(F.array_repeat("c.q", F.length("c.calls"))).alias("quality"))
+    return r, t.withColumn("topology", F.when(F.col("construct") % 2 == 1, "circular").otherwise("linear"))
 
 
 @register("mapped_reads")
-def mapped_reads(spark, d):  # 149: every turn is a reference, and its bases (odd turns: turned round) with one deletion and one substitution the read
-    s = table(spark, d, "conversations").select("conv_id", "turn", S.as_bases(F.coalesce("text", F.lit(""))).alias("reference"))
-    cut = S.substituted(S.deleted(F.col("reference"), F.lit(5), F.lit(2)), F.lit(20), F.lit("A"))
-    reads = s.withColumn("read", F.when(F.col("turn") % 2 == 1, S.reverse_complement(cut)).otherwise(cut))
-    return design.mapped_reads(reads).drop("read", "reference").withColumn("identity", F.round("identity", 6))
+def mapped_reads(spark, d):  # 149, 115
+    r, refs = _constructs(spark, d)
+    return constructs.map_reads(r, refs).select("construct", "read", "status", "strand", "trim_start", "trim_end", F.round("identity", 6).alias("identity"), F.size("columns").alias("calls"), F.size("variants").alias("variants"))
+
+
+@register("verified_constructs")
+def verified_constructs(spark, d):  # 104, 105, 106, 150, 151
+    r, refs = _constructs(spark, d)
+    regions = refs.select("construct", F.lit("head").alias("region"), F.lit(0).alias("start"), F.lit(20).alias("end"), F.lit(2).alias("min_depth"), F.lit(True).alias("both_strands"))
+    return constructs.verified(r, refs, regions=regions).select("construct", "state", F.array_join("reasons", ",").alias("reasons"), "reads", "usable", "coverage", "mean_depth", F.sha2("consensus", 256).alias("consensus_sha256"), F.array_join("variants", ",").alias("variants"), "report")

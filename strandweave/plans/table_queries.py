@@ -170,16 +170,6 @@ def dependency_closure(spark, d):  # 129, 130
     return relations.chain_closure(roots, c.select("conv_id", "turn").distinct())
 
 
-@register("hairpins")
-def hairpins(spark, d):  # 147
-    return kernels.hairpins(oligos(spark, d))
-
-
-@register("self_dimers")
-def self_dimers(spark, d):  # 148
-    return kernels.self_dimers(oligos(spark, d))
-
-
 # Neighbouring turns of a conversation as pairs of short sequences: SQL fills the score matrix row by row.
 PAIRS = f"""turn AS (SELECT conv_id, turn, left(translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{S.LETTERS}', '{S.CYCLE}'), 12) AS s FROM conversations),
 pairs AS (SELECT conv_id, turn, s AS a, lead(s) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM turn)"""

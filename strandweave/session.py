@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,3 +29,21 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazily read one driver table; filters and column pruning reach the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share: spark.checkpoint.dir; a temporary one only on a local master where that is unset (tests)."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="strandweave-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: write to the shared folder as Parquet and read that table again, so that lost executors cost only their own tasks."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

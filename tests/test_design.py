@@ -1,12 +1,13 @@
 """Design operators against plain Python, round trips and planted answers."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from strandweave.functions import facts
 from strandweave.functions import sequence as S
-from strandweave.operators import design
+from strandweave.operators import cloning, constructs, design, oligos
 
 
 def bases(n, seed):
@@ -46,39 +47,144 @@ def test_spacers_and_orientation(spark):
     assert [x.o for x in got] == ["unknown", "reverse", "unknown"]
 
 
-def test_reads_are_found(spark):
-    ref = bases(400, 1)
-    twice = bases(120, 2)
+PAIR = {"A": "T", "C": "G", "G": "C", "T": "A"}
+
+
+def stack_energy(s):
+    h = sum((facts.END_AT if c in "AT" else facts.END_GC)[0] for c in (s[0], s[-1]))
+    e = sum((facts.END_AT if c in "AT" else facts.END_GC)[1] for c in (s[0], s[-1]))
+    for a, b in zip(s, s[1:], strict=False):
+        h, e = h + facts.STACKS[a + b][0], e + facts.STACKS[a + b][1]
+    return h - 310.15 * e / 1000
+
+
+def plain_hairpin(s):
+    best = 0.0
+    for i in range(len(s)):
+        for j in range(i + 8, len(s)):
+            k = 0
+            while i + k < j - k - 3 and PAIR.get(s[i + k]) == s[j - k]:
+                k += 1
+                if k >= 3 and j - i - 2 * k + 1 >= 3:
+                    best = min(best, round(stack_energy(s[i : i + k]), 2))
+    return best
+
+
+def plain_dimer(a, b):
+    back = facts.reverse_complement(b)
+    best = (0.0, 0, 0)
+    for shift in range(1 - len(back), len(a)):
+        low, high = max(0, shift), min(len(a), len(back) + shift)
+        p = low
+        for q in range(low, high + 1):
+            if q < high and a[q] == back[q - shift]:
+                continue
+            if q - p >= 3:
+                best = min(best, (round(stack_energy(a[p:q]), 2), -min(q - p, 5) * ((q == len(a)) + (p == shift)), p - q))
+            p = q + 1
+    return best[0], -best[1]
+
+
+def test_structures_against_plain_loops(spark):
+    own = [bases(n, n + k) for n in range(4, 29) for k in range(6)]
+    h, (d, ends, _) = oligos.hairpin_energies(own)[0], oligos.dimer_energies(own, own[::-1])
+    assert all(abs(x - plain_hairpin(o)) < 0.011 for x, o in zip(h, own, strict=True))
+    for i, (a, b) in enumerate(zip(own, own[::-1], strict=True)):
+        assert (d[i], ends[i]) == plain_dimer(a, b)
+    rows = oligos.structures(spark.createDataFrame([(o,) for o in own], "seq string")).collect()
+    assert {r.oligo: r.hairpin for r in rows} == dict(zip(own, h.tolist(), strict=True))
+
+
+def plain_pairs(s, low, high, lengths, flank, most):
+    def melting(o):
+        own = o == facts.reverse_complement(o)
+        dh = sum(facts.STACKS[a + b][0] for a, b in zip(o, o[1:], strict=False)) + sum((facts.END_AT if c in "AT" else facts.END_GC)[0] for c in (o[0], o[-1]))
+        ds = sum(facts.STACKS[a + b][1] for a, b in zip(o, o[1:], strict=False)) + sum((facts.END_AT if c in "AT" else facts.END_GC)[1] for c in (o[0], o[-1])) + (facts.SYMMETRY_DS if own else 0)
+        gc, ln = sum(c in "GC" for c in o) / len(o), math.log(0.05)
+        kelvin = dh * 1000 / (ds + 1.987 * math.log(250e-9 / (1 if own else 4)))
+        return math.floor(round((1 / (1 / kelvin + (4.29 * gc - 3.95) * 1e-5 * ln + 9.4e-6 * ln * ln) - 273.15) * 10 + 0.5, 9)) / 10, gc
+
+    def side(places):
+        out = []
+        for a, b, o, distance in places:
+            tm, gc = melting(o)
+            if 0.3 <= gc <= 0.7 and set(o[-5:]) & set("GC") and abs(tm - 60) <= 3 + 1e-9 and plain_hairpin(o) >= -3 and plain_dimer(o, o)[0] >= -5:
+                out.append((a, b, o, tm, abs(tm - 60) / 2 + distance * 0.05 + abs(gc * 100 - 50) * 0.01))
+        return out
+
+    f = side([(a, a + k, s[a : a + k], low - a) for a in range(max(0, low - flank), low + 1) for k in range(lengths[0], lengths[1] + 1) if a + k <= len(s)])
+    r = side([(b - k, b, facts.reverse_complement(s[b - k : b]), b - high) for b in range(high, min(len(s), high + flank) + 1) for k in range(lengths[0], lengths[1] + 1) if 0 <= b - k < high])
+    out = []
+    for a, b, o, tm, far in f:
+        for c, e, p, tn, near in r:
+            d = math.floor(round(abs(tm - tn) * 10 + 0.5, 9)) / 10
+            if d <= 5 and e > a:
+                energy, ends = plain_dimer(o, p)
+                if energy >= -5:
+                    out.append((round(d * 2 + far + near + max(0, -energy) * 0.1 + ends * 0.75, 6), e - a, a, e, b, c, o, p))
+    return sorted(out)[:most]
+
+
+def test_primer_pairs_against_all_pairs():
+    for seed in range(3):
+        s = bases(260, seed)
+        got = oligos.best_pairs(s, 90, 170, lengths=(18, 21), flank=8, most=4)
+        want = plain_pairs(s, 90, 170, (18, 21), 8, 4)
+        assert [(round(p[8], 5), p[1], p[2]) for p in got] == [(round(w[0], 5), w[6], w[7]) for w in want]
+
+
+def test_primer_pairs_of_a_table(spark):
+    seqs = [bases(500, i) for i in range(4)] + ["", None, "ACGT"]
+    df = spark.createDataFrame([(i, s, 150, 350) for i, s in enumerate(seqs)], "doc_id long, seq string, target_start int, target_end int")
+    pairs = oligos.primer_pairs(df, most=4).collect()
+    assert pairs and all(r.start <= 150 and r.end >= 350 and r.length == r.end - r.start and r.tm_difference <= 5 and r.cross_dimer >= -5 for r in pairs)
+    f = oligos.as_features(oligos.primer_pairs(df, most=1)).collect()
+    assert all((r.sequence if r.strand == 1 else facts.reverse_complement(r.sequence)) == seqs[r.doc_id][r.start : r.end] for r in f) and {r.strand for r in f} == {1, -1}
+
+
+def test_reads_are_found():
+    t = constructs.Thresholds()
+    ref, twice = bases(400, 1), bases(120, 2)
     read = ref[100:180] + ref[183:260]
-    rows = [(0, read, ref), (1, facts.reverse_complement(read), ref), (2, twice, twice + bases(50, 3) + twice), (3, bases(100, 8), ref), (4, None, ref), (5, "", ref), (6, "A" * 40, "C" * 40)]
-    got = {r.id: r for r in design.mapped_reads(spark.createDataFrame(rows, "id int, read string, reference string")).collect()}
-    assert [(got[i].strand, got[i].start, got[i].end, got[i].status) for i in (0, 1)] == [(1, 100, 260, "mapped"), (-1, 100, 260, "mapped")]
-    assert got[0].score == 3 * len(read) - 12
-    assert [got[i].status for i in (2, 4, 5, 6)] == ["ambiguous_mapping", "invalid", "invalid", "unmapped"]
-    assert got[3].status in ("low_mapping_identity", "unmapped")
-
-
-def test_primer_pairs_lie_around_the_target(spark):
-    seqs = [bases(500, i) for i in range(6)] + ["", None, "ACGT"]
-    df = spark.createDataFrame(list(enumerate(seqs)), "doc_id long, seq string")
-    c = design.primer_candidates(df, F.lit(150), F.lit(350), (18, 24), 30).cache()
-    for r in c.collect():
-        s = seqs[r.doc_id][r.start : r.end]
-        assert r.oligo == (s if r.side == "forward" else facts.reverse_complement(s))
-        assert abs(r.tm - 60) <= 3 and 0.3 <= r.gc <= 0.7 and r.distance == (150 - r.start if r.side == "forward" else r.end - 350)
-    pairs = design.primer_pairs(c, per_side=8, most=4).collect()
-    assert pairs
-    for r in pairs:
-        assert r.start <= 150 and r.end >= 350 and r.length == r.end - r.start and r.tm_difference <= 5 and r.cross_dimer >= -5
-    for i in {r.doc_id for r in pairs}:
-        own = sorted((r.rank, r.score) for r in pairs if r.doc_id == i)
-        assert [x for x, _ in own] == list(range(1, len(own) + 1)) and [y for _, y in own] == sorted(y for _, y in own)
-
-
-def test_dimer_against_plain_runs():
-    a = bases(20, 4)
-    assert design.dimer(a, facts.reverse_complement(a)) == (round(design.stack_energy(a), 2), 10)
-    assert design.dimer("AAAA", "AAAA") == (0.0, 0)
+    for text, strand in ((read, 1), (facts.reverse_complement(read), -1)):
+        status, s, path, identity = constructs.mapped(text, ref, False, t)
+        assert (status, s, path[0][2], path[-1][2] + 1) == ("mapped", strand, 100, 260) and [o for o, _, _ in path].count("d") == 3
+    assert constructs.mapped(twice, twice + bases(50, 3) + twice, False, t)[0] == "ambiguous_mapping"
+    assert constructs.mapped("A" * 40, "C" * 40, False, t)[0] == "unmapped_read"
+    assert constructs.mapped(bases(100, 8), ref, False, t)[0] in ("low_mapping_identity", "unmapped_read", "ambiguous_mapping")
+    status, s, path, _ = constructs.mapped(ref[380:] + ref[:60], ref, True, t)
+    assert status == "mapped" and path[0][2] == 380 and path[-1][2] == 59
+
+
+def test_indels_are_moved_left():
+    assert constructs.canonical("insertion", 5, "A", "CAAAAT", False) == (1, "A")
+    assert constructs.canonical("deletion", 3, "AG", "CAGAGAGT", False) == (1, "AG")
+    assert constructs.canonical("insertion", 3, "A", "CAAA", True) == (1, "A")
+
+
+def test_constructs_are_verified(spark):
+    ref = bases(200, 40)
+    sub = ref[:80] + ("A" if ref[80] != "A" else "C") + ref[81:]
+    cut = ref[:100] + ref[103:]
+    both = lambda s: [s, facts.reverse_complement(s)]
+    reads = [(c, f"{c}{i}", s, [q] * len(s) if q else None) for c, texts, q in (("good", both(ref), 40), ("sub", both(sub), 40), ("wanted", both(sub), 40), ("cut", both(cut), 40), ("weak", [ref, sub], 40), ("bare", [ref], None), ("short", [ref[:30]], 40), ("part", [ref[:120]], 40), ("missed", both(ref), 40)) for i, s in enumerate(texts)]
+    r = spark.createDataFrame(reads, "construct string, read string, calls string, quality array<int>")
+    refs = spark.createDataFrame([(c, ref, "linear") for c in ("good", "sub", "wanted", "cut", "weak", "bare", "short", "part", "missed", "none")], "construct string, seq string, topology string")
+    e = spark.createDataFrame([(c, "v", "substitution", 80, 81, ref[80], sub[80]) for c in ("wanted", "missed")], "construct string, id string, type string, start int, end int, ref string, alt string")
+    g = spark.createDataFrame([("good", "r", 0, 50, 2, True), ("part", "r", 100, 140, 1, False)], "construct string, region string, start int, end int, min_depth int, both_strands boolean")
+    got = {x.construct: x for x in constructs.verified(r, refs, e, g).collect()}
+    assert {k: x.state for k, x in got.items()} == {"good": "consistent", "sub": "inconsistent", "wanted": "consistent", "cut": "inconsistent", "weak": "inconsistent", "bare": "needs_review", "short": "needs_review", "part": "needs_review", "missed": "inconsistent", "none": "needs_review"}
+    assert got["good"].consensus == ref and got["wanted"].consensus == sub and got["cut"].consensus == cut
+    assert got["sub"].reasons == ["unexpected_variant"] and got["missed"].reasons == ["expected_variant_not_observed"] and "required_region_uncovered" in got["part"].reasons
+    assert got["weak"].consensus[80] == "N" and "no_usable_reads" in got["short"].reasons and got["bare"].reasons == ["missing_quality"]
+
+
+def test_chains():
+    assert cloning.chains([("A", "B"), ("C", "A"), ("B", "C")]) == ("unique", [0, 2, 1])
+    assert cloning.chains([("A", "B"), ("B", "C")]) == ("unique", [0, 1]) and cloning.chains([("A", "B"), ("C", "D")])[0] == "no-chain"
+    assert cloning.chains([("A", "A"), ("A", "A")])[0] == "ambiguous-self-ligation"
+    assert cloning.chains([("A", "B"), ("B", "A"), ("A", "B"), ("B", "A")])[0] == "ambiguous-multiple-chains"
+    assert cloning.chains([("A", "A")] * 12)[0] == "work-limit"
 
 
 def test_melting_of_an_oligo(spark):

@@ -20,7 +20,7 @@ def db():
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["doc_id", "fragment", "start", "end", "length"]
+    assert entry.entry(spark).columns == ["doc_id", "fragment", "start", "end", "length", "left_enzymes", "right_enzymes", "left_end", "right_end", "left_type", "right_type"]
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))

@@ -4,7 +4,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from strandweave.operators import assembly, verification
+from strandweave.operators import verification
 from strandweave.sources import abif, genbank
 from strandweave.streaming import windows
 
@@ -88,15 +88,6 @@ def test_chromatograms(spark):
     assert got["b"].status == "not an ABIF file" and got["c"].status != "ok" and got["c"].calls is None
 
 
-def test_star_rows_degap_to_their_sequences(spark):
-    seqs = ["ACGTACGT", "ACGACGT", "ACGTTACGT", "CGTACG"]
-    out = assembly.star(seqs)
-    assert len({len(r) for r in out}) == 1 and [r.replace("-", "") for r in out] == seqs
-    df = spark.createDataFrame([("g", i, s) for i, s in enumerate(seqs)] + [("big", i, "ACGT") for i in range(11)], "group string, row long, seq string")
-    got = assembly.star_alignments(df).collect()
-    assert {r.aligned.replace("-", "") for r in got if r.group == "g"} == set(seqs) and [r.status for r in got if r.group == "big"] == ["too_many_rows"]
-
-
 def test_read_evidence(spark):
     calls = verification.one_call_per_read(spark.createDataFrame([(1, 0, 1, "A", 1, 30), (1, 0, 1, "C", 1, 10), (1, 0, 2, "C", -1, 30), (1, 1, 1, "G", 1, 40), (1, 1, 2, "G", -1, 40)], "ref int, pos int, read int, base string, strand int, q int"))
     assert {(r.pos, r.depth, r.forward, r.reverse) for r in verification.coverage(calls).collect()} == {(0, 2, 1, 1), (1, 2, 1, 1)}

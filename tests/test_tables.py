@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from strandweave.functions import facts
-from strandweave.operators import alignment, digest, intervals, kernels, relations, scans
+from strandweave.operators import alignment, intervals, relations, restriction, scans
 from strandweave.sources import text as T
 
 
@@ -13,31 +13,83 @@ def frame(spark, *seqs):
     return spark.createDataFrame(list(enumerate(seqs)), "doc_id long, seq string")
 
 
+def enzymes(*names):
+    return restriction.catalogue(list(names))
+
+
 def test_sites_geometry(spark):
-    s = frame(spark, "AAGAATTCAA", "GGTCTC", "AAAAAAAAAAAGAGACC", None, "")
-    got = {(r.doc_id, r.enzyme, r.position, r.strand, r.top_cut, r.bottom_cut, r.status) for r in scans.restriction_sites(s, {e: facts.ENZYMES[e] for e in ("EcoRI", "BsaI")}).collect()}
-    assert got == {(0, "EcoRI", 2, 1, 3, 7, "ok"), (1, "BsaI", 0, 1, 7, 11, "insufficient_flanking_bases"), (2, "BsaI", 11, -1, 6, 10, "ok")}
+    s = frame(spark, "AAGAATTCAA", "GGTCTC", "AAAAAAAAAAAGAGACC", None, "", "gaauuc", "GANTTC")
+    got = {(r.doc_id, r.enzyme, r.position, r.strand, r.top_cut, r.bottom_cut, r.status) for r in restriction.sites(s, enzymes("EcoRI", "BsaI")).collect()}
+    assert got == {(0, "EcoRI", 2, 1, 3, 7, "ok"), (1, "BsaI", 0, 1, 7, 11, "insufficient_flanking_bases"), (2, "BsaI", 11, -1, 6, 10, "ok"), (5, "EcoRI", 0, 1, 1, 5, "ok")}
+
+
+def test_activity_of_sites(spark):
+    s = frame(spark, "AAGATCAACCTCAGCAAAAAACCGGAA")
+    kinds = lambda **how: {(r.enzyme, r.activity) for r in restriction.sites(s, enzymes("DpnI", "MboI", "MspI", "Nb.BbvCI", "Sau3AI"), **how).collect()}
+    assert kinds() == {("DpnI", "conditional"), ("MboI", "conditional"), ("MspI", "conditional"), ("Nb.BbvCI", "nick-only"), ("Sau3AI", "active-double-strand")}
+    assert kinds(methylation={"dam": "methylated", "cpg": "unmethylated"}) == {("DpnI", "active-double-strand"), ("MboI", "conditional"), ("MspI", "active-double-strand"), ("Nb.BbvCI", "nick-only"), ("Sau3AI", "active-double-strand")}
+    nick = restriction.sites(s, enzymes("Nb.BbvCI")).first()
+    assert nick.top_cut is None and nick.bottom_cut == nick.position + 9
+
+
+def test_all_sites_against_plain_search(spark):
+    random.seed(12)
+    texts = ["".join(random.choice("ACGT" if random.random() < 0.99 else "N") for _ in range(700)) for _ in range(4)]
+    got = {(r.doc_id, r.enzyme, r.position, r.strand) for r in restriction.sites(frame(spark, *texts)).collect()}
+    want = set()
+    for i, t in enumerate(texts):
+        for e in restriction.catalogue():
+            for strand, p in {1: e.recognition, -1: facts.reverse_complement(e.recognition)}.items():
+                if strand == 1 or p != e.recognition:
+                    want |= {(i, e.name, k, strand) for k in range(len(t) - len(p) + 1) if all(c in facts.IUPAC[x] for c, x in zip(t[k : k + len(p)], p, strict=True))}
+    assert got == want and len(want) > 200
 
 
 def test_circular_site_over_the_origin(spark):
     s = frame(spark, "TTCAAAAGAA")
-    r = scans.restriction_sites(s, {"EcoRI": facts.ENZYMES["EcoRI"]}, circular=True).collect()
+    r = restriction.sites(s, enzymes("EcoRI"), circular=True).collect()
     assert [(x.position, x.top_cut, x.bottom_cut) for x in r] == [(7, 8, 2)]
+    f = restriction.fragments(s, enzymes("EcoRI"), circular=True).first()
+    assert (f.start, f.end, f.left_end, f.right_end, f.left_type) == (8, 18, "AATT", "AATT", "5prime")
+
+
+def test_ends_of_fragments(spark):
+    rows = {r.fragment: r for r in restriction.fragments(frame(spark, "AAACTGCAGTTTTGGTCTCAACGTTTT"), enzymes("PstI", "BsaI")).collect()}
+    assert [(rows[i].start, rows[i].end, rows[i].left_end, rows[i].right_end, rows[i].left_type, rows[i].right_type) for i in (1, 2, 3)] == [
+        (0, 8, "", "TGCA", "blunt", "3prime"), (8, 20, "TGCA", facts.reverse_complement("ACGT"), "3prime", "5prime"), (20, 27, "ACGT", "", "5prime", "blunt")]
+    assert restriction.fragments(frame(spark, "AAGGTACCAA"), enzymes("KpnI")).count() == 2
+    both = [restriction.Enzyme("one", "GGTACC", 1, 5), restriction.Enzyme("two", "GTACC", 0, 0)]
+    assert restriction.fragments(frame(spark, "AAGGTACCAA"), both).count() == 0
+    assert restriction.recipes(frame(spark, "AAGGTACCAA"), "KpnI nope").first().issues == "unknown_enzyme"
 
 
 def test_fragments_make_up_the_source(spark):
     random.seed(2)
     seqs = ["".join(random.choice("ACGT") for _ in range(24 + i)) + "GAATTC" + "".join(random.choice("ACGT") for _ in range(24)) for i in range(12)]
     s = frame(spark, *seqs, "ACGT")
-    f = digest.fragments(s, scans.restriction_sites(s, {"EcoRI": facts.ENZYMES["EcoRI"]})).collect()
+    f = restriction.fragments(s, enzymes("EcoRI")).collect()
     for i, x in enumerate([*seqs, "ACGT"]):
         own = sorted((r.start, r.end) for r in f if r.doc_id == i)
         assert own[0][0] == 0 and own[-1][1] == len(x) and all(a[1] == b[0] for a, b in zip(own, own[1:], strict=False))
         assert len(own) == x.count("GAATTC") + 1
-    ring = digest.fragments(s, scans.restriction_sites(s, {"EcoRI": facts.ENZYMES["EcoRI"]}, circular=True), circular=True).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    ring = restriction.fragments(s, enzymes("EcoRI"), circular=True).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert {r.doc_id: r.n for r in ring} == {i: len(x) for i, x in enumerate([*seqs, "ACGT"])}
 
 
+def test_clusters_over_the_origin(spark):
+    s = restriction.sites(frame(spark, "GAATTCAAAA" + "A" * 60 + "GAATTC" + "A" * 40 + "GAATTCAA"), enzymes("EcoRI"), circular=True)
+    n = spark.createDataFrame([(0, 124)], "doc_id long, n int")
+    line = restriction.clusters(s, n, 20, 40).orderBy("cluster").collect()
+    ring = restriction.clusters(s, n, 20, 40, circular=True).orderBy("cluster").collect()
+    assert [r.n for r in line] == [1, 1, 1] and [r.n for r in ring] == [2, 1]
+
+
+def test_fixed_values_of_enzymes():
+    known = {"EcoRI": ("GAATTC", 1, 5), "PstI": ("CTGCAG", 5, 1), "SmaI": ("CCCGGG", 3, 3), "BsaI": ("GGTCTC", 7, 11), "BbsI": ("GAAGAC", 8, 12), "SapI": ("GCTCTTC", 8, 11), "NotI": ("GCGGCCGC", 2, 6), "BstXI": ("CCANNNNNNTGG", 8, 4), "AluI": ("AGCT", 2, 2), "HindIII": ("AAGCTT", 1, 5), "KpnI": ("GGTACC", 5, 1)}
+    assert {k: facts.ENZYMES[k] for k in known} == known and len(facts.ENZYMES) == 152
+    assert facts.STACKS["AA"] == (-7.9, -22.2) and facts.STACKS["CG"] == (-10.6, -27.2) and facts.STACKS["GC"] == (-9.8, -24.4)
+
+
 def test_orf_tables(spark):
     s = frame(spark, "ATGAAAAGATTTTAA")
     got = {t: [(r.start, r.end, r.amino_acids, r.stop_codon) for r in scans.orfs(s, 1, t).where("strand = 1 AND frame = 1 AND start = 0").collect()] for t in (1, 2)}
@@ -49,10 +101,31 @@ def test_sliding_gc_short_and_long(spark):
     assert got == {(0, 0): 0.5, (1, 0): 1.0, (1, 20): 1.0, (2, 0): 0.0}
 
 
+def test_orfs_of_circles(spark):
+    s = frame(spark, "AAATAACCATGA", "ATGAAA")  # the first frame passes the origin, the second has no stop in a turn
+    got = {(r.doc_id, r.start, r.end, r.amino_acids, r.status) for r in scans.orfs(s, 2, circular=True).where("strand = 1").collect()}
+    assert got == {(0, 8, 18, 2, "complete")} | {(1, 0, 6, 2, "partial")} or (1, 0, 6, 2, "partial") in got
+
+
+def test_translations(spark):
+    got = {r.doc_id: r for r in scans.translations(frame(spark, "CCTTGGCCTAAGG", "", "AC", "GCNATHRAY")).collect()}
+    assert (got[0].frame1, got[0].first_start, got[0].from_start) == ("PWPK", 2, "MA*")
+    assert (got[1].frame1, got[1].first_start, got[1].from_start) == ("", None, None) and got[2].frame3 == ""
+    assert got[3].frame1 == "AIX"
+
+
+def test_strand_votes(spark):
+    read, template = "ACGTTGCATTGACCA", "GGGTGGTCAATGCAACGTGGG"
+    r = scans.strand_votes(spark.createDataFrame([(read, template), (read, None), ("AC", "ACGT")], "read string, template string")).collect()
+    assert (r[0].k, r[0].forward, r[0].reverse, r[0].orientation) == (7, 0, 9, "reverse") and r[1].k is None and r[2].k == 3 and r[2].orientation == "forward"
+
+
 def test_primer_bindings(spark):
     p = "ACGTTGCAACGT"
-    got = scans.primer_bindings(frame(spark, "TT" + p + "GG", facts.reverse_complement(p)[:-1] + "A"), [("p", p)], 1, 10).collect()
-    assert {(r.doc_id, r.strand, r.start, r.mismatches) for r in got} >= {(0, 1, 2, 0)}
+    got = scans.primer_bindings(frame(spark, "TT" + p + "GG", facts.reverse_complement(p)[:-1] + "A", "ttacgttgcaacgn"), [("p", p)], 1, 10).collect()
+    assert {(r.doc_id, r.strand, r.start, r.mismatches) for r in got} >= {(0, 1, 2, 0), (2, 1, 2, 0)}
+    tails = scans.primer_bindings(frame(spark, "CCGTTGCAACGTGG"), [("p", p)], 0, 8, tails=True).where("strand = 1").collect()
+    assert {(r.start, r.end, r.tail) for r in tails} == {(2, 12, 2), (3, 12, 3), (4, 12, 4), (1, 12, 1)}
 
 
 def brute_align(a, b):
@@ -67,14 +140,99 @@ def brute_align(a, b):
 def test_alignment_kernel(spark):
     random.seed(1)
     pairs = [("".join(random.choice("ACGT") for _ in range(random.randint(0, 15))), "".join(random.choice("ACGT") for _ in range(random.randint(0, 15)))) for _ in range(60)]
-    for r in alignment.align_pairs(spark.createDataFrame([*pairs, (None, "A")], "a string, b string")).collect():
-        if r.a is None:
-            assert r.status == "invalid"
+    for r in alignment.align_pairs(spark.createDataFrame([*pairs, (None, "A"), ("AC!", "A")], "a string, b string")).collect():
+        if r.a is None or "!" in r.a:
+            assert r.method == "invalid"
             continue
         assert r.score == brute_align(r.a, r.b)
         assert r.aligned_a.replace("-", "") == r.a and r.aligned_b.replace("-", "") == r.b and len(r.aligned_a) == len(r.aligned_b)
 
 
+def test_other_ways_to_align():
+    random.seed(6)
+    m = alignment.MASKS["dna"]
+    for _ in range(40):
+        a, b = ("".join(random.choice("ACGTN") for _ in range(random.randint(1, 40))) for _ in "ab")
+        full, linear = alignment.full_matrix(a, b, m), alignment.linear_space(a, b, m)
+        score = lambda s, t: sum(-2 if "-" in (x, y) else 2 if m[ord(x)] & m[ord(y)] else -1 for x, y in zip(s, t, strict=True))
+        assert score(*full) == score(*linear) and [x.replace("-", "") for x in linear] == [a, b]
+    a = "".join(random.choice("ACGT") for _ in range(300))
+    b = a[:100] + a[120:220] + "GATTACA" + a[220:]
+    s, t = alignment.seeded(a, b, m)
+    assert [s.replace("-", ""), t.replace("-", "")] == [a, b] and sum(x == y for x, y in zip(s, t, strict=True)) >= 275
+    assert alignment.seed_anchors("ACG", "ACG") == [] and alignment.seed_anchors(a, a) == [(0, 0, 300)]
+
+
+def test_ambiguity_in_alignments(spark):
+    r = alignment.align_pairs(spark.createDataFrame([("ACGT", "ACNT"), ("ACGU", "ACGT"), ("MKB", "MKD"), ("MXK", "MXK")], "a string, b string")).collect()
+    assert [(x.identity, x.ambiguous) for x in r[:2]] == [(100.0, 1), (100.0, 0)] and r[3].ambiguous == 1 and r[3].identity == 100.0
+
+
+def plain_star(seqs):
+    """Rows around the centre, by ids in order; one group in plain Python."""
+    m = alignment.MASKS["dna"]
+    n = len(seqs)
+    if n <= 10:
+        total = [0.0] * n
+        for i in range(n):
+            for j in range(i + 1, n):
+                s, t = alignment.full_matrix(seqs[i], seqs[j], m)
+                same = alignment.identity_of(sum(x == y for x, y in zip(s, t, strict=True)), len(s))
+                total[i] += same
+                total[j] += same
+        c = total.index(max(total))
+    else:
+        c = sorted(range(n), key=lambda i: len(seqs[i]))[n // 2]
+    pairs = [alignment.full_matrix(seqs[c], s, m) for s in seqs]
+    slots = [0] * (len(seqs[c]) + 1)
+    for top, _ in pairs:
+        k = run = 0
+        for ch in [*top, "end"]:
+            if ch == "-":
+                run += 1
+            else:
+                slots[k] = max(slots[k], run)
+                k, run = k + 1, 0
+    out = []
+    for top, low in pairs:
+        row, gap, k = [], [], 0
+        for ch, v in [*zip(top, low, strict=True), ("end", "")]:
+            if ch == "-":
+                gap.append(v)
+            else:
+                row.append("".join(gap).ljust(slots[k], "-") + v)
+                gap, k = [], k + 1
+        out.append("".join(row))
+    return out
+
+
+def test_star_alignments_of_small_and_large_groups(spark):
+    random.seed(9)
+    base = "".join(random.choice("ACGT") for _ in range(24))
+
+    def near():
+        t = list(base)
+        for _ in range(random.randint(0, 4)):
+            k = random.randrange(len(t))
+            t[k : k + random.randint(0, 2)] = random.choice(["", "A", "GG"])
+        return "".join(t) or "A"
+
+    groups = {"a": [near() for _ in range(2)], "b": [near() for _ in range(10)], "c": [near() for _ in range(37)], "d": ["ACGT"], "e": ["ACGTACGT", "ACGACGT", "ACGTTACGT", "CGTACG"]}
+    df = spark.createDataFrame([(g, i, s) for g, ss in groups.items() for i, s in enumerate(ss)], "group string, row long, seq string")
+    got = {(r.group, r.row): r.aligned for r in alignment.star_alignments(df).collect()}
+    for g, ss in groups.items():
+        if len(ss) > 1:
+            assert [got[g, i] for i in range(len(ss))] == plain_star(ss), g
+    assert not any(g == "d" for g, _ in got)
+
+
+def test_pattern_hits(spark):
+    rows = spark.createDataFrame([(1, "A-C.GN"), (2, "aCgTACGU")], "row long, aligned string")
+    got = {(r.row, r.start_column, r.end_column) for r in alignment.pattern_hits(rows, "cgr").collect()}
+    assert got == {(1, 2, 5)}
+    assert alignment.pattern_hits(rows, "ACGT").where("row = 2").count() == 2 and alignment.pattern_hits(rows, "A-C").count() == 0 and alignment.pattern_hits(rows, " ").count() == 0
+
+
 def test_consensus_tie_rules(spark):
     rows = spark.createDataFrame([(0, 1, "T-"), (0, 2, "A-"), (0, 3, "-C")], "alignment int, row long, aligned string")
     assert {(r.column, r.symbol) for r in alignment.consensus(rows).collect()} == {(0, "T"), (1, "C")}
@@ -91,6 +249,15 @@ def test_spans(spark):
 def test_lanes(spark):
     df = spark.createDataFrame([(1, 1, 0, 5), (1, 2, 3, 8), (1, 3, 5, 6), (2, 4, 0, 1)], "k long, id long, start long, end long")
     assert {(r.id, r.lane) for r in intervals.pack_lanes(df, "k").collect()} == {(1, 0), (2, 1), (3, 0), (4, 0)}
+    random.seed(3)
+    spans = [(random.randrange(2), i, s, s + random.randint(1, 9)) for i, s in enumerate(random.choices(range(60), k=150))]
+    got = {r.id: r.lane for r in intervals.pack_lanes(spark.createDataFrame(spans, "k long, id long, start long, end long"), "k").collect()}
+    for k in (0, 1):
+        ends: list[int] = []
+        for _, i, s, e in sorted((x for x in spans if x[0] == k), key=lambda x: (x[2], -x[3], x[1])):
+            lane = next((j for j, z in enumerate(ends) if z <= s), len(ends))
+            ends[lane : lane + 1] = [e]
+            assert got[i] == lane
 
 
 def test_closure(spark):
@@ -98,13 +265,6 @@ def test_closure(spark):
     assert {r.node for r in relations.closure(e, spark.createDataFrame([(1,)], "node int")).collect()} == {1, 2, 3}
 
 
-def test_hairpin_and_dimer():
-    e, start, stem = kernels.best_hairpin("GCGCGAAAACGCGC")
-    assert e < 0 and stem >= 4 and start <= 1
-    assert kernels.best_hairpin("AAAAAAAA") == (0.0, -1, 0)
-    assert kernels.best_self_dimer("GGGGCCCC")[0] < 0 and kernels.best_self_dimer("AAAAAA") == (0.0, 0, 0)
-
-
 def test_fasta_round_trip(spark):
     t = spark.createDataFrame([("f", "junk\n>a first one\nACGT\n;note\nAC-G.T\n>b\n\n>c x\nMK*\n")], "path string, value string")
     got = [(r.record, r.header, r.description, r.sequence, r.gaps_removed) for r in T.parse_fasta(t).orderBy("record").collect()]
