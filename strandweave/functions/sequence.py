@@ -69,6 +69,15 @@ def dna_mass(seq: Column, mode: str = "average", five_phosphate: bool = True, th
     return F.when(n > 0, round_half_up(mass, 2)).otherwise(F.lit(0.0))
 
 
+def mean_dna_mass(seq: Column, mode: str = "average") -> Column:
+    """Mass of a linear 5' phosphate strand whose ambiguous bases count as the mean of what they may be; null for other symbols."""
+    m, water = facts.NUCLEOTIDE_MASS[mode], facts.NUCLEOTIDE_WATER[mode]
+    s = F.upper(seq)
+    total = reduce(lambda a, b: a + b, [count_of(s, k) * F.lit(sum(m[x] for x in v) / len(v)) for k, v in facts.IUPAC.items()])
+    mass = round_half_up(total - (F.length(s) - 1) * F.lit(water), 2)
+    return F.when(s == "", 0.0).when(s.rlike("^[" + "".join(facts.IUPAC) + "]+$"), mass)
+
+
 def protein_mass(letters: Column) -> Column:
     known = [count_of(letters, a) for a in facts.RESIDUE_MASS]
     total = reduce(lambda a, b: a + b, [c * F.lit(m) for c, m in zip(known, facts.RESIDUE_MASS.values(), strict=True)])
@@ -172,6 +181,18 @@ def prosite_regex(pattern: str) -> str:
     return "".join(out)
 
 
+def prosite_regex_or_none(pattern: str, most_repeat: int = 5000) -> str | None:
+    """The same, but None for a syntax error or a repeat beyond the limit."""
+    import re
+
+    if any(int(n) > most_repeat for n in re.findall(r"[0-9]+", pattern)):
+        return None
+    try:
+        return prosite_regex(pattern)
+    except ValueError:
+        return None
+
+
 def iupac_regex(pattern: str) -> str:
     return "".join(b if len(b := facts.IUPAC[c]) == 1 else f"[{b}]" for c in pattern.upper())
 

@@ -67,6 +67,27 @@ def logo(rows: DataFrame) -> DataFrame:
     return c.select("alignment", "column", F.array_join(F.transform("s", lambda x: F.concat(x["symbol"], F.lit(":"), (-x["m"]).cast("string"))), ",").alias("stack"))
 
 
+def logo_heights(rows: DataFrame, alphabet: int = 4, start: int = 0, end: int | None = None) -> DataFrame:
+    """alignment, column, information, symbol, fraction, place: the stack of each column of the window, tallest first; information is occupancy times what the column's spread leaves of the alphabet's."""
+    c = column_counts(rows).where((F.col("column") >= start) & (F.lit(True) if end is None else F.col("column") < end))
+    s = column_stats(rows, alphabet).select("alignment", "column", F.col("conservation").alias("information"), F.col("occupancy"))
+    k = c.groupBy("alignment", "column").agg(F.sum("n").alias("k"))
+    place = F.row_number().over(Window.partitionBy("alignment", "column").orderBy(F.desc("n"), "symbol"))
+    return c.join(k, ["alignment", "column"]).join(s, ["alignment", "column"]).select("alignment", "column", "information", "symbol", (F.col("n") / F.col("k")).alias("fraction"), place.alias("place"))
+
+
+def identities(rows: DataFrame) -> DataFrame:
+    """alignment, row, identity: percent (one decimal) of the columns with a majority residue in which a row fits it; a gap does not, an ambiguous symbol that may stand for it does."""
+    major = consensus(rows).groupBy("alignment").agg(F.array_sort(F.collect_list(F.struct("column", "symbol"))).alias("m"))
+    text = F.array_join(F.transform("m", lambda x: x["symbol"]), "")
+    j = rows.join(major.select("alignment", F.transform("m", lambda x: x["column"]).alias("at"), text.alias("major")), "alignment")
+    mask = F.create_map(*[F.lit(x) for k, v in NUCLEOTIDE_SETS.items() for x in (k, sum(1 << "ACGT".index(b) for b in v))])
+    own = F.array_join(F.transform("at", lambda i: F.rpad(F.substring("aligned", i + 1, F.lit(1)), 1, "-")), "")
+    j = j.withColumn("own", own)
+    fits = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size("at"), F.lit(1))), lambda i: F.coalesce(F.try_element_at(mask, F.substring("own", i, F.lit(1))).bitwiseAND(F.try_element_at(mask, F.substring("major", i, F.lit(1)))) != 0, F.lit(False))))
+    return j.select("alignment", "row", (F.floor(fits / F.size("at") * 1000 + 0.5) / 10).alias("identity"))
+
+
 def consensus(rows: DataFrame) -> DataFrame:
     """alignment, column, symbol: the majority of non-gap symbols; ties to the one that the first row shows."""
     return column_counts(rows).groupBy("alignment", "column").agg(F.max_by("symbol", F.struct("n", -F.col("first_row"))).alias("symbol"))

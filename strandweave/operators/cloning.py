@@ -291,3 +291,24 @@ def gibson(fragments: DataFrame, low: int = 15, high: int = 60, circular: bool =
     errors = F.when(F.col("n") < 2, "too_few_fragments").when(F.col("missing") > 0, "no_overlap").when(F.length(closed) == 0, "closing_overlap_consumes_product").otherwise("")
     texts = F.array_compact("x.text")
     return g.select("design", (errors == "").alias("success"), errors.alias("errors"), F.array_join(F.transform(F.array_compact("x.k"), lambda k: k.cast("string")), ",").alias("overlaps"), "low_tm", "alternate", (F.size(texts) - F.size(F.array_distinct(texts))).alias("reused"), F.when(errors == "", closed).otherwise("").alias("product"))
+
+
+def gibson_plans(fragments: DataFrame, low: int = 15, high: int = 60, circular: bool = False) -> DataFrame:
+    """design, plan: the assembly as canonical JSON: its method, fragments by the hash of their bases in order, overlaps, and the product's hash (null where it fails)."""
+    parts = fragments.groupBy("design").agg(F.array_sort(F.collect_list(F.struct("ord", F.sha2(F.upper("seq"), 256).alias("sha256")))).alias("fragments"))
+    g = gibson(fragments, low, high, circular).join(parts, "design")
+    body = F.struct(F.lit("gibson").alias("method"), F.lit("circular" if circular else "linear").alias("topology"), "fragments", "overlaps", "errors", F.when(F.col("success"), F.sha2("product", 256)).alias("product_sha256"))
+    return g.select("design", F.to_json(body).alias("plan"))
+
+
+def golden_gate_plans(parts: DataFrame, enzyme: str = "BsaI", kit: str | None = None) -> DataFrame:
+    """design, plan: the assembly as canonical JSON: enzyme, parts by hash in their given order, the order found, overhangs, how they fit the kit, state, and the product's hash."""
+    own = parts.groupBy("design").agg(F.array_sort(F.collect_list(F.struct("ord", "name", F.sha2(F.upper("seq"), 256).alias("sha256")))).alias("inputs"))
+    a = golden_gate(parts, enzyme).join(own, "design")
+    if kit is not None:
+        sites_ = F.array(*map(F.lit, KITS[kit]))
+        a = a.withColumn("outside_kit", F.array_join(F.filter(F.split("overhangs", ","), lambda x: (x != "") & ~F.array_contains(sites_, x)), ","))
+    else:
+        a = a.withColumn("outside_kit", F.lit(""))
+    body = F.struct(F.lit("golden_gate").alias("method"), F.lit(type_iis(enzyme).name).alias("enzyme"), "inputs", "status", "reason", F.col("parts").alias("order"), "overhangs", "outside_kit", F.when(F.col("status") == "ready", F.sha2("product", 256)).alias("product_sha256"))
+    return a.select("design", F.to_json(body).alias("plan"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import facts
 from strandweave.functions import sequence as S
+from strandweave.operators import scans
 from strandweave.plans.catalog import register
 from strandweave.session import table
 
@@ -32,10 +33,18 @@ def n_sql(s: str, x: str) -> str:
     return f"(length({s}) - length(replace({s}, '{x}', '')))"
 
 
-@register("alphabet_inspection", f"WITH {LETTERS}, x AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split(regexp_replace(replace(s, 'U', 'T'), '[ACGTRYSWKMBDHVN]', '', 'g'), ''), lambda x: x <> ''))) AS bad FROM letters) SELECT doc_id, CASE WHEN len(bad) > 0 THEN array_to_string(bad, '') END AS invalid, len(bad) > 0 AS is_invalid FROM x")
-def alphabet_inspection(spark, d):  # 29
-    bad = F.array_sort(F.filter(S.invalid_symbols(F.col("s")), lambda x: x != ""))
-    return letters(spark, d).select("doc_id", F.when(F.size(bad) > 0, F.array_join(bad, "")).alias("invalid"), (F.size(bad) > 0).alias("is_invalid"))
+@register("alphabet_inspection", f"""WITH {LETTERS}, c AS (SELECT doc_id, unnest(range(length(s))) AS p, unnest(string_split(replace(s, 'U', 'T'), '')) AS c FROM letters WHERE s <> ''), f AS (SELECT doc_id, c, min(p) AS p FROM c GROUP BY ALL)
+SELECT doc_id, coalesce(string_agg(c, '' ORDER BY p) FILTER (NOT contains('ACGTRYSWKMBDHVN', c)), '') AS invalid, coalesce(bool_or(contains('RYSWKMBDHVN', c)), FALSE) AS ambiguous FROM letters LEFT JOIN f USING (doc_id) GROUP BY doc_id""")
+def alphabet_inspection(spark, d):  # 29: invalid symbols in the order first seen
+    return letters(spark, d).select("doc_id", F.array_join(S.invalid_symbols(F.col("s")), "").alias("invalid"), F.translate("s", "U", "T").rlike("[RYSWKMBDHVN]").alias("ambiguous"))
+
+
+@register("mean_dna_mass", f"""WITH {LETTERS}, w AS (SELECT DISTINCT upper(x) AS s FROM (SELECT unnest(string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' ')) AS x FROM documents WHERE text IS NOT NULL) WHERE regexp_full_match(upper(x), '[ACGTRYSWKMBDHVN]+')),
+m AS (SELECT s, list_sum(list_transform(string_split(s, ''), lambda c: CASE c WHEN 'A' THEN 331.2218::DOUBLE WHEN 'C' THEN 307.1971::DOUBLE WHEN 'G' THEN 347.2212::DOUBLE WHEN 'T' THEN 322.2085::DOUBLE WHEN 'R' THEN (331.2218::DOUBLE + 347.2212::DOUBLE) / 2 WHEN 'Y' THEN (307.1971::DOUBLE + 322.2085::DOUBLE) / 2 WHEN 'S' THEN (307.1971::DOUBLE + 347.2212::DOUBLE) / 2 WHEN 'W' THEN (331.2218::DOUBLE + 322.2085::DOUBLE) / 2 WHEN 'K' THEN (347.2212::DOUBLE + 322.2085::DOUBLE) / 2 WHEN 'M' THEN (331.2218::DOUBLE + 307.1971::DOUBLE) / 2
+  WHEN 'B' THEN (307.1971::DOUBLE + 347.2212::DOUBLE + 322.2085::DOUBLE) / 3 WHEN 'D' THEN (331.2218::DOUBLE + 347.2212::DOUBLE + 322.2085::DOUBLE) / 3 WHEN 'H' THEN (331.2218::DOUBLE + 307.1971::DOUBLE + 322.2085::DOUBLE) / 3 WHEN 'V' THEN (331.2218::DOUBLE + 307.1971::DOUBLE + 347.2212::DOUBLE) / 3 ELSE (331.2218::DOUBLE + 307.1971::DOUBLE + 347.2212::DOUBLE + 322.2085::DOUBLE) / 4 END::DOUBLE)) - (length(s) - 1) * 18.015::DOUBLE3::DOUBLE AS mass FROM w) SELECT s, floor(mass * 100 + 0.5) / 100 AS mass FROM m""")
+def mean_dna_mass(spark, d):  # 35: ambiguous bases as their mean
+    w = table(spark, d, "documents").where("text IS NOT NULL").select(F.explode(F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " ")).alias("x")).select(F.upper("x").alias("s")).where(F.col("s").rlike("^[ACGTRYSWKMBDHVN]+$")).distinct()
+    return w.select("s", S.mean_dna_mass(F.col("s")).alias("mass"))
 
 
 @register("reverse_complement", f"WITH {SEQS} SELECT doc_id, sha256(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc_sha256, sha256(translate(seq, 'ACGT', 'TGCA')) AS c_sha256 FROM seqs")
@@ -111,6 +120,23 @@ def salt_corrected_tm(spark, d):  # 39
     return oligos(spark, d).select("seq", S.melting_temperature(F.col("seq")).alias("tm"))
 
 
+def _magnesium_sql(na: float, mg: float, dntp: float) -> str:
+    """Owczarzy's corrections with magnesium, free of dNTPs, as SQL over kelvin, gc and n; constants as published."""
+    free = f"((-(1 + 3e4 * ({dntp} - {mg})) + sqrt(pow(1 + 3e4 * ({dntp} - {mg}), 2) + 4 * 3e4 * {mg})) / (2 * 3e4))"
+    a, d, g = ("3.92e-5 * (0.843 - 0.352 * sqrt(na) * ln(na))", "1.42e-5 * (1.279 - 4.03e-3 * ln(na) - 8.03e-3 * ln(na) * ln(na))", "8.31e-5 * (0.486 - 0.258 * ln(na) + 5.25e-3 * pow(ln(na), 3))")
+    full = lambda a, d, g: f"1 / kelvin + {a} - 9.11e-6 * ln(mg) + gc * (6.26e-5 + {d} * ln(mg)) + (1 / (2.0 * (n - 1))) * (-4.82e-4 + 5.25e-4 * ln(mg) + {g} * ln(mg) * ln(mg))"
+    inverse = f"CASE WHEN sqrt(mg) / na < 6 THEN {full(a, d, g)} ELSE {full('3.92e-5', '1.42e-5', '8.31e-5')} END"
+    return f"(SELECT floor((1 / ({inverse}) - 273.15) * 10 + 0.5) / 10 FROM (SELECT {na}::DOUBLE AS na, {free}::DOUBLE AS mg))"
+
+
+@register("magnesium_tm", f"""WITH {_pairs_sql()}, k AS (SELECT seq, length(seq)::DOUBLE AS n, dh / (ds + 1.987 * ln(250e-9 / CASE WHEN own THEN 1 ELSE 4 END)) AS kelvin, ({n_sql('seq', 'G')} + {n_sql('seq', 'C')})::DOUBLE / length(seq) AS gc FROM thermo WHERE length(seq) >= 14)
+SELECT seq, {_magnesium_sql(0.05, 0.002, 0.0008)} AS mixed, {_magnesium_sql(0.001, 0.002, 0.0008)} AS magnesium FROM k""")
+def magnesium_tm(spark, d):  # 39: the mixed and the magnesium branch
+    o = oligos(spark, d).where(F.length("seq") >= 14)
+    return o.select("seq", S.melting_temperature(F.col("seq"), 50, 2, 250, 0.8).alias("mixed"), S.melting_temperature(F.col("seq"), 1, 2, 250, 0.8).alias("magnesium"))
+
+
+
 def _translate_sql(frame: int) -> str:
     code = facts.code_string(1)
     res = f"substr('{code}', CAST(1 + 16 * (instr('TCAG', substr(c, 1, 1)) - 1) + 4 * (instr('TCAG', substr(c, 2, 1)) - 1) + instr('TCAG', substr(c, 3, 1)) - 1 AS BIGINT), 1)"
@@ -119,7 +145,9 @@ def _translate_sql(frame: int) -> str:
 
 @register("translation_frames", f"WITH {SEQS} SELECT doc_id, " + ", ".join(f"sha256(coalesce({_translate_sql(f)}, '')) AS frame{f + 1}_sha256" for f in range(3)) + ", greatest(length(seq) // 3, 0) AS residues FROM seqs")
 def translation_frames(spark, d):  # 41, 42
-    return seqs(spark, d).select("doc_id", *[F.sha2(S.translate(F.col("seq"), f), 256).alias(f"frame{f + 1}_sha256") for f in range(3)], F.floor(F.length("seq") / 3).alias("residues"))
+    t = scans.translations(seqs(spark, d))
+    n = seqs(spark, d).select("doc_id", F.floor(F.length("seq") / 3).alias("residues"))
+    return t.join(n, "doc_id").select("doc_id", *[F.sha2(f"frame{f}", 256).alias(f"frame{f}_sha256") for f in (1, 2, 3)], "residues")
 
 
 @register("genetic_codes", "SELECT t AS table_id, substr('TCAG', CAST(i // 16 + 1 AS BIGINT), 1) || substr('TCAG', CAST(i // 4 % 4 + 1 AS BIGINT), 1) || substr('TCAG', CAST(i % 4 + 1 AS BIGINT), 1) AS codon, substr(code, CAST(i + 1 AS BIGINT), 1) AS aa FROM (VALUES " + ", ".join(f"({t}, '{facts.code_string(t)}')" for t in facts.CODES) + ") c(t, code), generate_series(0, 63) g(i)")
