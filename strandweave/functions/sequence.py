@@ -221,9 +221,13 @@ def variant_label(reference: Column, alternate: Column, start: Column) -> Column
     return F.concat(shown(reference), F.lit(">"), shown(alternate), F.lit(" at "), (start + 1).cast("string"))
 
 
-def residue_class(a: Column, b: Column, masks: dict[str, int]) -> Column:
-    """match, ambiguous or substitution of two symbols; unknown symbols and N are never a match."""
-    m = F.create_map(*[F.lit(x) for kv in masks.items() for x in kv])
-    x, y = F.try_element_at(m, F.translate(F.upper(a), "U", "T")), F.try_element_at(m, F.translate(F.upper(b), "U", "T"))
-    one = (F.bit_count(x) == 1) & (F.bit_count(y) == 1)
-    return F.when(x.isNull() | y.isNull(), "ambiguous").when(one & (x == y), "match").when(x.bitwiseAND(y) != 0, "ambiguous").otherwise("substitution")
+def residue_class(a: Column, b: Column, protein: bool = False) -> Column:
+    """match (equal symbols that are no wild card), ambiguous (both may be the same residue) or substitution of two symbols; U and T are one in nucleotides."""
+    sets = {"B": "DN", "Z": "EQ", "J": "IL", "X": "ACDEFGHIKLMNPQRSTVWY", "?": "ACDEFGHIKLMNPQRSTVWY"} if protein else facts.IUPAC | {"?": "ACGT"}
+    letters = [chr(c) for c in range(65, 91)] + ["?", "*"] if protein else list(sets)
+    masks = {k: sum(1 << (ord(c) - 32) for c in sets.get(k, k)) for k in letters}
+    m = F.create_map(*[F.lit(x) for kv in masks.items() for x in (kv[0], F.lit(kv[1]).cast("long"))])
+    one = lambda c: F.upper(c) if protein else F.translate(F.upper(c), "U", "T")
+    x, y = F.try_element_at(m, one(a)), F.try_element_at(m, one(b))
+    wild = one(a).isin("X" if protein else "N", "?")
+    return F.when((one(a) == one(b)) & ~wild, "match").when(F.coalesce(x.bitwiseAND(y) != 0, F.lit(False)), "ambiguous").otherwise("substitution")

@@ -116,6 +116,18 @@ class Finder:
         return {k: v[keep] for k, v in {"text": text, "enzyme": e, "position": p, "strand": strand, "top": t, "bottom": b, "status": status}.items()}
 
 
+def recognition(text: Column, longest: int = 64) -> Column:
+    """A recognition text without white space, in capitals, U as T; null unless it is 1 to `longest` IUPAC symbols."""
+    bare = F.translate(F.upper(F.regexp_replace(text, r"\s", "")), "U", "T")
+    return F.when(bare.rlike("^[" + "".join(facts.IUPAC) + "]+$") & (F.length(bare) <= longest), bare)
+
+
+def sequence(text: Column, longest: int = 1_000_000) -> Column:
+    """A sequence text without white space and numbers, in capitals, U as T; null if other symbols remain or it is too long."""
+    bare = F.translate(F.upper(F.regexp_replace(text, r"[\s0-9]", "")), "U", "T")
+    return F.when(bare.rlike("^[" + "".join(facts.IUPAC) + "]*$") & (F.length(bare) <= longest), bare)
+
+
 def activity(mode: Column, status: Column) -> Column:
     """What a site is good for; sites without these facts cannot be trusted."""
     return (

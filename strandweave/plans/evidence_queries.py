@@ -119,13 +119,21 @@ def rollup_counts(spark, d):  # 111
 
 
 _IUPAC = ", ".join(f"('{k}', {sum(1 << 'ACGT'.index(c) for c in v)})" for k, v in facts.IUPAC.items())
-MASKS = {k: sum(1 << "ACGT".index(c) for c in v) for k, v in facts.IUPAC.items()}
 
 
-@register("residue_classes", f"WITH m(s, x) AS (VALUES {_IUPAC}) SELECT a.s AS a, b.s AS b, CASE WHEN a.x = b.x AND bit_count(a.x) = 1 THEN 'match' WHEN a.x & b.x <> 0 THEN 'ambiguous' ELSE 'substitution' END AS class FROM m a, m b")
+@register("residue_classes", f"WITH m(s, x) AS (VALUES {_IUPAC}) SELECT a.s AS a, b.s AS b, CASE WHEN a.s = b.s AND a.s <> 'N' THEN 'match' WHEN a.x & b.x <> 0 THEN 'ambiguous' ELSE 'substitution' END AS class FROM m a, m b")
 def residue_classes(spark, d):  # 55
-    one = spark.createDataFrame([(k,) for k in MASKS], "a string")
-    return one.withColumn("b", F.explode(F.array(*map(F.lit, MASKS)))).select("a", "b", S.residue_class(F.col("a"), F.col("b"), MASKS).alias("class"))
+    one = spark.createDataFrame([(k,) for k in facts.IUPAC], "a string")
+    return one.withColumn("b", F.explode(F.array(*map(F.lit, facts.IUPAC)))).select("a", "b", S.residue_class(F.col("a"), F.col("b")).alias("class"))
+
+
+_AMINO = "ACDEFGHIKLMNPQRSTVWYBZJX"
+
+
+@register("protein_residue_classes", f"""WITH m AS (SELECT s, CASE s WHEN 'B' THEN ['D', 'N'] WHEN 'Z' THEN ['E', 'Q'] WHEN 'J' THEN ['I', 'L'] WHEN 'X' THEN string_split('ACDEFGHIKLMNPQRSTVWY', '') ELSE [s] END AS x FROM (SELECT unnest(string_split('{_AMINO}', '')) AS s)) SELECT a.s AS a, b.s AS b, CASE WHEN a.s = b.s AND a.s <> 'X' THEN 'match' WHEN list_has_any(a.x, b.x) THEN 'ambiguous' ELSE 'substitution' END AS class FROM m a, m b""")
+def protein_residue_classes(spark, d):  # 55
+    one = spark.createDataFrame([(k,) for k in _AMINO], "a string")
+    return one.withColumn("b", F.explode(F.array(*map(F.lit, _AMINO)))).select("a", "b", S.residue_class(F.col("a"), F.col("b"), True).alias("class"))
 
 
 def _code(spark, table_id):

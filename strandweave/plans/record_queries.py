@@ -307,3 +307,20 @@ def fragment_csv(spark, d):  # 24: number, length, quoted location, segments
 def canonical_json(spark, d):  # 140
     text = F.concat(F.lit('{ "z" : "x", "b": [1, '), F.col("event_id") % 7, F.lit('], "a": '), "event_id", F.lit("}"))
     return table(spark, d, "events").select("event_id", records.canonical_json(text).alias("canonical"))
+
+
+@register("recognition_texts", f"""WITH x AS (SELECT w, replace(upper(replace(w, 'ß', 'ss')), 'U', 'T') AS b FROM {_W}) SELECT w, CASE WHEN regexp_full_match(b, '[ACGTRYSWKMBDHVN]{{1,8}}') THEN b END AS recognition, CASE WHEN regexp_full_match(regexp_replace(b, '[0-9]', '', 'g'), '[ACGTRYSWKMBDHVN]*') THEN regexp_replace(b, '[0-9]', '', 'g') END AS sequence FROM x""")
+def recognition_texts(spark, d):  # 58: recognition texts of eight symbols at most
+    return words(spark, d).select("w", restriction.recognition(F.col("w"), 8).alias("recognition"), restriction.sequence(F.col("w")).alias("sequence"))
+
+
+@register("trace_warnings", f"""WITH {SEQS} SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN 'calls_differ' END, CASE WHEN doc_id % 3 = 1 THEN 'quality_length' END, CASE WHEN doc_id % 4 = 1 THEN 'peaks_length' END, CASE WHEN doc_id % 7 = 2 THEN 'channels_unequal' END) AS warnings FROM seqs WHERE length(seq) >= 20""")
+def trace_warnings(spark, d):  # 12
+    from strandweave.sources import abif
+
+    n = F.col("doc_id")
+    s = seqs(spark, d).where(F.length("seq") >= 20)
+    calls = F.when(n % 5 == 0, F.concat(F.left("seq", F.lit(19)), F.lit("N"))).otherwise(F.left("seq", F.lit(20)))
+    numbers = lambda odd: F.when(odd, F.sequence(F.lit(1), F.lit(19))).otherwise(F.sequence(F.lit(1), F.lit(20)))
+    t = s.select("doc_id", calls.alias("calls"), numbers(n % 3 == 1).alias("quality"), numbers(n % 4 == 1).alias("peaks"), *[numbers((n % 7 == 2) & F.lit(b == "t")).alias(b) for b in "acgt"], F.left("seq", F.lit(20)).alias("record"))
+    return abif.trace_warnings(t).select("doc_id", F.array_join("warnings", ",").alias("warnings"))

@@ -41,7 +41,7 @@ def alphabet_inspection(spark, d):  # 29: invalid symbols in the order first see
 
 @register("mean_dna_mass", f"""WITH {LETTERS}, w AS (SELECT DISTINCT upper(x) AS s FROM (SELECT unnest(string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' ')) AS x FROM documents WHERE text IS NOT NULL) WHERE regexp_full_match(upper(x), '[ACGTRYSWKMBDHVN]+')),
 m AS (SELECT s, list_sum(list_transform(string_split(s, ''), lambda c: CASE c WHEN 'A' THEN 331.2218::DOUBLE WHEN 'C' THEN 307.1971::DOUBLE WHEN 'G' THEN 347.2212::DOUBLE WHEN 'T' THEN 322.2085::DOUBLE WHEN 'R' THEN (331.2218::DOUBLE + 347.2212::DOUBLE) / 2 WHEN 'Y' THEN (307.1971::DOUBLE + 322.2085::DOUBLE) / 2 WHEN 'S' THEN (307.1971::DOUBLE + 347.2212::DOUBLE) / 2 WHEN 'W' THEN (331.2218::DOUBLE + 322.2085::DOUBLE) / 2 WHEN 'K' THEN (347.2212::DOUBLE + 322.2085::DOUBLE) / 2 WHEN 'M' THEN (331.2218::DOUBLE + 307.1971::DOUBLE) / 2
-  WHEN 'B' THEN (307.1971::DOUBLE + 347.2212::DOUBLE + 322.2085::DOUBLE) / 3 WHEN 'D' THEN (331.2218::DOUBLE + 347.2212::DOUBLE + 322.2085::DOUBLE) / 3 WHEN 'H' THEN (331.2218::DOUBLE + 307.1971::DOUBLE + 322.2085::DOUBLE) / 3 WHEN 'V' THEN (331.2218::DOUBLE + 307.1971::DOUBLE + 347.2212::DOUBLE) / 3 ELSE (331.2218::DOUBLE + 307.1971::DOUBLE + 347.2212::DOUBLE + 322.2085::DOUBLE) / 4 END::DOUBLE)) - (length(s) - 1) * 18.015::DOUBLE3::DOUBLE AS mass FROM w) SELECT s, floor(mass * 100 + 0.5) / 100 AS mass FROM m""")
+  WHEN 'B' THEN (307.1971::DOUBLE + 347.2212::DOUBLE + 322.2085::DOUBLE) / 3 WHEN 'D' THEN (331.2218::DOUBLE + 347.2212::DOUBLE + 322.2085::DOUBLE) / 3 WHEN 'H' THEN (331.2218::DOUBLE + 307.1971::DOUBLE + 322.2085::DOUBLE) / 3 WHEN 'V' THEN (331.2218::DOUBLE + 307.1971::DOUBLE + 347.2212::DOUBLE) / 3 ELSE (331.2218::DOUBLE + 307.1971::DOUBLE + 347.2212::DOUBLE + 322.2085::DOUBLE) / 4 END::DOUBLE)) - (length(s) - 1) * 18.0153::DOUBLE AS mass FROM w) SELECT s, floor(mass * 100 + 0.5) / 100 AS mass FROM m""")
 def mean_dna_mass(spark, d):  # 35: ambiguous bases as their mean
     w = table(spark, d, "documents").where("text IS NOT NULL").select(F.explode(F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " ")).alias("x")).select(F.upper("x").alias("s")).where(F.col("s").rlike("^[ACGTRYSWKMBDHVN]+$")).distinct()
     return w.select("s", S.mean_dna_mass(F.col("s")).alias("mass"))

@@ -79,3 +79,13 @@ def read_abif(spark: SparkSession, path: str) -> DataFrame:
 def trimmed_calls(traces: DataFrame) -> DataFrame:
     """Traces whose calls, qualities and peaks have one length each; others are marked."""
     return traces.withColumn("status", F.when((F.size("quality") != F.length("calls")) & (F.size("quality") > 0), "quality_length").when((F.size("peaks") != F.length("calls")) & (F.size("peaks") > 0), "peaks_length").otherwise(F.col("status")))
+
+
+def trace_warnings(traces: DataFrame) -> DataFrame:
+    """traces (calls, quality, peaks, a, c, g, t, record: the sequence they belong to) with warnings: calls unlike the record, unequal lengths, more samples than the limit."""
+    n = F.length("calls")
+    sizes = F.array(*[F.size(b) for b in "acgt"])
+    said = F.array(
+        F.when(F.upper("calls") != F.upper("record"), "calls_differ"), F.when((F.size("quality") > 0) & (F.size("quality") != n), "quality_length"), F.when((F.size("peaks") > 0) & (F.size("peaks") != n), "peaks_length"),
+        F.when(F.size(F.array_distinct(F.filter(sizes, lambda x: x > 0))) > 1, "channels_unequal"), F.when(F.aggregate(sizes, F.lit(0), lambda a, x: a + x) > MOST_SAMPLES, "too_many_samples"))
+    return traces.withColumn("warnings", F.array_compact(said))
