@@ -190,6 +190,34 @@ def shifted(start: Column, end: Column, pos: Column, delta: Column) -> tuple[Col
     return a, F.when(delta >= 0, move(end)).otherwise(F.when(end.isNotNull(), F.greatest(a, down(end))))
 
 
+SCAR = "array<struct<position:int,type:string,text:string>>"
+
+
+def _scar(position: Column, kind: str, text: Column) -> Column:
+    return F.struct(position.cast("int").alias("position"), F.lit(kind).alias("type"), text.alias("text"))
+
+
+def scars_after(seq: Column, scars: Column, edit: str, pos: Column, text: Column | None = None, count: Column | None = None) -> Column:
+    """Scars (position, type, text) of a sequence after a substitution (text: the new base), an insertion behind pos (-1: the front) or a deletion of `count` bases; a place outside changes nothing.
+
+    A substitution takes the place of a scar there and remembers the old base; an insertion moves later scars and leaves one for each base; a deletion takes the scars inside it and leaves one.
+    """
+    n = F.length(seq)
+    moved = lambda x, by: F.struct((x["position"] + by).cast("int").alias("position"), x["type"].alias("type"), x["text"].alias("text"))
+    if edit == "substitution":
+        kept = F.filter(scars, lambda x: x["position"] != pos)
+        return F.when((pos >= 0) & (pos < n), F.concat(kept, F.array(_scar(pos, edit, F.concat(F.substring(seq, (pos + 1).cast("int"), F.lit(1)), F.lit(">"), text))))).otherwise(scars)
+    if edit == "insertion":
+        k = F.length(text)
+        later = F.transform(scars, lambda x: F.when(x["position"] > pos, moved(x, k)).otherwise(moved(x, F.lit(0))))
+        new = F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: _scar(pos + i, edit, F.substring(text, i, F.lit(1))))
+        return F.when((pos >= -1) & (pos < n) & (k > 0), F.concat(later, new)).otherwise(scars)
+    size = F.least(count, n - pos)
+    rest = F.transform(F.filter(scars, lambda x: (x["position"] < pos) | (x["position"] >= pos + size)), lambda x: F.when(x["position"] >= pos, moved(x, -size)).otherwise(moved(x, F.lit(0))))
+    gone = _scar(pos, edit, F.substring(seq, (pos + 1).cast("int"), size.cast("int")))
+    return F.when((pos >= 0) & (pos < n) & (count > 0), F.concat(rest, F.array(gone))).otherwise(scars)
+
+
 def freshness(inputs: DataFrame, records: DataFrame) -> DataFrame:
     """result, state, reasons of saved results from their inputs (result, ord, record, sha256) and the records as they are (record, sha256).
 

@@ -9,7 +9,7 @@ from strandweave.functions import sequence as S
 from strandweave.operators import alignment, constructs, design
 from strandweave.operators import oligos as oligos_
 from strandweave.plans.catalog import register
-from strandweave.plans.scalar_queries import SEQS, oligos, seqs
+from strandweave.plans.scalar_queries import OLIGOS, SEQS, oligos, seqs
 from strandweave.plans.site_queries import FRAGMENTS, PANEL, fragments
 from strandweave.plans.table_queries import ROWS, rows
 from strandweave.session import table
@@ -85,12 +85,20 @@ def primer_features(spark, d):  # 168: the best pair's primers as annotations
     return oligos_.as_features(oligos_.primer_pairs(_targets(spark, d), most=1))
 
 
-@register("hairpins")
+_G = lambda x: f"(list_sum(list_transform(range(1, length({x})), lambda t: CASE substr({x}, t, 2) " + " ".join(f"WHEN '{p}' THEN {h - 310.15 * e / 1000!r}::DOUBLE" for p, (h, e) in facts.STACKS.items()) + f" END)) + " + " + ".join(f"CASE WHEN {side}({x}, 1) IN ('A', 'T') THEN {facts.END_AT[0] - 310.15 * facts.END_AT[1] / 1000!r}::DOUBLE ELSE {facts.END_GC[0] - 310.15 * facts.END_GC[1] / 1000!r}::DOUBLE END" for side in ("left", "right")) + ")"
+
+
+@register("hairpins", f"""WITH {OLIGOS}, a AS (SELECT seq, length(seq) AS n, unnest(range(length(seq))) AS i FROM oligos), b AS (SELECT *, unnest(range(i + 8, n)) AS j FROM a), c AS (SELECT *, unnest(range(3, (j - i - 2) // 2 + 1)) AS k FROM b),
+e AS (SELECT seq, i, k, round({_G('w')}, 2) AS e FROM (SELECT *, substr(seq, i + 1, k) AS w FROM c) WHERE w = reverse(translate(substr(seq, j - k + 2, k), 'ACGT', 'TGCA'))), m AS (SELECT seq, min((e, i, k)) AS x FROM e WHERE e < 0 GROUP BY seq)
+SELECT o.seq AS oligo, coalesce(x[1], 0)::DOUBLE AS hairpin, coalesce(x[2], -1)::INTEGER AS stem_start, coalesce(x[3], 0)::INTEGER AS stem FROM oligos o LEFT JOIN m USING (seq)""")
 def hairpins(spark, d):  # 147
     return oligos_.structures(oligos(spark, d)).select("oligo", "hairpin", "stem_start", "stem")
 
 
-@register("self_dimers")
+@register("self_dimers", f"""WITH {OLIGOS}, o AS (SELECT seq, length(seq) AS n, reverse(translate(seq, 'ACGT', 'TGCA')) AS b FROM oligos), p AS (SELECT *, unnest(range(n)) AS p FROM o), q AS (SELECT *, unnest(range(n)) AS q FROM p), s AS (SELECT * FROM q WHERE substr(seq, p + 1, 1) = substr(b, q + 1, 1) AND (p = 0 OR q = 0 OR substr(seq, p, 1) <> substr(b, q, 1))),
+k AS (SELECT *, unnest(range(3, n - greatest(p, q) + 1)) AS k FROM s), r AS (SELECT *, substr(seq, p + 1, k) AS w FROM k WHERE substr(seq, p + 1, k) = substr(b, q + 1, k) AND (p + k = n OR q + k = n OR substr(seq, p + k + 1, 1) <> substr(b, q + k + 1, 1))),
+e AS (SELECT seq, k, least(k, 5) * ((p + k = n)::INT + (q = 0)::INT) AS held, round({_G('w')}, 2) AS e FROM r), m AS (SELECT seq, min((e, -held, -k)) AS x FROM e WHERE e < 0 GROUP BY seq)
+SELECT o.seq AS oligo, coalesce(x[1], 0)::DOUBLE AS dimer, coalesce(-x[3], 0)::INTEGER AS run FROM oligos o LEFT JOIN m USING (seq)""")
 def self_dimers(spark, d):  # 148
     return oligos_.structures(oligos(spark, d)).select("oligo", "dimer", "run")
 

@@ -324,3 +324,15 @@ def trace_warnings(spark, d):  # 12
     numbers = lambda odd: F.when(odd, F.sequence(F.lit(1), F.lit(19))).otherwise(F.sequence(F.lit(1), F.lit(20)))
     t = s.select("doc_id", calls.alias("calls"), numbers(n % 3 == 1).alias("quality"), numbers(n % 4 == 1).alias("peaks"), *[numbers((n % 7 == 2) & F.lit(b == "t")).alias(b) for b in "acgt"], F.left("seq", F.lit(20)).alias("record"))
     return abif.trace_warnings(t).select("doc_id", F.array_join("warnings", ",").alias("warnings"))
+
+
+@register("edit_scars", f"""WITH {SEQS}, e AS (SELECT doc_id, left(seq, 100) AS s, doc_id % 60 - 2 AS p FROM seqs WHERE length(seq) >= 100)
+SELECT doc_id, CASE WHEN p >= 0 THEN CASE WHEN p = 5 THEN '' ELSE '5x,' END || CASE WHEN p = 30 THEN '' ELSE '30y,' END || p || substr(s, p + 1, 1) || '>N' ELSE '5x,30y' END AS substituted,
+  CASE WHEN p >= -1 THEN CASE WHEN 5 > p THEN 8 ELSE 5 END || 'x,' || CASE WHEN 30 > p THEN 33 ELSE 30 END || 'y,' || (p + 1) || 'G,' || (p + 2) || 'A,' || (p + 3) || 'T' ELSE '5x,30y' END AS inserted,
+  CASE WHEN p >= 0 THEN CASE WHEN 5 < p THEN '5x,' WHEN 5 >= p + 4 THEN '1x,' ELSE '' END || CASE WHEN 30 < p THEN '30y,' WHEN 30 >= p + 4 THEN '26y,' ELSE '' END || p || substr(s, p + 1, 4) ELSE '5x,30y' END AS deleted FROM e""")
+def edit_scars(spark, d):  # 135
+    e = seqs(spark, d).where(F.length("seq") >= 100).select("doc_id", F.left("seq", F.lit(100)).alias("s"), (F.col("doc_id") % 60 - 2).cast("int").alias("p"))
+    start = F.from_json(F.lit('[{"position":5,"type":"substitution","text":"x"},{"position":30,"type":"insertion","text":"y"}]'), records.SCAR)
+    shown = lambda x: F.array_join(F.transform(x, lambda c: F.concat(c["position"], c["text"])), ",")
+    s, p = F.col("s"), F.col("p")
+    return e.select("doc_id", shown(records.scars_after(s, start, "substitution", p, F.lit("N"))).alias("substituted"), shown(records.scars_after(s, start, "insertion", p, F.lit("GAT"))).alias("inserted"), shown(records.scars_after(s, start, "deletion", p, count=F.lit(4))).alias("deleted"))
