@@ -9,7 +9,7 @@ from strandweave.functions import sequence as S
 from strandweave.operators import records, restriction, scans
 from strandweave.plans.catalog import register
 from strandweave.plans.scalar_queries import OLIGOS, SEQS, _translate_sql, n_sql, oligos, seqs
-from strandweave.plans.site_queries import CIRCLES, FRAGMENTS, PANEL, fragments, turns
+from strandweave.plans.site_queries import CIRCLES, FRAGMENTS, PANEL, TURNS, fragments, turns
 from strandweave.session import table
 
 _W = "(SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM documents WHERE text IS NOT NULL)"
@@ -282,7 +282,10 @@ def note_anchors(spark, d):  # 167
     return records.anchor_reviews(n).select("id", "new_start", "new_end", "review")
 
 
-@register("orf_ranges")
+@register("orf_ranges", f"""WITH {TURNS}, b AS (SELECT doc_id, 1 AS strand, length(seq) AS n, seq || seq AS s FROM turns WHERE length(seq) >= 3 UNION ALL SELECT doc_id, -1, length(seq), reverse(translate(seq || seq, 'ACGT', 'TGCA')) FROM turns WHERE length(seq) >= 3),
+c AS (SELECT doc_id, strand, n, p, substr(s, p + 1, 3) AS c FROM (SELECT *, unnest(range(2 * n - 2)) AS p FROM b)), x AS (SELECT *, min(CASE WHEN c IN ('TAA', 'TAG', 'TGA') THEN p END) OVER (PARTITION BY doc_id, strand, p % 3 ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM c),
+o AS (SELECT doc_id, strand, n, p, CASE WHEN stop + 3 <= p + n THEN (stop - p) // 3 ELSE n // 3 END AS aa, CASE WHEN stop + 3 <= p + n THEN stop + 3 ELSE p + 3 * (n // 3) END AS e FROM x WHERE c IN ('TTG', 'CTG', 'ATG')), r AS (SELECT doc_id, strand, n, CASE WHEN strand = 1 THEN p ELSE 2 * n - e END AS a, CASE WHEN strand = 1 THEN e ELSE 2 * n - p END AS z FROM o WHERE aa >= 20)
+SELECT doc_id, strand, part::INTEGER AS part, CASE WHEN part = 0 THEN a ELSE 0 END AS start, CASE WHEN part = 0 THEN least(n, a + least(z - a, n)) ELSE a + least(z - a, n) - n END AS "end" FROM r, range(2) t(part) WHERE a >= 0 AND a < n AND (part = 0 OR a + least(z - a, n) > n)""")
 def orf_ranges(spark, d):  # 76: reading frames of circles as one or two ranges
     from strandweave.operators.intervals import normalise_span
 

@@ -145,7 +145,9 @@ def span_overlaps(spark, d):  # 83
     return intervals.overlaps(spans(spark, d), "k")
 
 
-@register("packed_lanes")
+@register("packed_lanes", f"""WITH RECURSIVE {EV}, o AS MATERIALIZED (SELECT k, id, start, "end" AS e, row_number() OVER (PARTITION BY k ORDER BY start, start - "end", "end", id) AS i FROM ev),
+w AS (SELECT k, id, i, [e] AS ends, 1 AS lane FROM o WHERE i = 1 UNION ALL SELECT k, id, i, CASE WHEN x IS NULL THEN list_append(ends, e) ELSE ends[:x - 1] || [e] || ends[x + 1:] END, coalesce(x, len(ends) + 1) FROM (SELECT o.k, o.id, o.i, o.e, w.ends, nullif(list_position(list_transform(w.ends, lambda z: z <= o.start), TRUE), 0) AS x FROM w JOIN o ON o.k = w.k AND o.i = w.i + 1))
+SELECT k, id, CAST(lane - 1 AS INTEGER) AS lane FROM w""")
 def packed_lanes(spark, d):  # 83
     return intervals.pack_lanes(spans(spark, d), "k")
 
