@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandweave.llm.common import byte_buffer, documents, slices, written
 
-BLOCK = 1024
+BLOCK = 2048
 RATE = 8000
 LPC_ORDER = 4
 SLICE = 1 << 20  # bytes of text or media at work in a task: numpy lanes need some hundred times as much

@@ -214,7 +214,7 @@ def test_encoder_picks_linear_predictors():
     wave = (100 * np.sin(t / 3) + 20 * np.sin(t / 1.7)).astype(np.int64) + 128
     (stream,) = flac.encode(wave.astype(np.uint8), np.array([0, len(wave)]))
     at = flac.stream_parts(stream)[2]
-    assert stream[at + 7] >> 1 >= 32  # the first subframe's type
+    assert stream[at + 8] >> 1 >= 32  # the first subframe's type, behind a header of eight bytes
     assert (flac.decode([stream])[0] + 128 == wave).all()
 
 

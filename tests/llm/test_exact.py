@@ -82,7 +82,7 @@ def test_flac_round_trip(how):
 
 def test_flac_columns(spark):
     texts = [None, "", "é" * 40, "x" * 5000, "x" * 5000]
-    media = flac.encode_text_column(docs(spark, texts))
+    media = flac.encode_text_column(docs(spark, texts), block=1024)
     rows = {r.doc_id: r for r in flac.digest(media).collect()}
     for i, t in enumerate(texts):
         raw = (t or "").encode()
