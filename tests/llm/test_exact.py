@@ -6,7 +6,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from strandweave.llm import balltree, deepshallow, exactdedup, flac, packing, sharding, tokens
