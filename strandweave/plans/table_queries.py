@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandweave.functions import facts
 from strandweave.functions import sequence as S
 from strandweave.operators import alignment, intervals, kernels, relations, scans
 from strandweave.plans.catalog import register
-from strandweave.plans.scalar_queries import LETTERS, SEQS, letters, oligos, seqs
+from strandweave.plans.scalar_queries import LETTERS, SEQS, letters, seqs
 from strandweave.session import table
 
 @register("open_reading_frames", f"""WITH {SEQS}, both_strands AS (SELECT doc_id, 1 AS strand, seq FROM seqs UNION ALL SELECT doc_id, -1, reverse(translate(seq, 'ACGT', 'TGCA')) FROM seqs),
