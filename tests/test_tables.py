@@ -164,7 +164,7 @@ def test_other_ways_to_align():
 
 
 def test_ambiguity_in_alignments(spark):
-    r = alignment.align_pairs(spark.createDataFrame([("ACGT", "ACNT"), ("ACGU", "ACGT"), ("MKB", "MKD"), ("MXK", "MXK")], "a string, b string")).collect()
+    r = alignment.align_pairs(spark.createDataFrame([("ACGT", "ACNT"), ("ACGU", "ACGU"), ("MKB", "MKD"), ("MXK", "MXK")], "a string, b string")).collect()
     assert [(x.identity, x.ambiguous) for x in r[:2]] == [(100.0, 1), (100.0, 0)] and r[3].ambiguous == 1 and r[3].identity == 100.0
 
 
