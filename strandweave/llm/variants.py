@@ -219,7 +219,7 @@ WITH RECURSIVE crc AS (
         lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS h
     FROM counted, crc
 ), words AS (
-    SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, sum(k)::BIGINT AS n
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(k)::BIGINT AS n
     FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND n >= 5
 ), holes AS (
     SELECT word, n, unnest(range(length(word))) AS k, word[:k] || word[k + 2:] AS rest FROM words
@@ -232,10 +232,10 @@ WITH RECURSIVE crc AS (
 ), forms AS (
     SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.k >= 5 * n THEN b.near END AS form, CASE WHEN -b.k >= 5 * n THEN -b.k END AS form_n FROM words w LEFT JOIN best USING (word)
 ), walk AS (
-    SELECT word, word AS at, 0 AS step FROM forms
-    UNION ALL SELECT w.word, f.form, step + 1 FROM walk w JOIN forms f ON w.at = f.word WHERE f.form IS NOT NULL
+    SELECT word, word AS here, 0 AS step FROM forms
+    UNION ALL SELECT w.word, f.form, step + 1 FROM walk w JOIN forms f ON w.here = f.word WHERE f.form IS NOT NULL
 ), roots AS (
-    SELECT word, max_by(at, step) AS root FROM walk GROUP BY word
+    SELECT word, max_by(here, step) AS root FROM walk GROUP BY word
 )
 SELECT word, n, form, root, n_near, form_n::BIGINT AS form_n FROM forms JOIN roots USING (word)
 """
