@@ -8,7 +8,7 @@ each gives its two tokens.
 
 Tokens. A: byte-level BPE by the `tokenizers` library, B: BPE with byte fallback by `sentencepiece`; special strings are plain
 text. Both work within chunks (the split pattern; spaces and the word that follows: no piece of B has a
-space behind another character, which is checked), so chunks met before are looked up in a memo of MEMO_CHARS characters at most. Texts with
+space behind another character, which is checked), so chunks met before are looked up in a memo of about MEMO_CHARS characters. Texts with
 characters beyond the common scripts go to the A library whole, because splitting there could follow another Unicode version.
 
 Counts. The number of documents that hold an id pair linked is summed within a task, then by Spark. What documents need back: the
@@ -22,8 +22,10 @@ and groups_sha256 is ''. Repeated rows are documents of their own and count each
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,40 +36,47 @@ from pyspark.sql import functions as F
 from strandweave.llm.common import documents, slices, written
 from strandweave.llm.tokens import byte_symbols
 
-MEMO_CHARS, MEMO_LONGEST = 16 << 20, 64
+MEMO_CHARS = 4 << 20
+ENCODED, SLICE = 4096, 1 << 20
 HOT_PAIRS = 131_072
 COUNTED = 4 << 20
+#: The split pattern of the first vocabulary where letters, digits and white space are ASCII.
+ASCII = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 UNCOMMON = regex.compile(r"[^\x00-ԯ‐-‧　-ヿ一-鿌]")
 
 
 class Memo:
     """Token ids of chunks: those met before from one flat array, the others by `encode`, many at a time."""
 
-    def __init__(self, encode):
-        self.encode, self.at = encode, {}
+    def __init__(self, encode, most: int = MEMO_CHARS):
+        self.encode, self.most = encode, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
         self.flat, self.start, self.good, self.held = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool), 0
 
     def ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, number of ids of each chunk, and whether its tokens spell it."""
-        new = list({c for c in chunks if c not in self.at})
+        known = list(map(self.at.get, chunks))
+        new = list({c for c, k in zip(chunks, known, strict=True) if k is None})
         if new:
-            got, good = self.encode(new)
-            lens = np.fromiter(map(len, got), np.int64, len(got))
-            for k, c in enumerate(new, len(self.good)):
-                self.at[c] = k
-            self.flat = np.concatenate([self.flat, np.fromiter((i for g in got for i in g), np.int32, int(lens.sum()))])
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lens)])
-            self.good = np.concatenate([self.good, good])
-        code = np.fromiter((self.at[c] for c in chunks), np.int64, len(chunks))
+            self.at.update(zip(new, range(len(self.good), len(self.good) + len(new)), strict=True))
+            flat, lens, good = [self.flat], [], [self.good]
+            for i in range(0, len(new), ENCODED):
+                got, ok = self.encode(new[i : i + ENCODED])
+                lens += map(len, got)
+                flat.append(np.array(list(chain.from_iterable(got)), np.int32))
+                good.append(ok)
+            self.flat, self.good = np.concatenate(flat), np.concatenate(good)
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.array(lens, np.int64))])
+            known = list(map(self.at.get, chunks))
+        code = np.array(known, np.int64)
         lens = self.start[code + 1] - self.start[code]
         out = self.flat[np.repeat(self.start[code] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))], lens, self.good[code]
         self.held += sum(map(len, new))
-        if self.held > MEMO_CHARS or any(len(c) > MEMO_LONGEST for c in new):
-            kept = [c for c in self.at if len(c) <= MEMO_LONGEST] if self.held <= MEMO_CHARS else []
-            rows = np.array([self.at[c] for c in kept], np.int64)
-            lens, start = self.start[rows + 1] - self.start[rows], self.start[rows]
-            self.flat = self.flat[np.repeat(start - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))]
-            self.start, self.good, self.at, self.held = np.concatenate([[0], np.cumsum(lens)]), self.good[rows], {c: i for i, c in enumerate(kept)}, sum(map(len, kept))
+        if self.held > self.most:
+            self.forget()
         return out
 
 
@@ -94,6 +103,8 @@ class ByteLevel:
         return got, np.array([b"".join([self.spelt[i] for i in g]) == c.encode() for g, c in zip(got, chunks, strict=True)], bool)
 
     def chunks(self, text: str) -> list[str]:
+        if text.isascii():
+            return ASCII.findall(text)
         return [text] if UNCOMMON.search(text) else self.pattern.findall(text)
 
 
@@ -109,7 +120,7 @@ class Pieces:
         self.apart = all("▁" not in p.lstrip("▁") for p in pieces)
         self.spelt = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.space = m.piece_to_id("▁")
-        self.pattern = regex.compile(r" *[^ ]+| +")
+        self.pattern = re.compile(" *[^ ]+| +")
         self.memo = Memo(self._encode)
 
     def _encode(self, chunks: list[str]) -> tuple[list[list[int]], np.ndarray]:
@@ -220,7 +231,7 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = open_vocabularies(a_path, b_path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             x = Alignment(batch.column("text").to_pylist(), first, second)
             bytes_of = np.array([len(t.encode()) + 1 if t and n else 0 for t, n in zip(batch.column("text").to_pylist(), x.a_of.tolist(), strict=True)], np.int64)
             own = [np.cumsum(n) - n for n in (bytes_of, x.a_of, x.b_of)]  # what lies before each text
@@ -237,7 +248,7 @@ def linked(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = open_vocabularies(a_path, b_path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             x = Alignment(batch.column("text").to_pylist(), first, second)
             sha = [hashlib.sha256(g).hexdigest() if g else "" for g in x.spelled_groups()]
             of = np.repeat(np.arange(batch.num_rows), x.links_of)

@@ -31,6 +31,8 @@ from strandweave.llm.common import shared_dir, written
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; no disk is set aside beforehand, which many small stores would fill.
+STORE = {PROVIDER: ROCKS, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 MOST_BYTES = 256 << 30
 ENTRY = "digest binary, n long, keep struct<doc_id: bigint, file: string, place: bigint>"
 
@@ -60,15 +62,17 @@ def ingest(spark: SparkSession, path: str, at: str, digest: Callable[[Column], C
     def changed(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/updates/batch={number}")  # a repeated micro-batch writes the same again
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         entries.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def entries(spark: SparkSession, at: str) -> DataFrame:

@@ -106,13 +106,14 @@ def test_memo_forgets_and_goes_on():
         calls.append(chunks)
         return [[len(c), ord(c[0])] * (len(c) % 3) for c in chunks], np.ones(len(chunks), bool)
 
-    memo = crosstoken.Memo(encode)
+    memo = crosstoken.Memo(encode, most=300)
     random.seed(1)
     for size in (3, 30, 80, 3, 200):
         chunks = ["abcdefg"[random.randrange(7)] * random.randrange(1, size) for _ in range(50)]
         ids, n, _ = memo.ids(chunks)
         assert ids.tolist() == [x for c in chunks for x in [len(c), ord(c[0])] * (len(c) % 3)] and n.tolist() == [2 * (len(c) % 3) for c in chunks]
-    assert all(len(c) <= crosstoken.MEMO_LONGEST for c in memo.at)
+        assert memo.held <= 300
+    assert len(calls) == 5
 
 
 def test_lists_of_the_alignment(spark, both):
