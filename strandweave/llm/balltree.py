@@ -23,10 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandweave.llm.common import written
+from strandweave.llm.shingles import mix
 
 SHARD_VECTORS, LEAF = 8192, 128
 MOST_CELLS, SAMPLE_PER_CELL = 1024, 20
@@ -189,7 +191,8 @@ def grown(vectors: DataFrame, cells: Cells, shards: np.ndarray, width: int) -> D
     first = np.cumsum(shards) - shards
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(shards), np.int64)
+        # Every partition begins at a shard of its own, so that many small partitions fill all shards alike.
+        seen = (mix((TaskContext.get().partitionId() * len(shards) + np.arange(len(shards))).astype(np.uint64)) % shards.astype(np.uint64)).astype(np.int64)
         for b in batches:
             c = cells.of(matrix(b.column("v"), width).astype(np.float64))
             order = np.argsort(c, kind="stable")

@@ -228,6 +228,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .select("key", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.buckets").alias("buckets")),
         "op10-classes",
     )
+    named = found.where("key IS NOT NULL").select("doc_id", "key").distinct()
+    several = written(found.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "op10-several")
+    of = written(named.join(several, "doc_id").join(reps.select("key", "rep"), "key").select("doc_id", "rep").distinct(), "op10-of")
+    tied = of.groupBy("doc_id").agg(F.min("rep").alias("a")).join(of, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()  # the classes of one document's texts
     members = reps.select("rep", "n", F.posexplode("buckets").alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1").select("bucket", "centre")
     # Written first, so that both sides of the join are plain exchanges and Spark can split a hot bucket.
@@ -238,7 +242,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     star = star.join(sizes, "a").where(fits).select("a", "b")
     nodes = shared.select(F.col("rep").alias("doc_id")).distinct()
     texts = written(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "op10-texts")
-    links = written(confirmed(star, texts, words, percent), "op10-links")
+    links = written(confirmed(star, texts, words, percent).unionByName(tied), "op10-links")
     labels = components(links)
     named = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", "n", F.coalesce("label", "rep").alias("label"))
     open_ = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x < y").select("bucket", "m")
@@ -247,7 +251,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     labels = components(written(links.unionByName(confirmed(likely, texts, words, percent)), "op10-links"))
     classes = reps.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("label", "rep").alias("component_id"))
     full = found.where("key IS NOT NULL").select("doc_id", "n_shingles", "key").join(classes, "key").select("doc_id", "n_shingles", "component_id")
-    none = found.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    own = of.join(labels.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("with_words"))
+    none = found.where("key IS NULL").select("doc_id", "n_shingles").join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("with_words", "doc_id").alias("component_id"))
     every = full.unionByName(none).unionByName(unnamed.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", size.alias("n_shingles"), "component_id", "kept")
 

@@ -174,8 +174,10 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, most_labelled:
             ends = pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("fold"), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=["doc_id", "y", "fold", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("y", F.col("y").cast("int")).withColumn("fold", F.col("fold").cast("int")).select("doc_id", "y", "fold", "text")
-    got = sorted(rows.mapInArrow(run, "doc_id long, y int, fold int, x array<double>").dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("y", F.col("y").cast("int")).withColumn("fold", F.col("fold").cast("int"))
+    # Of several texts under one id the one with the smallest hash is learned from, in every run.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "y", "fold")).alias("r")).select("doc_id", "r.y", "r.fold", "r.text")
+    got = sorted(rows.mapInArrow(run, "doc_id long, y int, fold int, x array<double>").collect(), key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in got], int)
     if len(set(y)) < 2:
         return Constant(float(y.mean()) if len(y) else 0.5)

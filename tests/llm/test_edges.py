@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandweave.llm import balltree, exactdedup, flac, mixing, neardup, packing, pii, quality, sharding, tokens
+from strandweave.llm import balltree, crosstoken, exactdedup, flac, mixing, neardup, packing, pii, quality, sharding, streamdedup, tokens
 from strandweave.llm.common import shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted int, copies string, tokens int, block string, pick int, weight int, row string, shard string, sig string, key string, rep string"
@@ -45,6 +45,7 @@ def labels_dir(spark, tmp_path_factory):
 OPERATORS = {
     "op1": lambda d: exactdedup.cut_repeats(d), "op2": lambda d: flac.digest(flac.encode_text_column(d)), "op4": lambda d: pii.detect(d), "op5": lambda d: tokens.count_tokens(d),
     "op6": lambda d: sharding.shard_documents(d, 4), "op7": lambda d: mixing.copies(d, whole_rows=True), "op9": lambda d: packing.pack_documents(d), "op10": lambda d: neardup.near_duplicates(d, 2),
+    "op11": lambda d: crosstoken.aligned_documents(d), "op13": lambda d: streamdedup.exact_duplicates(d),
     "op3": lambda d: quality.score(d, d.sparkSession.createDataFrame([(4, 1), (5, 0), (None, 1)], "doc_id long, quality int")),
 }
 
@@ -90,6 +91,33 @@ def test_one_document_with_two_texts_is_linked_through_each(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, a), (1, b), (4, "else where")])
 
 
+def test_texts_of_one_document_tie_their_classes(spark):
+    """A document whose id is not the smallest of its texts' classes, and chains of such documents, against brute force."""
+    random.seed(8)
+    a, b = (" ".join(random.choices("abcdefghijklmnop", k=80)) for _ in range(2))
+    d = spark.createDataFrame([(3, a), (7, a), (7, b), (9, b + " more"), (9, ""), (9, None), (12, "other")], "doc_id long, text string")
+    got = neardup.near_duplicates(d, 2).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(3, 3, True), (7, 3, False), (9, 3, False), (12, 12, True)} and len(got) == 7
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, d, "").collect()) == [(3, a), (12, "other")]
+    texts = [" ".join(random.choices("abcdefghijklmnop", k=40)) for _ in range(60)]
+    rows = [(random.randrange(50, 90), random.choice(texts) + random.choice(["", " z"])) for _ in range(120)]
+    at = {i: i for i, _ in rows}
+
+    def root(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    sets = [set(zip(t.split(), t.split()[1:], strict=False)) for _, t in rows]
+    for x in range(len(rows)):
+        for y in range(x):
+            if rows[x][0] == rows[y][0] or 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                lo, hi = sorted((root(rows[x][0]), root(rows[y][0])))
+                at[hi] = lo
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, root(i)) for i, _ in rows}
+
+
 def test_links_that_no_star_makes(spark, monkeypatch):
     """400 pairs that edit the same places of one base: buckets hold many unlike pairs, and only partners are alike."""
     random.seed(21)
@@ -242,3 +270,14 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         shared_dir(type("Session", (), {"conf": Conf()})())
+
+
+def test_small_partitions_fill_all_shards(spark):
+    """Many partitions with few vectors of a cell each: a cell's shards get about as many each."""
+    rng = np.random.default_rng(4)
+    points = rng.integers(-200, 200, (2000, 4))
+    vectors = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, v array<long>").repartition(200)
+    cells = balltree.Cells.__new__(balltree.Cells)  # one cell, whose centre is the origin
+    cells.centre, cells.of = np.zeros((1, 4)), lambda x: np.zeros(len(x), np.int64)
+    got = balltree.grown(vectors, cells, np.array([50]), 4).select("shard", F.length("ids").alias("n")).collect()
+    assert len(got) == 50 and max(r.n for r in got) < 3 * 2000 * 8 / 50
