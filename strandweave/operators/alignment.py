@@ -7,15 +7,17 @@ per (alignment, column, symbol), so what is shuffled has the size of the columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions import facts
 from strandweave.operators.batches import cut, emit, flat
+from strandweave.session import written
 
 
 def column_counts(rows: DataFrame) -> DataFrame:
@@ -101,6 +103,9 @@ MATCH, MISMATCH, GAP = 2, -1, -2
 FULL_CELLS, LINEAR_CELLS, MOST_CELLS, SEGMENT_CELLS = 25_000_000, 100_000_000, 250_000_000, 4_000_000
 SEED, SEED_PLACES = 12, 32
 
+#: Rows of one length that are ranked together when the median row of a large group is looked for.
+CELL = 10_000
+
 
 def symbol_masks(molecule: str) -> np.ndarray:
     """What each symbol may stand for, as bits, by its code."""
@@ -183,62 +188,97 @@ def linear_space(a: str, b: str, masks: np.ndarray) -> tuple[str, str]:
     return "".join(left), "".join(right)
 
 
+def words(x: np.ndarray, k: int, size: int) -> np.ndarray:
+    """A number for each k symbols in a row; x: symbols as numbers below size."""
+    out = np.zeros(max(len(x) - k + 1, 0), np.uint64)
+    for i in range(k):
+        out = out * np.uint64(size) + x[i : i + len(out)].astype(np.uint64)
+    return out
+
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """Symbols that x and y begin with alike, looked at in growing blocks."""
+    n, at, step = min(len(x), len(y)), 0, 64
+    while at < n:
+        differ = np.flatnonzero(x[at : min(at + step, n)] != y[at : min(at + step, n)])
+        if len(differ):
+            return at + int(differ[0])
+        at, step = at + step, 2 * step
+    return n
+
+
 def seed_anchors(a: str, b: str) -> list[tuple[int, int, int]]:
-    """Exact runs (start in a, start in b, length), in order in both: from the left each word of a takes its first place in b that still follows."""
+    """Exact runs (start in a, start in b, length), in order in both.
+
+    Words of both are joined by sorting b's; a word has its SEED_PLACES first places in b. Words of a that are free take, from the left, the first of
+    their places that is free, with the whole run of equal symbols on that diagonal, if all of the run is free.
+    """
     k = min(SEED, len(a), len(b))
     if k < 4:
         return []
-    places: dict[str, list[int]] = {}
-    for i in range(len(b) - k + 1):
-        own = places.setdefault(b[i : i + k], [])
-        if len(own) < SEED_PLACES:
-            own.append(i)
-    out, done_a, done_b, i = [], 0, 0, 0  # both are free from there on
-    while i <= len(a) - k:
-        j = next((p for p in places.get(a[i : i + k], ()) if p >= done_b), None)
-        if j is not None and i >= done_a:
-            back = 0
-            while i - back > 0 and j - back > 0 and a[i - back - 1] == b[j - back - 1]:
-                back += 1
-            n = k + back
-            while i - back + n < len(a) and j - back + n < len(b) and a[i - back + n] == b[j - back + n]:
-                n += 1
-            if i - back >= done_a and j - back >= done_b:
-                out.append((i - back, j - back, n))
-                done_a, done_b = i - back + n, j - back + n
-                i = done_a
-                continue
-        i += 1
+    symbols, both = np.unique(np.concatenate([codes(a), codes(b)]), return_inverse=True)
+    x, y = both[: len(a)], both[len(a) :]
+    wa, wb = (words(v, k, len(symbols)) for v in (x, y))
+    places = np.argsort(wb, kind="stable")
+    first, last = (np.searchsorted(wb[places], wa, side) for side in ("left", "right"))
+    last = np.minimum(last, first + SEED_PLACES)
+    known = np.flatnonzero(first < last)
+    out, free_a, free_b, n = [], 0, 0, 0
+    while (n := max(n, int(np.searchsorted(known, free_a)))) < len(known):
+        i = int(known[n])
+        own = places[first[i] : last[i]]
+        n += 1
+        at = int(np.searchsorted(own, free_b))
+        if at == len(own):
+            continue
+        j = int(own[at])
+        back = common(x[i - 1 :: -1] if i else x[:0], y[j - 1 :: -1] if j else y[:0])
+        if i - back >= free_a and j - back >= free_b:
+            size = back + common(x[i:], y[j:])
+            out.append((i - back, j - back, size))
+            free_a, free_b = i - back + size, j - back + size
     return out
 
 
-def seeded(a: str, b: str, masks: np.ndarray) -> tuple[str, str]:
-    """Runs between anchors aligned one by one; a run too large for that is written side by side."""
-    left, right, p, q = [], [], 0, 0
-    for i, j, n in [*seed_anchors(a, b), (len(a), len(b), 0)]:
-        x, y = a[p:i], b[q:j]
-        if x and y and len(x) * len(y) <= SEGMENT_CELLS:
-            x, y = full_matrix(x, y, masks)
+def seeded(a: str, b: str, masks: np.ndarray, segment: int = SEGMENT_CELLS) -> tuple[str, str, int]:
+    """Anchors, with what lies between them aligned one by one; segments of too many cells are written side by side and counted."""
+    anchors = np.array([*seed_anchors(a, b), (len(a), len(b), 0)])
+    ends = np.concatenate([[[0, 0]], anchors[:-1, :2] + anchors[:-1, 2:]])
+    rows, left_out = [], 0
+    for (p, q), (i, j, n) in zip(ends.tolist(), anchors.tolist(), strict=True):
+        gap = (a[p:i], b[q:j])
+        if all(gap) and len(gap[0]) * len(gap[1]) > segment:
+            left_out += 1
+            gap = (gap[0] + "-" * len(gap[1]), "-" * len(gap[0]) + gap[1])
         else:
-            x, y = x.ljust(len(y), "-"), y.ljust(len(x), "-")
-        left += [x, a[i : i + n]]
-        right += [y, b[j : j + n]]
-        p, q = i + n, j + n
-    return "".join(left), "".join(right)
+            gap = full_matrix(*gap, masks)
+        rows.append((gap[0] + a[i : i + n], gap[1] + b[j : j + n]))
+    return "".join(r[0] for r in rows), "".join(r[1] for r in rows), left_out
+
+
+class Limits(NamedTuple):
+    """Cells up to which a pair is aligned in full, in linear space, or at all; and up to which a segment between anchors is."""
 
+    full: int = FULL_CELLS
+    linear: int = LINEAR_CELLS
+    most: int = MOST_CELLS
+    segment: int = SEGMENT_CELLS
 
-def aligned_pair(a: str, b: str, molecule: str | None = None, most: int = MOST_CELLS) -> tuple[str | None, str | None, str, str]:
-    """Both rows, method and molecule of a global comparison; rows are null beyond the work limit or for symbols of no alphabet."""
+
+def aligned_pair(a: str, b: str, molecule: str | None = None, limits: Limits = Limits()) -> tuple[str | None, str | None, str, str, int]:
+    """Both rows, method, molecule and number of unresolved segments of a global comparison; rows are null beyond the work limit or for symbols of no alphabet."""
     a, b = a.upper(), b.upper()
     molecule = molecule or molecule_of(a, b)
     if molecule is None or not set(a + b) <= set(SYMBOLS[molecule]):
-        return None, None, "invalid", ""
+        return None, None, "invalid", "", 0
     cells = len(a) * len(b)
-    if cells > most:
-        return None, None, "work-limit", molecule
-    method = "needleman-wunsch" if cells <= FULL_CELLS else "linear-space" if cells <= LINEAR_CELLS else "seed-and-extend"
-    f = {"needleman-wunsch": full_matrix, "linear-space": linear_space, "seed-and-extend": seeded}[method]
-    return *f(a, b, MASKS[molecule]), method, molecule
+    if cells > limits.most:
+        return None, None, "work-limit", molecule, 0
+    if cells > limits.linear:
+        s, t, unresolved = seeded(a, b, MASKS[molecule], limits.segment)
+        return s, t, "seed-and-extend", molecule, unresolved
+    method, f = ("needleman-wunsch", full_matrix) if cells <= limits.full else ("linear-space", linear_space)
+    return *f(a, b, MASKS[molecule]), method, molecule, 0
 
 
 def classified(a: np.ndarray, b: np.ndarray, molecule: str) -> np.ndarray:
@@ -254,24 +294,25 @@ def identity_of(hits: int, columns: int) -> float:
     return float(np.floor(1000 * hits / columns + 0.5) / 10) if columns else 0.0
 
 
-def align_pairs(pairs: DataFrame, molecule: str | None = None, most: int = MOST_CELLS) -> DataFrame:
-    """Adds aligned_a, aligned_b, score, identity (percent of columns, ambiguous ones count), mismatches, insertions, deletions, ambiguous, method to rows with a and b.
+def align_pairs(pairs: DataFrame, molecule: str | None = None, limits: Limits = Limits()) -> DataFrame:
+    """Adds aligned_a, aligned_b, score, identity (percent of columns, ambiguous ones count), mismatches, insertions, deletions, ambiguous, method, unresolved to rows with a and b.
 
-    Null or odd sequences are `invalid`; beyond the limit of cells a pair is only `work-limit`. Pairs of great size are dealt by the caller's rows, one at a time.
+    Null or odd sequences are `invalid`; beyond the limit of cells a pair is only `work-limit`. unresolved counts segments between anchors that were too large to
+    align: a warning. Pairs of great size are dealt by the caller's rows, one at a time.
     """
-    names = ["aligned_a", "aligned_b", "score", "identity", "mismatches", "insertions", "deletions", "ambiguous", "method"]
+    names = ["aligned_a", "aligned_b", "score", "identity", "mismatches", "insertions", "deletions", "ambiguous", "method", "unresolved"]
 
     def one(a: str | None, b: str | None) -> tuple:
         if a is None or b is None:
-            return (*(None,) * 8, "invalid")
-        s, t, method, kind = aligned_pair(a, b, molecule, most)
+            return (*(None,) * 8, "invalid", 0)
+        s, t, method, kind, unresolved = aligned_pair(a, b, molecule, limits)
         if s is None:
-            return (*(None,) * 8, method)
+            return (*(None,) * 8, method, 0)
         n = np.bincount(classified(codes(s), codes(t), kind), minlength=5).tolist()
-        return s, t, MATCH * (n[0] + n[1]) + MISMATCH * n[2] + GAP * (n[3] + n[4]), identity_of(n[0] + n[1], len(s)), n[2], n[3], n[4], n[1], method
+        return s, t, MATCH * (n[0] + n[1]) + MISMATCH * n[2] + GAP * (n[3] + n[4]), identity_of(n[0] + n[1], len(s)), n[2], n[3], n[4], n[1], method, unresolved
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.string(), pa.int32(), pa.float64(), *[pa.int32()] * 4, pa.string()]
+        types = [pa.string(), pa.string(), pa.int32(), pa.float64(), *[pa.int32()] * 4, pa.string(), pa.int32()]
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
@@ -279,35 +320,60 @@ def align_pairs(pairs: DataFrame, molecule: str | None = None, most: int = MOST_
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=[*part.schema.names, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return pairs.mapInArrow(run, f"{fields}, aligned_a string, aligned_b string, score int, identity double, mismatches int, insertions int, deletions int, ambiguous int, method string")
+    return pairs.mapInArrow(run, f"{fields}, aligned_a string, aligned_b string, score int, identity double, mismatches int, insertions int, deletions int, ambiguous int, method string, unresolved int")
+
+
+def fits(seq: Column, molecule: str) -> Column:
+    return F.upper(seq).rlike("^[" + SYMBOLS[molecule].replace("*", r"\*").replace("?", r"\?") + "]*$")
 
 
-def star_centres(rows: DataFrame, most_pairs: int = 10) -> DataFrame:
+def star_status(rows: DataFrame) -> DataFrame:
+    """rows (group, row, seq) with status: `ok`, or why a row takes no part: `missing` (null), `empty`, `symbols` (of no alphabet), `mixed` (of another alphabet than the group's).
+
+    A group is RNA if a good row has a U and every good row fits RNA, DNA if all fit, else protein.
+    """
+    kinds = {m: F.coalesce(fits(F.col("seq"), m), F.lit(False)) for m in ("dna", "rna", "protein")}
+    odd = F.when(F.col("seq").isNull(), "missing").when(F.col("seq") == "", "empty").when(~kinds["dna"] & ~kinds["rna"] & ~kinds["protein"], "symbols")
+    r = rows.withColumn("odd", odd)
+    good = r.where("odd IS NULL").groupBy("group").agg(*[F.bool_and(k).alias(m) for m, k in kinds.items()])
+    kind = F.when(F.col("dna"), "dna").when(F.col("rna"), "rna").otherwise("protein")
+    r = r.join(good.select("group", kind.alias("molecule")), "group", "left")
+    other = F.when((F.col("molecule") == "protein") & ~kinds["protein"], "mixed")
+    return r.select("group", "row", "seq", "molecule", F.coalesce("odd", other, F.lit("ok")).alias("status"))
+
+
+def star_centres(rows: DataFrame, most_pairs: int = 10, limits: Limits = Limits()) -> DataFrame:
     """group, row, seq of each group's centre: the row most like all others in groups of up to most_pairs, of the median length in larger ones; ties to the smallest row.
 
-    Only small groups are compared pair by pair; of large ones lengths are counted, so that no task holds a group.
+    rows: good ones (star_status). A pair beyond the work limit counts as not alike. Only small groups are compared pair by pair; of large ones rows are counted
+    by length and cell, and one cell is ranked, so that no task holds a group.
     """
     n = rows.groupBy("group").agg(F.count("*").alias("n"))
     small = rows.join(n.where(F.col("n").between(2, most_pairs)), "group")
     other = small.select("group", F.col("row").alias("row_b"), F.col("seq").alias("b"))
     pairs = small.select("group", F.col("row").alias("row_a"), F.col("seq").alias("a")).join(other, "group").where("row_a < row_b")
-    likeness = align_pairs(pairs).select("group", F.explode(F.array("row_a", "row_b")).alias("row"), "identity").groupBy("group", "row").agg(F.round(F.sum("identity"), 6).alias("s"))
+    likeness = align_pairs(pairs, None, limits).select("group", F.explode(F.array("row_a", "row_b")).alias("row"), F.coalesce("identity", F.lit(0.0)).alias("identity")).groupBy("group", "row").agg(F.round(F.sum("identity"), 6).alias("s"))
     best = likeness.groupBy("group").agg(F.min(F.struct((-F.col("s")).alias("m"), "row")).alias("x")).select("group", F.col("x.row").alias("row"))
-    lengths = rows.join(n.where(F.col("n") > most_pairs), "group").groupBy("group", "n", F.length("seq").alias("k")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("group").orderBy("k"))
-    middle = lengths.withColumn("upto", upto).withColumn("place", F.floor(F.col("n") / 2) - (F.col("upto") - F.col("c"))).where("place >= 0 AND place < c").select("group", "k", "place")
+    cells = rows.join(n.where(F.col("n") > most_pairs), "group").select("group", "row", "n", F.length("seq").alias("k"), F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / CELL)).alias("cell"))
+    sizes = cells.groupBy("group", "n", "k", "cell").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("group").orderBy("k", "cell"))
+    middle = sizes.withColumn("upto", upto).withColumn("place", F.floor(F.col("n") / 2) - (F.col("upto") - F.col("c"))).where("place >= 0 AND place < c").select("group", "k", "cell", "place")
     rank = F.row_number().over(Window.partitionBy("group").orderBy("row")) - 1
-    median = rows.join(middle, "group").where(F.length("seq") == F.col("k")).withColumn("rank", rank).where("rank = place").select("group", "row")
+    median = cells.join(middle, ["group", "k", "cell"]).withColumn("rank", rank).where("rank = place").select("group", "row")
     return rows.join(best.unionByName(median), ["group", "row"]).select("group", "row", "seq")
 
 
-def star_alignments(rows: DataFrame, most_pairs: int = 10) -> DataFrame:
-    """group, row, aligned of groups of two and more rows (group, row, seq): each aligned to the centre, gaps merged by the widest at each place of the centre.
+def star_alignments(rows: DataFrame, most_pairs: int = 10, limits: Limits = Limits()) -> DataFrame:
+    """group, row, aligned, centre, status of every row (group, row, seq) of groups: each good row aligned to the centre, gaps merged by the widest at each place of the centre.
 
+    Rows that take no part are there with their status and without a row: those of star_status, `alone` (no other good row) and `work-limit`. The centre is chosen among good rows only.
     Members meet their centre in a join, slots are a maximum by (group, place): a group of any size needs no task of its own.
     """
-    centres = star_centres(rows, most_pairs).select("group", F.col("row").alias("centre"), F.col("seq").alias("a"))
-    pairs = align_pairs(rows.withColumnRenamed("seq", "b").join(centres, "group")).where("aligned_a IS NOT NULL").select("group", "row", "aligned_a", "aligned_b", "centre")
+    told = written(star_status(rows), "star-rows")
+    good = told.where("status = 'ok'").select("group", "row", "seq")
+    centres = star_centres(good, most_pairs, limits).select("group", F.col("row").alias("centre"), F.col("seq").alias("a"))
+    joined = written(align_pairs(good.withColumnRenamed("seq", "b").join(centres, "group"), None, limits), "star-pairs")
+    pairs = joined.where("aligned_a IS NOT NULL").select("group", "row", "aligned_a", "aligned_b", "centre")
     # Runs of gaps in the centre's row, by the number of its own residues before them.
     run = F.regexp_extract_all("aligned_a", F.lit("-*[^-]"), F.lit(0))
     tail = F.length(F.regexp_extract("aligned_a", "-*$", 0))
@@ -332,7 +398,27 @@ def star_alignments(rows: DataFrame, most_pairs: int = 10) -> DataFrame:
 
     last = F.when(~F.element_at("piece", -1).endswith("-"), F.repeat(F.lit("-"), want(F.size("piece")))).otherwise("")
     line = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.size("piece") - 1), widened), ""), last)
-    return cols.select("group", "row", line.alias("aligned"), (F.col("row") == F.col("centre")).alias("centre"))
+    done = cols.select("group", "row", line.alias("aligned"), (F.col("row") == F.col("centre")).alias("centre"))
+    done = told.select("group", "row", "status").join(done, ["group", "row"], "left").join(centres.select("group", F.lit(True).alias("two")), "group", "left")
+    why = F.when((F.col("status") == "ok") & F.col("two").isNull(), "alone").when((F.col("status") == "ok") & F.col("aligned").isNull(), "work-limit").otherwise(F.col("status"))
+    return done.select("group", "row", "aligned", F.coalesce("centre", F.lit(False)).alias("centre"), why.alias("status"))
+
+
+def alignment_requests(records: DataFrame, most_rows: int = 10, longest: int = 50_000, most_work: int = MOST_CELLS) -> DataFrame:
+    """group, issue: why a group of records (group, row, name, molecule, seq) is not aligned; a group without a row here may be.
+
+    `too_few`, `too_many`, `unsupported_molecule`, `mixed_molecule`, `missing_name`, `duplicate_name` (trimmed, in any case), `too_long`, `work_budget` (cells of all pairs and of the
+    pass against the longest). Names are counted a group at a time in aggregates; nothing is compared pair by pair.
+    """
+    r = records.select("group", "molecule", F.lower(F.trim(F.coalesce("name", F.lit("")))).alias("name"), F.length(F.regexp_replace(F.coalesce("seq", F.lit("")), r"\s+", "")).cast("double").alias("k"))
+    twice = r.where("name <> ''").groupBy("group", "name").agg(F.count("*").alias("c")).groupBy("group").agg(F.max("c").alias("same"))
+    g = r.groupBy("group").agg(
+        F.count("*").alias("n"), F.count_if(~F.coalesce(F.col("molecule").isin("dna", "rna", "protein"), F.lit(False))).alias("odd"), F.count_distinct(F.coalesce("molecule", F.lit(""))).alias("kinds"),
+        F.count_if(F.col("name") == "").alias("bare"), F.max("k").alias("longest"), F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"),
+    ).join(twice, "group", "left")
+    work = (F.col("s") * F.col("s") - F.col("q")) / 2 + F.greatest(F.lit(0.0), F.col("longest") * F.col("s") - F.col("longest") * F.col("longest"))
+    says = [(F.col("n") < 2, "too_few"), (F.col("n") > most_rows, "too_many"), (F.col("odd") > 0, "unsupported_molecule"), (F.col("kinds") > 1, "mixed_molecule"), (F.col("bare") > 0, "missing_name"), (F.coalesce(F.col("same"), F.lit(0)) > 1, "duplicate_name"), (F.col("longest") > longest, "too_long"), (work > most_work, "work_budget")]
+    return g.select("group", F.explode(F.array_compact(F.array(*[F.when(c, name) for c, name in says]))).alias("issue"))
 
 
 def summary(rows: DataFrame) -> DataFrame:

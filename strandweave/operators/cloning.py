@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions import facts
 from strandweave.functions import sequence as S
-from strandweave.operators.batches import emit
+from strandweave.operators.batches import emit, flat
 from strandweave.operators.restriction import Finder, catalogue
 
 # --- fixed values: fusion sites of the published kits; boundaries of a transcription unit; filler of a synthetic vector ---
@@ -251,33 +253,80 @@ def ranked_sets(empirical: DataFrame, hamming: DataFrame) -> DataFrame:
     return r.withColumn("within", within).join(cells, "cell").select("design", "tier", "estimate", "coverage", (F.col("before") + F.col("within")).alias("rank"))
 
 
-def overlap(left: Column, right: Column, low: int = 15, high: int = 60) -> Column:
-    """Struct of length (longest exact overlap of left's tail and right's head, null: none), lengths (all), unique, reason."""
+_MASK = np.zeros(256, np.uint8)
+for _symbol, _bases in facts.IUPAC.items():
+    _MASK[[ord(_symbol), ord(_symbol.lower())]] = sum(1 << "ACGT".index(c) for c in _bases)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+OVERLAP = "struct<length:int,lengths:array<int>,unique:boolean,reason:string>"
+
+
+def _ends(column: pa.Array, high: int, tail: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Up to `high` upper-case letters of the end (tail) or the beginning of each text, as a matrix that ends or begins at its border, and their number; null has none."""
+    data, off = flat(pc.fill_null(column, ""))
+    n = np.minimum(np.diff(off), high)
+    at = np.arange(high)[None, :] + ((off[1:] - high) if tail else off[:-1])[:, None]
+    inside = np.arange(high)[None, :] >= (high - n)[:, None] if tail else np.arange(high)[None, :] < n[:, None]
+    out = np.zeros((len(n), high), np.uint8)
+    out[inside] = data[at[inside]]
+    out[(out >= 97) & (out <= 122)] -= 32
+    return out, n
+
+
+def with_overlaps(rows: DataFrame, left: str, right: str, low: int = 15, high: int = 60, name: str = "o") -> DataFrame:
+    """rows with a struct: length (longest exact overlap of left's tail and right's head, null: none), lengths (all, falling), unique, reason; null where either text is.
+
+    For a batch of pairs at a time, numbers of all tails and heads of up to `high` letters grow by one letter a step; where they agree, letters are compared. Ambiguous
+    symbols are looked at only in pairs that have them and no exact overlap: `ambiguous_symbols` if they may overlap.
+    """
     if not 8 <= low <= high <= 200:
         raise ValueError("overlaps of 8 to 200 bases are searched")
-    tail, head = F.upper(F.right(left, F.lit(high))), F.upper(F.left(right, F.lit(high)))
-    ks = F.filter(F.sequence(F.lit(high), F.lit(low), F.lit(-1)), lambda k: (F.length(left) >= k) & (F.length(right) >= k))
-    exact = F.filter(ks, lambda k: (F.right(tail, k) == F.left(head, k)) & F.right(tail, k).rlike("^[ACGT]+$"))
-    maybe = F.exists(ks, lambda k: F.forall(F.sequence(F.lit(1), k), lambda i: _compatible(F.substring(F.right(tail, k), i, F.lit(1)), F.substring(head, i, F.lit(1)))))
-    plain = tail.rlike("^[ACGT]*$") & head.rlike("^[ACGT]*$")
-    reason = F.when(F.size(exact) == 1, "exact").when(F.size(exact) > 1, "multiple_exact").when(~plain & maybe, "ambiguous_symbols").otherwise("none")
-    return F.struct(F.array_max(exact).alias("length"), exact.alias("lengths"), (F.size(exact) == 1).alias("unique"), reason.alias("reason"))
 
+    def found(tails: np.ndarray, heads: np.ndarray, most: np.ndarray) -> list[list[int]]:
+        a, b, power = (np.zeros(len(most), np.uint64) for _ in "abp")
+        power += np.uint64(1)
+        out: list[list[int]] = [[] for _ in most]
+        for k in range(1, high + 1):
+            a = tails[:, high - k].astype(np.uint64) + a * _STEP
+            b += heads[:, k - 1].astype(np.uint64) * power
+            power *= _STEP
+            if k >= low:
+                for i in np.flatnonzero((a == b) & (k <= most)).tolist():
+                    text = tails[i, high - k :]
+                    if (text == heads[i, :k]).all() and np.isin(text, PLAIN).all():
+                        out[i].insert(0, k)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                b = whole.slice(start, 4096)
+                (tails, n), (heads, m) = _ends(b.column(left), high, True), _ends(b.column(right), high, False)
+                most = np.minimum(n, m)
+                got = found(tails, heads, most)
+                odd = (((tails != 0) & ~np.isin(tails, PLAIN)).any(axis=1) | ((heads != 0) & ~np.isin(heads, PLAIN)).any(axis=1)).tolist()
+                none = (b.column(left).is_null().to_numpy(zero_copy_only=False) | b.column(right).is_null().to_numpy(zero_copy_only=False)).tolist()
+                cells = []
+                for i, ks in enumerate(got):
+                    maybe = not ks and odd[i] and any((_MASK[tails[i, high - k :]] & _MASK[heads[i, :k]]).all() for k in range(low, int(most[i]) + 1))
+                    reason = "exact" if len(ks) == 1 else "multiple_exact" if ks else "ambiguous_symbols" if maybe else "none"
+                    cells.append(None if none[i] else {"length": ks[0] if ks else None, "lengths": ks, "unique": len(ks) == 1, "reason": reason})
+                kind = pa.struct([("length", pa.int32()), ("lengths", pa.list_(pa.int32())), ("unique", pa.bool_()), ("reason", pa.string())])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, kind)], names=[*b.schema.names, name])
 
-_MASKS = {k: sum(1 << "ACGT".index(c) for c in v) for k, v in facts.IUPAC.items()}
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{fields}, `{name}` {OVERLAP}")
 
 
-def _compatible(a: Column, b: Column) -> Column:
-    m = F.create_map(*[F.lit(x) for kv in _MASKS.items() for x in kv])
-    return F.coalesce(F.try_element_at(m, a).bitwiseAND(F.try_element_at(m, b)) != 0, F.lit(False))
+PLAIN = np.frombuffer(b"ACGT", np.uint8)
 
 
 def gibson(fragments: DataFrame, low: int = 15, high: int = 60, circular: bool = False) -> DataFrame:
-    """design, success, errors, overlaps (lengths in order), low_tm, reused, product: ordered fragments joined over their overlaps; a circle also closes."""
+    """design, success, errors, overlaps (lengths in order), low_tm, reused, product: ordered fragments joined over their overlaps; a circle also closes. Fragments with other letters than A, C, G, T are refused."""
     order = Window.partitionBy("design").orderBy("ord")
     first = F.first("seq").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     nxt = F.lead("seq").over(order)
-    f = fragments.withColumn("next", F.coalesce(nxt, first) if circular else nxt).withColumn("o", F.when(F.col("next").isNotNull(), overlap(F.col("seq"), F.col("next"), low, high)))
+    f = fragments.withColumn("next", F.coalesce(nxt, first) if circular else nxt)
+    f = with_overlaps(f, "seq", "next", low, high)
     f = f.withColumn("k", F.col("o.length")).withColumn("before", F.coalesce(F.lag("k").over(order), F.lit(0)))
     text = F.when(F.col("k").isNotNull(), F.right(F.upper("seq"), F.col("k")))
     f = f.withColumn("text", text).withColumn("tm", F.when(F.col("k").isNotNull(), S.melting_temperature(F.col("text"))))
@@ -285,10 +334,11 @@ def gibson(fragments: DataFrame, low: int = 15, high: int = 60, circular: bool =
         F.array_sort(F.collect_list(F.struct("ord", F.substring(F.upper("seq"), (F.col("before") + 1).cast("int"), F.length("seq")).alias("piece"), "k", "text"))).alias("x"),
         F.count_if(F.col("next").isNotNull() & F.col("k").isNull()).alias("missing"), F.count_if(F.col("tm") < IDEAL_OVERLAP_TM).alias("low_tm"), F.count("*").alias("n"),
         F.max_by("k", "ord").alias("closing"), F.count_if(F.size("o.lengths") > 1).alias("alternate"),
+        F.count_if(~F.coalesce(F.upper("seq").rlike("^[ACGT]+$"), F.lit(False))).alias("odd"),
     )
     whole = F.array_join("x.piece", "")
     closed = F.left(whole, F.greatest(F.lit(0), F.length(whole) - F.coalesce("closing", F.lit(0)))) if circular else whole
-    errors = F.when(F.col("n") < 2, "too_few_fragments").when(F.col("missing") > 0, "no_overlap").when(F.length(closed) == 0, "closing_overlap_consumes_product").otherwise("")
+    errors = F.when(F.col("n") < 2, "too_few_fragments").when(F.col("odd") > 0, "not_canonical").when(F.col("missing") > 0, "no_overlap").when(F.length(closed) == 0, "closing_overlap_consumes_product").otherwise("")
     texts = F.array_compact("x.text")
     return g.select("design", (errors == "").alias("success"), errors.alias("errors"), F.array_join(F.transform(F.array_compact("x.k"), lambda k: k.cast("string")), ",").alias("overlaps"), "low_tm", "alternate", (F.size(texts) - F.size(F.array_distinct(texts))).alias("reused"), F.when(errors == "", closed).otherwise("").alias("product"))
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import facts
 from strandweave.functions import sequence as S
+from strandweave.operators.relations import closure, unpeeled
+from strandweave.session import written
 
 # --- fixed values: alphabets of records and of alignments ---
 ALPHABETS = {"dna": "ACGTNRYSWKMBDHV", "rna": "ACGUNRYSWKMBDHV", "protein": "ACDEFGHIKLMNPQRSTVWYOUJBXZ*"}
@@ -235,22 +237,53 @@ def freshness(inputs: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def appended(collection: DataFrame, new: DataFrame, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The collection with the rows of `new` (same columns, id) that may be added, and (id, issue) of the others: an id that is there or comes twice, a dependency that is nowhere.
+    """The collection with the rows of `new` (same columns, id) that may be added, and (id, issue) of the others.
 
-    edges: id, needs. A dependency may be another new row, but not a row that needs it in turn: rows on a circle are refused (`cyclic`).
+    Issues: `duplicate_id` (there already, or twice in `new`), `missing_dependency` (nowhere), `cyclic` (on a circle of any length, or on a way between two) and `refused_dependency`
+    (needs, over any number of steps, a row that is not added). edges: id, needs; a dependency may be another new row. Rows without open needs leave a distributed graph round by
+    round; what cannot leave is refused.
     """
     twice = new.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
     there = new.select("id").join(collection.select("id"), "id", "left_semi").distinct()
     issues = twice.unionByName(there).distinct().withColumn("issue", F.lit("duplicate_id"))
     if edges is not None:
-        known = collection.select(F.col("id").alias("needs")).unionByName(new.select(F.col("id").alias("needs"))).distinct()
-        own = edges.join(new.select("id").distinct(), "id", "left_semi")
-        dangling = own.join(known, "needs", "left_anti").select("id").distinct().withColumn("issue", F.lit("missing_dependency"))
-        circle = own.where("id = needs").select("id").unionByName(own.alias("a").join(own.alias("b"), (F.col("a.needs") == F.col("b.id")) & (F.col("b.needs") == F.col("a.id"))).select("a.id")).distinct().withColumn("issue", F.lit("cyclic"))
-        issues = issues.unionByName(dangling).unionByName(circle)
+        ids = new.select("id").distinct().join(there, "id", "left_anti")
+        own = edges.select("id", "needs").distinct().join(ids, "id", "left_semi").join(collection.select(F.col("id").alias("needs")), "needs", "left_anti")
+        dangling = own.join(ids.select(F.col("id").alias("needs")), "needs", "left_anti").select("id").distinct()
+        inner = written(own.join(ids.select(F.col("id").alias("needs")), "needs", "left_semi").select(F.col("id").alias("node"), F.col("needs").alias("next")), "appended-edges")
+        stuck = written(dangling.unionByName(twice.join(ids, "id", "left_semi")).distinct(), "appended-stuck")
+        refused = unpeeled(inner.unionByName(stuck.select(F.col("id").alias("node"), F.col("id").alias("next")))).select(F.col("node").alias("id")).distinct()
+        circles = unpeeled(unpeeled(inner).select(F.col("next").alias("node"), F.col("node").alias("next"))).select(F.col("node").alias("id")).distinct()
+        named = issues.unionByName(dangling.withColumn("issue", F.lit("missing_dependency"))).unionByName(circles.withColumn("issue", F.lit("cyclic")))
+        issues = written(named, "appended-issues")
+        issues = issues.unionByName(refused.join(issues, "id", "left_anti").withColumn("issue", F.lit("refused_dependency")))
     return collection.unionByName(new.join(issues, "id", "left_anti")), issues
 
 
+def removed(collection: DataFrame, edges: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The collection without the rows asked for (id), and (id, issue) of those that stay or are not there.
+
+    A plain removal refuses what others need: `required` if a row that stays needs it, over any number of steps, or if it is on a circle with others asked for; `unknown_id` if it is not there. edges: id, needs.
+    """
+    asked = asked.select("id").distinct()
+    unknown = asked.join(collection.select("id"), "id", "left_anti").withColumn("issue", F.lit("unknown_id"))
+    own = written(edges.select(F.col("needs").alias("node"), F.col("id").alias("next")).distinct().join(asked.select(F.col("id").alias("node")), "node", "left_semi"), "removed-edges")
+    held = own.join(asked.select(F.col("id").alias("next")), "next", "left_anti").select("node").distinct()
+    inner = own.join(asked.select(F.col("id").alias("next")), "next", "left_semi").select("node", "next")
+    required = unpeeled(inner.unionByName(held.select("node", F.col("node").alias("next")))).select(F.col("node").alias("id")).distinct().withColumn("issue", F.lit("required"))
+    return collection.join(asked.join(required, "id", "left_anti"), "id", "left_anti"), unknown.unionByName(required)
+
+
+def cascaded(collection: DataFrame, edges: DataFrame, asked: DataFrame, uses: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The collection without the rows asked for (id) and all that need them, and the assets (asset) that only removed rows used. edges: id, needs; uses: id, asset."""
+    gone = closure(edges.select(F.col("needs").alias("node"), F.col("id").alias("next")), asked.select(F.col("id").alias("node"))).withColumnRenamed("node", "id")
+    kept = collection.join(gone, "id", "left_anti")
+    if uses is None:
+        return kept, None
+    orphans = uses.join(gone, "id", "left_semi").select("asset").distinct().join(uses.join(kept.select("id"), "id", "left_semi").select("asset"), "asset", "left_anti")
+    return kept, orphans
+
+
 def upserted(collection: DataFrame, changes: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     """The collection with rows of `changes` in place of those with their id, or added, and without `removed` (id)."""
     out = collection.join(changes.select("id"), "id", "left_anti").unionByName(changes)

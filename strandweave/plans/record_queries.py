@@ -171,17 +171,47 @@ def results(spark, d):
     return table(spark, d, "events").select(n.alias("id"), F.when(n % 7 > 0, n - 1).alias("needs"), (n % 211 + 1).alias("asset"), (n % 13).alias("record"), (n % 7 + 1).alias("line"))
 
 
-@register("appended_results", f"""WITH {_RESULTS}, old AS (SELECT id FROM results WHERE line <= 3), new AS (SELECT id, needs FROM results WHERE line >= 3 AND line <> 5), known AS (SELECT id FROM old UNION SELECT id FROM new),
-i AS (SELECT id, 'duplicate_id' AS issue FROM new WHERE id IN (SELECT id FROM old) UNION ALL SELECT id, 'missing_dependency' FROM new WHERE needs NOT IN (SELECT id FROM known))
-SELECT id, 'kept' AS outcome FROM old UNION ALL SELECT id, 'added' FROM new WHERE id NOT IN (SELECT id FROM i) UNION ALL SELECT id, issue FROM i""")
-def appended_results(spark, d):  # 128, 165
-    r = results(spark, d)
-    old, new = r.where("line <= 3"), r.where("line >= 3 AND line <> 5")
+# Runs of seven again. Of each six runs one has old rows, one comes twice and one is not there; one is a plain chain; in the others the first row needs the second to fifth: a circle.
+_GRAPH = """graph AS (SELECT event_id AS id, event_id // 7 % 6 AS kind, event_id % 7 + 1 AS line, CASE WHEN event_id % 7 > 0 THEN event_id - 1 WHEN event_id // 7 % 6 >= 2 THEN event_id + event_id // 7 % 6 - 1 END AS needs FROM events),
+old AS (SELECT id FROM graph WHERE kind = 0 AND line <= 3), new AS (SELECT id, needs FROM graph WHERE kind > 0 OR (line >= 3 AND line <> 5)), fresh AS (SELECT * FROM new WHERE id NOT IN (SELECT id FROM old)), known AS (SELECT id FROM old UNION SELECT id FROM new)"""
+
+
+def graph(spark, d):
+    n = F.col("event_id")
+    kind, line = F.floor(n / 7) % 6, n % 7 + 1
+    return table(spark, d, "events").select(n.alias("id"), kind.alias("kind"), line.alias("line"), F.when(line > 1, n - 1).when(kind >= 2, n + kind - 1).alias("needs"))
+
+
+@register("appended_results", f"""WITH RECURSIVE {_GRAPH}, reach AS (SELECT id, needs AS goal FROM fresh WHERE needs IS NOT NULL UNION SELECT r.id, f.needs FROM reach r JOIN fresh f ON f.id = r.goal WHERE f.needs IS NOT NULL),
+i AS (SELECT id, 'duplicate_id' AS issue FROM new WHERE id IN (SELECT id FROM old) UNION ALL SELECT id, 'missing_dependency' FROM fresh WHERE needs NOT IN (SELECT id FROM known) UNION ALL SELECT id, 'cyclic' FROM reach WHERE id = goal),
+b AS (SELECT DISTINCT r.id FROM reach r JOIN i ON i.id = r.goal WHERE issue <> 'duplicate_id' AND r.id NOT IN (SELECT id FROM i)), every AS (SELECT * FROM i UNION ALL SELECT id, 'refused_dependency' FROM b)
+SELECT id, 'kept' AS outcome FROM old UNION ALL SELECT id, 'added' FROM new WHERE id NOT IN (SELECT id FROM every) UNION ALL SELECT id, issue FROM every""")
+def appended_results(spark, d):  # 128, 165: chains of seven, circles of two to five
+    r = graph(spark, d)
+    old, new = r.where("kind = 0 AND line <= 3"), r.where("kind > 0 OR (line >= 3 AND line <> 5)")
     out, issues = records.appended(old.select("id"), new.select("id"), new.where("needs IS NOT NULL").select("id", "needs"))
     kept = old.select("id", F.lit("kept").alias("outcome"))
     return kept.unionByName(out.join(old.select("id"), "id", "left_anti").withColumn("outcome", F.lit("added"))).unionByName(issues.withColumnRenamed("issue", "outcome"))
 
 
+@register("refused_removals", f"""WITH RECURSIVE {_RESULTS}, asked AS (SELECT id FROM results WHERE line >= 3 AND id // 7 % 4 <> 1 AND NOT (id // 7 % 4 = 2 AND line = 6) UNION ALL SELECT -5), r AS (SELECT a.id FROM asked a JOIN results d ON d.needs = a.id WHERE d.id NOT IN (SELECT id FROM asked) UNION SELECT a.id FROM r JOIN results d ON d.id = r.id JOIN asked a ON a.id = d.needs),
+e AS (SELECT id, 'required' AS issue FROM r UNION ALL SELECT id, 'unknown_id' FROM asked WHERE id NOT IN (SELECT id FROM results))
+SELECT id, 'stays' AS outcome FROM results WHERE id NOT IN (SELECT id FROM asked) OR id IN (SELECT id FROM e) UNION ALL SELECT id, issue FROM e""")
+def refused_removals(spark, d):  # 129: what others need is not removed
+    r = results(spark, d)
+    run = F.floor(F.col("id") / 7) % 4
+    asked = r.where((F.col("line") >= 3) & (run != 1) & ~((run == 2) & (F.col("line") == 6))).select("id").unionByName(spark.createDataFrame([(-5,)], "id long"))
+    kept, issues = records.removed(r.select("id"), r.where("needs IS NOT NULL").select("id", "needs"), asked)
+    return kept.withColumn("outcome", F.lit("stays")).unionByName(issues.withColumnRenamed("issue", "outcome"))
+
+
+@register("orphan_assets", f"WITH RECURSIVE {_RESULTS}, uses AS (SELECT id, id // 3 AS asset FROM results), gone AS (SELECT id FROM results WHERE id % 70 = 2 UNION SELECT r.id FROM gone g JOIN results r ON r.needs = g.id) SELECT DISTINCT asset FROM uses WHERE id IN (SELECT id FROM gone) AND asset NOT IN (SELECT asset FROM uses WHERE id NOT IN (SELECT id FROM gone))")
+def orphan_assets(spark, d):  # 129: assets that go with a cascade
+    r = results(spark, d)
+    uses = r.select("id", F.floor(F.col("id") / 3).alias("asset"))
+    return records.cascaded(r.select("id"), r.where("needs IS NOT NULL").select("id", "needs"), r.where("id % 70 = 2").select("id"), uses)[1]
+
+
 @register("upserted_notes", "SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 3 = 0 THEN 'changed' ELSE role END AS body FROM conversations WHERE turn % 5 <> 4 UNION ALL SELECT -1, 'new'")
 def upserted_notes(spark, d):  # 164
     n = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("body"))
@@ -192,11 +222,8 @@ def upserted_notes(spark, d):  # 164
 
 @register("cascade_delete", f"WITH RECURSIVE {_RESULTS}, gone AS (SELECT id FROM results WHERE id % 70 = 2 UNION SELECT r.id FROM gone g JOIN results r ON r.needs = g.id) SELECT id FROM results WHERE id NOT IN (SELECT id FROM gone)")
 def cascade_delete(spark, d):  # 129
-    from strandweave.operators.relations import closure
-
     r = results(spark, d)
-    edges = r.where("needs IS NOT NULL").select(F.col("needs").alias("node"), F.col("id").alias("next"))
-    return r.select("id").join(closure(edges, r.where("id % 70 = 2").select(F.col("id").alias("node"))).withColumnRenamed("node", "id"), "id", "left_anti")
+    return records.cascaded(r.select("id"), r.where("needs IS NOT NULL").select("id", "needs"), r.where("id % 70 = 2").select("id"))[0]
 
 
 @register("result_dependants", f"WITH {_RESULTS} SELECT DISTINCT asset AS needs, id FROM results WHERE asset % 40 = 1")

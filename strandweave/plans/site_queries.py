@@ -330,17 +330,17 @@ def overhang_set_ranking(spark, d):  # 122
     return cloning.ranked_sets(empirical, hamming).select("design", "tier", F.round("estimate", 6).alias("estimate"), "coverage", F.col("rank").cast("long").alias("rank"))
 
 
-# Every document gives a design of three fragments that share 15 to 44 bases; every sixth has a gap instead.
-_FRAG = """fragments AS (SELECT doc_id AS design, i::INTEGER AS ord, CASE i WHEN 0 THEN substr(seq, 1, 200) WHEN 1 THEN CASE WHEN doc_id % 6 = 0 THEN 'ACGTTGCA' ELSE '' END || substr(seq, 201 - k, 150 + k) ELSE substr(seq, 331, 70) || substr(seq, 1, 30) END AS seq FROM (SELECT *, CAST(15 + doc_id % 30 AS BIGINT) AS k, unnest(range(3)) AS i FROM seqs WHERE length(seq) >= 430))"""
+# Every document gives a design of three fragments that share 15 to 44 bases; every sixth has a gap instead, every eleventh an N.
+_FRAG = """fragments AS (SELECT doc_id AS design, i::INTEGER AS ord, CASE i WHEN 0 THEN substr(seq, 1, 200) WHEN 1 THEN CASE WHEN doc_id % 6 = 0 THEN 'ACGTTGCA' ELSE '' END || substr(seq, 201 - k, 150 + k) ELSE substr(seq, 331, 35) || CASE WHEN doc_id % 11 = 0 THEN 'N' ELSE substr(seq, 366, 1) END || substr(seq, 367, 34) || substr(seq, 1, 30) END AS seq FROM (SELECT *, CAST(15 + doc_id % 30 AS BIGINT) AS k, unnest(range(3)) AS i FROM seqs WHERE length(seq) >= 430))"""
 OVERLAPS = f"""{SEQS}, {_FRAG}, n AS (SELECT *, coalesce(lead(seq) OVER w, first_value(seq) OVER w) AS nxt FROM fragments WINDOW w AS (PARTITION BY design ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-ks AS (SELECT design, ord, list(k ORDER BY k DESC) AS ks FROM n, range(15, 61) t(k) WHERE length(seq) >= k AND length(nxt) >= k AND right(seq, k) = left(nxt, k) GROUP BY ALL),
+ks AS (SELECT design, ord, list(k ORDER BY k DESC) AS ks FROM n, range(15, 61) t(k) WHERE length(seq) >= k AND length(nxt) >= k AND right(seq, k) = left(nxt, k) AND NOT contains(right(seq, k), 'N') GROUP BY ALL),
 found_overlaps AS MATERIALIZED (SELECT n.*, CAST(ks[1] AS INTEGER) AS k, coalesce(len(ks), 0) AS many FROM n LEFT JOIN ks USING (design, ord))"""
 
 
 def gibson_fragments(spark, d):
     s = seqs(spark, d).where(F.length("seq") >= 430).withColumn("k", (15 + F.col("doc_id") % 30).cast("int"))
     cut = lambda a, n: F.substring("seq", F.lit(a) if isinstance(a, int) else a, F.lit(n) if isinstance(n, int) else n)
-    texts = F.array(cut(1, 200), F.concat(F.when(F.col("doc_id") % 6 == 0, "ACGTTGCA").otherwise(""), cut(201 - F.col("k"), 150 + F.col("k"))), F.concat(cut(331, 70), cut(1, 30)))
+    texts = F.array(cut(1, 200), F.concat(F.when(F.col("doc_id") % 6 == 0, "ACGTTGCA").otherwise(""), cut(201 - F.col("k"), 150 + F.col("k"))), F.concat(cut(331, 35), F.when(F.col("doc_id") % 11 == 0, "N").otherwise(cut(366, 1)), cut(367, 34), cut(1, 30)))
     return s.select(F.col("doc_id").alias("design"), F.posexplode(texts).alias("ord", "seq"))
 
 
@@ -350,11 +350,11 @@ def overlap_search(spark, d):  # 71
 
     w = Window.partitionBy("design").orderBy("ord")
     nxt = F.coalesce(F.lead("seq").over(w), F.first("seq").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    f = gibson_fragments(spark, d).withColumn("next", nxt).withColumn("o", cloning.overlap(F.col("seq"), F.col("next")))
+    f = cloning.with_overlaps(gibson_fragments(spark, d).withColumn("next", nxt), "seq", "next")
     return f.select("design", "ord", F.col("o.length").alias("overlap"), F.col("o.unique").alias("is_unique"), "o.reason")
 
 
-@register("gibson_assemblies", f"""WITH {OVERLAPS}, b AS (SELECT *, coalesce(lag(k) OVER (PARTITION BY design ORDER BY ord), 0) AS before, right(seq, k) AS text FROM found_overlaps), g AS (SELECT design, count_if(k IS NULL) AS missing, string_agg(substr(seq, before + 1), '' ORDER BY ord) AS s, arg_max(k, ord) AS closing, string_agg(k::VARCHAR, ',' ORDER BY ord) AS ks, count_if(many > 1) AS alternate, count(text) - count(DISTINCT text) AS reused FROM b GROUP BY design)
-SELECT design, missing = 0 AS success, CASE WHEN missing > 0 THEN 'no_overlap' ELSE '' END AS errors, coalesce(ks, '') AS overlaps, CAST(alternate AS BIGINT) AS alternate, CAST(reused AS INTEGER) AS reused, sha256(CASE WHEN missing = 0 THEN left(s, length(s) - closing) ELSE '' END) AS product FROM g""")
+@register("gibson_assemblies", f"""WITH {OVERLAPS}, b AS (SELECT *, coalesce(lag(k) OVER (PARTITION BY design ORDER BY ord), 0) AS before, right(seq, k) AS text FROM found_overlaps), g AS (SELECT design, count_if(k IS NULL) AS missing, string_agg(substr(seq, before + 1), '' ORDER BY ord) AS s, arg_max(k, ord) AS closing, string_agg(k::VARCHAR, ',' ORDER BY ord) AS ks, count_if(many > 1) AS alternate, count(text) - count(DISTINCT text) AS reused, bool_or(contains(seq, 'N')) AS odd FROM b GROUP BY design)
+SELECT design, missing = 0 AND NOT odd AS success, CASE WHEN odd THEN 'not_canonical' WHEN missing > 0 THEN 'no_overlap' ELSE '' END AS errors, coalesce(ks, '') AS overlaps, CAST(alternate AS BIGINT) AS alternate, CAST(reused AS INTEGER) AS reused, sha256(CASE WHEN missing = 0 AND NOT odd THEN left(s, length(s) - closing) ELSE '' END) AS product FROM g""")
 def gibson_assemblies(spark, d):  # 152
     return cloning.gibson(gibson_fragments(spark, d), circular=True).select("design", "success", "errors", "overlaps", "alternate", "reused", F.sha2("product", 256).alias("product"))

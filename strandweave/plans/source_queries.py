@@ -27,10 +27,11 @@ def fasta_scan(spark, d):  # 1
     return T.parse_fasta(s.select(F.col("doc_id").alias("path"), text.alias("value"))).select("path", "record", "header", "description", "sequence", "gaps_removed")
 
 
-@register("pasted_fasta", f"""WITH {SEQS} SELECT doc_id AS path, '>Pasted sequence' || chr(10) || left(seq, 40) || chr(10) || '>d' || doc_id || chr(10) || substr(seq, 41, 60) || chr(10) || '>next' || chr(10) || 'ACGT ACGT ACGT' AS value FROM seqs WHERE length(seq) >= 140""")
-def pasted_fasta(spark, d):  # 2
-    s = seqs(spark, d).where(F.length("seq") >= 140)
-    text = F.concat(F.lit("Please look at this.\n"), _cut(1, 40), F.lit("\nIt is new.\n  >d"), "doc_id", F.lit("\n"), _cut(41, 60), F.lit("\nThat was the first record.\nACGTACGTACGTACGT\n>next\nACGT ACGT ACGT\nThanks a lot!\n"))
+@register("pasted_fasta", f"""WITH {SEQS} SELECT doc_id AS path, '>Pasted sequence' || chr(10) || left(seq, 40) || chr(10) || '>d' || doc_id || chr(10) || substr(seq, 41) || chr(10) || ' ; kept' || chr(10) || substr(seq, 41) || chr(10) || '>next' || chr(10) || 'ACGT ACGT ACGT' AS value FROM seqs WHERE length(seq) > 40""")
+def pasted_fasta(spark, d):  # 2: the whole sequence between prose
+    s = seqs(spark, d).where(F.length("seq") > 40)
+    rest = F.substring("seq", F.lit(41), F.length("seq"))
+    text = F.concat(F.lit("Please look at this.\n"), _cut(1, 40), F.lit("\nIt is new.\n  >d"), "doc_id", F.lit("\r\nHere it comes, my friends\n"), rest, F.lit("\n ; kept\n\t"), rest, F.lit("\nThat was the first record.\nACGTACGTACGTACGT\n>next\nACGT ACGT ACGT\nThanks a lot!\n"))
     return T.extract_fasta(s.select(F.col("doc_id").alias("path"), text.alias("value")))
 
 
@@ -47,14 +48,20 @@ def json_inventories(spark, d):  # 6
 
 
 def records(spark, d):
-    """GenBank texts of the documents' first 300 bases with a coding sequence in two parts and a feature on the other strand."""
-    s = seqs(spark, d).where(F.length("seq") >= 300).withColumn("seq", _cut(1, 300))
+    """GenBank texts of whole documents with a coding sequence in two parts and a feature on the other strand."""
+    s = seqs(spark, d).where(F.length("seq") >= 300)
     made = F.expr("array(named_struct('type', 'CDS', 'segments', array(named_struct('start', 10, 'end', 40, 'strand', 1), named_struct('start', 60, 'end', 90, 'strand', 1)), 'operator', 'join'), named_struct('type', 'misc', 'segments', array(named_struct('start', 100, 'end', 130, 'strand', -1)), 'operator', ''))")
     full = F.transform(made, lambda f: F.struct(f["type"].alias("type"), f["segments"].alias("segments"), f["operator"].alias("operator"), F.lit("ok").alias("status"), F.array(F.struct(F.lit("note").alias("name"), F.lit('a "b"').alias("value"))).alias("qualifiers")))
     return s.select(F.col("doc_id").alias("path"), genbank.genbank_text(F.concat(F.lit("d"), "doc_id"), F.col("seq"), full, F.lit("circular")).alias("value"))
 
 
-@register("genbank_scan", f"""WITH {SEQS} SELECT doc_id AS path, 'd' || doc_id AS locus, 300::BIGINT AS length, 'circular' AS topology, sha256(left(seq, 300)) AS sha256, FALSE AS truncated, substr(seq, 11, 30) || substr(seq, 61, 30) AS cds, reverse(translate(substr(seq, 101, 30), 'ACGT', 'TGCA')) AS other, 'a "b"' AS note FROM seqs WHERE length(seq) >= 300""")
+@register("genbank_text", f"""WITH {SEQS}, r AS (SELECT doc_id, string_agg(lpad((i * 60 + 1)::VARCHAR, 9, ' ') || regexp_replace(lower(substr(seq, CAST(i * 60 + 1 AS BIGINT), 60)), '(.{{1,10}})', ' \\1', 'g'), chr(10) ORDER BY i) AS o FROM (SELECT *, unnest(range((length(seq) + 59) // 60)) AS i FROM seqs WHERE length(seq) >= 300) GROUP BY doc_id)
+SELECT doc_id AS path, sha256('LOCUS       d' || doc_id || ' ' || length(seq) || ' bp DNA circular' || chr(10) || 'FEATURES             Location/Qualifiers' || chr(10) || '     CDS             join(11..40,61..90)' || chr(10) || repeat(' ', 21) || '/note="a ""b""' || chr(34) || chr(10) || '     misc            complement(101..130)' || chr(10) || repeat(' ', 21) || '/note="a ""b""' || chr(34) || chr(10) || 'ORIGIN' || chr(10) || o || chr(10) || '//' || chr(10)) AS sha256 FROM seqs JOIN r USING (doc_id)""")
+def genbank_text(spark, d):  # 25: the text itself
+    return records(spark, d).select("path", F.sha2("value", 256).alias("sha256"))
+
+
+@register("genbank_scan", f"""WITH {SEQS} SELECT doc_id AS path, 'd' || doc_id AS locus, length(seq)::BIGINT AS length, 'circular' AS topology, sha256(seq) AS sha256, FALSE AS truncated, substr(seq, 11, 30) || substr(seq, 61, 30) AS cds, reverse(translate(substr(seq, 101, 30), 'ACGT', 'TGCA')) AS other, 'a "b"' AS note FROM seqs WHERE length(seq) >= 300""")
 def genbank_scan(spark, d):  # 3, 4, 9, 18, 25, 50
     r = genbank.parse_genbank(records(spark, d))
     take = lambda i: genbank.extract(F.col("sequence"), F.col("features")[i]["segments"])
@@ -138,8 +145,8 @@ def row_identities(spark, d):  # 99
     return alignment.identities(named(spark, d))
 
 
-@register("gibson_plans", f"""WITH {OVERLAPS}, b AS (SELECT *, coalesce(lag(k) OVER (PARTITION BY design ORDER BY ord), 0) AS before FROM found_overlaps), g AS (SELECT design, count_if(k IS NULL) AS missing, string_agg(substr(seq, before + 1), '' ORDER BY ord) AS s, arg_max(k, ord) AS closing, string_agg(k::VARCHAR, ',' ORDER BY ord) AS ks, string_agg('{{"ord":' || ord || ',"sha256":"' || sha256(seq) || '"}}', ',' ORDER BY ord) AS f FROM b GROUP BY design)
-SELECT design, '{{"method":"gibson","topology":"circular","fragments":[' || f || '],"overlaps":"' || coalesce(ks, '') || '","errors":"' || CASE WHEN missing > 0 THEN 'no_overlap' ELSE '' END || '"' || CASE WHEN missing = 0 THEN ',"product_sha256":"' || sha256(left(s, length(s) - closing)) || '"' ELSE '' END || '}}' AS plan FROM g""")
+@register("gibson_plans", f"""WITH {OVERLAPS}, b AS (SELECT *, coalesce(lag(k) OVER (PARTITION BY design ORDER BY ord), 0) AS before FROM found_overlaps), g AS (SELECT design, count_if(k IS NULL) AS missing, string_agg(substr(seq, before + 1), '' ORDER BY ord) AS s, arg_max(k, ord) AS closing, string_agg(k::VARCHAR, ',' ORDER BY ord) AS ks, string_agg('{{"ord":' || ord || ',"sha256":"' || sha256(seq) || '"}}', ',' ORDER BY ord) AS f, bool_or(contains(seq, 'N')) AS odd FROM b GROUP BY design)
+SELECT design, '{{"method":"gibson","topology":"circular","fragments":[' || f || '],"overlaps":"' || coalesce(ks, '') || '","errors":"' || CASE WHEN odd THEN 'not_canonical' WHEN missing > 0 THEN 'no_overlap' ELSE '' END || '"' || CASE WHEN missing = 0 AND NOT odd THEN ',"product_sha256":"' || sha256(left(s, length(s) - closing)) || '"' ELSE '' END || '}}' AS plan FROM g""")
 def gibson_plans(spark, d):  # 153
     return cloning.gibson_plans(gibson_fragments(spark, d), circular=True)
 

@@ -195,6 +195,49 @@ def pairwise_alignment(spark, d):  # 142, 143, 144: whole neighbouring turns
     return alignment.align_pairs(turn_pairs(spark, d, 2**31 - 1))
 
 
+@register("seeded_alignments", f"""WITH {PAIRS.replace(", 12) AS s", ") AS s").replace("left(translate", "(translate")} SELECT conv_id, turn, 'seed-and-extend' AS method, sha256(a) AS a, sha256(b) AS b, 0 AS unequal FROM pairs WHERE b IS NOT NULL AND length(a) * length(b) > 2000""")
+def seeded_alignments(spark, d):  # 75, 144: seeds and segments between them, whole turns, for pairs that a lower limit sends there
+    p = alignment.align_pairs(turn_pairs(spark, d, 2**31 - 1), "dna", alignment.Limits(full=1000, linear=2000, segment=10_000))
+    unequal = F.abs(F.length("aligned_a") - F.length("aligned_b"))
+    return p.where(F.length("a") * F.length("b") > 2000).select("conv_id", "turn", "method", *(F.sha2(F.replace(f"aligned_{c}", F.lit("-"), F.lit("")), 256).alias(c) for c in "ab"), unequal.alias("unequal"))
+
+
+@register("linear_space_alignments", f"""WITH {PAIRS.replace(", 12) AS s", ") AS s").replace("left(translate", "(translate")} SELECT conv_id, turn, 'linear-space' AS method, 0 AS worse, sha256(a) AS a, sha256(b) AS b FROM pairs WHERE b IS NOT NULL AND length(a) * length(b) > 2000""")
+def linear_space_alignments(spark, d):  # 143: the halving method against the whole matrix: the same score
+    t = turn_pairs(spark, d, 2**31 - 1).where(F.length("a") * F.length("b") > 2000)
+    both = alignment.align_pairs(t, "dna", alignment.Limits(full=1000))
+    whole = alignment.align_pairs(t, "dna").select("conv_id", "turn", F.col("score").alias("best"))
+    return both.join(whole, ["conv_id", "turn"]).select("conv_id", "turn", "method", (F.col("best") - F.col("score")).alias("worse"), *(F.sha2(F.replace(f"aligned_{c}", F.lit("-"), F.lit("")), 256).alias(c) for c in "ab"))
+
+
+# Turns of a conversation as one group to align; every seventh turn has no sequence, every ninth an odd sign.
+_STAR = """turns AS (SELECT conv_id AS "group", turn AS "row", role, CASE WHEN (conv_id + turn) % 7 = 6 THEN NULL ELSE left(SEQ, 60) || CASE WHEN (conv_id + turn) % 9 = 8 THEN '#' ELSE '' END END AS seq FROM conversations),
+told AS (SELECT *, CASE WHEN seq IS NULL THEN 'missing' WHEN seq = '' THEN 'empty' WHEN contains(seq, '#') THEN 'symbols' ELSE 'ok' END AS status FROM turns), n AS (SELECT "group", count(*) AS n FROM told WHERE status = 'ok' GROUP BY 1)""".replace("SEQ", f"translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{S.LETTERS}', '{S.CYCLE}')")
+
+
+def star_rows(spark, d):
+    k = F.col("conv_id") + F.col("turn")
+    seq = F.concat(F.left(S.as_bases(F.coalesce("text", F.lit(""))), F.lit(60)), F.when(k % 9 == 8, "#").otherwise(""))
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("group"), F.col("turn").alias("row"), "role", F.when(k % 7 == 6, None).otherwise(seq).alias("seq"))
+
+
+@register("star_status", f"""WITH {_STAR} SELECT "group", "row", CASE WHEN status = 'ok' AND n = 1 THEN 'alone' ELSE status END AS status, CASE WHEN status = 'ok' AND n > 1 THEN seq END AS seq, CASE WHEN status = 'ok' AND n > 1 THEN 1 ELSE 0 END AS width FROM told LEFT JOIN n USING ("group")""")
+def star_status(spark, d):  # 145: no row is lost; gaps are all that is added, and a group's rows are equally long
+    a = alignment.star_alignments(star_rows(spark, d).select("group", "row", "seq"))
+    wide = F.size(F.collect_set(F.length("aligned")).over(Window.partitionBy("group")))
+    return a.select("group", "row", "status", F.replace("aligned", F.lit("-"), F.lit("")).alias("seq"), F.when(F.col("aligned").isNotNull(), wide).otherwise(0).alias("width"))
+
+
+@register("alignment_requests", f"""WITH {_STAR}, r AS (SELECT "group", length(coalesce(seq, '')) AS k, CASE WHEN "row" % 11 = 10 THEN '' WHEN "row" % 4 = 3 THEN role ELSE role || ' ' || "row" END AS name, CASE WHEN "group" % 5 = 1 AND "row" > 2 THEN 'rna' WHEN "group" % 13 = 3 THEN 'plain' ELSE 'dna' END AS kind FROM turns),
+g AS (SELECT "group", count(*) AS n, count_if(kind = 'plain') AS odd, count(DISTINCT kind) AS kinds, count_if(name = '') AS bare, count(name) FILTER (name <> '') - count(DISTINCT lower(name)) FILTER (name <> '') AS again, max(k)::DOUBLE AS top, sum(k)::DOUBLE AS s, sum(k * k)::DOUBLE AS q FROM r GROUP BY 1)
+SELECT "group", unnest(list_filter([CASE WHEN n < 2 THEN 'too_few' END, CASE WHEN n > 10 THEN 'too_many' END, CASE WHEN odd > 0 THEN 'unsupported_molecule' END, CASE WHEN kinds > 1 THEN 'mixed_molecule' END, CASE WHEN bare > 0 THEN 'missing_name' END, CASE WHEN again > 0 THEN 'duplicate_name' END, CASE WHEN top > 50 THEN 'too_long' END, CASE WHEN (s * s - q) / 2 + greatest(0, top * s - top * top) > 40000 THEN 'work_budget' END], lambda x: x IS NOT NULL)) AS issue FROM g""")
+def alignment_requests(spark, d):  # 146: what the wrapper refuses
+    row, group = F.col("row"), F.col("group")
+    name = F.when(row % 11 == 10, " ").when(row % 4 == 3, F.upper("role")).otherwise(F.concat("role", F.lit(" "), row.cast("string")))
+    kind = F.when((group % 5 == 1) & (row > 2), "rna").when(group % 13 == 3, "plain").otherwise("dna")
+    return alignment.alignment_requests(star_rows(spark, d).select("group", "row", name.alias("name"), kind.alias("molecule"), "seq"), longest=50, most_work=40_000)
+
+
 @register("alignment_summary", f"""WITH {ROWS}, j AS (SELECT c.*, arg_max(symbol, (n, -first_row)) OVER (PARTITION BY alignment, "column") AS major FROM counts c WHERE symbol <> ''), p AS (SELECT alignment, sum(n) FILTER (symbol = major) AS same, count(DISTINCT "column") AS filled FROM j GROUP BY 1),
 w AS (SELECT j.alignment, count(*) AS k FROM j JOIN totals USING (alignment) WHERE symbol = major AND n = total GROUP BY 1), m AS (SELECT alignment, max(length(seq)) AS columns FROM rws GROUP BY 1)
 SELECT alignment, CAST(columns AS INTEGER) AS columns, total AS rows, floor(same::DOUBLE / (filled * total) * 1000 + 0.5) / 10 AS identity, 0::BIGINT AS gaps, coalesce(k, 0)::BIGINT AS conserved FROM p JOIN totals USING (alignment) JOIN m USING (alignment) LEFT JOIN w USING (alignment)""")

@@ -144,8 +144,12 @@ def gff3_lines(features: DataFrame) -> DataFrame:
     return f.select("id", (F.col("i") + 1).alias("part"), F.concat_ws("\t", "seqid", F.lit("strandweave"), "type", (F.col("s.start") + 1).cast("string"), F.col("s.end").cast("string"), F.lit("."), strand, phase, attributes).alias("line"))
 
 
-def genbank_text(name: Column, seq: Column, features: Column, topology: Column) -> Column:
-    """One GenBank record as text; reading it again gives the same sequence and locations. features: array of FEATURE."""
+def genbank_text(name: Column, seq: Column, features: Column, topology: Column, molecule: Column | None = None) -> Column:
+    """One GenBank record as text: ORIGIN rows are numbered by their first base and show six groups of ten; reading it again gives the same sequence and locations.
+
+    features: array of FEATURE. molecule: dna (also where it is not given), rna or protein, which is counted in aa.
+    """
+    kind = F.lit("dna") if molecule is None else F.coalesce(F.lower(molecule), F.lit("dna"))
 
     def location(f: Column) -> Column:
         one = lambda s: F.when(s["strand"] == -1, F.concat(F.lit("complement("), (s["start"] + 1).cast("string"), F.lit(".."), s["end"].cast("string"), F.lit(")"))).otherwise(F.concat((s["start"] + 1).cast("string"), F.lit(".."), s["end"].cast("string")))
@@ -154,9 +158,11 @@ def genbank_text(name: Column, seq: Column, features: Column, topology: Column)
 
     quals = lambda f: F.array_join(F.transform(f["qualifiers"], lambda q: F.concat(F.lit("\n" + " " * 21 + "/"), q["name"], F.lit('="'), F.replace(q["value"], F.lit('"'), F.lit('""')), F.lit('"'))), "")
     table = F.array_join(F.transform(F.filter(features, lambda f: f["status"] == "ok"), lambda f: F.concat(F.lit("     "), F.rpad(f["type"], 16, " "), location(f), quals(f))), "\n")
-    body = F.regexp_replace(F.regexp_replace(F.lower(seq), "(.{60})", "        1 $1\n"), "\n$", "")
-    last = F.regexp_replace(body, r"(?m)^([a-z*])", "        1 $1")
+    letters = F.lower(seq)
+    row = lambda i: F.concat(F.lpad((i * 60 + 1).cast("string"), 9, " "), F.regexp_replace(letters.substr((i * 60 + 1).cast("int"), F.lit(60)), "(.{1,10})", " $1"))
+    rows = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(seq) / 60).cast("int") - 1, F.lit(0))), row)
+    origin = F.when(F.length(seq) > 0, F.concat(F.array_join(rows, "\n"), F.lit("\n"))).otherwise("")
     return F.concat(
-        F.lit("LOCUS       "), name, F.lit(" "), F.length(seq).cast("string"), F.lit(" bp DNA "), topology, F.lit("\nFEATURES             Location/Qualifiers\n"),
-        F.when(F.length(table) > 0, F.concat(table, F.lit("\n"))).otherwise(""), F.lit("ORIGIN\n"), last, F.lit("\n//\n"),
+        F.lit("LOCUS       "), name, F.lit(" "), F.length(seq).cast("string"), F.when(kind == "protein", " aa ").otherwise(F.concat(F.lit(" bp "), F.upper(kind), F.lit(" "))), topology, F.lit("\nFEATURES             Location/Qualifiers\n"),
+        F.when(F.length(table) > 0, F.concat(table, F.lit("\n"))).otherwise(""), F.lit("ORIGIN\n"), origin, F.lit("//\n"),
     )
