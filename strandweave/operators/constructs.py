@@ -1,6 +1,6 @@
 """Construct verification: reads are trimmed, mapped and turned into evidence for or against a reference.
 
-One Arrow pass trims and maps each read (it needs only its own reference) and gives its alignment columns and variants. All that is said
+Reads are trimmed by batch, mapped by seeds and bands (mapping), and give their alignment columns and variants. All that is said
 about a construct follows by aggregates over those rows: depth, alleles and consensus by position, variants by what they change,
 required regions and expected variants by joins, the state by the worst reason. A deep position or a construct with very many reads is
 no group of its own anywhere.
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions import facts
-from strandweave.operators.scans import CODON_MASK
+from strandweave.operators import mapping
 from strandweave.session import written
 
 
@@ -35,10 +35,7 @@ class Thresholds(NamedTuple):
     min_quality: float = 20
     min_fraction: float = 0.6
     most_indel: int = 24
-
-
-MATCH, PARTLY, MISMATCH, GAP = 3, 1, -3, -4
-KEEP = 128  # every so many rows of scores are kept for the way back
+    most_indel_fraction: float = 0.12
 
 
 def trimmed(quality: list[int] | None, n: int, t: Thresholds) -> tuple[int, int]:
@@ -51,178 +48,140 @@ def trimmed(quality: list[int] | None, n: int, t: Thresholds) -> tuple[int, int]
     return (int(good[0]), int(good[-1]) + w) if len(good) else (0, 0)
 
 
-def pair_scores(x: int, y: np.ndarray) -> np.ndarray:
-    """Scores of one base set against many: plain equals, compatible ones, others."""
-    return np.where(x & y == 0, MISMATCH, np.where((y == x) & (x & (x - 1) == 0), MATCH, PARTLY)).astype(np.int32)
-
-
-def rows_of_scores(x: np.ndarray, y: np.ndarray, first: np.ndarray | None = None, begin: int = 0):
-    """Rows of the score matrix of a whole read (x) anywhere on a reference (y), one after the other, from a given row on."""
-    steps = np.arange(len(y) + 1, dtype=np.int32) * GAP
-    row = np.zeros(len(y) + 1, np.int32) if first is None else first
-    yield row
-    table = {int(m): pair_scores(int(m), y) for m in np.unique(x)}
-    for i in range(begin, len(x)):
-        best = np.maximum(row[:-1] + table[int(x[i])], row[1:] + GAP)
-        row = np.maximum.accumulate(np.concatenate([[(i + 1) * GAP], best]) - steps) + steps
-        yield row
-
-
-def last_scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    row = None
-    for row in rows_of_scores(x, y):
-        pass
-    return row
-
-
-def traced(x: np.ndarray, y: np.ndarray, end: int) -> list[tuple[str, int, int]]:
-    """(operation, place in the read, place on the reference) of the best alignment that ends at `end`; rows are worked out anew in blocks, so memory stays small."""
-    kept = {i: r.copy() for i, r in enumerate(rows_of_scores(x, y)) if i % KEEP == 0}
-    i, j, out, block, rows = len(x), end, [], -1, []
-    while i:
-        k = (i - 1) // KEEP
-        if k != block:
-            block = k
-            rows = []
-            for r in rows_of_scores(x, y, kept[k * KEEP], k * KEEP):
-                rows.append(r)
-                if len(rows) > KEEP:
-                    break
-        here, up = rows[i - k * KEEP], rows[i - 1 - k * KEEP]
-        if j and here[j] == up[j - 1] + pair_scores(int(x[i - 1]), y[j - 1 : j])[0]:
-            i, j = i - 1, j - 1
-            out.append(("m" if x[i] & y[j] else "s", i, j))
-        elif here[j] == up[j] + GAP:
-            i -= 1
-            out.append(("i", i, j))
-        else:
-            j -= 1
-            out.append(("d", i, j))
-    return out[::-1]
-
-
-def mapped(read: str, ref: str, circular: bool, t: Thresholds) -> tuple[str, int, list[tuple[str, int, int]], float]:
-    """Status, strand, alignment and identity of a read. On a circle it may pass the origin. Another place (or the other strand) that scores nearly as much makes it ambiguous."""
-    y0 = CODON_MASK[np.frombuffer(ref.encode("latin-1", "replace"), np.uint8)]
-    n = len(y0)
-    y = np.concatenate([y0, y0[: min(n, 2 * len(read))]]) if circular else y0
-    best = []
-    for strand, text in ((1, read), (-1, facts.reverse_complement(read))):
-        x = CODON_MASK[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
-        last = last_scores(x, y)
-        best.append((int(last.max()), strand, int(last.argmax()), x, last))
-    score, strand, end, x, last = max(best, key=lambda b: (b[0], b[1]))
-    if score <= 0:
-        return "unmapped_read", 0, [], 0.0
-    near = max(8, len(read) // 20)
-    place = np.arange(len(last))
-    apart = np.abs(place - end)
-    if circular:
-        apart = np.minimum(apart % n, n - apart % n)
-    second = max([int(last[apart > near].max(initial=0)), min(b[0] for b in best) if best[0][0] != best[1][0] else score])
-    path = traced(x, y, end)
-    identity = sum(o == "m" for o, _, _ in path) / len(path)
-    if identity < t.min_identity:
-        return "low_mapping_identity", strand, path, identity
-    if (score - second) / (MATCH * len(read)) < t.min_margin:
-        return "ambiguous_mapping", strand, path, identity
-    run = longest = 0
-    for o, _, _ in path:
-        run = run + 1 if o in "id" else 0
-        longest = max(longest, run)
-    if longest > t.most_indel:
-        return "excessive_indel", strand, path, identity
-    return "mapped", strand, [(o, i, j % n if circular else j) for o, i, j in path], identity
-
-
-def canonical(kind: str, start: int, allele: str, ref: str, circular: bool) -> tuple[int, str]:
-    """An indel at its leftmost place; on a circle, at the smallest boundary (then allele) of all its rotations."""
-    n, seen = len(ref), [(start, allele)]
-    for _ in range(n if circular else start):
-        p = (seen[-1][0] - 1) % n if circular else seen[-1][0] - 1
-        if p < 0 or ref[p] != seen[-1][1][-1]:
-            break
-        state = (p, seen[-1][1][-1] + seen[-1][1][:-1])
-        if state == seen[0]:
-            break
-        seen.append(state)
-    fit = [s for s in seen if kind == "insertion" or s[0] + len(allele) <= n] or seen[:1]
-    return min(fit) if circular else fit[-1]
-
-
 COLUMN = "array<struct<pos:int,allele:string,q:double>>"
 VARIANT = "array<struct<type:string,start:int,end:int,ref:string,alt:string,q:double>>"
-MAPPED = "status string, strand int, trim_start int, trim_end int, identity double, columns " + COLUMN + ", variants " + VARIANT
-
-
-def evidence(read: str, quality: list[int] | None, ref: str, circular: bool, t: Thresholds) -> tuple:
-    """The fields of MAPPED for one read."""
-    read, ref = read.upper(), ref.upper()
-    a, b = trimmed(quality, len(read), t)
-    if b - a < t.min_length:
-        return "trimmed_read_too_short", None, a, b, None, [], []
-    status, strand, path, identity = mapped(read[a:b], ref, circular, t)
-    if status != "mapped":
-        return status, strand or None, a, b, identity, [], []
-    own = read[a:b] if strand == 1 else facts.reverse_complement(read[a:b])
-    q = None if quality is None else (quality[a:b] if strand == 1 else quality[a:b][::-1])
-    scores = [None if q is None or o == "d" else float(q[i]) for o, i, _ in path]
-
-    def nearest(k: int) -> float | None:
-        for far in range(1, len(path)):
-            near = [scores[x] for x in (k - far, k + far) if 0 <= x < len(path) and scores[x] is not None]
-            if near:
-                return sum(near) / len(near)
-        return None
-
-    columns, seen, variants, k = [], set(), {}, 0
-
-    def note(kind: str, start: int, allele: str, alt: str, qs: list) -> None:
-        known = [x for x in qs if x is not None]
-        q_ = sum(known) / len(known) if known else None
-        if kind == "substitution":
-            key = (kind, start, start + 1, allele, alt)
-        else:
-            p, text = canonical(kind, start, alt if kind == "insertion" else allele, ref, circular)
-            key = (kind, p, p, "", text) if kind == "insertion" else (kind, p, p + len(text), text, "")
-        variants.setdefault(key, q_)
-
-    for at, (o, i, j) in enumerate(path):
-        base = "-" if o == "d" else own[i]
-        if o != "i" and j not in seen and base in "ACGT-":
-            seen.add(j)
-            columns.append({"pos": j, "allele": base, "q": nearest(at) if o == "d" else scores[at]})
-        if o == "s" and base in "ACGT" and ref[j] in "ACGT":
-            note("substitution", j, ref[j], base, [scores[at]])
-    while k < len(path):
-        o, i, j = path[k]
-        z = k + 1
-        if o in "id":
-            while z < len(path) and path[z][0] == o and (o == "i" or path[z][2] == path[z - 1][2] + 1):
-                z += 1
-            text = "".join(own[p[1]] if o == "i" else ref[p[2]] for p in path[k:z])
-            if len(text) <= t.most_indel and set(text) <= set("ACGT"):
-                note("insertion" if o == "i" else "deletion", j, text if o == "d" else "", text if o == "i" else "", scores[k:z] if o == "i" else [nearest(k)])
-        k = z
-    return status, strand, a, b, identity, columns, [dict(zip(("type", "start", "end", "ref", "alt"), key, strict=True), q=v) for key, v in variants.items()]
 
 
-def map_reads(reads: DataFrame, references: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """reads (construct, read, calls, quality: array or null) joined with references (construct, seq, topology) and mapped: construct, read and MAPPED."""
-    j = reads.join(references, "construct").select("construct", "read", "calls", "quality", "seq", (F.col("topology") == "circular").alias("circular"))
+def prepared(reads: DataFrame, t: Thresholds) -> DataFrame:
+    """construct, read, trim_start, trim_end, calls (upper case, trimmed), quality (of these; null: none) of reads (construct, read, calls, quality)."""
     kinds = ", ".join(f"{c} {reads.schema[c].dataType.simpleString()}" for c in ("construct", "read"))
-    item = pa.list_(pa.struct([("pos", pa.int32()), ("allele", pa.string()), ("q", pa.float64())]))
-    change = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("ref", pa.string()), ("alt", pa.string()), ("q", pa.float64())]))
-    types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), item, change]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                b = whole.slice(at, 64)
-                rows = [evidence(c or "", q, s or "", bool(o), thresholds) if s else ("unmapped_read", None, 0, 0, None, [], []) for c, q, s, o in zip(*(b.column(x).to_pylist() for x in ("calls", "quality", "seq", "circular")), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("construct"), b.column("read"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=["construct", "read", "status", "strand", "trim_start", "trim_end", "identity", "columns", "variants"])
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                texts = [(c or "").upper() for c in b.column("calls").to_pylist()]
+                quality = b.column("quality").to_pylist()
+                ends = [trimmed(q, len(c), t) for c, q in zip(texts, quality, strict=True)]
+                kept = [c[x:y] for c, (x, y) in zip(texts, ends, strict=True)]
+                scores = [None if q is None else [float(v) for v in q[x:y]] for q, (x, y) in zip(quality, ends, strict=True)]
+                cols = [pa.array([x for x, _ in ends], pa.int32()), pa.array([y for _, y in ends], pa.int32()), pa.array(kept, pa.string()), pa.array(scores, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([b.column("construct"), b.column("read"), *cols], names=["construct", "read", "trim_start", "trim_end", "calls", "quality"])
+
+    return reads.select("construct", "read", "calls", "quality").mapInArrow(run, f"{kinds}, trim_start int, trim_end int, calls string, quality array<double>")
+
+
+def beside(known: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For every place the known value nearest to it, the mean of two at the same distance; nan where nothing is known."""
+    place = np.arange(len(known))
+    before = np.maximum.accumulate(np.where(known, place, -1))
+    after = np.minimum.accumulate(np.where(known, place, len(known))[::-1])[::-1]
+    far = len(known) + 1
+    left, right = np.where(before < 0, far, place - before), np.where(after == len(known), far, after - place)
+    v = np.append(value, np.nan)
+    a, b = v[np.where(before < 0, -1, before)], v[np.where(after == len(known), -1, after)]
+    return np.where(left < right, a, np.where(right < left, b, (a + b) / 2))
+
+
+def read_columns(own: str, quality: list[float] | None, path: str, segment: str, place: int, circle: int, most_indel: int) -> tuple[list, list]:
+    """Calls by position and variants (indels where the path has them) of one mapped read."""
+    steps = np.frombuffer(path.encode(), np.uint8)
+    alone, gone = steps == ord("i"), steps == ord("d")
+    i, j = np.cumsum(~gone) - 1, np.cumsum(~alone) - 1
+    bases = np.frombuffer(own.encode("latin-1", "replace"), np.uint8)
+    text = np.frombuffer(segment.upper().encode("latin-1", "replace"), np.uint8)
+    where = place + np.where(alone, j + 1, j)
+    where = where % circle if circle else where
+    read = np.where(gone, ord("-"), bases[np.where(gone, 0, i)] if len(bases) else 0)
+    q = np.full(len(steps), np.nan) if quality is None else np.where(gone, np.nan, np.array(quality)[np.where(gone, 0, i)])
+    shown = np.where(gone, beside(~np.isnan(q), q), q)
+    value = [None if np.isnan(v) else float(v) for v in shown]
+    on = np.flatnonzero(~alone & np.isin(read, np.frombuffer(b"ACGT-", np.uint8)))
+    _, first = np.unique(where[on], return_index=True)
+    on = on[np.sort(first)]
+    columns = [{"pos": p, "allele": chr(c), "q": value[k]} for k, p, c in zip(on.tolist(), where[on].tolist(), read[on].tolist(), strict=True)]
+    below = np.where(alone, 0, text[np.where(alone, 0, j)] if len(text) else 0)
+    plain = np.isin(read, PLAIN) & np.isin(below, PLAIN)
+    variants = [{"type": "substitution", "start": int(where[k]), "end": int(where[k]) + 1, "ref": chr(below[k]), "alt": chr(read[k]), "q": value[k]} for k in np.flatnonzero((steps == ord("s")) & plain & (read != below)).tolist()]
+    edges = np.flatnonzero(np.diff(steps)) + 1
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(steps)], strict=True):
+        if not alone[a] and not gone[a]:
+            continue
+        kind, letters = ("insertion", read[a:b]) if alone[a] else ("deletion", below[a:b])
+        if b - a > most_indel or not np.isin(letters, PLAIN).all():
+            continue
+        allele, start = letters.astype(np.uint8).tobytes().decode(), int(where[a])
+        known = [v for v in value[a:b] if v is not None] if alone[a] else [v for v in value[a : a + 1] if v is not None]
+        mean = sum(known) / len(known) if known else None
+        variants.append({"type": kind, "start": start, "end": start if alone[a] else start + b - a, "ref": "" if alone[a] else allele, "alt": allele if alone[a] else "", "q": mean})
+    return columns, variants
+
+
+PLAIN = np.frombuffer(b"ACGT", np.uint8)
+
+
+def statuses(rows: DataFrame, t: Thresholds) -> DataFrame:
+    """rows of prepared reads and their alignments (null: none) with status and identity.
+
+    In this order: too short after trimming, unmapped (no alignment scores above nothing), too little identity, too much or too long an indel, a position of a circle met twice,
+    another path that scores as much or nearly so.
+    """
+    count = lambda c: F.length("path") - F.length(F.replace("path", F.lit(c), F.lit("")))
+    steps = F.length("path")
+    identity = count("m") / steps
+    longest = F.greatest(*[F.array_max(F.transform(F.regexp_extract_all("path", F.lit(f"({c}+)"), F.lit(1)), F.length)) for c in "id"])
+    best = F.col("score") == F.col("second")
+    near = (F.col("score") - F.col("second")) / (mapping.MATCH * F.col("n")) < t.min_margin
+    status = (
+        F.when(F.length("calls") < t.min_length, "trimmed_read_too_short").when(F.coalesce(F.col("score"), F.lit(0)) <= 0, "unmapped_read").when(identity < t.min_identity, "low_mapping_identity")
+        .when((F.coalesce(longest, F.lit(0)) > t.most_indel) | ((count("i") + count("d")) / steps > t.most_indel_fraction), "excessive_indel")
+        .when((F.col("circle") > 0) & (steps - count("i") > F.col("circle")), "ambiguous_mapping").when(best | near, "ambiguous_mapping").otherwise("mapped")
+    )
+    there = ~F.col("status").isin("trimmed_read_too_short", "unmapped_read")
+    return rows.withColumn("status", status).withColumn("identity", F.when(there, identity)).withColumn("strand", F.when(there, F.col("strand")))
+
 
-    return j.mapInArrow(run, f"{kinds}, {MAPPED}")
+def map_reads(reads: DataFrame, references: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """reads (construct, read, calls, quality: array or null) joined with references (construct, seq, topology) and mapped: construct, read, status, strand, trim_start, trim_end, identity, columns, variants.
+
+    A read is a row of its own (construct, read). Indels are moved as far to the left as the reference repeats them.
+    """
+    t = thresholds
+    names = ["construct", "read"]
+    refs = references.select("construct", F.upper(F.coalesce("seq", F.lit(""))).alias("seq"), F.coalesce(F.col("topology") == "circular", F.lit(False)).alias("circular"))
+    known = written(prepared(reads, t).join(refs.select("construct"), "construct", "left_semi"), "constructs-reads")
+    asked = known.where(F.length("calls") >= max(1, t.min_length))
+    found = mapping.alignments(asked, refs.where(F.length("seq") > 0), t.min_margin)
+    rows = written(statuses(known.join(found, names, "left"), t), "constructs-mapped")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item = pa.list_(pa.struct([("pos", pa.int32()), ("allele", pa.string()), ("q", pa.float64())]))
+        change = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("ref", pa.string()), ("alt", pa.string()), ("q", pa.float64())]))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                out = []
+                for calls, q, strand, path, segment, place, circle in zip(*(b.column(c).to_pylist() for c in ("calls", "quality", "strand", "path", "segment", "place", "circle")), strict=True):
+                    own = calls if strand == 1 else facts.reverse_complement(calls)
+                    out.append(read_columns(own, q if q is None or strand == 1 else q[::-1], path, segment, place, circle, t.most_indel))
+                yield pa.RecordBatch.from_arrays([b.column("construct"), b.column("read"), pa.array([c for c, _ in out], item), pa.array([v for _, v in out], change)], names=["construct", "read", "columns", "variants"])
+
+    shown = written(rows.where("status = 'mapped'").select(*names, "calls", "quality", "strand", "path", "segment", "place", "circle").mapInArrow(run, f"{kinds}, columns {COLUMN}, variants {VARIANT}"), "constructs-columns")
+    each = shown.select(*names, F.posexplode("variants").alias("ord", "v")).select(*names, "ord", "v.*")
+    allele = F.when(F.col("type") == "insertion", F.col("alt")).otherwise(F.col("ref"))
+    indels = each.where("type <> 'substitution'").withColumn("allele", allele)
+    moved = mapping.leftmost(indels, refs.select("construct", "seq"))
+    own = F.col("type") == "insertion"
+    indels = indels.join(moved, ["construct", "type", "start", "allele"]).select(
+        *names, "ord", "type", F.col("to_start").alias("start"), F.when(own, F.col("to_start")).otherwise(F.col("to_start") + F.length("allele")).alias("end"),
+        F.when(own, "").otherwise(F.col("to_allele")).alias("ref"), F.when(own, F.col("to_allele")).otherwise("").alias("alt"), "q")
+    change = ["type", "start", "end", "ref", "alt"]
+    once = each.where("type = 'substitution'").select(*names, "ord", *change, "q").unionByName(indels).groupBy(*names, *change).agg(F.min_by("q", "ord").alias("q"), F.min("ord").alias("ord"))
+    listed = once.groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", *change, "q"))), lambda x: F.struct(*[x[c].alias(c) for c in [*change, "q"]])).alias("variants"))
+    none = lambda kind: F.array().cast(kind)
+    out = rows.join(shown.select(*names, "columns"), names, "left").join(listed, names, "left")
+    return out.select(*names, "status", "strand", "trim_start", "trim_end", "identity", F.coalesce("columns", none(COLUMN)).alias("columns"), F.coalesce("variants", none(VARIANT)).alias("variants"))
 
 
 def weight(q):

@@ -2,12 +2,14 @@
 
 import math
 import random
+import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandweave.functions import facts
 from strandweave.functions import sequence as S
-from strandweave.operators import cloning, constructs, design, oligos
+from strandweave.operators import cloning, constructs, design, mapping, oligos
 
 
 def bases(n, seed):
@@ -142,24 +144,156 @@ def test_primer_pairs_of_a_table(spark):
     assert all((r.sequence if r.strand == 1 else facts.reverse_complement(r.sequence)) == seqs[r.doc_id][r.start : r.end] for r in f) and {r.strand for r in f} == {1, -1}
 
 
-def test_reads_are_found():
-    t = constructs.Thresholds()
-    ref, twice = bases(400, 1), bases(120, 2)
-    read = ref[100:180] + ref[183:260]
-    for text, strand in ((read, 1), (facts.reverse_complement(read), -1)):
-        status, s, path, identity = constructs.mapped(text, ref, False, t)
-        assert (status, s, path[0][2], path[-1][2] + 1) == ("mapped", strand, 100, 260) and [o for o, _, _ in path].count("d") == 3
-    assert constructs.mapped(twice, twice + bases(50, 3) + twice, False, t)[0] == "ambiguous_mapping"
-    assert constructs.mapped("A" * 40, "C" * 40, False, t)[0] == "unmapped_read"
-    assert constructs.mapped(bases(100, 8), ref, False, t)[0] in ("low_mapping_identity", "unmapped_read", "ambiguous_mapping")
-    status, s, path, _ = constructs.mapped(ref[380:] + ref[:60], ref, True, t)
-    assert status == "mapped" and path[0][2] == 380 and path[-1][2] == 59
-
-
-def test_indels_are_moved_left():
-    assert constructs.canonical("insertion", 5, "A", "CAAAAT", False) == (1, "A")
-    assert constructs.canonical("deletion", 3, "AG", "CAGAGAGT", False) == (1, "AG")
-    assert constructs.canonical("insertion", 3, "A", "CAAA", True) == (1, "A")
+def slow_mapping(read, ref, circular, t=constructs.Thresholds()):
+    """Status, strand and first place of a read by every start, band by band: plain loops over the whole reference."""
+    n, size = len(read), len(ref)
+    most = t.most_indel_fraction * n / (1 - t.most_indel_fraction)
+    band = max(t.most_indel, -(-int(np.ceil(most)) // 2))
+    at = lambda p: ref[p % size] if circular else ref[p] if 0 <= p < size else None
+
+    def run(text, start):
+        low, rows = start - band, [{c: (0, None) for c in range(start - band, start + band + 1) if circular or 0 <= c <= size}]
+        for i, x in enumerate(text, 1):
+            row = {}
+            for c in range(low + i, low + i + 2 * band + 1):
+                if not circular and not 0 <= c <= size:
+                    continue
+                best = (-(10**9), None)
+                if c - 1 in rows[-1] and at(c - 1) is not None:
+                    y = at(c - 1)
+                    best = (rows[-1][c - 1][0] + (3 if x == y else -3), 1)
+                if c in rows[-1] and rows[-1][c][0] - 4 > best[0]:
+                    best = (rows[-1][c][0] - 4, 2)
+                if c - 1 in row and row[c - 1][0] - 4 > best[0]:
+                    best = (row[c - 1][0] - 4, 3)
+                row[c] = best
+            rows.append(row)
+        if not rows[-1]:
+            return None
+        score = max(v for v, _ in rows[-1].values())
+        c = min((abs(c - start - n), c) for c, (v, _) in rows[-1].items() if v == score)[1]
+        i, path, end = n, [], c
+        while i:
+            step = rows[i][c][1]
+            if step is None:
+                return None
+            path.append(("msid"[1 if step == 1 and text[i - 1] != at(c - 1) else {1: 0, 2: 2, 3: 3}[step]], (c - 1) % size if circular and step != 2 else c - 1 if step != 2 else -1))
+            i, c = i - (step != 3), c - (step != 2)
+        return score, path[::-1], c % size if circular else c, end
+
+    found = []
+    for strand, text in ((1, read), (-1, facts.reverse_complement(read))):
+        for start in range(0 if circular else -min(band, n), size):
+            got = run(text, start)
+            if got:
+                found.append((-got[0], -strand, start, got[1], got[2]))
+    found.sort(key=lambda f: f[:3])
+    score, strand, _, path, place = found[0]
+    ops = "".join(o for o, _ in path)
+    met = [p for o, p in path if o != "i"]
+    runs = [len(x) for x in re.findall("i+|d+", ops)]
+    if -score <= 0:
+        return "unmapped_read", None, None
+    if ops.count("m") / len(ops) < t.min_identity:
+        status = "low_mapping_identity"
+    elif max(runs, default=0) > t.most_indel or sum(runs) / len(ops) > t.most_indel_fraction:
+        status = "excessive_indel"
+    elif circular and len(set(met)) < len(met):
+        status = "ambiguous_mapping"
+    else:
+        second = next((-f[0] for f in found if (f[1], f[3]) != (strand, path)), None)
+        status = "ambiguous_mapping" if second is not None and (second == -score or (-score - second) / (3 * n) < t.min_margin) else "mapped"
+    return status, -strand, place
+
+
+def edited(text, rng, rate):
+    out = []
+    for c in text:
+        r = rng.random()
+        out.append(rng.choice("ACGT") if r < rate else "" if r < 1.3 * rate else c + rng.choice("ACGT") if r < 1.6 * rate else c)
+    return "".join(out)
+
+
+def test_reads_against_every_start(spark):
+    """Planted reads of both strands, with edits, over origins, in repeats and from elsewhere, on lines and circles: the statuses, strands and places of plain loops."""
+    rng = random.Random(12)
+    t = constructs.Thresholds(trim_window=4)
+    cases = []
+    for k in range(26):
+        ref = bases(rng.randrange(70, 160), 900 + k)
+        if k % 5 == 4:
+            ref = ref[:60] + ref[:60] + bases(20, k)  # a repeat
+        circular = k % 2 == 1
+        start, n = rng.randrange(len(ref) - 45), rng.randrange(44, 64)
+        text = (ref + ref)[start : start + n] if circular else ref[start : start + n]
+        text = bases(50, 2000 + k) if k == 7 else "A" * 50 if k == 9 else (ref * 3)[: len(ref) + 50] if k == 11 else edited(text, rng, [0, 0, 0.02, 0.05, 0.12][k % 5 if k % 5 < 4 else rng.randrange(5)])
+        cases.append((k, facts.reverse_complement(text) if rng.random() < 0.5 else text, ref, circular))
+    reads = spark.createDataFrame([(k, 1, x, None) for k, x, _, _ in cases], "construct int, read int, calls string, quality array<int>")
+    refs = spark.createDataFrame([(k, ref, "circular" if c else "linear") for k, _, ref, c in cases], "construct int, seq string, topology string")
+    got = {r.construct: r for r in constructs.map_reads(reads, refs, t).collect()}
+    for k, x, ref, circular in cases:
+        if len(x) < t.min_length:
+            assert got[k].status == "trimmed_read_too_short"
+            continue
+        status, strand, place = slow_mapping(x, ref, circular, t)
+        assert (got[k].status, got[k].strand) == (status, strand), (k, status, strand, got[k])
+        if status == "mapped":
+            assert min(c.pos for c in got[k].columns) == place or circular
+    assert {r.status for r in got.values()} >= {"mapped", "ambiguous_mapping", "low_mapping_identity"}
+
+
+def test_seeds_prove_clean_reads_on_long_references(spark):
+    """Reads of a reference of 200,000 bases: found by seeds alone where they are clean, and then as the scan of the whole reference finds them; words that are everywhere are no seeds."""
+    rng = random.Random(5)
+    ref = bases(100_000, 1) + "ACGTTGCAAGC" * 100 + bases(100_000, 2)
+    places = [10, 50_000, 99_900, 120_000, len(ref) - 400]
+    texts = [edited(ref[p : p + 400], rng, 0.01) for p in places] + [edited(ref[70_000:70_400], rng, 0.1)]
+    rows = [(1, i, facts.reverse_complement(x) if i % 2 else x) for i, x in enumerate(texts)]
+    reads = spark.createDataFrame(rows, "construct int, read int, calls string")
+    refs = spark.createDataFrame([(1, ref, False)], "construct int, seq string, circular boolean")
+    got = {r.read: r for r in mapping.alignments(reads, refs, 0.03).collect()}
+    assert [got[i].seeded for i in range(6)] == [True, True, False, True, True, False]  # the third lies in words that are everywhere
+    for i, p in enumerate([*places, 70_000]):
+        assert abs(got[i].place - p) <= 12 and got[i].strand == (-1 if i % 2 else 1) and got[i].score > got[i].second
+    assert all(got[i].score > got[i].second + 36 for i in (0, 1, 3, 4))  # a drifting path has near rivals that leave its outermost diagonal
+    circle = spark.createDataFrame([(1, ref, True)], "construct int, seq string, circular boolean")
+    over = spark.createDataFrame([(1, 1, ref[-150:] + ref[:250])], "construct int, read int, calls string")
+    r = mapping.alignments(over, circle, 0.03).first()
+    assert (r.place, r.path, r.seeded) == (len(ref) - 150, "m" * 400, True)
+
+
+def slow_left(kind, start, allele, ref, circular):
+    """One place at a time, to the left; the smallest place that fits."""
+    seen, n = [(start, allele)], len(ref)
+    while len(seen) <= n:
+        p, a = seen[-1]
+        if (not circular and p == 0) or ref[(p - 1) % n] != a[-1]:
+            break
+        seen.append(((p - 1) % n, a[-1] + a[:-1]))
+    fit = [s for s in seen if kind == "insertion" or s[0] + len(allele) <= n]
+    return (min(fit) if circular else fit[-1]) if fit else seen[0]
+
+
+def test_indels_are_moved_left(spark):
+    rng = random.Random(3)
+    refs = {k: "".join(rng.choices("ACA", k=rng.randrange(6, 40))) for k in range(60)} | {100: "A" * 50, 101: "AC" * 30, 102: "CAAAAT", 103: "CAAA"}
+    rows = set()
+    for k, ref in refs.items():
+        for _ in range(6):
+            start, size = rng.randrange(len(ref)), rng.randrange(1, 5)
+            rows.add((k, "deletion", start, (ref + ref)[start : start + size] if k % 2 else ref[start : start + size]))
+            rows.add((k, "insertion", start, "".join(rng.choices("AC", k=size))))
+    indels = spark.createDataFrame([*rows], "construct int, type string, start int, allele string")
+    got = mapping.leftmost(indels, spark.createDataFrame([*refs.items()], "construct int, seq string"), size=7).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.to_start, r.to_allele) == slow_left(r.type, r.start, r.allele, refs[r.construct], r.construct % 2 == 1), r
+
+
+def test_values_beside_gaps():
+    known = np.array([False, True, False, False, False, True, False])
+    got = constructs.beside(known, np.array([0, 10.0, 0, 0, 0, 20.0, 0]))
+    assert got.tolist() == [10, 10, 10, 15, 20, 20, 20] and np.isnan(constructs.beside(np.zeros(3, bool), np.zeros(3))).all()
 
 
 def test_constructs_are_verified(spark):

@@ -5,7 +5,7 @@ import struct
 from pyspark.sql import functions as F
 
 from strandweave.operators import verification
-from strandweave.sources import abif, genbank
+from strandweave.sources import abif, genbank, text
 from strandweave.streaming import windows
 
 GB = '''LOCUS       demo        30 bp    DNA     circular SYN 01-JAN-2024
@@ -103,3 +103,22 @@ def test_windows_on_a_stream(spark, tmp_path):
     want = {(r.start, r.event_type): r.n for r in windows.tumbling(batch).collect()}
     assert {(r.start, r.event_type): r.n for r in spark.table("tumbled").collect()} == want
     assert windows.sessions(batch).agg(F.sum("n")).first()[0] == batch.count()
+
+
+def test_fasta_inside_prose(spark):
+    """Prose before, between and behind records; lead lines; comments; what a group of letters must show."""
+    cases = {
+        "prose": ("Please look:\nACGTACGTACGTAC\nIt is new.\n  >d1 one \nACGT ACGT ACGT\nHello there my friend.\nACGTACGTACGT\n>d2\n\n;note\nMKV-LL*\r\nok then thanks\nGG\n", ">Pasted sequence\nACGTACGTACGTAC\n>d1 one\nACGT ACGT ACGT\n>d2\n\n;note\nMKV-LL*"),
+        "no header": ("ACGTACGTACGTACGT", None), "empty": ("", None), "null": (None, None), "no residues": (">a\nThe quick fox.", None),
+        "protein lead": ("MEFILPQWERTYEEE\nnothing here\n>x\nHello!\nACGU\n\n", ">Pasted sequence\nMEFILPQWERTYEEE\n>x\nACGU"),
+        "signs": ("> h\nsome prose words of it\nACG1 23\nACGTNN(3)acgt\nEnd.\nA", "> h\nACG1 23\nACGTNN(3)acgt"),
+        "short groups": (">h\nAC GT AC GT AC\nACG TAC GTA CGT\n", ">h\nACG TAC GTA CGT"),
+    }
+    got = {r.path: r.value for r in text.extract_fasta(spark.createDataFrame([(k, v) for k, (v, _) in cases.items()], "path string, value string")).collect()}
+    assert got == {k: v for k, (_, v) in cases.items()}
+
+
+def test_genbank_rows_are_numbered(spark):
+    df = spark.range(1).select(genbank.genbank_text(F.lit("x"), F.lit("ACGTACGTAC" * 13), F.array().cast("array<struct<type:string,segments:array<struct<start:int,end:int,strand:int>>,operator:string,status:string,qualifiers:array<struct<name:string,value:string>>>>"), F.lit("linear"), F.lit("protein")).alias("v"))
+    lines = df.first().v.split("\n")
+    assert lines[0].split()[2:4] == ["130", "aa"] and lines[3:] == ["        1" + " acgtacgtac" * 6, "       61" + " acgtacgtac" * 6, "      121 acgtacgtac", "//", ""]

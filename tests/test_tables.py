@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from strandweave.functions import facts
-from strandweave.operators import alignment, intervals, relations, restriction, scans
+from strandweave.operators import alignment, cloning, intervals, records, relations, restriction, scans
 from strandweave.sources import text as T
 
 
@@ -158,11 +158,61 @@ def test_other_ways_to_align():
         assert score(*full) == score(*linear) and [x.replace("-", "") for x in linear] == [a, b]
     a = "".join(random.choice("ACGT") for _ in range(300))
     b = a[:100] + a[120:220] + "GATTACA" + a[220:]
-    s, t = alignment.seeded(a, b, m)
+    s, t, left_out = alignment.seeded(a, b, m)
     assert [s.replace("-", ""), t.replace("-", "")] == [a, b] and sum(x == y for x, y in zip(s, t, strict=True)) >= 275
+    assert left_out == 0 and alignment.seeded(a[:100] + "C" * 40 + a[100:], a[:100] + "G" * 40 + a[100:], m, 100)[2] == 1
     assert alignment.seed_anchors("ACG", "ACG") == [] and alignment.seed_anchors(a, a) == [(0, 0, 300)]
 
 
+def slow_anchors(a, b, k=12, most=32):
+    """From the left, each free word of a takes the first free of its first places in b, with its whole run if all of that is free."""
+    k = min(k, len(a), len(b))
+    out, fa, fb, i = [], 0, 0, 0
+    while k >= 4 and i + k <= len(a):
+        places = [j for j in range(len(b) - k + 1) if b[j : j + k] == a[i : i + k]][:most]
+        j = next((j for j in places if j >= fb), None)
+        if j is not None:
+            p, q, n = i, j, k
+            while p and q and a[p - 1] == b[q - 1]:
+                p, q, n = p - 1, q - 1, n + 1
+            while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n]:
+                n += 1
+            if p >= fa and q >= fb:
+                out.append((p, q, n))
+                fa, fb = p + n, q + n
+                i = fa
+                continue
+        i += 1
+    return out
+
+
+def test_anchors_against_loops():
+    random.seed(9)
+    for _ in range(60):
+        parts = ["".join(random.choices("AC", k=random.randint(3, 30))) for _ in range(6)]
+        a, b = ("".join(random.choices(parts, k=random.randint(1, 9))) for _ in "ab")
+        assert alignment.seed_anchors(a, b) == slow_anchors(a, b)
+
+
+def test_star_keeps_every_row(spark):
+    """A null, an empty and an odd row, rows of another alphabet, and pairs beyond the limit, in small and large groups: all are there, with a status."""
+    random.seed(4)
+    base = "".join(random.choices("ACGT", k=40))
+    near = lambda: "".join(c for c in base if random.random() > 0.05)
+    rows = [(1, 0, None), (1, 1, base), (1, 2, near()), (1, 3, "A#"), (1, 4, ""), (2, 0, "ACGT"), (2, 1, None), (3, 0, "MKL"), (3, 1, "MKQL"), (3, 2, "A" * 3000), (4, 0, "ACGU"), (4, 1, "ACG")]
+    rows += [(5, i, None if i == 7 else near()) for i in range(30)]
+    out = alignment.star_alignments(spark.createDataFrame(rows, "group int, row int, seq string"), limits=alignment.Limits(most=8000)).collect()
+    got = {(r.group, r.row): r for r in out}
+    assert len(got) == len(out) == len(rows)
+    assert [got[1, i].status for i in range(5)] == ["missing", "ok", "ok", "symbols", "empty"] and [got[2, i].status for i in range(2)] == ["alone", "missing"]
+    assert [got[3, i].status for i in range(3)] == ["ok", "ok", "work-limit"] and [got[4, i].status for i in range(2)] == ["ok", "ok"] and got[5, 7].status == "missing"
+    for g in (1, 3, 4, 5):
+        own = [(r, s) for k, r, s in rows if k == g and got[g, r].status == "ok"]
+        assert len({len(got[g, r].aligned) for r, _ in own}) == 1 and all(got[g, r].aligned.replace("-", "") == s for r, s in own)
+        assert sum(got[g, r].centre for r, _ in own) == 1
+    assert all(got[g, r].aligned is None for g, r, _ in rows if got[g, r].status != "ok")
+
+
 def test_ambiguity_in_alignments(spark):
     r = alignment.align_pairs(spark.createDataFrame([("ACGT", "ACNT"), ("ACGU", "ACGU"), ("MKB", "MKD"), ("MXK", "MXK")], "a string, b string")).collect()
     assert [(x.identity, x.ambiguous) for x in r[:2]] == [(100.0, 1), (100.0, 0)] and r[3].ambiguous == 1 and r[3].identity == 100.0
@@ -223,7 +273,7 @@ def test_star_alignments_of_small_and_large_groups(spark):
     for g, ss in groups.items():
         if len(ss) > 1:
             assert [got[g, i] for i in range(len(ss))] == plain_star(ss), g
-    assert not any(g == "d" for g, _ in got)
+    assert got["d", 0] is None  # alone: there, without a row
 
 
 def test_pattern_hits(spark):
@@ -276,7 +326,7 @@ def test_fasta_round_trip(spark):
 
 def test_clustal_round_trip(spark):
     rows = spark.createDataFrame([(1, 1, "one", "ACGT" * 20), (1, 2, "two", "ACGA" * 20)], "alignment int, row long, name string, aligned string")
-    lines = [r.line for r in T.to_clustal(rows).collect()]
+    lines = [r.line for r in T.to_clustal(rows).orderBy("alignment", "block", "row").collect()]
     text = "CLUSTAL\n\n" + "\n".join(lines)
     back = T.parse_clustal(spark.createDataFrame([("p", text)], "path string, value string")).collect()
     assert {(r.name, r.aligned) for r in back} == {("one", "ACGT" * 20), ("two", "ACGA" * 20)}
@@ -285,3 +335,58 @@ def test_clustal_round_trip(spark):
 def test_tsv_cells(spark):
     df = spark.createDataFrame([("=1",), ('a"b',), ("x",), (None,)], "c string")
     assert [r[0] for r in df.select(T.tsv_cell(F.col("c"))).collect()] == ["'=1", '"a""b"', "x", ""]
+
+
+def slow_append(old, new, edges):
+    """Issues by closures over plain sets."""
+    ids, twice = {i for i in new}, {i for i in new if new.count(i) > 1}
+    issues = {(i, "duplicate_id") for i in twice | (ids & old)}
+    fresh = ids - old
+    own = {(a, b) for a, b in edges if a in fresh and b not in old}
+    missing = {a for a, b in own if b not in fresh}
+    reach = {a: {b for x, b in own if x == a} for a in fresh}
+    for _ in fresh:
+        reach = {a: r | {c for b in r for c in reach.get(b, ())} for a, r in reach.items()}
+    circle = {a for a in fresh if a in reach[a]}
+    between = {a for a in fresh if reach[a] & circle and any(a in reach[c] for c in circle)}
+    issues |= {(a, "missing_dependency") for a in missing} | {(a, "cyclic") for a in circle | between}
+    bad = {i for i, _ in issues if i in fresh}
+    return issues | {(a, "refused_dependency") for a in fresh if reach[a] & bad and a not in bad}
+
+
+def test_dependencies_by_peeling(spark):
+    random.seed(2)
+    for k in range(4):
+        old, new = set(range(0, 20)), [random.randrange(15, 60) for _ in range(60)] if k % 2 else list(range(20, 60))
+        edges = {(random.randrange(15, 60), random.randrange(0, 62)) for _ in range(20 + 10 * k)} | {(50 + i, 51 + i) for i in range(5)}
+        c = spark.createDataFrame([(i, "old") for i in old], "id int, what string")
+        n = spark.createDataFrame([(i, "new") for i in new], "id int, what string")
+        out, issues = records.appended(c, n, spark.createDataFrame([*edges], "id int, needs int"))
+        want = slow_append(old, new, edges)
+        got = [tuple(r) for r in issues.collect()]
+        assert set(got) == want and len(got) == len(set(got))
+        assert sorted(r.id for r in out.collect()) == sorted(old | ({i for i in new} - {i for i, _ in want} - old))
+    e = spark.createDataFrame([(2, 1), (3, 2), (5, 4), (7, 6), (6, 7), (9, 8)], "id int, needs int")
+    c = spark.createDataFrame([(i,) for i in range(1, 10)], "id int")
+    kept, issues = records.removed(c, e, spark.createDataFrame([(i,) for i in (2, 3, 4, 6, 7, 8, 9, 99)], "id int"))
+    assert sorted(r.id for r in kept.collect()) == [1, 4, 5, 6, 7] and {tuple(r) for r in issues.collect()} == {(4, "required"), (6, "required"), (7, "required"), (99, "unknown_id")}
+
+
+def test_overlaps_against_slices(spark):
+    random.seed(8)
+    rows = []
+    for i in range(200):
+        a, b = ("".join(random.choices("ACGTacgt" if i % 3 else "ACN", k=random.randint(0, 40))) for _ in "ab")
+        k = random.randint(8, 20)
+        rows.append((i, a + b[:k] if i % 2 else a, b if i % 5 else b[:k] * 3))
+    rows += [(900, None, "ACGTACGTACGT"), (901, "ACGTACGTA", None), (902, "A" * 30, "A" * 30)]
+    sets = {k: set(v) for k, v in facts.IUPAC.items()}
+    for r in cloning.with_overlaps(spark.createDataFrame(rows, "i int, a string, b string"), "a", "b", 8, 20).collect():
+        if r.a is None or r.b is None:
+            assert r.o is None
+            continue
+        a, b = r.a.upper()[-20:], r.b.upper()[:20]
+        ks = [k for k in range(min(len(a), len(b), 20), 7, -1) if a[-k:] == b[:k] and set(a[-k:]) <= set("ACGT")]
+        maybe = not set(a + b) <= set("ACGT") and any(all(sets[x] & sets[y] for x, y in zip(a[-k:], b[:k], strict=True)) for k in range(8, min(len(a), len(b)) + 1))
+        want = "exact" if len(ks) == 1 else "multiple_exact" if ks else "ambiguous_symbols" if maybe else "none"
+        assert (r.o.lengths, r.o.length, r.o.unique, r.o.reason) == (ks, ks[0] if ks else None, len(ks) == 1, want)
