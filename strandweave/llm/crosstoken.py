@@ -7,9 +7,9 @@ run of bytes, which ends at an end of either and holds no other: so the bits of
 each gives its two tokens.
 
 Tokens. A: byte-level BPE by the `tokenizers` library, B: BPE with byte fallback by `sentencepiece`; special strings are plain
-text. Both work within chunks (the split pattern; spaces and the word that follows: no piece of B has a
-space behind another character, which is checked), so chunks met before are looked up in a memo of about MEMO_CHARS characters. Texts with
-characters beyond the common scripts go to the A library whole, because splitting there could follow another Unicode version.
+text. Neither merges over the beginning of a run of spaces (no piece of B has a space behind another character, which is checked; A
+cuts there unless other white space runs on into the spaces), so both encode units: a run of spaces and what follows. Units met before come from a memo
+of about MEMO_CHARS characters. Texts where white space runs on into spaces are one unit each.
 
 Counts. The number of documents that hold an id pair linked is summed within a task, then by Spark. What documents need back: the
 most frequent pairs, HOT_PAIRS at most, go to every task as two arrays (their least count is chosen from a histogram with 64 rows); all
@@ -22,71 +22,52 @@ and groups_sha256 is ''. Repeated rows are documents of their own and count each
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm.common import documents, slices, written
 from strandweave.llm.tokens import byte_symbols
 
-MEMO_CHARS = 4 << 20
+MEMO_CHARS = 8 << 20
 ENCODED, SLICE = 4096, 1 << 20
 HOT_PAIRS = 131_072
 COUNTED = 4 << 20
-#: The split pattern of the first vocabulary where letters, digits and white space are ASCII.
-ASCII = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-UNCOMMON = regex.compile(r"[^\x00-ԯ‐-‧　-ヿ一-鿌]")
+#: White space that runs on into spaces: there, spaces may be cut otherwise than at a unit's beginning.
+RUNS_ON = re.compile(r"[^\S ](?:  | $)")
+#: Units that are cut off from a unit behind them, whatever it is.
+BESIDE = re.compile(r" (?:[^\s▁]|[^\s▁][^▁]*[^\s▁])")
 
 
-class Memo:
-    """Token ids of chunks: those met before from one flat array, the others by `encode`, many at a time."""
+class Ragged:
+    """Lists of ids end to end."""
 
-    def __init__(self, encode, most: int = MEMO_CHARS):
-        self.encode, self.most = encode, most
-        self.forget()
+    def __init__(self):
+        self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat, self.start, self.good, self.held = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool), 0
-
-    def ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Flat ids, number of ids of each chunk, and whether its tokens spell it."""
-        known = list(map(self.at.get, chunks))
-        new = list({c for c, k in zip(chunks, known, strict=True) if k is None})
-        if new:
-            self.at.update(zip(new, range(len(self.good), len(self.good) + len(new)), strict=True))
-            flat, lens, good = [self.flat], [], [self.good]
-            for i in range(0, len(new), ENCODED):
-                got, ok = self.encode(new[i : i + ENCODED])
-                lens += map(len, got)
-                flat.append(np.array(list(chain.from_iterable(got)), np.int32))
-                good.append(ok)
-            self.flat, self.good = np.concatenate(flat), np.concatenate(good)
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.array(lens, np.int64))])
-            known = list(map(self.at.get, chunks))
-        code = np.array(known, np.int64)
-        lens = self.start[code + 1] - self.start[code]
-        out = self.flat[np.repeat(self.start[code] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))], lens, self.good[code]
-        self.held += sum(map(len, new))
-        if self.held > self.most:
-            self.forget()
-        return out
+    def add(self, flat: list[np.ndarray], lens: list[np.ndarray]) -> None:
+        self.flat = np.concatenate([self.flat, *flat]).astype(np.int32)
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(lens))])
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lens = self.start[rows + 1] - self.start[rows]
+        return self.flat[np.repeat(self.start[rows] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))], lens
 
 
 class ByteLevel:
     """The first vocabulary: a file of the `tokenizers` library with byte-level BPE."""
 
     def __init__(self, path: str):
-        import public_tokenizers
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; Spark runs the tasks side by side
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         byte = {c: b for b, c in byte_symbols().items()}
@@ -95,17 +76,10 @@ class ByteLevel:
         self.spelt = [b""] * self.size
         for piece, i in vocab.items():
             self.spelt[i] = bytes(byte[c] for c in piece) if all(c in byte for c in piece) else piece.encode()
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.memo = Memo(self._encode)
-
-    def _encode(self, chunks: list[str]) -> tuple[list[list[int]], np.ndarray]:
-        got = [e.ids for e in self.library.encode_batch(chunks, add_special_tokens=False)]
-        return got, np.array([b"".join([self.spelt[i] for i in g]) == c.encode() for g, c in zip(got, chunks, strict=True)], bool)
+        self.lengths = np.array([len(x) for x in self.spelt], np.int64)
 
-    def chunks(self, text: str) -> list[str]:
-        if text.isascii():
-            return ASCII.findall(text)
-        return [text] if UNCOMMON.search(text) else self.pattern.findall(text)
+    def encode(self, units: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
 
 
 class Pieces:
@@ -119,32 +93,89 @@ class Pieces:
         pieces = [m.id_to_piece(i) for i in range(self.size)]
         self.apart = all("▁" not in p.lstrip("▁") for p in pieces)
         self.spelt = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.lengths = np.array([len(x) for x in self.spelt], np.int64)
         self.space = m.piece_to_id("▁")
-        self.pattern = re.compile(" *[^ ]+| +")
-        self.memo = Memo(self._encode)
 
-    def _encode(self, chunks: list[str]) -> tuple[list[list[int]], np.ndarray]:
-        got = self.library.encode([c[1:] for c in chunks], num_threads=1)
-        got = [[self.space] if c == " " else g for c, g in zip(chunks, got, strict=True)]  # a space alone is dropped at the end of the input only
-        return got, np.array([b"".join([self.spelt[i] for i in g]) == c.encode() for g, c in zip(got, chunks, strict=True)], bool)
+    def encode(self, units: list[str]) -> list[list[int]]:
+        got = self.library.encode([u[1:] for u in units], num_threads=1)
+        return [[self.space] if u == " " else g for u, g in zip(units, got, strict=True)]  # of nothing at all the library makes no tokens
 
-    def chunks(self, text: str) -> list[str]:
-        return self.pattern.findall(text) if self.apart else [text]
 
+class Both:
+    """Ids of texts by both vocabularies, a unit (spaces and what follows up to the next) at a time; units met before are not encoded again."""
 
-@lru_cache(maxsize=2)
-def vocabularies(a_path: str, b_path: str) -> tuple[ByteLevel, Pieces]:
-    return ByteLevel(a_path), Pieces(b_path)
+    def __init__(self, first: ByteLevel, second: Pieces, most: int = MEMO_CHARS):
+        self.first, self.second, self.most = first, second, most
+        self.pattern = re.compile(" +[^ ]*")
+        self.forget()
 
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.a, self.b, self.good, self.held = Ragged(), Ragged(), np.zeros(0, bool), 0
+
+    def units(self, text: str) -> list[str]:
+        return self.pattern.findall(text) if self.second.apart and not RUNS_ON.search(text) else [text]
+
+    def one_by_one(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per vocabulary: flat ids, ids of each unit, whether they spell it."""
+        out = []
+        for vocabulary in (self.first, self.second):
+            lists, spelt = vocabulary.encode(units), vocabulary.spelt
+            good = np.fromiter((b"".join([spelt[i] for i in g]) == u.encode() for g, u in zip(lists, units, strict=True)), bool, len(units))
+            out.append((np.array(list(chain.from_iterable(lists)), np.int32), np.fromiter(map(len, lists), np.int64, len(lists)), good))
+        return out
+
+    def together(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None:
+        """The same for units that may stand in one text side by side; None if a token lies over the border of two."""
+        out, text = [], "".join(units)
+        raw, ends = text.encode(), np.cumsum(np.fromiter((len(u.encode()) for u in units), np.int64, len(units)))
+        for vocabulary in (self.first, self.second):
+            ids = vocabulary.encode([text])[0]
+            if b"".join([vocabulary.spelt[i] for i in ids]) != raw:
+                return None
+            ids = np.array(ids, np.int32)
+            upto = np.cumsum(vocabulary.lengths[ids])
+            last = np.searchsorted(upto, ends)
+            if (upto[last] != ends).any():
+                return None
+            out.append((ids, np.diff(last, prepend=-1), np.ones(len(units), bool)))
+        return out
 
-def tokenised(texts: list[str], vocabulary: ByteLevel | Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flat ids, number of ids of each text, and whether the tokens spell it."""
-    chunks = [vocabulary.chunks(t) for t in texts]
-    each = np.fromiter(map(len, chunks), np.int64, len(chunks))
-    ids, lens, good = vocabulary.memo.ids([c for cs in chunks for c in cs])
-    upto = np.concatenate([[0], np.cumsum(each)])
-    tokens, bad = np.concatenate([[0], np.cumsum(lens)]), np.concatenate([[0], np.cumsum(~good)])
-    return ids, np.diff(tokens[upto]), np.diff(bad[upto]) == 0
+    def learn(self, units: list[str]) -> None:
+        beside = {True: [], False: []}
+        for u in units:
+            beside[BESIDE.fullmatch(u) is not None].append(u)
+        self.at.update(zip(beside[True] + beside[False], range(len(self.good), len(self.good) + len(units)), strict=True))
+        done = []
+        for safe, some in beside.items():
+            for i in range(0, len(some), ENCODED):
+                part = some[i : i + ENCODED]
+                done.append((self.together(part) if safe else None) or self.one_by_one(part))
+        for held, column in ((self.a, 0), (self.b, 1)):
+            held.add([d[column][0] for d in done], [d[column][1] for d in done])
+        self.good = np.concatenate([self.good, *(d[0][2] & d[1][2] for d in done)])
+        self.held += sum(map(len, units))
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts that begin with a space: ids of the first vocabulary and their number by text, the same of the second, and whether both spell the text."""
+        parts = [self.units(t) if t else [] for t in texts]
+        units = list(chain.from_iterable(parts))
+        code = np.fromiter(map(self.at.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(code < 0).tolist()
+        if missing:
+            self.learn(list({units[i] for i in missing}))
+            code[missing] = [self.at[units[i]] for i in missing]
+        upto = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+        (a, n_a), (b, n_b) = self.a.take(code), self.b.take(code)
+        per_text = [np.diff(np.concatenate([[0], np.cumsum(v)])[upto]) for v in (n_a, n_b, ~self.good[code])]
+        if self.held > self.most:
+            self.forget()
+        return a, per_text[0], b, per_text[1], per_text[2] == 0
+
+
+@lru_cache(maxsize=2)
+def vocabularies(a_path: str, b_path: str) -> Both:
+    return Both(ByteLevel(a_path), Pieces(b_path))
 
 
 class Bits:
@@ -177,13 +208,12 @@ class Alignment:
     group; groups_of: groups of each text; link_a, link_b: places in a and b of the linked tokens; links_of: links of each text.
     """
 
-    def __init__(self, texts: list[str | None], first: ByteLevel, second: Pieces):
-        spaced = [" " + t if t else "" for t in texts]
-        (a, n_a, good_a), (b, n_b, good_b) = tokenised(spaced, first), tokenised(spaced, second)
-        good = good_a & good_b & (n_a > 0)
+    def __init__(self, texts: list[str | None], both: Both):
+        a, n_a, b, n_b, good = both.ids([" " + t if t else "" for t in texts])
+        good &= n_a > 0
         self.a, self.b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
         self.a_of, self.b_of = np.where(good, n_a, 0), np.where(good, n_b, 0)
-        ends = [np.cumsum(np.array([len(s) for s in v.spelt], np.int64)[ids]) for v, ids in ((first, self.a), (second, self.b))]
+        ends = [np.cumsum(v.lengths[ids]) for v, ids in ((both.first, self.a), (both.second, self.b))]
         size = int(ends[0][-1]) if len(ends[0]) else 0
         cut_a, cut_b = (Bits.at(e - 1, size) for e in ends)
         shared, either = Bits(cut_a.words & cut_b.words), Bits(cut_a.words | cut_b.words)
@@ -217,7 +247,7 @@ class Alignment:
         return [flat[s : e - 1] if e > s else b"" for s, e in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
 
 
-def open_vocabularies(a_path: str | None, b_path: str | None) -> tuple[ByteLevel, Pieces]:
+def open_vocabularies(a_path: str | None, b_path: str | None) -> Both:
     import public_tokenizers
 
     return vocabularies(a_path or public_tokenizers.path("byte_bpe_50k.json"), b_path or public_tokenizers.path("piece_bpe_32k.model"))
@@ -230,9 +260,9 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None)
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = open_vocabularies(a_path, b_path)
+        both = open_vocabularies(a_path, b_path)
         for batch in slices(batches, "text", SLICE):
-            x = Alignment(batch.column("text").to_pylist(), first, second)
+            x = Alignment(batch.column("text").to_pylist(), both)
             bytes_of = np.array([len(t.encode()) + 1 if t and n else 0 for t, n in zip(batch.column("text").to_pylist(), x.a_of.tolist(), strict=True)], np.int64)
             own = [np.cumsum(n) - n for n in (bytes_of, x.a_of, x.b_of)]  # what lies before each text
             to_groups, to_links = ([np.repeat(o, n) for o in own] for n in (x.groups_of, x.links_of))
@@ -247,15 +277,16 @@ def linked(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
     """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs and times (different linked id pairs, a << 32 | b, and how often) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = open_vocabularies(a_path, b_path)
+        both = open_vocabularies(a_path, b_path)
         for batch in slices(batches, "text", SLICE):
-            x = Alignment(batch.column("text").to_pylist(), first, second)
+            x = Alignment(batch.column("text").to_pylist(), both)
             sha = [hashlib.sha256(g).hexdigest() if g else "" for g in x.spelled_groups()]
             of = np.repeat(np.arange(batch.num_rows), x.links_of)
-            code = (of * first.size + x.a[x.link_a]) * second.size + x.b[x.link_b]
+            wide = both.second.size
+            code = (of * both.first.size + x.a[x.link_a]) * wide + x.b[x.link_b]
             code, times = np.unique(code, return_counts=True)
-            own, code = np.divmod(code, first.size * second.size)
-            pairs = (code // second.size << 32 | code % second.size).astype("<i8")
+            own, code = np.divmod(code, both.first.size * wide)
+            pairs = (code // wide << 32 | code % wide).astype("<i8")
             end = np.searchsorted(own, np.arange(batch.num_rows + 1)).tolist()
             times = times.astype("<u4")
             cols = [x.a_of, x.b_of, x.groups_of, x.links_of]

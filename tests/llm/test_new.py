@@ -85,35 +85,21 @@ def test_alignment_against_brute_force(spark, both, hot_pairs):
     assert any(r[1] == 0 for r in got if r[0] == 9000 + ODD.index("a▁b ▁▁"))
 
 
-def test_split_tokens_equal_the_libraries(both):
-    """Chunk by chunk the ids are those of the whole text, for random mixtures of hard pieces."""
-    first, second = crosstoken.open_vocabularies(None, None)
+def test_units_equal_the_libraries(both):
+    """Unit by unit the ids are those of the whole text, for random mixtures of hard pieces, while the memo fills and is emptied."""
+    whole = crosstoken.open_vocabularies(None, None)
+    small = crosstoken.Both(whole.first, whole.second, most=500)
     random.seed(5)
-    parts = [" ", "  ", "\n", "\t", "'s", "'", "é", "ñ", "ß", "a", "word", "Word", "1", "42", ".", "...", "-", "漢", "か", "я", "🙂", "­", "̀", "‍", "\x1f", "\x85", "\xa0", "　", "<s>", "<|endoftext|>"]
-    texts = ["".join(random.choices(parts, k=random.randrange(1, 40))) for _ in range(3000)]
-    for vocabulary, whole in ((first, both[0]), (second, both[1])):
-        ids, n, good = crosstoken.tokenised([" " + t for t in texts], vocabulary)
-        upto = np.concatenate([[0], np.cumsum(n)])
-        for i, t in enumerate(texts):
-            assert ids[upto[i] : upto[i + 1]].tolist() == [x for x, _ in whole(t)], t
-        assert good.all()
-
-
-def test_memo_forgets_and_goes_on():
-    calls = []
-
-    def encode(chunks):
-        calls.append(chunks)
-        return [[len(c), ord(c[0])] * (len(c) % 3) for c in chunks], np.ones(len(chunks), bool)
-
-    memo = crosstoken.Memo(encode, most=300)
-    random.seed(1)
-    for size in (3, 30, 80, 3, 200):
-        chunks = ["abcdefg"[random.randrange(7)] * random.randrange(1, size) for _ in range(50)]
-        ids, n, _ = memo.ids(chunks)
-        assert ids.tolist() == [x for c in chunks for x in [len(c), ord(c[0])] * (len(c) % 3)] and n.tolist() == [2 * (len(c) % 3) for c in chunks]
-        assert memo.held <= 300
-    assert len(calls) == 5
+    parts = [" ", "  ", "   ", "\n", "\t", "\n ", "'s", "'", "é", "ñ", "ß", "a", "word", "Word", "1", "42", ".", "...", "-", "漢", "か", "я", "🙂", "­", "̀", "\u200d", "\x1f", "\x85", "\xa0", "\u3000", "\u2028", "<s>", "<|endoftext|>"]
+    texts = ["".join(random.choices(parts, k=random.randrange(1, 40))) for _ in range(4000)]
+    for at in range(0, len(texts), 100):
+        some = texts[at : at + 100]
+        a, n_a, b, n_b, good = small.ids([" " + t for t in some])
+        for ids, n, f in ((a, n_a, both[0]), (b, n_b, both[1])):
+            upto = np.concatenate([[0], np.cumsum(n)])
+            for i, t in enumerate(some):
+                assert ids[upto[i] : upto[i + 1]].tolist() == [x for x, _ in f(t)], t
+        assert good.all() and small.held <= 500
 
 
 def test_lists_of_the_alignment(spark, both):
