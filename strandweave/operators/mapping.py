@@ -1,7 +1,7 @@
 """Reads mapped to their references: seeds, votes, banded alignment in batches, and an exact scan for what seeds cannot prove.
 
 1. Words of WORD bases of each read (side by side, both strands) are joined with the words of its reference by (construct, word). A hit votes for its diagonal
-   (place on the reference less place in the read); diagonals meet in buckets that overlap by half.
+   (place on the reference less place in the read); diagonals meet in buckets that are wider than E bases and overlap by half.
 2. A read with m seeds that no word of its reference repeats too often keeps m - E of them in every alignment with E errors or less. Buckets with as many votes are
    candidates; the stretch of reference around them is put together from chunks, so a task never holds a whole reference.
 3. A batch of candidates is aligned at once, a read row a step, diagonals as columns. Beside the best alignment, the best is found that leaves its band on either side: a runner-up
@@ -29,7 +29,7 @@ from strandweave.session import written
 MATCH, PARTLY, MISMATCH, GAP = 3, 1, -3, -4
 
 WORD, MOST_PLACES = 11, 64
-BUCKET, MOST_ERRORS = 64, 64
+BUCKET = 64
 CHUNK = 4096
 CELLS = 32 << 20
 OUTSIDE = 16  # the symbol for places beyond the ends of a reference
@@ -60,11 +60,12 @@ def laid_out(reads: list[np.ndarray], stretches: list[np.ndarray], width: int) -
 def matrix_rows(x: np.ndarray, y: np.ndarray, width: int, starts: np.ndarray, shut: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per base of the reads: scores by diagonal, and which step gave them (1 along, 2 a base of the read alone, 3 one of the reference alone). starts: diagonals where a path may begin; shut: diagonals that may not be used."""
     steps = np.arange(width, dtype=np.int32) * GAP
+    table, x, y = SCORES.ravel(), x.astype(np.int16) * 17, y.astype(np.int16)
     row = np.where(starts, 0, FAR).astype(np.int32)
     if shut is not None:
         row[shut] = FAR
     for i in range(x.shape[1]):
-        along = row + SCORES[x[:, i, None], y[:, i : i + width]]
+        along = row + table.take(x[:, i, None] + y[:, i : i + width])
         alone = np.full_like(row, FAR)
         alone[:, :-1] = row[:, 1:] + GAP
         best = np.maximum(np.maximum(along, alone), FAR)  # never below, so that sums stay far from the ends of 32 bits
@@ -190,11 +191,12 @@ def stretches(windows: DataFrame, chunks: DataFrame) -> DataFrame:
     size = F.col("width") + F.length("calls")
     w = windows.withColumn("lead", F.when(F.col("first") < 0, F.least(-F.col("first"), size)).otherwise(0).cast("int")).withColumn("window", F.monotonically_increasing_id())
     w = written(w, "mapping-windows")
+    work = w.agg(F.sum(F.col("width") * F.length("calls").cast("double"))).first()[0] or 0.0  # one number: cells to fill, by which the windows are dealt
     begin = F.greatest(F.col("first"), F.lit(0))
     parts = w.select("window", "construct", "first", begin.alias("begin"), F.explode(F.sequence(F.floor(begin / CHUNK), F.floor((F.greatest(F.col("first") + size, begin + 1) - 1) / CHUNK))).alias("chunk"))
     pieces = parts.join(chunks, ["construct", "chunk"]).groupBy("window").agg(F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("p"), F.first("begin").alias("begin"))
     text = F.array_join(F.transform("p", lambda p: p["text"]), "").substr((F.col("begin") - F.col("p")[0]["chunk"] * CHUNK + 1).cast("int"), F.lit(2**30))
-    return w.join(pieces.select("window", text.alias("text")), "window", "left").withColumn("text", F.coalesce(F.substring("text", F.lit(1), (size - F.col("lead")).cast("int")), F.lit(""))).drop("window")
+    return w.join(pieces.select("window", text.alias("text")), "window", "left").withColumn("text", F.coalesce(F.substring("text", F.lit(1), (size - F.col("lead")).cast("int")), F.lit(""))).repartition(1 + int(work / CELLS), "window").drop("window")
 
 
 def best_of(rows: DataFrame) -> DataFrame:
@@ -229,18 +231,20 @@ def alignments(reads: DataFrame, references: DataFrame, margin: float) -> DataFr
     lost = seeds.join(often, ["construct", "word"]).groupBy(*names, "strand").agg(F.count("*").alias("lost"))
     usable = seeds.groupBy(*names, "strand").agg(F.count("*").alias("m")).join(lost, [*names, "strand"], "left").select(*names, "strand", (F.col("m") - F.coalesce("lost", F.lit(0))).alias("m"))
     # Both strands give one bound: the weaker one.
-    bound = usable.groupBy(*names).agg(F.min("m").alias("m"), F.count("*").alias("strands")).withColumn("errors", F.when((F.col("strands") == 2) & (F.col("m") >= 2), F.least(F.lit(MOST_ERRORS), F.floor(F.col("m") * 0.8).cast("int"))))
-    bound = written(bound.where("errors IS NOT NULL").select(*names, "m", "errors"), "mapping-bounds")
-    hits = seeds.join(places.join(often, ["construct", "word"], "left_anti"), ["construct", "word"]).join(refs.select("construct", "n", "circular"), "construct")
+    bound = usable.groupBy(*names).agg(F.min("m").alias("m"), F.count("*").alias("strands")).withColumn("errors", F.when((F.col("strands") == 2) & (F.col("m") >= 2), F.floor(F.col("m") * 0.5).cast("int")))
+    bound = bound.where("errors IS NOT NULL").withColumn("bucket", F.greatest(F.lit(BUCKET), F.pow(2, F.ceil(F.log2(F.col("errors").cast("double"))))).cast("int"))
+    bound = written(bound.select(*names, "m", "errors", F.col("bucket").alias("size")), "mapping-bounds")
+    hits = seeds.join(bound, names).join(places.join(often, ["construct", "word"], "left_anti"), ["construct", "word"]).join(refs.select("construct", "n", "circular"), "construct")
     way = F.col("place") - F.col("offset")
-    ways = F.when(F.col("circular"), F.array_distinct(F.array(F.pmod(way, F.col("n")), F.pmod(way, F.col("n")) + F.when(F.pmod(way, F.col("n")) < 4 * BUCKET, F.col("n")).otherwise(0)))).otherwise(F.array(way))
-    buckets = hits.select(*names, "strand", F.explode(ways).alias("way")).select(*names, "strand", F.explode(F.array(F.floor(F.col("way") / BUCKET), F.floor(F.col("way") / BUCKET) - 1)).alias("bucket"))
-    votes = buckets.groupBy(*names, "strand", "bucket").agg(F.count("*").alias("votes")).join(bound, names).where(F.col("votes") >= F.col("m") - F.col("errors"))
+    ways = F.when(F.col("circular"), F.array_distinct(F.array(F.pmod(way, F.col("n")), F.pmod(way, F.col("n")) + F.when(F.pmod(way, F.col("n")) < 4 * F.col("size"), F.col("n")).otherwise(0)))).otherwise(F.array(way))
+    slot = F.floor(F.col("way") / F.col("size"))
+    buckets = hits.select(*names, "strand", "m", "errors", "size", F.explode(ways).alias("way")).select(*names, "strand", "m", "errors", "size", F.explode(F.array(slot, slot - 1)).alias("bucket"))
+    votes = buckets.groupBy(*names, "strand", "m", "errors", "size", "bucket").agg(F.count("*").alias("votes")).where(F.col("votes") >= F.col("m") - F.col("errors"))
     circle = F.when(F.col("circular"), F.col("n")).otherwise(0).cast("int").alias("circle")
-    first = F.col("bucket") * BUCKET - BUCKET
+    first = (F.col("bucket") - 1) * F.col("size")
     first = F.when(F.col("circular"), F.pmod(first, F.col("n"))).otherwise(first)
-    wide = F.lit(4 * BUCKET)
-    near = votes.select(*names, "strand", "bucket").join(turned.where((F.col("n") >= wide) | ~F.col("circular")), [*names, "strand"]).select(*names, "strand", "calls", first.alias("first"), wide.alias("width"), F.lit(0).alias("begins"), wide.alias("ends"), circle)
+    wide = 4 * F.col("size")
+    near = votes.select(*names, "strand", "bucket", "size").join(turned, [*names, "strand"]).where((F.col("n") >= wide) | ~F.col("circular")).select(*names, "strand", "calls", first.alias("first"), wide.alias("width"), F.lit(0).alias("begins"), wide.alias("ends"), circle)
     quick = best_of(written(scored(stretches(near, chunks)), "mapping-scored"))
     limit = MATCH * F.col("n") - 4 * F.col("errors")
     proven = quick.join(bound.select(*names, "errors"), names).join(refs.select("construct", "plain"), "construct").join(reads.select(*names, (~F.col("calls").rlike("[^ACGT]")).alias("clean")), names)

@@ -123,4 +123,6 @@ def mapped_reads(spark, d):  # 149, 115
 def verified_constructs(spark, d):  # 104, 105, 106, 150, 151
     r, refs = _constructs(spark, d)
     regions = refs.select("construct", F.lit("head").alias("region"), F.lit(0).alias("start"), F.lit(20).alias("end"), F.lit(2).alias("min_depth"), F.lit(True).alias("both_strands"))
-    return constructs.verified(r, refs, regions=regions).select("construct", "state", F.array_join("reasons", ",").alias("reasons"), "reads", "usable", "coverage", "mean_depth", F.sha2("consensus", 256).alias("consensus_sha256"), F.array_join("variants", ",").alias("variants"), "report")
+    base = F.substring("seq", 31, 1)
+    expected = refs.where((F.floor(F.col("construct") / 1000) % 4 == 1) & (F.col("construct") % 3 == 0) & (base != "A")).select("construct", F.lit("edit").alias("id"), F.lit("substitution").alias("type"), F.lit(30).alias("start"), F.lit(31).alias("end"), base.alias("ref"), F.lit("A").alias("alt"))
+    return constructs.verified(r, refs, expected, regions).select("construct", "state", F.array_join("reasons", ",").alias("reasons"), "reads", "usable", "coverage", "mean_depth", F.sha2("consensus", 256).alias("consensus_sha256"), F.array_join("variants", ",").alias("variants"), "report")
