@@ -69,7 +69,7 @@ def sites(seqs: DataFrame, enzyme: str = "BsaI") -> DataFrame:
 
 
 def digested_parts(parts: DataFrame, enzyme: str = "BsaI") -> DataFrame:
-    """The parts with left, right (overhangs on the top strand), insert (both included) and issue (null: usable)."""
+    """The parts with left, right (overhangs on the top strand), insert (both included), released (where it begins in the part without white space) and issue (null: usable)."""
     e = type_iis(enzyme)
     rec, back, wide = e.recognition, facts.reverse_complement(e.recognition), e.bottom - e.top
     seq = F.upper(F.regexp_replace("seq", r"\s", ""))
@@ -84,7 +84,7 @@ def digested_parts(parts: DataFrame, enzyme: str = "BsaI") -> DataFrame:
     piece = lambda a, n: F.substring("_s", (a + 1).cast("int"), n.cast("int") if isinstance(n, Column) else F.lit(n))
     d = d.withColumn("issue", issue)
     ok = F.col("issue").isNull()
-    return d.withColumns({"left": F.when(ok, piece(left, wide)), "right": F.when(ok, piece(right, wide)), "insert": F.when(ok, piece(left, right + wide - left))}).drop("_s", "_a", "_b")
+    return d.withColumns({"left": F.when(ok, piece(left, wide)), "right": F.when(ok, piece(right, wide)), "insert": F.when(ok, piece(left, right + wide - left)), "released": F.when(ok, left)}).drop("_s", "_a", "_b")
 
 
 def chains(ends: list[tuple[str, str]]) -> tuple[str, list[int]]:
@@ -124,31 +124,31 @@ def chains(ends: list[tuple[str, str]]) -> tuple[str, list[int]]:
     return "unique", order
 
 
-ASSEMBLY = "status string, reason string, parts string, overhangs string, missing_left string, missing_right string, product string, warnings string"
+ASSEMBLY = "status string, reason string, parts string, ords string, overhangs string, missing_left string, missing_right string, product string, warnings string"
 
 
 def assembled(parts: list[dict], wide: int) -> tuple:
-    """Status, reason, order, overhangs, missing ends, circular product and warnings of one design's digested parts, in their order."""
+    """Status, reason, order (names and numbers), overhangs, missing ends, circular product and warnings of one design's digested parts, in their order."""
     bad = [p["issue"] for p in parts if p["issue"]]
     if bad or len(parts) < 2:
-        return "invalid_input", ",".join(bad) or "too_few_parts", "", "", None, None, "", ""
+        return "invalid_input", ",".join(bad) or "too_few_parts", "", "", "", None, None, "", ""
     ends = list(dict.fromkeys([p["left"] for p in parts] + [p["right"] for p in parts]))
     warn = [f"palindromic {x}" for x in ends if x == facts.reverse_complement(x)]
     warn += [f"near {x}/{y}" for i, x in enumerate(ends) for y in ends[i + 1 :] if sum(a != b for a, b in zip(x, y, strict=True)) == 1]
     reason, order = chains([(p["left"], p["right"]) for p in parts])
     if reason != "unique":
         status = "ambiguous" if reason.startswith("ambiguous") else "work_limit" if reason == "work-limit" else "invalid_input"
-        return status, reason, "", "", None, None, "", ",".join(warn)
+        return status, reason, "", "", "", None, None, "", ",".join(warn)
     run = [parts[i] for i in order]
-    names, overs = ",".join(p["name"] for p in run), ",".join(p["left"] for p in run)
+    names, ords, overs = (",".join(str(p[c]) for p in run) for c in ("name", "ord", "left"))
     if run[-1]["right"] != run[0]["left"]:
-        return "invalid_input", "open", names, overs, run[-1]["right"], run[0]["left"], "", ",".join(warn)
+        return "invalid_input", "open", names, ords, overs, run[-1]["right"], run[0]["left"], "", ",".join(warn)
     whole = run[0]["insert"] + "".join(p["insert"][wide:] for p in run[1:])
-    return "ready", "unique", names, overs, None, None, whole[: len(whole) - wide], ",".join(warn)
+    return "ready", "unique", names, ords, overs, None, None, whole[: len(whole) - wide], ",".join(warn)
 
 
 def golden_gate(parts: DataFrame, enzyme: str = "BsaI") -> DataFrame:
-    """design, status, reason, parts (in order), overhangs, missing_left and missing_right (ends a vector must have), product (circular), warnings."""
+    """design, status, reason, parts and ords (names and numbers in order), overhangs, missing_left and missing_right (ends a vector must have), product (circular), warnings."""
     e = type_iis(enzyme)
     kind = parts.schema["design"].dataType.simpleString()
     one = digested_parts(parts, enzyme).groupBy("design").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "left", "right", "insert", "issue"))).alias("p"))
