@@ -11,18 +11,18 @@ LONGEST = 50_000
 
 
 def pcr_products(bindings: DataFrame, templates: DataFrame, forward: tuple[str, str], reverse: tuple[str, str], longest: int = LONGEST, circular: bool = False) -> DataFrame:
-    """doc_id, start, end, length, mismatches, wraps, tail, rank, rivals, conflict, product of every forward binding with every reverse binding behind it.
+    """doc_id, start, end, length, mismatches, wraps, tail, n, rank, rivals, conflict, product of every forward binding with every reverse binding behind it.
 
     Products are at most `longest`: bindings are filed under stretches of that length, so only near ones meet. On a circle a reverse
     binding before the forward one is reached over the origin. rank: longest annealed parts, fewest mismatches, shortest product, places;
-    rivals are a template's other products; tail: bases of the forward oligo before its annealed part. In the product the primers' own bases, tails included, take the template's place; conflict: overlapping primers disagree.
+    rivals are a template's other products; tail: bases of the forward oligo before its annealed part; n: length of the template. In the product the primers' own bases, tails included, take the template's place; conflict: overlapping primers disagree.
     forward, reverse: (name in bindings, oligo).
     """
     at = lambda c: F.floor(F.col(c) / longest)
     f = bindings.where((F.col("primer") == forward[0]) & (F.col("strand") == 1)).select("doc_id", "start", F.col("end").alias("f_end"), F.col("mismatches").alias("fm"), F.col("tail").alias("ft"))
     r = bindings.where((F.col("primer") == reverse[0]) & (F.col("strand") == -1)).select("doc_id", F.col("start").alias("r_start"), "end", F.col("mismatches").alias("rm"), F.col("tail").alias("rt"))
-    n = templates.select("doc_id", "seq", F.length("seq").alias("n"))
-    f = f.join(n.select("doc_id", "n"), "doc_id").withColumn("bin", F.explode(F.array(at("start"), at("start") + 1, F.when(F.col("n") - F.col("start") <= longest, F.lit(-1).cast("long")))))
+    n = templates.select("doc_id", "seq", F.length("seq").alias("n")).hint("merge")  # in a broadcast join a derived text is worked out once a match, not once a row
+    f = f.join(n.select("doc_id", "n").hint("merge"), "doc_id").withColumn("bin", F.explode(F.array(at("start"), at("start") + 1, F.when(F.col("n") - F.col("start") <= longest, F.lit(-1).cast("long")))))
     last = F.col("end") - 1
     r = r.withColumn("bin", F.explode(F.array(F.floor(last / longest), F.when(F.col("end") <= longest, F.lit(-1).cast("long")))))
     wraps = F.col("end") <= F.col("start")
@@ -36,7 +36,7 @@ def pcr_products(bindings: DataFrame, templates: DataFrame, forward: tuple[str,
     order = Window.partitionBy("doc_id").orderBy(annealed.desc(), F.col("fm") + F.col("rm"), "length", "start", "r_start")
     j = j.withColumn("rank", F.row_number().over(order)).withColumn("rivals", (F.count("*").over(Window.partitionBy("doc_id")) - 1).cast("int")).join(n.select("doc_id", "seq"), "doc_id")
     product, conflict = amplicon(F.col("seq"), F.lit(forward[1]), F.lit(reverse[1]))
-    return j.select("doc_id", "start", "end", "length", (F.col("fm") + F.col("rm")).alias("mismatches"), "wraps", F.col("ft").alias("tail"), "rank", "rivals", conflict.alias("conflict"), product.alias("product"))
+    return j.select("doc_id", "start", "end", "length", (F.col("fm") + F.col("rm")).alias("mismatches"), "wraps", F.col("ft").alias("tail"), "n", "rank", "rivals", conflict.alias("conflict"), product.alias("product"))
 
 
 def amplicon(seq: Column, forward: Column, reverse: Column) -> tuple[Column, Column]:

@@ -21,7 +21,7 @@ def _bins(start: Column, end: Column, size: int) -> Column:
 
 
 def located(features: DataFrame, source: str, circular: bool = False) -> DataFrame:
-    """source, id, i, a, b, strand, parts: the segments of every feature that can be made into bases, clipped nowhere.
+    """source, id, n, parts, size, i, a, b, strand: the segments of every feature that can be made into bases, clipped nowhere, with their number and length.
 
     features: source, id, start, end, strand, n (length of the source), status, operator, segments. Left out are features that could not be
     placed (status), those whose parts have no order (operator `order`) and empty segments. Without segments the envelope is one; on a circle
@@ -36,12 +36,13 @@ def located(features: DataFrame, source: str, circular: bool = False) -> DataFra
     given = F.transform("segments", lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"), F.coalesce(s["strand"], "strand", F.lit(1)).cast("int").alias("strand")))
     parts = F.filter(F.when(F.coalesce(F.size("segments"), F.lit(0)) > 0, given).otherwise(own.cast(SEGMENTS)), lambda s: s["end"] > s["start"])
     f = features.where("status = 'ok' AND coalesce(operator, '') <> 'order'").select(source, "id", "n", parts.alias("p"))
-    return f.select(source, "id", "n", F.size("p").alias("parts"), F.posexplode("p").alias("i", "s")).select(source, "id", "n", "parts", "i", F.col("s.start").alias("a"), F.col("s.end").alias("b"), F.col("s.strand").alias("strand"))
+    size = F.aggregate("p", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return f.select(source, "id", "n", F.size("p").alias("parts"), size.alias("size"), F.posexplode("p").alias("i", "s")).select(source, "id", "n", "parts", "size", "i", F.col("s.start").alias("a"), F.col("s.end").alias("b"), F.col("s.strand").alias("strand"))
 
 
 def _gathered(pieces: DataFrame, source: str) -> DataFrame:
     x = F.array_sort(F.collect_list(F.struct("i", "place", "x", "y", "strand")))
-    g = pieces.groupBy(source, "product", "id").agg(x.alias("x"), F.min("x").alias("start"), F.max("y").alias("end"), F.sum(F.col("y") - F.col("x")).alias("covered"), F.count("*").alias("found"))
+    g = pieces.groupBy(source, "product", "id").agg(x.alias("x"), F.max("parts").alias("parts"), F.max("size").alias("size"), F.min("x").alias("start"), F.max("y").alias("end"), F.sum(F.col("y") - F.col("x")).alias("covered"), F.count("*").alias("found"))
     return g.withColumn("segments", F.transform("x", lambda s: F.struct(s["x"].alias("start"), s["y"].alias("end"), s["strand"].alias("strand")))).drop("x")
 
 
@@ -54,10 +55,9 @@ def whole_features(features: DataFrame, runs: DataFrame, source: str, circular:
     filed = runs.where("end > start").select(source, "product", "ord", F.col("start").alias("s"), F.col("end").alias("e"), "target").withColumn("bin", _bins(F.col("s"), F.col("e"), bin_size))
     moved = F.col("target") - F.col("s")
     hit = seg.join(filed, [source, "bin"]).where("a >= s AND b <= e")
-    hit = hit.groupBy(source, "product", "id", "i", "parts").agg(F.min(F.struct("ord", "s", (F.col("a") + moved).alias("x"), (F.col("b") + moved).alias("y"), "strand")).alias("m"))
-    pieces = hit.select(source, "product", "id", "parts", "i", F.lit(0).alias("place"), "m.x", "m.y", "m.strand")
-    g = _gathered(pieces, source).join(located(features, source, circular).select(source, "id", "parts").distinct(), [source, "id"]).where("found = parts")
-    return g.select(source, "product", "id", "start", "end", "segments")
+    hit = hit.groupBy(source, "product", "id", "i", "parts", "size").agg(F.min(F.struct("ord", "s", (F.col("a") + moved).alias("x"), (F.col("b") + moved).alias("y"), "strand")).alias("m"))
+    pieces = hit.select(source, "product", "id", "parts", "size", "i", F.lit(0).alias("place"), "m.x", "m.y", "m.strand")
+    return _gathered(pieces, source).where("found = parts").select(source, "product", "id", "start", "end", "segments")
 
 
 def clipped_features(features: DataFrame, runs: DataFrame, source: str, circular: bool = False, bin_size: int = BIN) -> DataFrame:
@@ -68,12 +68,10 @@ def clipped_features(features: DataFrame, runs: DataFrame, source: str, circular
     """
     seg = located(features, source, circular)
     inside = seg.select("*", F.greatest(F.lit(0), F.least("a", "n")).alias("lo"), F.greatest(F.lit(0), F.least("b", "n")).alias("hi"))
-    size = seg.groupBy(source, "id").agg(F.sum(F.col("b") - F.col("a")).alias("size"))
     met = _met(inside.where("hi > lo"), runs, source, bin_size)
     x = F.col("target") + F.col("u") - F.col("s")
-    pieces = met.select(source, "product", "id", "i", F.when(F.col("strand") == -1, -F.col("u")).otherwise(F.col("u")).alias("place"), x.alias("x"), (x + F.col("v") - F.col("u")).alias("y"), "strand")
-    g = _gathered(pieces, source).join(size, [source, "id"])
-    return g.select(source, "product", "id", "start", "end", "segments", (F.col("covered") < F.col("size")).alias("partial"))
+    pieces = met.select(source, "product", "id", "parts", "size", "i", F.when(F.col("strand") == -1, -F.col("u")).otherwise(F.col("u")).alias("place"), x.alias("x"), (x + F.col("v") - F.col("u")).alias("y"), "strand")
+    return _gathered(pieces, source).select(source, "product", "id", "start", "end", "segments", (F.col("covered") < F.col("size")).alias("partial"))
 
 
 def _met(spans: DataFrame, runs: DataFrame, source: str, bin_size: int) -> DataFrame:
@@ -106,22 +104,24 @@ def _turned(runs: DataFrame, total: Column) -> DataFrame:
     return t.withColumns({"start": F.col("start") + F.col("_lo") - F.col("target"), "end": F.col("start") + F.col("_hi") - F.col("target"), "target": F.col("_lo") - F.col("_t") * F.col("_p")}).drop("_p", "_t", "_lo", "_hi")
 
 
-def digest_runs(fragments: DataFrame, lengths: DataFrame) -> DataFrame:
-    """doc_id, product (the fragment), ord, start, end, target of a digest's fragments; one over the origin is two runs. lengths: doc_id, n."""
-    f = fragments.join(lengths.select("doc_id", "n"), "doc_id")
+def _spans(rows: DataFrame, over: Column, n: Column, target: Column) -> DataFrame:
+    """Runs of rows that span [start, end) of a source (doc_id, product) in one stretch, or in two over its origin (there end is the place behind it)."""
     run = lambda o, a, b, t: F.struct(F.lit(o).alias("ord"), a.cast("long").alias("start"), b.cast("long").alias("end"), t.cast("long").alias("target"))
-    a, b, n = F.col("start"), F.col("end"), F.col("n")
-    runs = F.when(b > n, F.array(run(0, a, n, F.lit(0)), run(1, F.lit(0), b - n, n - a))).otherwise(F.array(run(0, a, b, F.lit(0))))
-    return f.select("doc_id", F.col("fragment").alias("product"), F.explode(runs).alias("r")).select("doc_id", "product", "r.*")
+    a, b = F.col("start"), F.col("end")
+    runs = F.when(over, F.array(run(0, a, n, target), run(1, F.lit(0), b, target + n - a))).otherwise(F.array(run(0, a, b, target)))
+    return rows.select("doc_id", "product", F.explode(runs).alias("r")).select("doc_id", "product", "r.*")
 
 
-def amplicon_runs(products: DataFrame, lengths: DataFrame) -> DataFrame:
+def digest_runs(fragments: DataFrame) -> DataFrame:
+    """doc_id, product (the fragment), ord, start, end, target of a digest's fragments; one over the origin is two runs. A source is as long as its fragments together."""
+    f = fragments.select("doc_id", F.col("fragment").alias("product"), "start", "end", F.sum("length").over(Window.partitionBy("doc_id")).alias("n"))
+    over, n = F.col("end") > F.col("n"), F.col("n")
+    return _spans(f.withColumns({"over": over, "end": F.when(over, F.col("end") - n).otherwise(F.col("end"))}), F.col("over"), n, F.lit(0))
+
+
+def amplicon_runs(products: DataFrame) -> DataFrame:
     """doc_id, product (its rank), ord, start, end, target of the template bases that products of `assembly.pcr_products` span, behind the forward primer's tail."""
-    p = products.join(lengths.select("doc_id", "n"), "doc_id")
-    run = lambda o, a, b, t: F.struct(F.lit(o).alias("ord"), a.cast("long").alias("start"), b.cast("long").alias("end"), t.cast("long").alias("target"))
-    a, b, n, t = F.col("start"), F.col("end"), F.col("n"), F.col("tail")
-    runs = F.when(F.col("wraps"), F.array(run(0, a, n, t), run(1, F.lit(0), b, t + n - a))).otherwise(F.array(run(0, a, b, t)))
-    return p.select("doc_id", F.col("rank").alias("product"), F.explode(runs).alias("r")).select("doc_id", "product", "r.*")
+    return _spans(products.withColumn("product", F.col("rank")), F.col("wraps"), F.col("n"), F.col("tail"))
 
 
 def gibson_runs(fragments: DataFrame, low: int = 15, high: int = 60, circular: bool = False) -> DataFrame:

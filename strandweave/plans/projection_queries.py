@@ -52,7 +52,7 @@ hit AS (SELECT s.*, fragment, CASE WHEN a >= start AND b <= least("end", n) THEN
 SELECT doc_id, fragment, id, {_WHOLE} FROM hit WHERE x IS NOT NULL GROUP BY doc_id, fragment, id, parts HAVING count(*) = parts""")
 def fragment_features(spark, d):  # 82, 161: of circular digests, over the origin too
     s = seqs(spark, d)
-    runs = projection.digest_runs(restriction.fragments(s, restriction.catalogue(PANEL), circular=True), s.select("doc_id", F.length("seq").alias("n")))
+    runs = projection.digest_runs(restriction.fragments(s, restriction.catalogue(PANEL), circular=True))
     return shown(projection.whole_features(annotated(spark, d), runs, "doc_id"), "doc_id", F.col("product").alias("fragment"))
 
 
@@ -63,7 +63,7 @@ SELECT doc_id, rank, id, {_WHOLE} FROM hit GROUP BY doc_id, rank, id, parts HAVI
 def amplicon_features(spark, d):  # 82, 162: every product of the line
     s = seqs(spark, d)
     p = assembly.pcr_products(scans.primer_bindings(s, [("f", FORWARD), ("r", REVERSE)], 0, 6), s, ("f", FORWARD), ("r", REVERSE))
-    runs = projection.amplicon_runs(p, s.select("doc_id", F.length("seq").alias("n")))
+    runs = projection.amplicon_runs(p)
     return shown(projection.whole_features(annotated(spark, d), runs, "doc_id"), "doc_id", F.col("product").alias("rank"))
 
 

@@ -158,9 +158,8 @@ def genbank_text(name: Column, seq: Column, features: Column, topology: Column,
 
     quals = lambda f: F.array_join(F.transform(f["qualifiers"], lambda q: F.concat(F.lit("\n" + " " * 21 + "/"), q["name"], F.lit('="'), F.replace(q["value"], F.lit('"'), F.lit('""')), F.lit('"'))), "")
     table = F.array_join(F.transform(F.filter(features, lambda f: f["status"] == "ok"), lambda f: F.concat(F.lit("     "), F.rpad(f["type"], 16, " "), location(f), quals(f))), "\n")
-    letters = F.lower(seq)
-    row = lambda i: F.concat(F.lpad((i * 60 + 1).cast("string"), 9, " "), F.regexp_replace(letters.substr((i * 60 + 1).cast("int"), F.lit(60)), "(.{1,10})", " $1"))
-    rows = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(seq) / 60).cast("int") - 1, F.lit(0))), row)
+    row = lambda x, i: F.concat(F.lpad((i * 60 + 1).cast("string"), 9, " "), F.regexp_replace(x, "(.{1,10})", " $1"))
+    rows = F.transform(F.regexp_extract_all(F.lower(seq), F.lit("(.{1,60})"), F.lit(1)), row)
     origin = F.when(F.length(seq) > 0, F.concat(F.array_join(rows, "\n"), F.lit("\n"))).otherwise("")
     return F.concat(
         F.lit("LOCUS       "), name, F.lit(" "), F.length(seq).cast("string"), F.when(kind == "protein", " aa ").otherwise(F.concat(F.lit(" bp "), F.upper(kind), F.lit(" "))), topology, F.lit("\nFEATURES             Location/Qualifiers\n"),

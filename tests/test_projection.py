@@ -35,7 +35,7 @@ def test_digest_features_of_circles_and_lines(spark):
     for circular in (True, False):
         pieces = restriction.fragments(s, restriction.catalogue(["EcoRI", "PstI", "AluI"]), circular=circular)
         texts = {(p.doc_id, p.fragment): (p.start, p.end, (seqs[p.doc_id] * 2)[p.start : p.end]) for p in pieces.collect()}
-        runs = projection.digest_runs(pieces, s.select("doc_id", F.length("seq").alias("n")))
+        runs = projection.digest_runs(pieces)
         got = {(r.doc_id, r.product, r.id): [tuple(x) for x in r.segments] for r in projection.whole_features(f, runs, "doc_id", circular).collect()}
         want = set()
         for (doc, k), (a, b, _) in texts.items():
@@ -50,7 +50,7 @@ def test_envelopes_over_the_origin(spark):
     seq = "AAAAAGAATTCCCCCTTTTTGGGGG"  # one cut, behind G at 5
     s = spark.createDataFrame([(1, seq)], "doc_id long, seq string")
     rows = [(1, 0, 20, 5, 1, 25, "ok", "", None), (1, 1, 20, 5, -1, 25, "ok", None, None), (1, 2, 25, 0, 1, 25, "ok", "", None), (1, 3, 0, 5, 1, 25, "quarantined", "", None), (1, 4, 0, 5, 1, 25, "ok", "order", None), (1, 5, 12, 14, None, 25, "ok", "", None), (1, 6, 3, 3, 1, 25, "ok", "", None), (None, 7, 0, 2, 1, 25, "ok", "", None)]
-    runs = projection.digest_runs(restriction.fragments(s, restriction.catalogue(["EcoRI"]), circular=True), s.select("doc_id", F.length("seq").alias("n")))
+    runs = projection.digest_runs(restriction.fragments(s, restriction.catalogue(["EcoRI"]), circular=True))
     got = {r.id: [tuple(x) for x in r.segments] for r in projection.whole_features(spark.createDataFrame(rows, FEATURES), runs, "doc_id", True).collect()}
     assert got == {0: [(14, 19, 1), (19, 24, 1)], 1: [(19, 24, -1), (14, 19, -1)], 5: [(6, 8, 1)]}  # a full circle is cut, others have no place
     clipped = {r.id: ([tuple(x) for x in r.segments], r.partial) for r in projection.clipped_features(spark.createDataFrame(rows, FEATURES), runs, "doc_id", True).collect()}
@@ -67,7 +67,7 @@ def test_amplicons_with_tails_and_over_the_origin(spark):
     products = {x["rank"]: x for x in p.collect()}
     assert len(products) > 10 and all(x.wraps for x in products.values()) and len({x.tail for x in products.values()}) > 3  # every annealed length is a product
     rows = random_features(rng, 1, 900, 60)
-    kept = projection.whole_features(spark.createDataFrame(rows, FEATURES), projection.amplicon_runs(p, s.select("doc_id", F.length("seq").alias("n"))), "doc_id", True)
+    kept = projection.whole_features(spark.createDataFrame(rows, FEATURES), projection.amplicon_runs(p), "doc_id", True)
     got = {(r["product"], r.id): [tuple(x) for x in r.segments] for r in kept.collect()}
     inside = {(k, r[1]) for k, x in products.items() for r in rows if all(any(a <= q[0] and q[1] <= b for a, b in circle(x.start, x.end, 900)) for q in r[8])}
     assert set(got) == inside and inside
@@ -98,7 +98,7 @@ def test_gibson_runs_and_their_digest(spark):
     assert {k: sum(r.end - r.start for r in got if tuple(r.source) == k) for k in texts} == {k: len(s) for k, s in texts.items()}
     p = spark.createDataFrame(list(products.items()), "doc_id long, seq string")
     pieces = restriction.fragments(p, restriction.catalogue(["AluI", "EcoRI"]), circular=True)
-    cut = projection.digest_runs(pieces, p.select("doc_id", F.length("seq").alias("n"))).withColumn("product", F.struct("doc_id", "product"))
+    cut = projection.digest_runs(pieces).withColumn("product", F.struct("doc_id", "product"))
     both = projection.composed(runs, cut, "source", "doc_id", 64)
     circles = {(x.doc_id, x.fragment): (products[x.doc_id] * 2)[x.start : x.end] for x in pieces.collect()}
     got = both.collect()
