@@ -193,6 +193,47 @@ def prosite_regex_or_none(pattern: str, most_repeat: int = 5000) -> str | None:
         return None
 
 
+RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
+ELEMENT = r"^<?(x|[A-Z]|\[[A-Z]+\]|\{[A-Z]+\})(?:\(([0-9]+)(?:,([0-9]+))?\))?>?$"
+
+
+def _draw(key: Column, choices: Column) -> Column:
+    """A number from 0 to choices - 1, the same for the same key everywhere: the first 32 bits of its MD5, scaled."""
+    return F.floor(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 2**32 * choices).cast("int")
+
+
+def realised_window(pattern: Column, seed: Column, longest: Column) -> tuple[Column, Column]:
+    """One window of a PROSITE pattern: the allowed residues place by place (`.` where all are), and one text of such residues, which the pattern matches.
+
+    Repeats of a variable element are drawn by a hash of seed and element, so a row gives the same window on any partitioning; each leaves room for the least
+    of the elements behind it, and no window passes `longest`. Null where the text is no pattern, a repeat is 0 or falling, or the least window does not fit.
+    """
+    parts = F.split(F.regexp_replace(pattern, r"\.+$", ""), "-")
+    number = lambda e, k, other: F.coalesce(F.nullif(F.regexp_extract(e, ELEMENT, k), F.lit("")).cast("int"), other)
+    low = lambda e: number(e, 2, F.lit(1))
+    high = lambda e: number(e, 3, low(e))
+    elements = F.transform(parts, lambda e: F.struct(F.regexp_extract(e, ELEMENT, 1).alias("core"), low(e).alias("low"), high(e).alias("high")))
+    sound = F.forall(elements, lambda e: (e["core"] != "") & (e["low"] > 0) & (e["high"] >= e["low"]))
+    least = F.aggregate(elements, F.lit(0), lambda n, e: n + e["low"])
+    state = F.struct(F.lit(0).alias("i"), longest.cast("int").alias("room"), least.alias("later"), F.array().cast("array<int>").alias("counts"))
+
+    def step(s: Column, e: Column) -> Column:
+        later = s["later"] - e["low"]
+        top = F.least(e["high"], s["room"] - later)
+        n = e["low"] + _draw(F.concat(seed.cast("string"), F.lit(":"), s["i"].cast("string")), top - e["low"] + 1)
+        return F.struct((s["i"] + 1).alias("i"), (s["room"] - n).alias("room"), later.alias("later"), F.array_append(s["counts"], n).alias("counts"))
+
+    counts = F.aggregate(elements, state, step, lambda s: s["counts"])
+    inner = lambda c: F.translate(c, "[]", "")
+    without = lambda c: F.regexp_replace(F.lit(RESIDUES), F.translate(c, "{}", "[]"), F.lit(""))
+    allowed = lambda c: F.when(c == "x", ".").when(c.startswith("["), inner(c)).when(c.startswith("{"), without(c)).otherwise(c)
+    places = F.flatten(F.zip_with(elements, counts, lambda e, n: F.array_repeat(allowed(e["core"]), n)))
+    good = sound & (least <= longest)
+    places = F.when(good, places)
+    pick = lambda p, i: F.substr(F.when(p == ".", RESIDUES).otherwise(p), _draw(F.concat(seed.cast("string"), F.lit("#"), i.cast("string")), F.when(p == ".", 20).otherwise(F.length(p))) + 1, F.lit(1))
+    return places, F.array_join(F.transform(places, pick), "")
+
+
 def iupac_regex(pattern: str) -> str:
     return "".join(b if len(b := facts.IUPAC[c]) == 1 else f"[{b}]" for c in pattern.upper())
 

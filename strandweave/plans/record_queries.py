@@ -366,3 +366,21 @@ def edit_scars(spark, d):  # 135
     shown = lambda x: F.array_join(F.transform(x, lambda c: F.concat(c["position"], c["text"])), ",")
     s, p = F.col("s"), F.col("p")
     return e.select("doc_id", shown(records.scars_after(s, start, "substitution", p, F.lit("N"))).alias("substituted"), shown(records.scars_after(s, start, "insertion", p, F.lit("GAT"))).alias("inserted"), shown(records.scars_after(s, start, "deletion", p, count=F.lit(4))).alias("deleted"))
+
+
+def _unit(key: str) -> str:
+    return f"(('0x' || left(md5({key}), 8))::UBIGINT::DOUBLE / 4294967296)"
+
+
+@register("pattern_windows", f"""WITH x AS (SELECT w, translate(upper(w), 'BJOUXZ', 'ACDEFG') AS u, length(w) AS n, 1 + length(w) % 3 AS lo, 7 + length(w) % 6 AS longest FROM {_W} WHERE regexp_full_match(w, '[A-Za-z]{{4,}}')),
+c AS (SELECT *, CASE WHEN longest >= lo + 6 THEN lo + floor({_unit("w || ':1'")} * (least(lo + n % 5, longest - 6) - lo + 1))::INTEGER END AS c1 FROM x), d AS (SELECT *, 1 + floor({_unit("w || ':3'")} * least(1 + n % 4, longest - 5 - c1))::INTEGER AS c2 FROM c),
+p AS (SELECT *, replace('ACDEFGHIKLMNPQRSTVWY', u[4], '') AS other, CASE WHEN c1 IS NOT NULL THEN [u[1]] || list_transform(range(c1), lambda i: '.') || [u[2] || u[3]] || list_transform(range(c2), lambda i: '.') END AS head FROM d), q AS (SELECT *, head || [other, other, right(u, 1)] AS places FROM p)
+SELECT w, u[1] || '-x(' || lo || ',' || (lo + n % 5) || ')-[' || u[2] || u[3] || ']-x(1,' || (1 + n % 4) || ')-{{' || u[4] || '}}(2)-' || right(u, 1) || '.' AS pattern, CASE WHEN c1 IS NOT NULL THEN array_to_string(places, '|') END AS places,
+  CASE WHEN c1 IS NOT NULL THEN array_to_string(list_transform(places, lambda s, i: substr(CASE WHEN s = '.' THEN 'ACDEFGHIKLMNPQRSTVWY' ELSE s END, 1 + floor({_unit("w || '#' || (i - 1)")} * CASE WHEN s = '.' THEN 20 ELSE length(s) END)::BIGINT, 1)), '') END AS text FROM q""")
+def pattern_windows(spark, d):  # 54: a pattern made of every word's letters and one window of it, at most 7 to 12 long
+    u, n = F.translate(F.upper("w"), "BJOUXZ", "ACDEFG"), F.length("w")
+    at = lambda i: F.substring(u, i, 1)
+    pattern = F.concat(at(1), F.lit("-x("), 1 + n % 3, F.lit(","), 1 + n % 3 + n % 5, F.lit(")-["), at(2), at(3), F.lit("]-x(1,"), 1 + n % 4, F.lit(")-{"), at(4), F.lit("}(2)-"), at(-1), F.lit("."))
+    p = words(spark, d).where(F.col("w").rlike("^[A-Za-z]{4,}$")).select("w", pattern.alias("pattern"), (7 + n % 6).alias("longest"))
+    places, text = S.realised_window(F.col("pattern"), F.col("w"), F.col("longest"))
+    return p.select("w", "pattern", F.array_join(places, "|").alias("places"), text.alias("text"))

@@ -66,3 +66,24 @@ def test_prosite():
 def test_codes():
     assert len(facts.CODES) == 24 and all(len(facts.code_string(t)) == 64 for t in facts.CODES)
     assert facts.code_string(1).count("*") == 3 and facts.code_string(2).count("*") == 4
+
+
+def test_realised_windows(spark):
+    import re
+
+    good = ["N-{P}-[ST]-{P}.", "<A-x(2,9)-C(1,4)-{DE}(2)-x>", "x(3,40)-[ACD](2,5)", "W"]
+    rows = [(p, i, m) for p in good for i in range(60) for m in (7, 12, 30)]
+    bad = [("A-(2)", 1, 9), ("", 1, 9), ("A(0)", 1, 9), ("A(3,2)", 1, 9), (None, 1, 9), ("A(5)", 1, 4), ("a-C", 1, 9)]
+    f = spark.createDataFrame(rows + bad, "pattern string, seed int, longest int")
+    places, text = S.realised_window(F.col("pattern"), F.col("seed"), F.col("longest"))
+    got = {(r.pattern, r.seed, r.longest): (r.places, r.text) for r in f.select("*", places.alias("places"), text.alias("text")).collect()}
+    assert all(got[x] == (None, None) for x in bad)
+    seen = {p: set() for p in good}
+    for p, i, m in rows:
+        where, t = got[p, i, m]
+        assert t is not None and len(t) == len(where) <= m and re.fullmatch(S.prosite_regex(p), t)
+        assert all(c in (S.RESIDUES if s == "." else s) for s, c in zip(where, t, strict=True))
+        seen[p].add(len(t))
+    assert seen[good[0]] == {4} and len(seen[good[1]]) > 5 and max(seen[good[2]]) > 20  # lengths vary, within bounds
+    again = {tuple(r) for r in f.repartition(7).select(text, "seed", "pattern").collect()}
+    assert again == {(v[1], k[1], k[0]) for k, v in got.items()}
