@@ -384,3 +384,24 @@ def pattern_windows(spark, d):  # 54: a pattern made of every word's letters and
     p = words(spark, d).where(F.col("w").rlike("^[A-Za-z]{4,}$")).select("w", pattern.alias("pattern"), (7 + n % 6).alias("longest"))
     places, text = S.realised_window(F.col("pattern"), F.col("w"), F.col("longest"))
     return p.select("w", "pattern", F.array_join(places, "|").alias("places"), text.alias("text"))
+
+
+@register("digest_audit", f"""WITH {CIRCLES}, f AS (SELECT doc_id AS parent, fragment FROM fragments), s AS (SELECT * FROM f WHERE parent % 11 = 0 OR fragment % 7 <> 5)
+SELECT parent, fragment, CASE WHEN parent % 13 = 0 THEN 'missing_parent' ELSE 'stale_parent' END AS issue FROM s WHERE parent % 13 = 0 OR parent % 11 = 0
+UNION ALL SELECT parent, fragment, 'missing_child' FROM f WHERE parent % 13 <> 0 AND parent % 11 <> 0 AND fragment % 7 = 5
+UNION ALL SELECT parent, 1000000 + fragment, CASE WHEN parent % 13 = 0 THEN 'missing_parent' WHEN parent % 11 = 0 THEN 'stale_parent' ELSE 'unexpected_child' END FROM s WHERE fragment = 1 AND parent % 5 = 0
+UNION ALL SELECT parent, fragment, i FROM s, (VALUES (1, 'changed_bounds'), (2, 'changed_enzymes'), (3, 'changed_sequence'), (4, 'changed_ends')) t(k, i) WHERE parent % 13 <> 0 AND parent % 11 <> 0 AND (parent + fragment) % 9 = k
+UNION ALL SELECT parent, fragment, 'duplicate_child' FROM s WHERE (parent + fragment) % 9 = 6""")
+def digest_audit(spark, d):  # 151, 161: records saved by an earlier run, with every kind of change planted
+    from strandweave.operators import materialise
+
+    t = turns(spark, d)
+    fresh = materialise.digest_children(restriction.fragments(t, restriction.catalogue(PANEL), circular=True), t)
+    k, stale = (F.col("parent") + F.col("fragment")) % 9, F.col("parent") % 11 == 0
+    saved = fresh.where(stale | (F.col("fragment") % 7 != 5)).withColumns({
+        "start": F.when(k == 1, F.col("start") + 1).otherwise(F.col("start")), "enzymes": F.when(k == 2, "none").otherwise(F.col("enzymes")), "sha256": F.when(k != 3, F.col("sha256")), "ends": F.when(k == 4, "").otherwise(F.col("ends")),
+        "parent_sha256": F.when(stale, F.sha2("parent_sha256", 256)).otherwise(F.col("parent_sha256")),
+    })
+    stray = saved.where("fragment = 1 AND parent % 5 = 0").withColumn("fragment", F.col("fragment") + 1000000)
+    saved = saved.unionByName(saved.where(k == 6)).unionByName(stray)
+    return materialise.audited(saved, fresh, t.where("doc_id % 13 <> 0").select(F.col("doc_id").alias("parent"), F.sha2("seq", 256).alias("sha256")))

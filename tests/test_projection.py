@@ -1,5 +1,6 @@
 """Features on products: the bases that a feature has on a product are those that it had on its source."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -131,3 +132,23 @@ def test_nothing_in_nothing_out(spark):
     f = spark.createDataFrame([], FEATURES)
     runs = spark.createDataFrame([], "doc_id long, product int, ord int, start long, end long, target long")
     assert projection.whole_features(f, runs, "doc_id").count() == 0 and projection.clipped_features(f, runs, "doc_id").count() == 0
+
+
+def test_audit_of_saved_children(spark):
+    from strandweave.operators import materialise
+
+    seqs = {1: "AAGAATTCAACCGAATTCTT", 2: "TTTTGAATTCTTTTTTTT", 3: "ACGTACGT"}
+    s = spark.createDataFrame(list(seqs.items()), "doc_id long, seq string")
+    fresh = materialise.digest_children(restriction.fragments(s, restriction.catalogue(["EcoRI"]), circular=True), s)
+    assert {(r.parent, r.sha256) for r in fresh.collect() if r.parent == 3} == {(3, hashlib.sha256(b"ACGTACGT").hexdigest())}
+    now = s.select(F.col("doc_id").alias("parent"), F.sha2("seq", 256).alias("sha256"))
+    found = lambda saved, parents=now: {(r.parent, r.fragment, r.issue) for r in materialise.audited(saved, fresh, parents).collect()}
+    assert found(fresh) == set() and found(fresh.limit(0)) == set()
+    assert found(fresh.where("parent = 1 AND fragment = 1")) == {(1, 2, "missing_child")}  # parents without any saved child are not asked for
+    lost = fresh.withColumn("sha256", F.when(F.col("parent") != 2, F.col("sha256")))
+    assert found(lost) == {(2, 1, "changed_sequence")}
+    assert found(fresh, now.where("parent <> 2")) == {(2, 1, "missing_parent")}
+    odd = fresh.withColumn("parent_sha256", F.when(F.col("parent") == 1, F.lit("x")).otherwise(F.col("parent_sha256"))).withColumn("start", F.lit(None).cast("int"))
+    assert found(odd) == {(1, 1, "stale_parent"), (1, 2, "stale_parent"), (2, 1, "changed_bounds"), (3, 1, "changed_bounds")}
+    both = fresh.unionByName(fresh.where("parent = 2").withColumn("ends", F.lit("?")))
+    assert found(both) == {(2, 1, "duplicate_child"), (2, 1, "changed_ends")}
