@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- fixed values: what an audit can say, in the order in which it looks ---
@@ -30,20 +30,18 @@ def audited(saved: DataFrame, fresh: DataFrame, parents: DataFrame) -> DataFrame
     """
     same = lambda a, b: a.eqNullSafe(b)
     values = ["start", "end", "ends", "enzymes", "sha256"]
-    counted = saved.groupBy("parent", "fragment", *values, "parent_sha256").agg(F.count("*").alias("_n"))
-    twice = saved.groupBy("parent", "fragment").agg((F.count("*") > 1).alias("_twice"))
-    s = counted.drop("_n").join(twice, ["parent", "fragment"]).join(parents.select("parent", F.col("sha256").alias("_now"), F.lit(True).alias("_there")), "parent", "left")
-    s = s.withColumn("_stale", F.when(F.col("_there").isNull(), "missing_parent").when(~same(F.col("parent_sha256"), F.col("_now")), "stale_parent"))
-    known = s.groupBy("parent").agg(F.max(F.col("_stale").isNotNull()).alias("_odd"))
-    new = fresh.join(known.where("NOT _odd").select("parent"), "parent", "left_semi").select("parent", "fragment", *[F.col(c).alias("f_" + c) for c in values], F.lit(True).alias("_made"))
-    j = s.withColumn("_kept", F.lit(True)).join(new, ["parent", "fragment"], "full")
+    s = saved.select("parent", "fragment", *values, "parent_sha256", (F.count("*").over(Window.partitionBy("parent", "fragment")) > 1).alias("_twice"))
+    s = s.join(parents.select("parent", F.col("sha256").alias("_now"), F.lit(True).alias("_there")), "parent", "left")
+    s = s.withColumns({"_stale": F.when(F.col("_there").isNull(), "missing_parent").when(~same(F.col("parent_sha256"), F.col("_now")), "stale_parent"), "_kept": F.lit(True)})
+    new = fresh.select("parent", "fragment", *[F.col(c).alias("f_" + c) for c in values], F.lit(True).alias("_made"))
+    own = Window.partitionBy("parent")
+    j = s.join(new, ["parent", "fragment"], "full").withColumns({"_any": F.max("_kept").over(own), "_odd": F.max(F.col("_stale").isNotNull()).over(own)})
     both = F.col("_stale").isNull() & F.col("_kept") & F.col("_made")
     differs = lambda *cs: both & ~_all([same(F.col(c), F.col("f_" + c)) for c in cs])
     found = {
-        "missing_parent": F.col("_stale") == "missing_parent", "stale_parent": F.col("_stale") == "stale_parent", "missing_child": F.col("_kept").isNull(), "unexpected_child": F.col("_stale").isNull() & F.col("_kept") & F.col("_made").isNull() & ~F.col("_odd"),
+        "missing_parent": F.col("_stale") == "missing_parent", "stale_parent": F.col("_stale") == "stale_parent", "missing_child": F.col("_kept").isNull() & F.col("_any") & ~F.col("_odd"), "unexpected_child": F.col("_stale").isNull() & F.col("_kept") & F.col("_made").isNull() & ~F.col("_odd"),
         "duplicate_child": F.col("_twice"), "changed_bounds": differs("start", "end"), "changed_ends": differs("ends"), "changed_enzymes": differs("enzymes"), "changed_sequence": differs("sha256"),
     }
-    j = j.join(known, "parent", "left")
     return j.select("parent", "fragment", F.explode(F.array_compact(F.array(*[F.when(found[i], i) for i in ISSUES]))).alias("issue")).distinct()
 
 

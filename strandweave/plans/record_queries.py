@@ -402,6 +402,6 @@ def digest_audit(spark, d):  # 151, 161: records saved by an earlier run, with e
         "start": F.when(k == 1, F.col("start") + 1).otherwise(F.col("start")), "enzymes": F.when(k == 2, "none").otherwise(F.col("enzymes")), "sha256": F.when(k != 3, F.col("sha256")), "ends": F.when(k == 4, "").otherwise(F.col("ends")),
         "parent_sha256": F.when(stale, F.sha2("parent_sha256", 256)).otherwise(F.col("parent_sha256")),
     })
-    stray = saved.where("fragment = 1 AND parent % 5 = 0").withColumn("fragment", F.col("fragment") + 1000000)
-    saved = saved.unionByName(saved.where(k == 6)).unionByName(stray)
+    copies = F.array_compact(F.array(F.lit(0), F.when(k == 6, 0), F.when((F.col("fragment") == 1) & (F.col("parent") % 5 == 0), 1000000)))
+    saved = saved.withColumn("more", F.explode(copies)).withColumn("fragment", F.col("fragment") + F.col("more"))
     return materialise.audited(saved, fresh, t.where("doc_id % 13 <> 0").select(F.col("doc_id").alias("parent"), F.sha2("seq", 256).alias("sha256")))
