@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandweave.functions import facts
-from strandweave.operators import alignment, cloning, intervals, records, relations, restriction, scans
+from strandweave.operators import alignment, batches, cloning, intervals, records, relations, restriction, scans
 from strandweave.sources import text as T
 
 
@@ -96,6 +97,13 @@ def test_orf_tables(spark):
     assert got == {1: [(0, 15, 4, "TAA")], 2: [(0, 9, 2, "AGA")]}
 
 
+def test_batches_stay_small():
+    b = pa.RecordBatch.from_pydict({"seq": ["A" * 50_000] * 60 + [None] + ["C" * 3_000_000] + ["G" * 9] * 5})
+    parts = [x.column("seq").to_pylist() for x in batches.cut(iter([b]), "seq")]
+    assert [x for p in parts for x in p] == [x for x in b.column("seq").to_pylist() if x is not None]
+    assert all(len(p) == 1 or sum(map(len, p)) <= 1 << 20 for p in parts)
+
+
 def test_sliding_gc_short_and_long(spark):
     got = {(r.doc_id, r.position): r.gc for r in scans.sliding_gc(frame(spark, "GGAA", "GC" * 60, ""), 100, 20).collect()}
     assert got == {(0, 0): 0.5, (1, 0): 1.0, (1, 20): 1.0, (2, 0): 0.0}
