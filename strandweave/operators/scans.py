@@ -176,16 +176,20 @@ def translations(seqs: DataFrame, table_id: int = 1) -> DataFrame:
 
 def sliding_gc(seqs: DataFrame, window: int = 100, step: int = 1) -> DataFrame:
     """doc_id, position, gc of every window; one row at 0 for a shorter sequence."""
-    def find(s: str) -> Iterator[tuple]:
-        b = np.frombuffer(s.encode(), np.uint8)
-        gc = np.concatenate([[0], np.cumsum((b == 71) | (b == 67))])
-        ok = np.concatenate([[0], np.cumsum(np.isin(b, np.frombuffer(b"ACGTU", np.uint8)))])
-        at = np.arange(0, len(b) - window + 1, step) if len(b) >= window else np.array([0])
-        end = np.minimum(at + window, len(b))
-        n = ok[end] - ok[at]
-        return zip(at.tolist(), (np.divide(gc[end] - gc[at], n, out=np.zeros(len(at)), where=n > 0)).tolist(), strict=True)
-
-    return scan(seqs, "doc_id", "seq", find, "position int, gc double")
+    counted = np.zeros(256, bool)
+    counted[np.frombuffer(b"ACGTU", np.uint8)] = True
+
+    def work(data: np.ndarray, off: np.ndarray) -> tuple:
+        gc, ok = (np.concatenate([[0], np.cumsum(x)]) for x in ((data == 71) | (data == 67), counted[data]))
+        many = np.maximum(np.diff(off) - window, 0) // step + 1
+        of = np.repeat(np.arange(len(many)), many)
+        at = (np.arange(len(of)) - (np.cumsum(many) - many)[of]) * step
+        begin = off[:-1][of] + at
+        end = np.minimum(begin + window, off[1:][of])
+        n = ok[end] - ok[begin]
+        return of, at, np.divide(gc[end] - gc[begin], n, out=np.zeros(len(of)), where=n > 0)
+
+    return emit(seqs, "doc_id", "seq", work, "position int, gc double")
 
 
 def words_at(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -109,6 +109,20 @@ def test_sliding_gc_short_and_long(spark):
     assert got == {(0, 0): 0.5, (1, 0): 1.0, (1, 20): 1.0, (2, 0): 0.0}
 
 
+def test_sliding_gc_against_slices(spark, monkeypatch):
+    monkeypatch.setattr(scans, "scan", None)  # no row of Python values a window
+    texts = ["", "G", "GATTACA", "GCGNNxÄGC" * 5, "ACGT" * 9]
+    out = scans.sliding_gc(frame(spark, *texts), 6, 4).collect()
+    for i, t in enumerate(texts):
+        b = t.encode()
+        want = []
+        for at in range(0, len(b) - 5, 4) if len(b) >= 6 else [0]:
+            w = b[at : at + 6]
+            n = sum(c in b"ACGTU" for c in w)
+            want.append((at, sum(c in b"GC" for c in w) / n if n else 0.0))
+        assert sorted((r.position, r.gc) for r in out if r.doc_id == i) == want
+
+
 def test_orfs_of_circles(spark):
     s = frame(spark, "AAATAACCATGA", "ATGAAA")  # the first frame passes the origin, the second has no stop in a turn
     got = {(r.doc_id, r.start, r.end, r.amino_acids, r.status) for r in scans.orfs(s, 2, circular=True).where("strand = 1").collect()}
