@@ -16,6 +16,7 @@ SEGMENT = "struct<start:long,end:long,strand:int>"
 FEATURE = f"struct<type:string,start:long,end:long,strand:int,operator:string,status:string,segments:array<{SEGMENT}>,qualifiers:array<struct<name:string,value:string>>>"
 RECORD = f"record int, locus string, length long, molecule string, topology string, definition string, accession string, sequence string, truncated boolean, features array<{FEATURE}>"
 MOST_NESTING = 32
+MOST_TEXT = 1 << 20
 
 
 def _split(inner: str) -> list[str]:
@@ -108,14 +109,21 @@ def parse_genbank(texts: DataFrame, key: str = "path", column: str = "value") ->
     parts = F.split(F.regexp_replace(column, "\r\n?", "\n"), "(?m)^//[ \t]*$")
     records = texts.select(key, F.posexplode(parts).alias("record", "text")).where(F.col("text").rlike("(?m)^LOCUS"))
     kind = texts.schema[key].dataType.simpleString()
+    return records.mapInPandas(lambda batches: parsed(batches, key), f"{key} {kind}, {RECORD}")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [{key: k, "record": r, **parse_record(t)} for k, r, t in zip(b[key], b["record"], b["text"], strict=True)]
-            if rows:
-                yield pd.DataFrame(rows).astype({"length": "Int64"})
 
-    return records.mapInPandas(run, f"{key} {kind}, {RECORD}")
+def parsed(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Rows of records (key, record, text) in frames of about MOST_TEXT of text, one record at least: parsed features take many times their text."""
+    for b in batches:
+        rows, size = [], 0
+        for k, r, t in zip(b[key], b["record"], b["text"], strict=True):
+            rows.append({key: k, "record": r, **parse_record(t)})
+            size += len(t)
+            if size >= MOST_TEXT:
+                yield pd.DataFrame(rows).astype({"length": "Int64"})
+                rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows).astype({"length": "Int64"})
 
 
 def read_genbank(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import struct
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from strandweave.operators import verification
@@ -122,3 +123,9 @@ def test_genbank_rows_are_numbered(spark):
     df = spark.range(1).select(genbank.genbank_text(F.lit("x"), F.lit("ACGTACGTAC" * 13), F.array().cast("array<struct<type:string,segments:array<struct<start:int,end:int,strand:int>>,operator:string,status:string,qualifiers:array<struct<name:string,value:string>>>>"), F.lit("linear"), F.lit("protein")).alias("v"))
     lines = df.first().v.split("\n")
     assert lines[0].split()[2:4] == ["130", "aa"] and lines[3:] == ["        1" + " acgtacgtac" * 6, "       61" + " acgtacgtac" * 6, "      121 acgtacgtac", "//", ""]
+
+
+def test_parsed_genbank_leaves_in_small_frames():
+    one = "LOCUS       d 120 bp DNA linear\nFEATURES             Location/Qualifiers\n     gene            1..20\nORIGIN\n" + "        1 acgtacgtac\n" * 30_000
+    frames = list(genbank.parsed(iter([pd.DataFrame({"path": range(9), "record": [0] * 9, "text": [one] * 9})]), "path"))
+    assert [p for f in frames for p in f["path"]] == list(range(9)) and max(map(len, frames)) <= 3
