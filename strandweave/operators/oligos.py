@@ -89,29 +89,24 @@ def dimer_energies(a: list[str], b: list[str], least: int = 3, tail: int = 5) ->
     back = turned(y, ny)
     same = (x[:, :, None] == back[:, None, :]) & (x[:, :, None] < NONE)
     prefix, end = energies(x)
-    first = same & ~np.pad(same, ((0, 0), (1, 0), (1, 0)))[:, :-1, :-1]
+    first = same.copy()  # where a run of `least` bases and more begins
+    first[:, 1:, 1:] &= ~same[:, :-1, :-1]
+    for j in range(1, least):
+        first &= shifted(same, j, j)
     best, ends, size = np.zeros(len(a)), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-    alive = first
-    w = x.shape[1]
-    for k in range(1, w + 1):
-        if k > 1:
-            alive = alive & shifted(same, k - 1, k - 1)
-            if not alive.any():
-                break
-        if k < least:
-            continue
-        done = alive & ~shifted(same, k, k)
-        r, p, q = np.nonzero(done)
-        if not len(r):
-            continue
-        e = np.round(prefix[r, p + k - 1] - prefix[r, p] + end[r, p] + end[r, p + k - 1], 2)
-        held = min(k, tail) * ((p + k == nx[r]).astype(np.int64) + (q == 0))
-        order = np.lexsort((-held, e, r))
-        r, e, held = r[order], e[order], held[order]
-        one = np.concatenate([[True], r[1:] != r[:-1]])
-        r, e, held = r[one], e[one], held[one]
-        better = (e < best[r]) | ((e == best[r]) & (e < 0) & (held >= ends[r]))
-        best[r[better]], ends[r[better]], size[r[better]] = e[better], held[better], k
+    r, p, q = np.unravel_index(np.flatnonzero(first), first.shape)
+    k = np.full(len(r), least)
+    on = np.arange(len(r))
+    while len(on):
+        on = on[(p[on] + k[on] < same.shape[1]) & (q[on] + k[on] < same.shape[2])]
+        on = on[same[r[on], p[on] + k[on], q[on] + k[on]]]
+        k[on] += 1
+    e = np.round(prefix[r, p + k - 1] - prefix[r, p] + end[r, p] + end[r, p + k - 1], 2)
+    held = np.minimum(k, tail) * ((p + k == nx[r]).astype(np.int64) + (q == 0))
+    order = np.lexsort((-k, -held, e, r))
+    order = order[e[order] < 0]
+    order = order[np.concatenate([[True], r[order][1:] != r[order][:-1]])] if len(order) else order
+    best[r[order]], ends[r[order]], size[r[order]] = e[order], held[order], k[order]
     return best, ends, size
 
 
@@ -177,8 +172,14 @@ class Side:
         """The first `most` candidates that stay open; structures are only needed here if there are more candidates."""
         if len(self.start) <= most:
             return np.arange(len(self.start))
-        self.tested(np.arange(len(self.start)), least_hairpin, least_dimer)
-        return np.flatnonzero([self.open[i] for i in range(len(self.start))])[:most]
+        found: list[int] = []
+        for at in range(0, len(self.start), CHUNK):
+            part = range(at, min(at + CHUNK, len(self.start)))
+            self.tested(np.array(part), least_hairpin, least_dimer)
+            found += [i for i in part if self.open[i]]
+            if len(found) >= most:
+                break
+        return np.array(found[:most], np.int64)
 
 
 def sides(seq: str, low: int, high: int, lengths: tuple[int, int], flank: int, target: float, tolerance: float, gc_range: tuple[float, float]) -> tuple[Side, Side]:
@@ -272,8 +273,6 @@ def as_features(pairs: DataFrame) -> DataFrame:
     """Primer annotations of the pairs: doc_id, rank, name, type, start, end, strand, sequence; two rows a pair."""
     from pyspark.sql import functions as F
 
-    f = pairs.select("doc_id", "rank", F.concat(F.lit("forward "), "rank").alias("name"), F.col("start").alias("start"), (F.col("start") + F.length("forward")).alias("end"), F.lit(1).alias("strand"), F.col("forward").alias("sequence"))
-    r = pairs.select("doc_id", "rank", F.concat(F.lit("reverse "), "rank").alias("name"), (F.col("end") - F.length("reverse")).alias("start"), F.col("end").alias("end"), F.lit(-1).alias("strand"), F.col("reverse").alias("sequence"))
-    return f.unionByName(r).withColumn("type", F.lit("primer_bind"))
-
-
+    one = lambda name, start, end, strand: F.struct(F.concat(F.lit(f"{name} "), "rank").alias("name"), start.alias("start"), end.alias("end"), F.lit(strand).alias("strand"), F.col(name).alias("sequence"))
+    both = F.array(one("forward", F.col("start"), F.col("start") + F.length("forward"), 1), one("reverse", F.col("end") - F.length("reverse"), F.col("end"), -1))
+    return pairs.select("doc_id", "rank", F.explode(both).alias("p")).select("doc_id", "rank", "p.*", F.lit("primer_bind").alias("type"))

@@ -323,3 +323,9 @@ def test_chains():
 
 def test_melting_of_an_oligo(spark):
     assert spark.range(1).select(S.melting_temperature(F.lit("ACGTACGTACGTACGTACGT"), 50, 0.01)).first()[0] == 55.2
+
+
+def test_primer_features_look_for_pairs_once(spark):
+    s = spark.createDataFrame([(0, "ACGT" * 60, 80, 160)], "doc_id long, seq string, target_start int, target_end int")
+    plan = oligos.as_features(oligos.primer_pairs(s, most=1))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
