@@ -208,6 +208,18 @@ def slow_anchors(a, b, k=12, most=32):
     return out
 
 
+def test_pairs_aligned_together():
+    rng = random.Random(5)
+    pairs = [tuple("".join(rng.choice("ACGT") for _ in range(rng.randint(0, 40))) for _ in range(2)) for _ in range(60)]
+    m = alignment.MASKS["dna"]
+    for limits in (alignment.Limits(), alignment.Limits(full=0)):
+        together = alignment.aligned_pairs(pairs, "dna", limits)
+        assert together == [alignment.aligned_pair(a, b, "dna", limits) for a, b in pairs]
+        for (a, b), (s, t, *_) in zip(pairs, together, strict=True):
+            score = sum(-2 if "-" in x else 2 if x[0] == x[1] else -1 for x in zip(s, t, strict=True))
+            assert (s.replace("-", ""), t.replace("-", "")) == (a, b) and score == alignment.score_rows(m[alignment.codes(a)], m[alignment.codes(b)], False)[-1]
+
+
 def test_anchors_against_loops():
     random.seed(9)
     for _ in range(60):
