@@ -38,7 +38,7 @@ class Thresholds(NamedTuple):
     most_indel_fraction: float = 0.12
 
 
-def trimmed(quality: list[int] | None, n: int, t: Thresholds) -> tuple[int, int]:
+def trimmed(quality: list[int] | np.ndarray | None, n: int, t: Thresholds) -> tuple[int, int]:
     """From the first to the last window whose mean quality is high enough; the whole read if it has no qualities."""
     if quality is None or not n:
         return 0, n
@@ -52,6 +52,22 @@ COLUMN = "array<struct<pos:int,allele:string,q:double>>"
 VARIANT = "array<struct<type:string,start:int,end:int,ref:string,alt:string,q:double>>"
 
 
+def arrays_of(column: pa.Array) -> list[np.ndarray | None]:
+    """The lists of an Arrow column of numbers as arrays."""
+    off, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    return [values[a:b] if ok else None for a, b, ok in zip(off[:-1].tolist(), off[1:].tolist(), column.is_valid().to_pylist(), strict=True)]
+
+
+def lists(parts: list[np.ndarray | None], values: pa.Array) -> pa.Array:
+    """A list column of `values`, which are those of `parts` end to end; None: null."""
+    off = np.concatenate([[0], np.cumsum([0 if p is None else len(p) for p in parts], dtype=np.int64)])
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), values, mask=pa.array([p is None for p in parts], pa.bool_()))
+
+
+def joined(parts: list[np.ndarray | None], kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(p for p in parts if p is not None)]).astype(kind)
+
+
 def prepared(reads: DataFrame, t: Thresholds) -> DataFrame:
     """construct, read, trim_start, trim_end, calls (upper case, trimmed), quality (of these; null: none) of reads (construct, read, calls, quality)."""
     kinds = ", ".join(f"{c} {reads.schema[c].dataType.simpleString()}" for c in ("construct", "read"))
@@ -61,11 +77,11 @@ def prepared(reads: DataFrame, t: Thresholds) -> DataFrame:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
                 texts = [(c or "").upper() for c in b.column("calls").to_pylist()]
-                quality = b.column("quality").to_pylist()
+                quality = arrays_of(b.column("quality"))
                 ends = [trimmed(q, len(c), t) for c, q in zip(texts, quality, strict=True)]
                 kept = [c[x:y] for c, (x, y) in zip(texts, ends, strict=True)]
-                scores = [None if q is None else [float(v) for v in q[x:y]] for q, (x, y) in zip(quality, ends, strict=True)]
-                cols = [pa.array([x for x, _ in ends], pa.int32()), pa.array([y for _, y in ends], pa.int32()), pa.array(kept, pa.string()), pa.array(scores, pa.list_(pa.float64()))]
+                scores = [None if q is None else q[x:y] for q, (x, y) in zip(quality, ends, strict=True)]
+                cols = [pa.array([x for x, _ in ends], pa.int32()), pa.array([y for _, y in ends], pa.int32()), pa.array(kept, pa.string()), lists(scores, pa.array(joined(scores, np.float64)))]
                 yield pa.RecordBatch.from_arrays([b.column("construct"), b.column("read"), *cols], names=["construct", "read", "trim_start", "trim_end", "calls", "quality"])
 
     return reads.select("construct", "read", "calls", "quality").mapInArrow(run, f"{kinds}, trim_start int, trim_end int, calls string, quality array<double>")
@@ -83,8 +99,8 @@ def beside(known: np.ndarray, value: np.ndarray) -> np.ndarray:
     return np.where(left < right, a, np.where(right < left, b, (a + b) / 2))
 
 
-def read_columns(own: str, quality: list[float] | None, path: str, segment: str, place: int, circle: int, most_indel: int) -> tuple[list, list]:
-    """Calls by position and variants (indels where the path has them) of one mapped read."""
+def read_columns(own: str, quality: np.ndarray | None, path: str, segment: str, place: int, circle: int, most_indel: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """Calls by position (places, letters, qualities; nan: unknown) and variants (indels where the path has them) of one mapped read."""
     steps = np.frombuffer(path.encode(), np.uint8)
     alone, gone = steps == ord("i"), steps == ord("d")
     i, j = np.cumsum(~gone) - 1, np.cumsum(~alone) - 1
@@ -93,16 +109,15 @@ def read_columns(own: str, quality: list[float] | None, path: str, segment: str,
     where = place + np.where(alone, j + 1, j)
     where = where % circle if circle else where
     read = np.where(gone, ord("-"), bases[np.where(gone, 0, i)] if len(bases) else 0)
-    q = np.full(len(steps), np.nan) if quality is None else np.where(gone, np.nan, np.array(quality)[np.where(gone, 0, i)])
+    q = np.full(len(steps), np.nan) if quality is None else np.where(gone, np.nan, quality[np.where(gone, 0, i)])
     shown = np.where(gone, beside(~np.isnan(q), q), q)
-    value = [None if np.isnan(v) else float(v) for v in shown]
+    value = lambda k: None if np.isnan(shown[k]) else float(shown[k])
     on = np.flatnonzero(~alone & np.isin(read, np.frombuffer(b"ACGT-", np.uint8)))
     _, first = np.unique(where[on], return_index=True)
     on = on[np.sort(first)]
-    columns = [{"pos": p, "allele": chr(c), "q": value[k]} for k, p, c in zip(on.tolist(), where[on].tolist(), read[on].tolist(), strict=True)]
     below = np.where(alone, 0, text[np.where(alone, 0, j)] if len(text) else 0)
     plain = np.isin(read, PLAIN) & np.isin(below, PLAIN)
-    variants = [{"type": "substitution", "start": int(where[k]), "end": int(where[k]) + 1, "ref": chr(below[k]), "alt": chr(read[k]), "q": value[k]} for k in np.flatnonzero((steps == ord("s")) & plain & (read != below)).tolist()]
+    variants = [{"type": "substitution", "start": int(where[k]), "end": int(where[k]) + 1, "ref": chr(below[k]), "alt": chr(read[k]), "q": value(k)} for k in np.flatnonzero((steps == ord("s")) & plain & (read != below)).tolist()]
     edges = np.flatnonzero(np.diff(steps)) + 1
     for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(steps)], strict=True):
         if not alone[a] and not gone[a]:
@@ -111,10 +126,10 @@ def read_columns(own: str, quality: list[float] | None, path: str, segment: str,
         if b - a > most_indel or not np.isin(letters, PLAIN).all():
             continue
         allele, start = letters.astype(np.uint8).tobytes().decode(), int(where[a])
-        known = [v for v in value[a:b] if v is not None] if alone[a] else [v for v in value[a : a + 1] if v is not None]
+        known = [v for v in map(value, range(a, b) if alone[a] else [a]) if v is not None]
         mean = sum(known) / len(known) if known else None
         variants.append({"type": kind, "start": start, "end": start if alone[a] else start + b - a, "ref": "" if alone[a] else allele, "alt": allele if alone[a] else "", "q": mean})
-    return columns, variants
+    return where[on].astype(np.int32), read[on].astype(np.uint8), shown[on], variants
 
 
 PLAIN = np.frombuffer(b"ACGT", np.uint8)
@@ -156,16 +171,19 @@ def map_reads(reads: DataFrame, references: DataFrame, thresholds: Thresholds =
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item = pa.list_(pa.struct([("pos", pa.int32()), ("allele", pa.string()), ("q", pa.float64())]))
         change = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("ref", pa.string()), ("alt", pa.string()), ("q", pa.float64())]))
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 out = []
-                for calls, q, strand, path, segment, place, circle in zip(*(b.column(c).to_pylist() for c in ("calls", "quality", "strand", "path", "segment", "place", "circle")), strict=True):
+                for q, calls, strand, path, segment, place, circle in zip(arrays_of(b.column("quality")), *(b.column(c).to_pylist() for c in ("calls", "strand", "path", "segment", "place", "circle")), strict=True):
                     own = calls if strand == 1 else facts.reverse_complement(calls)
                     out.append(read_columns(own, q if q is None or strand == 1 else q[::-1], path, segment, place, circle, t.most_indel))
-                yield pa.RecordBatch.from_arrays([b.column("construct"), b.column("read"), pa.array([c for c, _ in out], item), pa.array([v for _, v in out], change)], names=["construct", "read", "columns", "variants"])
+                places, letters, shown, variants = ([o[i] for o in out] for i in range(4))
+                letter = joined(letters, np.uint8)
+                alleles = pa.StringArray.from_buffers(len(letter), pa.py_buffer(np.arange(len(letter) + 1, dtype=np.int32)), pa.py_buffer(letter))
+                each = pa.StructArray.from_arrays([pa.array(joined(places, np.int32)), alleles, pa.array(joined(shown, np.float64), from_pandas=True)], names=["pos", "allele", "q"])
+                yield pa.RecordBatch.from_arrays([b.column("construct"), b.column("read"), lists(places, each), pa.array(variants, change)], names=["construct", "read", "columns", "variants"])
 
     shown = written(rows.where("status = 'mapped'").select(*names, "calls", "quality", "strand", "path", "segment", "place", "circle").mapInArrow(run, f"{kinds}, columns {COLUMN}, variants {VARIANT}"), "constructs-columns")
     each = shown.select(*names, F.posexplode("variants").alias("ord", "v")).select(*names, "ord", "v.*")

@@ -1,15 +1,16 @@
 """Reads mapped to their references: seeds, votes, banded alignment in batches, and an exact scan for what seeds cannot prove.
 
 1. Words of WORD bases of each read (side by side, both strands) are joined with the words of its reference by (construct, word). A hit votes for its diagonal
-   (place on the reference less place in the read); diagonals meet in buckets that are wider than E bases and overlap by half.
+   (place on the reference less place in the read); diagonals meet in buckets of two slots, each E bases wide at least, that overlap by one.
 2. A read with m seeds that no word of its reference repeats too often keeps m - E of them in every alignment with E errors or less. Buckets with as many votes are
-   candidates; the stretch of reference around them is put together from chunks, so a task never holds a whole reference.
+   candidates, but for those whose slots a neighbour's window holds too; the stretch of reference around them is put together from chunks, so a task never holds a whole reference.
 3. A batch of candidates is aligned at once, a read row a step, diagonals as columns. Beside the best alignment, the best is found that leaves its band on either side: a runner-up
    with another path.
 4. An alignment that is no candidate has more than E errors, so it scores below 3 n - 4 E. If best and runner-up limit lie above that, the seeds have proven the mapping. All other
-   reads are aligned to all of their reference, in windows of diagonals that overlap by more than any alignment with a positive score can drift.
+   reads are aligned to all of their reference, in windows of diagonals that overlap by more than any alignment with a positive score can drift: with a bases alone and d of the
+   reference alone it scores 3 (n - a) - 4 a - 4 d at most, so a < 3 n / 7 and d < 3 n / 4, and no base of it lies beyond the ends.
 
-So results are those of the full matrix, while clean reads never meet more than a few hundred diagonals. Rows of one construct are joined by word, chunk or read, never gathered.
+So results are those of the full matrix wherever a score is above nothing, while clean reads never meet more than a few hundred diagonals. Rows of one construct are joined by word, chunk or read, never gathered.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions import sequence as S
+from strandweave.operators.batches import cut
 from strandweave.operators.scans import CODON_MASK
 from strandweave.session import written
 
@@ -29,85 +31,126 @@ from strandweave.session import written
 MATCH, PARTLY, MISMATCH, GAP = 3, 1, -3, -4
 
 WORD, MOST_PLACES = 11, 64
-BUCKET = 64
+BUCKET = 8
 CHUNK = 4096
 CELLS = 32 << 20
+TASK = 4 * CELLS
 OUTSIDE = 16  # the symbol for places beyond the ends of a reference
 FAR = -(1 << 28)
 
-#: SCORES[x, y] of two base sets: equal letters, compatible ones, others; nothing stands beyond the ends.
-SCORES = np.full((17, 17), FAR, np.int32)
-for _x in range(16):
-    for _y in range(16):
-        SCORES[_x, _y] = MATCH if _x == _y and _x else PARTLY if _x & _y else MISMATCH
-
-
 def masks(text: str) -> np.ndarray:
     return CODON_MASK[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)].astype(np.uint8)
 
 
 def laid_out(reads: list[np.ndarray], stretches: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Reads and stretches of a batch as matrices (places without a letter: OUTSIDE), and the reads' lengths."""
+    """Reads and stretches of a batch as matrices, a column each (places without a letter: OUTSIDE), and the reads' lengths."""
     n = np.array([len(r) for r in reads])
-    x = np.zeros((len(reads), int(n.max())), np.uint8)
+    x = np.ones((len(reads), int(n.max())), np.uint8)  # what follows a read is never looked at
     y = np.full((len(reads), width + x.shape[1]), OUTSIDE, np.uint8)
     for i, (r, s) in enumerate(zip(reads, stretches, strict=True)):
         x[i, : len(r)] = r
         y[i, : min(len(s), y.shape[1])] = s[: y.shape[1]]
-    return x, y, n
-
-
-def matrix_rows(x: np.ndarray, y: np.ndarray, width: int, starts: np.ndarray, shut: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per base of the reads: scores by diagonal, and which step gave them (1 along, 2 a base of the read alone, 3 one of the reference alone). starts: diagonals where a path may begin; shut: diagonals that may not be used."""
-    steps = np.arange(width, dtype=np.int32) * GAP
-    table, x, y = SCORES.ravel(), x.astype(np.int16) * 17, y.astype(np.int16)
-    row = np.where(starts, 0, FAR).astype(np.int32)
-    if shut is not None:
-        row[shut] = FAR
-    for i in range(x.shape[1]):
-        along = row + table.take(x[:, i, None] + y[:, i : i + width])
-        alone = np.full_like(row, FAR)
-        alone[:, :-1] = row[:, 1:] + GAP
-        best = np.maximum(np.maximum(along, alone), FAR)  # never below, so that sums stay far from the ends of 32 bits
-        if shut is not None:
-            best[shut] = FAR
-        row = np.maximum.accumulate(best - steps, axis=1) + steps
-        if shut is not None:
-            row[shut] = FAR
-        yield row, np.where(row == along, 1, np.where(row == alone, 2, 3)).astype(np.uint8)
+    return np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), n
+
+
+def matrix_rows(x: np.ndarray, y: np.ndarray, width: int, starts: np.ndarray, shut: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Per base of the reads: scores by diagonal (rows) and read (columns), and which steps give them (bit 1: along, bit 2: a base of the read alone, none: one of the reference alone); without the steps if diagonals are shut.
+
+    starts: diagonals where a path may begin; shut: diagonals that may not be used. Values are 16 bits wide where no score can leave them.
+    """
+    small = len(x) <= 2000 and width <= 4096
+    kind, far = (np.int16, -16000) if small else (np.int32, FAR)
+    far = kind(far)
+    climb = (np.arange(width, dtype=kind) * kind(-GAP))[:, None]
+    outside = y == OUTSIDE
+    ends = np.concatenate([[0], np.cumsum(outside.any(axis=1))])
+    beyond = np.where(outside, far, kind(0))
+    row = np.where(starts, kind(0), far)
+    open_ = None if shut is None else np.where(shut, far, np.iinfo(kind).max).astype(kind)
+    if open_ is not None:
+        row = np.minimum(row, open_)
+    alone, other = np.full_like(row, far), np.empty_like(row)
+    for i in range(len(x)):
+        below = y[i : i + width]
+        met = (below & x[i]) > 0
+        score = met.view(np.int8) * np.int8(PARTLY - MISMATCH) + (met & (below == x[i])).view(np.int8) * np.int8(MATCH - PARTLY) + np.int8(MISMATCH)
+        along = row + score
+        if ends[i + width] > ends[i]:
+            along += beyond[i : i + width]
+        np.add(row[1:], kind(GAP), out=alone[:-1])
+        best = np.maximum(along, alone)
+        np.maximum(best, far, out=best)  # never below, so that sums stay far from the ends of the type
+        if open_ is not None:
+            np.minimum(best, open_, out=best)
+        best += climb
+        step = 1
+        while step < width:  # the best of all diagonals before, by doubling
+            np.maximum(best[step:], best[:-step], out=other[step:])
+            other[:step] = best[:step]
+            best, other = other, best
+            step *= 2
+        row = best - climb
+        if open_ is not None:
+            np.minimum(row, open_, out=row)
+            yield row, None
+        else:
+            yield row, (row == along).view(np.uint8) + (row == alone).view(np.uint8) * np.uint8(2)
+
+
+def ending(n: np.ndarray) -> dict[int, np.ndarray]:
+    """The reads of a batch by their lengths."""
+    return {int(k): np.flatnonzero(n == k) for k in np.unique(n)}
+
+
+def wide(values: np.ndarray) -> np.ndarray:
+    """Scores as 64 bits, FAR where no path leads."""
+    v = values.astype(np.int64)
+    return np.where(v <= -10000, FAR, v) if values.dtype == np.int16 else v
 
 
 def end_scores(x: np.ndarray, y: np.ndarray, n: np.ndarray, width: int, starts: np.ndarray, shut: np.ndarray) -> np.ndarray:
-    """The best score of each read without the diagonals in shut."""
-    out = np.full(len(x), FAR, np.int64)
-    for i, (row, _) in enumerate(matrix_rows(x, y, width, starts, shut), 1):
-        done = n == i
-        out[done] = row[done].max(axis=1)
+    """The best score of each read without the diagonals in shut; those shut for all reads, on either side, are not looked at."""
+    out = np.full(x.shape[1], FAR, np.int64)
+    free = np.flatnonzero(~shut.all(axis=1))
+    if not len(free):
+        return out
+    a, b = int(free[0]), int(free[-1]) + 1
+    done = ending(n)
+    for i, (row, _) in enumerate(matrix_rows(x, y[a : b + len(x)], b - a, starts[a:b], shut[a:b]), 1):
+        if i in done:
+            out[done[i]] = wide(row[:, done[i]].max(axis=0))
     return out
 
 
-def aligned_batch(x: np.ndarray, y: np.ndarray, n: np.ndarray, width: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Score, the runner-up's score (another path), the place in the stretch where the path begins, and its steps, of every read."""
-    count, steps = len(x), np.zeros((x.shape[1] + 1, len(x), width), np.uint8)
+def aligned_batch(x: np.ndarray, y: np.ndarray, n: np.ndarray, width: int, starts: np.ndarray, circle: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Score, the runner-up's score (another path), the place in the stretch where the path begins, and its steps (1 along, 2 a base of the read alone, 3 one of the reference alone), of every read.
+
+    circle: lengths of circular references (0: none), on which a path that only leaves this one for its copy a lap away is no other path.
+    """
+    count, steps = x.shape[1], np.zeros((len(x) + 1, width, x.shape[1]), np.uint8)
     score, second, at = np.zeros(count, np.int64), np.zeros(count, np.int64), np.zeros(count, np.int64)
+    ends = ending(n)
     for i, (row, step) in enumerate(matrix_rows(x, y, width, starts), 1):
         steps[i] = step
-        done = np.flatnonzero(n == i)
-        if len(done):
-            score[done], at[done] = row[done].max(axis=1), row[done].argmax(axis=1)
-            second[done] = np.where((row[done] == score[done, None]).sum(axis=1) > 1, score[done], FAR)
+        if i in ends:
+            last = row[:, ends[i]]
+            best = last.max(axis=0)
+            score[ends[i]], at[ends[i]] = wide(best), last.argmax(axis=0)
+            second[ends[i]] = np.where((last == best).sum(axis=0) > 1, wide(best), FAR)
     row, diagonal, low, high = n.copy(), at.copy(), at.copy(), at.copy()
     taken = []
     which = np.arange(count)
+    named = np.array([3, 1, 2, 1], np.uint8)
     while (row > 0).any():
-        step = np.where(row > 0, steps[row, which, diagonal], 0)
+        step = np.where(row > 0, named[steps[row, diagonal, which]], 0)
         taken.append(step)
         row = row - ((step == 1) | (step == 2))
         diagonal = diagonal + (step == 2) - (step == 3)
         low, high = np.minimum(low, diagonal), np.maximum(high, diagonal)
     paths = np.array(taken, np.uint8).reshape(-1, count)[::-1]
-    columns = np.arange(width)[None, :]
-    for shut in (columns <= low[:, None], columns >= high[:, None]):
+    places = np.arange(width)[:, None]
+    lap = np.where(np.asarray(circle) > 0, circle, 1 << 40)
+    for shut in ((places <= low) | (places >= high + lap), (places >= high) | (places <= low - lap)):
         second = np.maximum(second, end_scores(x, y, n, width, starts, shut))
     return score, second, diagonal, [p[p > 0] for p in paths.T]
 
@@ -147,12 +190,12 @@ def scored(windows: DataFrame) -> DataFrame:
                     m[np.frombuffer(t.encode("latin-1", "replace"), np.uint8) == 46] = OUTSIDE
                     stretches.append(m)
                 x, y, n = laid_out(reads, stretches, w)
-                begins, ends = (b.column(c).to_numpy()[:, None] for c in ("begins", "ends"))
-                starts = (np.arange(w)[None, :] >= begins) & (np.arange(w)[None, :] < ends)
-                score, second, begin, steps = aligned_batch(x, y, n, w, starts)
-                paths = [spelled(x[i], y[i], int(begin[i]), s) for i, s in enumerate(steps)]
-                used = [len(p) - p.count("i") for p in paths]
+                begins, ends = (b.column(c).to_numpy() for c in ("begins", "ends"))
+                starts = (np.arange(w)[:, None] >= begins) & (np.arange(w)[:, None] < ends)
                 circle = b.column("circle").to_numpy()
+                score, second, begin, steps = aligned_batch(x, y, n, w, starts, circle)
+                paths = [spelled(x[:, i], y[:, i], int(begin[i]), s) for i, s in enumerate(steps)]
+                used = [len(p) - p.count("i") for p in paths]
                 place = b.column("first").to_numpy() + begin
                 place = np.where(circle > 0, place % np.maximum(circle, 1), place)
                 cols = [pa.array(n.astype(np.int32)), pa.array(score), pa.array(second), pa.array(place), pa.array(paths), pa.array([t[i : i + k] for t, i, k in zip(texts, begin.tolist(), used, strict=True)])]
@@ -165,22 +208,27 @@ def scored(windows: DataFrame) -> DataFrame:
 
 def word_places(texts: DataFrame, key: list[str], column: str, step: int) -> DataFrame:
     """key, place, word of every step-th word of plain bases."""
-    weights = (4 ** np.arange(WORD)).astype(np.int64)
     code = np.full(256, -1, np.int64)
     code[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, text in enumerate(b.column(column).to_pylist()):
-                c = code[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
-                if len(c) < WORD:
-                    continue
-                every = np.lib.stride_tricks.sliding_window_view(c, WORD)[::step]
-                place = np.arange(0, len(c) - WORD + 1, step)
-                good = (every >= 0).all(axis=1)
-                for s in range(0, len(place), 1 << 18):
-                    on = good[s : s + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(np.full(int(on.sum()), i))) for k in key), pa.array(place[s : s + (1 << 18)][on]), pa.array(every[s : s + (1 << 18)][on] @ weights)], names=[*key, "place", "word"])
+        for whole in batches:
+            for b in cut(iter([whole]), column):
+                texts_ = [t.encode("latin-1", "replace") for t in b.column(column).to_pylist()]
+                size = np.array([len(t) for t in texts_])
+                c = code[np.frombuffer(b"".join(texts_), np.uint8)]
+                odd = np.concatenate([[0], np.cumsum(c < 0)])
+                count = np.maximum((size - WORD) // step + 1, 0)
+                begin, first = np.cumsum(size) - size, np.cumsum(count) - count
+                for s in range(0, int(count.sum()), 1 << 18):
+                    k = np.arange(s, min(s + (1 << 18), int(count.sum())))
+                    text = np.searchsorted(first + count, k, side="right")
+                    place = (k - first[text]) * step
+                    at = begin[text] + place
+                    on = odd[at + WORD] == odd[at]
+                    text, place, at = text[on], place[on], at[on]
+                    word = sum(c[at + i] << (2 * i) for i in range(WORD))
+                    yield pa.RecordBatch.from_arrays([*(b.column(x).take(pa.array(text)) for x in key), pa.array(place), pa.array(word)], names=[*key, "place", "word"])
 
     kinds = ", ".join(f"{k} {texts.schema[k].dataType.simpleString()}" for k in key)
     return texts.select(*key, column).mapInArrow(run, f"{kinds}, place long, word long")
@@ -196,7 +244,7 @@ def stretches(windows: DataFrame, chunks: DataFrame) -> DataFrame:
     parts = w.select("window", "construct", "first", begin.alias("begin"), F.explode(F.sequence(F.floor(begin / CHUNK), F.floor((F.greatest(F.col("first") + size, begin + 1) - 1) / CHUNK))).alias("chunk"))
     pieces = parts.join(chunks, ["construct", "chunk"]).groupBy("window").agg(F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("p"), F.first("begin").alias("begin"))
     text = F.array_join(F.transform("p", lambda p: p["text"]), "").substr((F.col("begin") - F.col("p")[0]["chunk"] * CHUNK + 1).cast("int"), F.lit(2**30))
-    return w.join(pieces.select("window", text.alias("text")), "window", "left").withColumn("text", F.coalesce(F.substring("text", F.lit(1), (size - F.col("lead")).cast("int")), F.lit(""))).repartition(1 + int(work / CELLS), "window").drop("window")
+    return w.join(pieces.select("window", text.alias("text")), "window", "left").withColumn("text", F.coalesce(F.substring("text", F.lit(1), (size - F.col("lead")).cast("int")), F.lit(""))).repartition(1 + int(work / TASK), "window").drop("window")
 
 
 def best_of(rows: DataFrame) -> DataFrame:
@@ -231,15 +279,19 @@ def alignments(reads: DataFrame, references: DataFrame, margin: float) -> DataFr
     lost = seeds.join(often, ["construct", "word"]).groupBy(*names, "strand").agg(F.count("*").alias("lost"))
     usable = seeds.groupBy(*names, "strand").agg(F.count("*").alias("m")).join(lost, [*names, "strand"], "left").select(*names, "strand", (F.col("m") - F.coalesce("lost", F.lit(0))).alias("m"))
     # Both strands give one bound: the weaker one.
-    bound = usable.groupBy(*names).agg(F.min("m").alias("m"), F.count("*").alias("strands")).withColumn("errors", F.when((F.col("strands") == 2) & (F.col("m") >= 2), F.floor(F.col("m") * 0.5).cast("int")))
-    bound = bound.where("errors IS NOT NULL").withColumn("bucket", F.greatest(F.lit(BUCKET), F.pow(2, F.ceil(F.log2(F.col("errors").cast("double"))))).cast("int"))
+    bound = usable.groupBy(*names).agg(F.min("m").alias("m"), F.count("*").alias("strands")).withColumn("errors", F.when((F.col("strands") == 2) & (F.col("m") >= 2), F.floor(F.col("m") * 0.75).cast("int")))
+    power = F.pow(2, F.ceil(F.log2(F.col("errors").cast("double"))))
+    bound = bound.where("errors IS NOT NULL").withColumn("bucket", F.greatest(F.lit(BUCKET), F.when(F.col("errors") <= 0.75 * power, 0.75 * power).otherwise(power)).cast("int"))  # few sizes, so that windows share a batch
     bound = written(bound.select(*names, "m", "errors", F.col("bucket").alias("size")), "mapping-bounds")
     hits = seeds.join(bound, names).join(places.join(often, ["construct", "word"], "left_anti"), ["construct", "word"]).join(refs.select("construct", "n", "circular"), "construct")
     way = F.col("place") - F.col("offset")
     ways = F.when(F.col("circular"), F.array_distinct(F.array(F.pmod(way, F.col("n")), F.pmod(way, F.col("n")) + F.when(F.pmod(way, F.col("n")) < 4 * F.col("size"), F.col("n")).otherwise(0)))).otherwise(F.array(way))
     slot = F.floor(F.col("way") / F.col("size"))
-    buckets = hits.select(*names, "strand", "m", "errors", "size", F.explode(ways).alias("way")).select(*names, "strand", "m", "errors", "size", F.explode(F.array(slot, slot - 1)).alias("bucket"))
-    votes = buckets.groupBy(*names, "strand", "m", "errors", "size", "bucket").agg(F.count("*").alias("votes")).where(F.col("votes") >= F.col("m") - F.col("errors"))
+    told = [*names, "strand", "m", "errors", "size"]
+    # The window of a bucket reaches a slot beyond both of its own. So hits in its lower slot alone are looked at with the bucket before, hits in its upper slot alone with the next one, if that has more.
+    part = F.explode(F.array(*[F.struct((slot - i).alias("bucket"), F.lit(i).alias("part")) for i in range(3)])).alias("p")
+    buckets = hits.select(*told, F.explode(ways).alias("way")).select(*told, part).select(*told, "p.bucket", "p.part").groupBy(*told, "bucket").agg(*[F.count_if(F.col("part") == i).alias(c) for i, c in enumerate(["lower", "upper", "after"])])
+    votes = buckets.where((F.col("lower") + F.col("upper") >= F.col("m") - F.col("errors")) & (F.col("upper") > 0) & ((F.col("lower") > 0) | (F.col("after") == 0))).drop("lower", "upper", "after")
     circle = F.when(F.col("circular"), F.col("n")).otherwise(0).cast("int").alias("circle")
     first = (F.col("bucket") - 1) * F.col("size")
     first = F.when(F.col("circular"), F.pmod(first, F.col("n"))).otherwise(first)
@@ -251,13 +303,17 @@ def alignments(reads: DataFrame, references: DataFrame, margin: float) -> DataFr
     proven = written(proven.where(F.col("plain") & F.col("clean") & (F.col("score") - margin * MATCH * F.col("n") >= limit)).drop("errors", "plain", "clean").withColumn("seeded", F.lit(True)), "mapping-proven")
     rest = turned.join(proven.select(*names), names, "left_anti")
     size = F.length("calls")
-    drift, power = F.ceil(0.75 * size).cast("int"), lambda k: F.greatest(F.lit(1024), F.pow(2, F.ceil(F.log2(k.cast("double")))).cast("int"))
-    # A circle that a window passes whole is one window, in which paths begin within one lap.
+    drift, fall = F.ceil(0.75 * size).cast("int"), F.ceil(3 * size / 7).cast("int")
+    power = lambda k: F.greatest(F.lit(1024), F.pow(2, F.ceil(F.log2(k.cast("double")))).cast("int"))
+    even = lambda k: (F.ceil(k / 32) * 32).cast("int")  # noqa: E731  few different widths, so that many windows share a batch
+    # A circle that a window passes whole is one window, in which paths begin within one lap; so is a line whose diagonals fit.
     lap = F.col("circular") & (power(2 * size) > F.col("n"))
-    tiles = rest.withColumn("width", F.when(lap, power(F.col("n") + 2 * drift)).otherwise(power(2 * size)))
-    begin, end = F.when(lap, F.pmod(-drift, F.col("n"))).when(F.col("circular"), 0).otherwise(-size).cast("long"), F.greatest(F.col("n").cast("long") - 1, -size.cast("long"))
-    first = F.when(lap, F.array(begin)).otherwise(F.sequence(begin, end, (F.col("width") - drift).cast("long")))
-    tiles = tiles.select(*names, "strand", "calls", "width", F.when(lap, drift).otherwise(0).alias("begins"), F.when(lap, drift + F.col("n")).otherwise(F.col("width")).cast("int").alias("ends"), circle, F.explode(first).alias("first"))
+    low, high = -fall.cast("long"), F.greatest(F.col("n") - F.floor(4 * size / 7), -fall).cast("long")
+    line = ~F.col("circular") & (high - low < power(2 * size))
+    tiles = rest.withColumn("width", F.when(lap, even(F.col("n") + drift + fall)).when(line, even(high - low + 1)).otherwise(power(2 * size)))
+    begin, end = F.when(F.col("circular"), F.lit(0).cast("long")).otherwise(low), F.when(F.col("circular"), F.col("n").cast("long") - 1).otherwise(high)
+    first = F.when(lap, F.array(F.pmod(-fall, F.col("n")).cast("long"))).when(line, F.array(low)).otherwise(F.sequence(begin, end, (F.col("width") - drift).cast("long")))
+    tiles = tiles.select(*names, "strand", "calls", "width", F.when(lap, fall).otherwise(0).alias("begins"), F.when(lap, fall + F.col("n")).otherwise(F.col("width")).cast("int").alias("ends"), circle, F.explode(first).alias("first"))
     slow = best_of(written(scored(stretches(tiles, chunks)), "mapping-scored-all")).withColumn("seeded", F.lit(False))
     return proven.unionByName(slow.select(proven.columns))
 

@@ -262,6 +262,18 @@ def test_seeds_prove_clean_reads_on_long_references(spark):
     assert (r.place, r.path, r.seeded) == (len(ref) - 150, "m" * 400, True)
 
 
+def test_whole_reads_of_short_circles(spark):
+    """A read of a whole circle has no rival in its own copy a lap away, whether seeds prove it or all of the circle is looked at."""
+    cases = {k: bases(n, 70 + k) for k, n in enumerate([112, 131, 240])}
+    texts = {(k, r): x for k, ref in cases.items() for r, x in enumerate([ref, ref[:31] + "GATTACA" + ref[31:]])}
+    reads = spark.createDataFrame([(k, r, x, None) for (k, r), x in texts.items()], "construct int, read int, calls string, quality array<int>")
+    refs = spark.createDataFrame([(k, ref, "circular") for k, ref in cases.items()], "construct int, seq string, topology string")
+    got = {(r.construct, r.read): r for r in constructs.map_reads(reads, refs).collect()}
+    assert {r.status for r in got.values()} == {"mapped"}
+    for r in range(2):
+        assert (got[0, r].status, got[0, r].strand) == slow_mapping(texts[0, r], cases[0], True)[:2]
+
+
 def slow_left(kind, start, allele, ref, circular):
     """One place at a time, to the left; the smallest place that fits."""
     seen, n = [(start, allele)], len(ref)
