@@ -164,10 +164,10 @@ def map_reads(reads: DataFrame, references: DataFrame, thresholds: Thresholds =
     t = thresholds
     names = ["construct", "read"]
     refs = references.select("construct", F.upper(F.coalesce("seq", F.lit(""))).alias("seq"), F.coalesce(F.col("topology") == "circular", F.lit(False)).alias("circular"))
-    known = written(prepared(reads, t).join(refs.select("construct"), "construct", "left_semi"), "constructs-reads")
+    known = written(prepared(reads, t).join(refs.select("construct").hint("merge"), "construct", "left_semi"), "constructs-reads")
     asked = known.where(F.length("calls") >= max(1, t.min_length))
     found = mapping.alignments(asked, refs.where(F.length("seq") > 0), t.min_margin)
-    rows = written(statuses(known.join(found, names, "left"), t), "constructs-mapped")
+    rows = written(statuses(known.join(found.hint("merge"), names, "left"), t), "constructs-mapped")
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,14 +191,14 @@ def map_reads(reads: DataFrame, references: DataFrame, thresholds: Thresholds =
     indels = each.where("type <> 'substitution'").withColumn("allele", allele)
     moved = mapping.leftmost(indels, refs.select("construct", "seq"))
     own = F.col("type") == "insertion"
-    indels = indels.join(moved, ["construct", "type", "start", "allele"]).select(
+    indels = indels.join(moved.hint("merge"), ["construct", "type", "start", "allele"]).select(
         *names, "ord", "type", F.col("to_start").alias("start"), F.when(own, F.col("to_start")).otherwise(F.col("to_start") + F.length("allele")).alias("end"),
         F.when(own, "").otherwise(F.col("to_allele")).alias("ref"), F.when(own, F.col("to_allele")).otherwise("").alias("alt"), "q")
     change = ["type", "start", "end", "ref", "alt"]
     once = each.where("type = 'substitution'").select(*names, "ord", *change, "q").unionByName(indels).groupBy(*names, *change).agg(F.min_by("q", "ord").alias("q"), F.min("ord").alias("ord"))
     listed = once.groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", *change, "q"))), lambda x: F.struct(*[x[c].alias(c) for c in [*change, "q"]])).alias("variants"))
     none = lambda kind: F.array().cast(kind)
-    out = rows.join(shown.select(*names, "columns"), names, "left").join(listed, names, "left")
+    out = rows.join(shown.select(*names, "columns").hint("merge"), names, "left").join(listed.hint("merge"), names, "left")
     return out.select(*names, "status", "strand", "trim_start", "trim_end", "identity", F.coalesce("columns", none(COLUMN)).alias("columns"), F.coalesce("variants", none(VARIANT)).alias("variants"))
 
 
@@ -216,11 +216,11 @@ def observed(reads: DataFrame, called: DataFrame, lengths: DataFrame, t: Thresho
     each = reads.where("status = 'mapped'").select("construct", "read", F.explode("variants").alias("v")).select("construct", "read", "v.*")
     kinds = each.select("construct", "type", "start", "end", "ref", "alt").distinct()
     spans = span_reads(kinds, called, lengths, t)
-    s = each.join(spans.select("construct", "type", "start", "end", "ref", "alt", "read", "least"), ["construct", "type", "start", "end", "ref", "alt", "read"])
+    s = each.join(spans.select("construct", "type", "start", "end", "ref", "alt", "read", "least").hint("merge"), ["construct", "type", "start", "end", "ref", "alt", "read"])
     key = ["construct", "type", "start", "end", "ref", "alt"]
     total = spans.groupBy(*key).agg(F.count("*").alias("depth"), F.sum(weight(F.col("least"))).alias("w"), F.count_if(F.col("least") >= t.min_quality).alias("high_depth"))
     own = s.groupBy(*key).agg(F.count("*").alias("support"), F.sum(weight(F.col("q"))).alias("sw"), F.avg("q").alias("mean_q"), F.bool_or(F.coalesce(F.col("least") >= t.min_quality, F.lit(False))).alias("high"), F.array_sort(F.collect_set("read")).alias("reads"))
-    j = kinds.join(total, key, "left").join(own, key, "left").fillna(0, ["depth", "support", "high_depth"]).withColumn("fraction", F.coalesce(F.least(F.lit(1.0), F.col("sw") / F.col("w")), F.lit(0.0)))
+    j = kinds.join(total.hint("merge"), key, "left").join(own.hint("merge"), key, "left").fillna(0, ["depth", "support", "high_depth"]).withColumn("fraction", F.coalesce(F.least(F.lit(1.0), F.col("sw") / F.col("w")), F.lit(0.0)))
     sure = (F.col("fraction") >= t.min_fraction) & (F.col("mean_q") >= t.min_quality) & F.col("high")
     return j.select(*key, "support", "depth", "high_depth", "fraction", "mean_q", F.when(sure, "high").otherwise("low").alias("confidence"), "reads")
 
@@ -231,8 +231,8 @@ def span_reads(kinds: DataFrame, called: DataFrame, lengths: DataFrame, t: Thres
     before = F.when(F.col("circular"), F.array_distinct(F.array(F.pmod(F.col("start") - 1, n), F.pmod(F.col("start"), n)))).when(F.col("start") == 0, F.array(F.lit(0))).when(F.col("start") == n, F.array(n - 1)).otherwise(F.array(F.col("start") - 1, F.col("start")))
     places = F.when(F.col("type") == "insertion", before).otherwise(F.sequence(F.col("start"), F.col("end") - 1))
     key = ["construct", "type", "start", "end", "ref", "alt"]
-    p = kinds.join(lengths, "construct").withColumn("places", places).select(*key, F.size("places").alias("want"), F.explode("places").alias("pos"))
-    g = p.join(called, ["construct", "pos"]).groupBy(*key, "want", "read").agg(F.count("*").alias("have"), F.min("q").alias("low"), F.count("q").alias("known"))
+    p = kinds.join(lengths.hint("merge"), "construct").withColumn("places", places).select(*key, F.size("places").alias("want"), F.explode("places").alias("pos"))
+    g = p.join(called.hint("merge"), ["construct", "pos"]).groupBy(*key, "want", "read").agg(F.count("*").alias("have"), F.min("q").alias("low"), F.count("q").alias("known"))
     return g.where("have = want").withColumn("least", F.when(F.col("known") == F.col("want"), F.col("low")))
 
 
@@ -244,7 +244,7 @@ def consensus(called: DataFrame, bases: DataFrame, seen: DataFrame, t: Threshold
     w = called.groupBy("construct", "pos", "allele").agg(F.sum(weight(F.col("q"))).alias("w"), F.count("*").alias("k"), F.count_if(F.col("strand") == 1).alias("f"))
     order = F.when(F.col("allele") == "-", "Z").otherwise(F.col("allele"))
     g = w.groupBy("construct", "pos").agg(F.sum("w").alias("total"), F.sum("k").alias("depth"), F.sum("f").alias("forward"), F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("m"), order.alias("o"), "allele"))).alias("a"))
-    p = bases.join(g, ["construct", "pos"], "left").fillna(0, ["depth", "forward"])
+    p = bases.join(g.hint("merge"), ["construct", "pos"], "left").fillna(0, ["depth", "forward"])
     lead = F.col("a")[0]
     share = F.coalesce(-lead["m"] / F.col("total"), F.lit(0.0))
     tie = (F.size("a") > 1) & (F.try_element_at("a", F.lit(2))["m"] == lead["m"])
@@ -252,7 +252,7 @@ def consensus(called: DataFrame, bases: DataFrame, seen: DataFrame, t: Threshold
     alike = F.coalesce(F.try_element_at(mask, F.col("base")).contains(lead["allele"]), F.lit(False))
     sure = seen.where(F.col("confidence") == "high").where(F.col("fraction") >= t.min_consensus)
     edits = sure.where("type = 'substitution'").select("construct", F.col("start").alias("pos"), F.col("alt").alias("edit")).unionByName(sure.where("type = 'deletion'").select("construct", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"), F.lit("-").alias("edit"))).distinct().groupBy("construct", "pos").agg(F.collect_set("edit").alias("edits"))
-    p = p.join(edits, ["construct", "pos"], "left").withColumn("lead", lead["allele"])
+    p = p.join(edits.hint("merge"), ["construct", "pos"], "left").withColumn("lead", lead["allele"])
     backed = F.coalesce(F.array_contains("edits", F.col("lead")), F.lit(False))
     status = F.when(F.col("depth") == 0, "uncovered").when(tie | (share < t.min_consensus), "conflict").when(alike, "reference").when(backed, "variant").otherwise("conflict")
     contested = (F.col("depth") > 0) & (tie | (share < t.min_consensus))
@@ -263,7 +263,7 @@ def region_status(positions: DataFrame, regions: DataFrame) -> DataFrame:
     """construct, region, covered, met, both, length, least, status of required regions (construct, region, start, end, min_depth, both_strands; end before start passes the origin) over consensus positions."""
     n = positions.groupBy("construct").agg(F.max("pos").alias("last"))
     places = F.when(F.col("end") > F.col("start"), F.sequence(F.col("start"), F.col("end") - 1)).otherwise(F.concat(F.sequence(F.col("start"), F.col("last")), F.when(F.col("end") > 0, F.sequence(F.lit(0), F.col("end") - 1)).otherwise(F.array().cast("array<int>"))))
-    r = regions.join(n, "construct").withColumn("pos", F.explode(places)).join(positions.select("construct", "pos", "depth", "forward", "reverse"), ["construct", "pos"])
+    r = regions.join(n.hint("merge"), "construct").withColumn("pos", F.explode(places)).join(positions.select("construct", "pos", "depth", "forward", "reverse").hint("merge"), ["construct", "pos"])
     g = r.groupBy("construct", "region", "min_depth", "both_strands").agg(F.count("*").alias("length"), F.count_if(F.col("depth") > 0).alias("covered"), F.count_if(F.col("depth") >= F.col("min_depth")).alias("met"), F.count_if((F.col("forward") > 0) & (F.col("reverse") > 0)).alias("both"), F.min("depth").alias("least"))
     status = F.when(F.col("covered") < F.col("length"), "uncovered").when(F.col("met") < F.col("length"), "low_depth").when(F.col("both_strands") & (F.col("both") < F.col("length")), "missing_strand").otherwise("covered")
     return g.select("construct", "region", "length", "covered", "met", "both", "least", status.alias("status"))
@@ -273,7 +273,7 @@ def expected_status(expected: DataFrame, seen: DataFrame, called: DataFrame, len
     """Expected variants (construct, id, type, start, end, ref, alt) with status: observed, low_confidence, not_observed, not_covered."""
     key = ["construct", "type", "start", "end", "ref", "alt"]
     deep = span_reads(expected.select(*key), called, lengths, t).groupBy(*key).agg(F.count_if(F.col("least") >= t.min_quality).alias("depth"))
-    j = expected.join(seen.select(*key, "confidence"), key, "left").join(deep, key, "left").fillna(0, ["depth"])
+    j = expected.join(seen.select(*key, "confidence").hint("merge"), key, "left").join(deep.hint("merge"), key, "left").fillna(0, ["depth"])
     return j.withColumn("status", F.when(F.col("confidence") == "high", "observed").when(F.col("confidence") == "low", "low_confidence").when(F.col("depth") == 0, "not_covered").otherwise("not_observed")).drop("confidence")
 
 
@@ -291,7 +291,7 @@ def verified(reads: DataFrame, references: DataFrame, expected: DataFrame | None
     seen = observed(m, called, lengths, t)
     key = ["construct", "type", "start", "end", "ref", "alt"]
     wanted = expected.select(*key, F.lit(True).alias("wanted")) if expected is not None else None
-    seen = written(seen.join(wanted, key, "left") if wanted is not None else seen.withColumn("wanted", F.lit(None).cast("boolean")), "constructs-variants")
+    seen = written(seen.join(wanted.hint("merge"), key, "left") if wanted is not None else seen.withColumn("wanted", F.lit(None).cast("boolean")), "constructs-variants")
     bases = references.select("construct", F.posexplode(F.split(F.upper("seq"), "")).alias("pos", "base")).where("base <> ''")
     spots = written(consensus(called, bases, seen, t), "constructs-positions")
     says = lambda bad, name: F.when(bad, name)
@@ -305,17 +305,17 @@ def verified(reads: DataFrame, references: DataFrame, expected: DataFrame | None
     shown = per_place.groupBy("construct").agg(
         F.array_sort(F.flatten(F.collect_list("v"))).alias("variants"), F.map_from_entries(F.collect_list(F.when(F.col("k") == 1, F.struct("start", "added")))).alias("added"),
         F.sum("low").alias("low"), F.sum("odd").alias("odd"), F.count_if(F.col("k") > 1).alias("rivals"))
-    out = references.select("construct").join(by_read, "construct", "left").join(bare, "construct", "left").join(cover, "construct", "left").join(shown, "construct", "left").join(lengths, "construct")
+    out = references.select("construct").join(by_read.hint("merge"), "construct", "left").join(bare.hint("merge"), "construct", "left").join(cover.hint("merge"), "construct", "left").join(shown.hint("merge"), "construct", "left").join(lengths.hint("merge"), "construct")
     out = out.fillna(0, ["reads", "usable", "low", "odd", "rivals", "conflicts"])
     none = F.array().cast("array<string>")
     why = [F.coalesce("r1", none), F.coalesce("r2", none), F.array(says(F.col("usable") == 0, "no_usable_reads"), says(F.col("coverage") < t.min_coverage, "partial_reference_coverage"), says((F.col("conflicts") > 0) | (F.col("rivals") > 0), "conflicting_consensus"), says(F.col("low") > 0, "low_confidence_variant"), says(F.col("odd") > 0, "unexpected_variant"))]
     if expected is not None:
         state_of = expected_status(expected, seen, called, lengths, t).groupBy("construct").agg(F.collect_set(F.when(F.col("status").isin("not_covered", "not_observed"), F.concat(F.lit("expected_variant_"), "status"))).alias("r3"))
-        out = out.join(state_of, "construct", "left")
+        out = out.join(state_of.hint("merge"), "construct", "left")
         why.append(F.coalesce("r3", none))
     if regions is not None:
         r = region_status(spots, regions).groupBy("construct").agg(F.collect_set(F.when(F.col("status") != "covered", F.concat(F.lit("required_region_"), "status"))).alias("r4"))
-        out = out.join(r, "construct", "left")
+        out = out.join(r.hint("merge"), "construct", "left")
         why.append(F.coalesce("r4", none))
     letters = F.split(F.col("calls"), "")
     put = lambda i: F.coalesce(F.try_element_at("added", i), F.lit(""))

@@ -10,7 +10,8 @@
    reads are aligned to all of their reference, in windows of diagonals that overlap by more than any alignment with a positive score can drift: with a bases alone and d of the
    reference alone it scores 3 (n - a) - 4 a - 4 d at most, so a < 3 n / 7 and d < 3 n / 4, and no base of it lies beyond the ends.
 
-So results are those of the full matrix wherever a score is above nothing, while clean reads never meet more than a few hundred diagonals. Rows of one construct are joined by word, chunk or read, never gathered.
+So results are those of the full matrix wherever a score is above nothing, while clean reads never meet more than a few hundred diagonals. Rows of one construct are joined by word, chunk or read, never gathered;
+both sides of a join grow with the reads and pack well, so joins ask for a merge: a small file would else be a large broadcast.
 """
 
 from __future__ import annotations
@@ -242,9 +243,9 @@ def stretches(windows: DataFrame, chunks: DataFrame) -> DataFrame:
     work = w.agg(F.sum(F.col("width") * F.length("calls").cast("double"))).first()[0] or 0.0  # one number: cells to fill, by which the windows are dealt
     begin = F.greatest(F.col("first"), F.lit(0))
     parts = w.select("window", "construct", "first", begin.alias("begin"), F.explode(F.sequence(F.floor(begin / CHUNK), F.floor((F.greatest(F.col("first") + size, begin + 1) - 1) / CHUNK))).alias("chunk"))
-    pieces = parts.join(chunks, ["construct", "chunk"]).groupBy("window").agg(F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("p"), F.first("begin").alias("begin"))
+    pieces = parts.join(chunks.hint("merge"), ["construct", "chunk"]).groupBy("window").agg(F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("p"), F.first("begin").alias("begin"))
     text = F.array_join(F.transform("p", lambda p: p["text"]), "").substr((F.col("begin") - F.col("p")[0]["chunk"] * CHUNK + 1).cast("int"), F.lit(2**30))
-    return w.join(pieces.select("window", text.alias("text")), "window", "left").withColumn("text", F.coalesce(F.substring("text", F.lit(1), (size - F.col("lead")).cast("int")), F.lit(""))).repartition(1 + int(work / TASK), "window").drop("window")
+    return w.join(pieces.select("window", text.alias("text")).hint("merge"), "window", "left").withColumn("text", F.coalesce(F.substring("text", F.lit(1), (size - F.col("lead")).cast("int")), F.lit(""))).repartition(1 + int(work / TASK), "window").drop("window")
 
 
 def best_of(rows: DataFrame) -> DataFrame:
@@ -252,8 +253,8 @@ def best_of(rows: DataFrame) -> DataFrame:
     own = F.struct("score", "strand", (-F.col("place")).alias("back"), "path", "segment", "second", "n", "circle", "place")
     best = rows.groupBy("construct", "read").agg(F.max(own).alias("b"))
     same = (F.col("strand") == F.col("b.strand")) & (F.col("place") == F.col("b.place")) & (F.col("path") == F.col("b.path"))
-    other = rows.join(best, ["construct", "read"]).groupBy("construct", "read").agg(F.max(F.when(same, F.col("second")).otherwise(F.col("score"))).alias("other"))
-    return best.join(other, ["construct", "read"]).select("construct", "read", "b.strand", "b.place", "b.path", "b.segment", "b.n", "b.circle", "b.score", F.col("other").alias("second"))
+    other = rows.join(best.hint("merge"), ["construct", "read"]).groupBy("construct", "read").agg(F.max(F.when(same, F.col("second")).otherwise(F.col("score"))).alias("other"))
+    return best.join(other.hint("merge"), ["construct", "read"]).select("construct", "read", "b.strand", "b.place", "b.path", "b.segment", "b.n", "b.circle", "b.score", F.col("other").alias("second"))
 
 
 def alignments(reads: DataFrame, references: DataFrame, margin: float) -> DataFrame:
@@ -271,19 +272,19 @@ def alignments(reads: DataFrame, references: DataFrame, margin: float) -> DataFr
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("text") - 1) / CHUNK)))
     chunks = written(refs.select("construct", "text", chunk.alias("chunk")).select("construct", "chunk", F.col("text").substr((F.col("chunk") * CHUNK + 1).cast("int"), F.lit(CHUNK)).alias("text")), "mapping-chunks")
     both = F.explode(F.array(F.struct(F.lit(1).alias("strand"), F.col("calls").alias("calls")), F.struct(F.lit(-1).alias("strand"), S.reverse_complement(F.col("calls")).alias("calls"))))
-    turned = written(reads.join(refs.select("construct", "n", "plain", "circular"), "construct").select(*names, "n", "plain", "circular", both.alias("b")).select(*names, "n", "plain", "circular", "b.strand", "b.calls"), "mapping-turned")
+    turned = written(reads.join(refs.select("construct", "n", "plain", "circular").hint("merge"), "construct").select(*names, "n", "plain", "circular", both.alias("b")).select(*names, "n", "plain", "circular", "b.strand", "b.calls"), "mapping-turned")
     looped = F.when(F.col("circular"), F.left("text", F.col("n") + WORD - 1)).otherwise(F.col("text"))
     places = written(word_places(refs.select("construct", looped.alias("looped")), ["construct"], "looped", 1), "mapping-words")
     often = written(places.groupBy("construct", "word").agg(F.count("*").alias("k")).where(F.col("k") > MOST_PLACES).select("construct", "word"), "mapping-often")
     seeds = written(word_places(turned, [*names, "strand"], "calls", WORD).withColumnRenamed("place", "offset"), "mapping-seeds")
-    lost = seeds.join(often, ["construct", "word"]).groupBy(*names, "strand").agg(F.count("*").alias("lost"))
-    usable = seeds.groupBy(*names, "strand").agg(F.count("*").alias("m")).join(lost, [*names, "strand"], "left").select(*names, "strand", (F.col("m") - F.coalesce("lost", F.lit(0))).alias("m"))
+    lost = seeds.join(often.hint("merge"), ["construct", "word"]).groupBy(*names, "strand").agg(F.count("*").alias("lost"))
+    usable = seeds.groupBy(*names, "strand").agg(F.count("*").alias("m")).join(lost.hint("merge"), [*names, "strand"], "left").select(*names, "strand", (F.col("m") - F.coalesce("lost", F.lit(0))).alias("m"))
     # Both strands give one bound: the weaker one.
     bound = usable.groupBy(*names).agg(F.min("m").alias("m"), F.count("*").alias("strands")).withColumn("errors", F.when((F.col("strands") == 2) & (F.col("m") >= 2), F.floor(F.col("m") * 0.75).cast("int")))
     power = F.pow(2, F.ceil(F.log2(F.col("errors").cast("double"))))
     bound = bound.where("errors IS NOT NULL").withColumn("bucket", F.greatest(F.lit(BUCKET), F.when(F.col("errors") <= 0.75 * power, 0.75 * power).otherwise(power)).cast("int"))  # few sizes, so that windows share a batch
     bound = written(bound.select(*names, "m", "errors", F.col("bucket").alias("size")), "mapping-bounds")
-    hits = seeds.join(bound, names).join(places.join(often, ["construct", "word"], "left_anti"), ["construct", "word"]).join(refs.select("construct", "n", "circular"), "construct")
+    hits = seeds.join(bound.hint("merge"), names).join(places.join(often, ["construct", "word"], "left_anti").hint("merge"), ["construct", "word"]).join(refs.select("construct", "n", "circular").hint("merge"), "construct")
     way = F.col("place") - F.col("offset")
     ways = F.when(F.col("circular"), F.array_distinct(F.array(F.pmod(way, F.col("n")), F.pmod(way, F.col("n")) + F.when(F.pmod(way, F.col("n")) < 4 * F.col("size"), F.col("n")).otherwise(0)))).otherwise(F.array(way))
     slot = F.floor(F.col("way") / F.col("size"))
@@ -296,12 +297,12 @@ def alignments(reads: DataFrame, references: DataFrame, margin: float) -> DataFr
     first = (F.col("bucket") - 1) * F.col("size")
     first = F.when(F.col("circular"), F.pmod(first, F.col("n"))).otherwise(first)
     wide = 4 * F.col("size")
-    near = votes.select(*names, "strand", "bucket", "size").join(turned, [*names, "strand"]).where((F.col("n") >= wide) | ~F.col("circular")).select(*names, "strand", "calls", first.alias("first"), wide.alias("width"), F.lit(0).alias("begins"), wide.alias("ends"), circle)
+    near = votes.select(*names, "strand", "bucket", "size").join(turned.hint("merge"), [*names, "strand"]).where((F.col("n") >= wide) | ~F.col("circular")).select(*names, "strand", "calls", first.alias("first"), wide.alias("width"), F.lit(0).alias("begins"), wide.alias("ends"), circle)
     quick = best_of(written(scored(stretches(near, chunks)), "mapping-scored"))
     limit = MATCH * F.col("n") - 4 * F.col("errors")
-    proven = quick.join(bound.select(*names, "errors"), names).join(refs.select("construct", "plain"), "construct").join(reads.select(*names, (~F.col("calls").rlike("[^ACGT]")).alias("clean")), names)
+    proven = quick.join(bound.select(*names, "errors").hint("merge"), names).join(refs.select("construct", "plain").hint("merge"), "construct").join(reads.select(*names, (~F.col("calls").rlike("[^ACGT]")).alias("clean")).hint("merge"), names)
     proven = written(proven.where(F.col("plain") & F.col("clean") & (F.col("score") - margin * MATCH * F.col("n") >= limit)).drop("errors", "plain", "clean").withColumn("seeded", F.lit(True)), "mapping-proven")
-    rest = turned.join(proven.select(*names), names, "left_anti")
+    rest = turned.join(proven.select(*names).hint("merge"), names, "left_anti")
     size = F.length("calls")
     drift, fall = F.ceil(0.75 * size).cast("int"), F.ceil(3 * size / 7).cast("int")
     power = lambda k: F.greatest(F.lit(1024), F.pow(2, F.ceil(F.log2(k.cast("double")))).cast("int"))
@@ -345,7 +346,7 @@ def leftmost(indels: DataFrame, references: DataFrame, size: int = CHUNK) -> Dat
     open_, done = indels.select(*key).distinct().withColumn("moved", F.lit(0).cast("long")), None
     while True:
         at = F.floor((F.col("start") - F.col("moved") - 1) / size)
-        looked = written(open_.where("start > moved").withColumn("chunk", at).join(chunks, ["construct", "chunk"]).mapInArrow(run, f"{kinds}, moved long, more boolean"), "leftmost")
+        looked = written(open_.where("start > moved").withColumn("chunk", at).join(chunks.hint("merge"), ["construct", "chunk"]).mapInArrow(run, f"{kinds}, moved long, more boolean"), "leftmost")
         still = open_.where("start <= moved").select(*key, "moved")
         ended = looked.where("NOT more").select(*key, "moved").unionByName(still)
         done = ended if done is None else done.unionByName(ended)
@@ -355,7 +356,7 @@ def leftmost(indels: DataFrame, references: DataFrame, size: int = CHUNK) -> Dat
     size_ = F.length("allele")
     fits = (F.col("type") == "insertion") | (F.col("start") - F.col("moved") + size_ <= F.col("n"))
     turn = F.when(fits, F.col("moved")).otherwise(0)
-    r = done.join(lengths, "construct").withColumn("moved", turn)
+    r = done.join(lengths.hint("merge"), "construct").withColumn("moved", turn)
     cut = (size_ - F.pmod(F.col("moved"), size_)).cast("int")
     rotated: Column = F.concat(F.col("allele").substr(cut + 1, size_), F.col("allele").substr(F.lit(1), cut))
     return r.select(*key, (F.col("start") - F.col("moved")).cast("int").alias("to_start"), rotated.alias("to_allele"))

@@ -274,6 +274,14 @@ def test_whole_reads_of_short_circles(spark):
         assert (got[0, r].status, got[0, r].strand) == slow_mapping(texts[0, r], cases[0], True)[:2]
 
 
+def test_no_table_of_a_verification_is_a_broadcast(spark):
+    ref = bases(300, 8)
+    reads = spark.createDataFrame([(1, 1, ref, [40] * 300)], "construct int, read int, calls string, quality array<int>")
+    refs = spark.createDataFrame([(1, ref, "linear")], "construct int, seq string, topology string")
+    for df in (constructs.map_reads(reads, refs), constructs.verified(reads, refs)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def slow_left(kind, start, allele, ref, circular):
     """One place at a time, to the left; the smallest place that fits."""
     seen, n = [(start, allele)], len(ref)
