@@ -244,20 +244,20 @@ def appended(collection: DataFrame, new: DataFrame, edges: DataFrame | None = No
     round; what cannot leave is refused.
     """
     twice = new.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
-    there = new.select("id").join(collection.select("id"), "id", "left_semi").distinct()
+    there = new.select("id").join(collection.select("id").hint("merge"), "id", "left_semi").distinct()
     issues = twice.unionByName(there).distinct().withColumn("issue", F.lit("duplicate_id"))
     if edges is not None:
-        ids = new.select("id").distinct().join(there, "id", "left_anti")
-        own = edges.select("id", "needs").distinct().join(ids, "id", "left_semi").join(collection.select(F.col("id").alias("needs")), "needs", "left_anti")
-        dangling = own.join(ids.select(F.col("id").alias("needs")), "needs", "left_anti").select("id").distinct()
-        inner = written(own.join(ids.select(F.col("id").alias("needs")), "needs", "left_semi").select(F.col("id").alias("node"), F.col("needs").alias("next")), "appended-edges")
-        stuck = written(dangling.unionByName(twice.join(ids, "id", "left_semi")).distinct(), "appended-stuck")
+        ids = new.select("id").distinct().join(there.hint("merge"), "id", "left_anti")
+        own = edges.select("id", "needs").distinct().join(ids.hint("merge"), "id", "left_semi").join(collection.select(F.col("id").alias("needs")).hint("merge"), "needs", "left_anti")
+        dangling = own.join(ids.select(F.col("id").alias("needs")).hint("merge"), "needs", "left_anti").select("id").distinct()
+        inner = written(own.join(ids.select(F.col("id").alias("needs")).hint("merge"), "needs", "left_semi").select(F.col("id").alias("node"), F.col("needs").alias("next")), "appended-edges")
+        stuck = written(dangling.unionByName(twice.join(ids.hint("merge"), "id", "left_semi")).distinct(), "appended-stuck")
         refused = unpeeled(inner.unionByName(stuck.select(F.col("id").alias("node"), F.col("id").alias("next")))).select(F.col("node").alias("id")).distinct()
         circles = unpeeled(unpeeled(inner).select(F.col("next").alias("node"), F.col("node").alias("next"))).select(F.col("node").alias("id")).distinct()
         named = issues.unionByName(dangling.withColumn("issue", F.lit("missing_dependency"))).unionByName(circles.withColumn("issue", F.lit("cyclic")))
         issues = written(named, "appended-issues")
-        issues = issues.unionByName(refused.join(issues, "id", "left_anti").withColumn("issue", F.lit("refused_dependency")))
-    return collection.unionByName(new.join(issues, "id", "left_anti")), issues
+        issues = issues.unionByName(refused.join(issues.hint("merge"), "id", "left_anti").withColumn("issue", F.lit("refused_dependency")))
+    return collection.unionByName(new.join(issues.hint("merge"), "id", "left_anti")), issues
 
 
 def removed(collection: DataFrame, edges: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -266,12 +266,12 @@ def removed(collection: DataFrame, edges: DataFrame, asked: DataFrame) -> tuple[
     A plain removal refuses what others need: `required` if a row that stays needs it, over any number of steps, or if it is on a circle with others asked for; `unknown_id` if it is not there. edges: id, needs.
     """
     asked = asked.select("id").distinct()
-    unknown = asked.join(collection.select("id"), "id", "left_anti").withColumn("issue", F.lit("unknown_id"))
-    own = written(edges.select(F.col("needs").alias("node"), F.col("id").alias("next")).distinct().join(asked.select(F.col("id").alias("node")), "node", "left_semi"), "removed-edges")
-    held = own.join(asked.select(F.col("id").alias("next")), "next", "left_anti").select("node").distinct()
-    inner = own.join(asked.select(F.col("id").alias("next")), "next", "left_semi").select("node", "next")
+    unknown = asked.join(collection.select("id").hint("merge"), "id", "left_anti").withColumn("issue", F.lit("unknown_id"))
+    own = written(edges.select(F.col("needs").alias("node"), F.col("id").alias("next")).distinct().join(asked.select(F.col("id").alias("node")).hint("merge"), "node", "left_semi"), "removed-edges")
+    held = own.join(asked.select(F.col("id").alias("next")).hint("merge"), "next", "left_anti").select("node").distinct()
+    inner = own.join(asked.select(F.col("id").alias("next")).hint("merge"), "next", "left_semi").select("node", "next")
     required = unpeeled(inner.unionByName(held.select("node", F.col("node").alias("next")))).select(F.col("node").alias("id")).distinct().withColumn("issue", F.lit("required"))
-    return collection.join(asked.join(required, "id", "left_anti"), "id", "left_anti"), unknown.unionByName(required)
+    return collection.join(asked.join(required, "id", "left_anti").hint("merge"), "id", "left_anti"), unknown.unionByName(required)
 
 
 def cascaded(collection: DataFrame, edges: DataFrame, asked: DataFrame, uses: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:

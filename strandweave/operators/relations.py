@@ -62,12 +62,12 @@ def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
 def unpeeled(edges: DataFrame) -> DataFrame:
     """The edges (node, next) that stay when edges into nodes without an edge of their own are taken away, round by round, until none is left.
 
-    What stays leads into a circle; a loop (node, node) keeps a node from ever being free. A round is one semi-join, written to the shared folder; rounds are as many as the longest way that ends.
+    What stays leads into a circle; a loop (node, node) keeps a node from ever being free. A round is one semi-join (a merge: ids pack well, so a file that looks small would be a large broadcast), written to the shared folder; rounds are as many as the longest way that ends.
     """
     left = written(edges.select("node", "next").distinct(), "unpeeled")
     size = left.count()
     while size:
-        left = written(left.join(left.select(F.col("node").alias("next")).distinct(), "next", "left_semi").select("node", "next"), "unpeeled")
+        left = written(left.join(left.select(F.col("node").alias("next")).distinct().hint("merge"), "next", "left_semi").select("node", "next"), "unpeeled")
         before, size = size, left.count()
         if size == before:
             break

@@ -424,3 +424,12 @@ def test_overlaps_against_slices(spark):
         maybe = not set(a + b) <= set("ACGT") and any(all(sets[x] & sets[y] for x, y in zip(a[-k:], b[:k], strict=True)) for k in range(8, min(len(a), len(b)) + 1))
         want = "exact" if len(ks) == 1 else "multiple_exact" if ks else "ambiguous_symbols" if maybe else "none"
         assert (r.o.lengths, r.o.length, r.o.unique, r.o.reason) == (ks, ks[0] if ks else None, len(ks) == 1, want)
+
+
+def test_appended_rows_are_no_broadcast(spark):
+    """Ids pack so well that a large table of them looks small: their joins are merges."""
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    out, issues = records.appended(ids(1, 2), ids(2, 3, 4), spark.createDataFrame([(3, 1), (4, 9)], "id long, needs long"))
+    for df in (out, issues):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.id for r in out.collect()} == {1, 2, 3} and {tuple(r) for r in issues.collect()} == {(2, "duplicate_id"), (4, "missing_dependency")}
