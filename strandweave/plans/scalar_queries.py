@@ -25,8 +25,8 @@ def letters(spark, d):
 
 def oligos(spark, d):
     """Every different word of eight letters or more, as bases: short sequences for primer-sized functions."""
-    w = table(spark, d, "documents").where("text IS NOT NULL").select(F.explode(F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " ")).alias("w"))
-    return w.where(F.length("w") >= 8).select(F.translate(F.upper("w"), S.LETTERS, S.CYCLE).alias("seq")).distinct()
+    w = table(spark, d, "documents").where("text IS NOT NULL").select(F.explode_outer(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0))).alias("w"))
+    return w.where("w IS NOT NULL").distinct().select(F.translate(F.upper("w"), S.LETTERS, S.CYCLE).alias("seq")).distinct()
 
 
 def n_sql(s: str, x: str) -> str:
