@@ -32,7 +32,8 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def cut(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Batches of about MOST_BYTES of the column (one row at least), rows with a null in it left out."""
     for b in batches:
-        b = b.filter(pc.is_valid(b.column(column)))
+        if b.column(column).null_count:
+            b = b.filter(pc.is_valid(b.column(column)))
         if not b.num_rows:
             continue
         _, off = flat(b.column(column))

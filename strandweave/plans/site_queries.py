@@ -188,7 +188,7 @@ def site_density_bins(spark, d):  # 108
 
 @register("overview_bins", f"""WITH {FRAGMENTS}, x AS (SELECT f.doc_id, unnest(range(start::BIGINT * 32 // n, least(31, ("end"::BIGINT - 1) * 32 // n) + 1)) AS bin FROM (SELECT f.*, good.n FROM fragments f JOIN good USING (doc_id)) f) SELECT doc_id, CAST(bin AS BIGINT) AS bin, count(*) AS n FROM x GROUP BY ALL""")
 def overview_bins(spark, d):  # 107
-    f = fragments(spark, d).join(seqs(spark, d).select("doc_id", F.length("seq").alias("n")), "doc_id")
+    f = restriction.fragments(seqs(spark, d), restriction.catalogue(PANEL), sized=True).where("doc_id IS NOT NULL")
     return intervals.overview_bins(f.select("doc_id", "n", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")), "doc_id", 32)
 
 
