@@ -182,8 +182,8 @@ def site_clusters(spark, d):  # 114
 
 @register("site_density_bins", f"WITH {SITES} SELECT doc_id, CAST(position * 64 // n AS BIGINT) AS bin, count(*) AS n, round(avg(position), 6) AS mean_position FROM sites GROUP BY ALL")
 def site_density_bins(spark, d):  # 108
-    s = sites(spark, d).join(seqs(spark, d).select("doc_id", F.length("seq").alias("len")), "doc_id")
-    return s.groupBy("doc_id", F.floor(F.col("position").cast("long") * 64 / F.col("len")).alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("position"), 6).alias("mean_position"))
+    s = restriction.sites(seqs(spark, d), restriction.catalogue(PANEL), sized=True)
+    return s.groupBy("doc_id", F.floor(F.col("position").cast("long") * 64 / F.col("n")).alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("position"), 6).alias("mean_position"))
 
 
 @register("overview_bins", f"""WITH {FRAGMENTS}, x AS (SELECT f.doc_id, unnest(range(start::BIGINT * 32 // n, least(31, ("end"::BIGINT - 1) * 32 // n) + 1)) AS bin FROM (SELECT f.*, good.n FROM fragments f JOIN good USING (doc_id)) f) SELECT doc_id, CAST(bin AS BIGINT) AS bin, count(*) AS n FROM x GROUP BY ALL""")

@@ -64,7 +64,7 @@ def test_words_with_a_line_break(spark, tmp_path):
     assert differences(spark, tmp_path, "recognition_texts", [(0, "GA\nTTC GATTC A\tC\n AC12 \n x\r\ny")]) == (0, 0)
 
 
-@pytest.mark.parametrize("name", ["overview_bins"])
+@pytest.mark.parametrize("name", ["overview_bins", "site_density_bins"])
 def test_bins_read_texts_once(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Join" not in plan
