@@ -433,3 +433,19 @@ def test_appended_rows_are_no_broadcast(spark):
     for df in (out, issues):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert {r.id for r in out.collect()} == {1, 2, 3} and {tuple(r) for r in issues.collect()} == {(2, "duplicate_id"), (4, "missing_dependency")}
+
+
+def test_star_centres_are_chosen_once(spark):
+    rng = random.Random(17)
+    rows = [(g, r, "".join(rng.choices("ACGT", k=rng.randrange(1, 30)))) for g in range(6) for r in range(3 * g)] + [(None, 1, "ACGT"), (None, 2, "AGT")]
+    plan = alignment.star_alignments(spark.createDataFrame(rows, "group long, row long, seq string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_a" not in plan  # no pair is aligned where the rows are put together
+
+
+def test_gaps_of_a_group_are_merged(spark):
+    pairs = [(1, 1, "AC-GT--", "ACCGTAA"), (1, 2, "--ACGT", "TTA-GT"), (1, 3, "ACGT", "AC-T"), (2, 1, "AC", "AC"), (3, 1, "-A-", "CAC")]
+    df = spark.createDataFrame(pairs, "group long, row long, aligned_a string, aligned_b string").withColumn("centre", F.lit(3).cast("long"))
+    runs = alignment.gap_runs(df).groupBy("group", "at").agg(F.max("k").alias("k"))
+    assert {tuple(r) for r in runs.collect()} == {(1, 0, 2), (1, 2, 1), (1, 4, 2), (3, 0, 1), (3, 1, 1)}
+    got = alignment.widened(df.join(runs.groupBy("group").agg(F.collect_list(F.struct("at", "k")).alias("slots")), "group", "left"))
+    assert {(r.group, r.row): r.aligned for r in got.collect()} == {(1, 1): "--ACCGTAA", (1, 2): "TTA--GT--", (1, 3): "--AC--T--", (2, 1): "AC", (3, 1): "CAC"}
