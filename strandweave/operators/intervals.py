@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -75,26 +76,31 @@ def pack_lanes(spans: DataFrame, key: str) -> DataFrame:
     open_ = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     one = one.withColumn("new", F.when(F.col("start") >= F.coalesce(open_, F.col("start")), 1).otherwise(0)).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def run(k: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by([("start", "ascending"), ("end", "descending")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free: list[int] = []
         busy: list[tuple[int, int]] = []
-        top, lanes = 0, []
-        for s, e, n in zip(t.column("start").to_pylist(), t.column("end").to_pylist(), t.column("_n").to_pylist(), strict=True):
-            own = []
-            for _ in range(n):
-                while busy and busy[0][0] <= s:
-                    heapq.heappush(free, heapq.heappop(busy)[1])
-                if not free:
-                    heapq.heappush(free, top)
-                    top += 1
-                lane = heapq.heappop(free)
-                heapq.heappush(busy, (e, lane))
-                own.append(lane)
-            lanes.append(own)
-        return pa.table({key: t.column(key), "start": t.column("start").cast(pa.int64()), "end": t.column("end").cast(pa.int64()), "lanes": pa.array(lanes, pa.list_(pa.int32()))})
-
-    lanes = one.select(key, "island", "start", "end", "_n").groupBy(key, "island").applyInArrow(run, f"{key} {kind}, start long, end long, lanes array<int>")
+        top, last = 0, None
+        for t in batches:
+            lanes = []
+            for k, island, s, e, n in zip(*(t.column(c).to_pylist() for c in (key, "island", "start", "end", "_n")), strict=True):
+                if (k, island) != last:
+                    free, busy, top, last = [], [], 0, (k, island)
+                own = []
+                for _ in range(n):
+                    while busy and busy[0][0] <= s:  # an empty span leaves its lane at once
+                        heapq.heappush(free, heapq.heappop(busy)[1])
+                    if not free:
+                        heapq.heappush(free, top)
+                        top += 1
+                    lane = heapq.heappop(free)
+                    heapq.heappush(busy, (e, lane))
+                    own.append(lane)
+                lanes.append(own)
+            yield pa.RecordBatch.from_arrays([t.column(key), t.column("start").cast(pa.int64()), t.column("end").cast(pa.int64()), pa.array(lanes, pa.list_(pa.int32()))], names=[key, "start", "end", "lanes"])
+
+    # Islands follow one another in a task, so that short ones cost no call of their own.
+    dealt = one.select(key, "island", "start", "end", "_n").repartition(key, "island").sortWithinPartitions(key, "island", "start", F.desc("end"))
+    lanes = dealt.mapInArrow(run, f"{key} {kind}, start long, end long, lanes array<int>")
     place = F.row_number().over(Window.partitionBy(key, "start", "end").orderBy("id"))
     return spans.withColumn("place", place).join(lanes, [key, "start", "end"]).select(key, "id", F.element_at("lanes", F.col("place")).alias("lane"))
 

@@ -449,3 +449,11 @@ def test_gaps_of_a_group_are_merged(spark):
     assert {tuple(r) for r in runs.collect()} == {(1, 0, 2), (1, 2, 1), (1, 4, 2), (3, 0, 1), (3, 1, 1)}
     got = alignment.widened(df.join(runs.groupBy("group").agg(F.collect_list(F.struct("at", "k")).alias("slots")), "group", "left"))
     assert {(r.group, r.row): r.aligned for r in got.collect()} == {(1, 1): "--ACCGTAA", (1, 2): "TTA--GT--", (1, 3): "--AC--T--", (2, 1): "AC", (3, 1): "CAC"}
+
+
+def test_lanes_of_many_short_islands(spark):
+    spans = [(k, 10 * i + j, 10 * i, 10 * i + 3 + j) for k in range(3) for i in range(40) for j in range(3)] + [(9, i, 5, 5 + i % 2) for i in range(5)]
+    lanes = intervals.pack_lanes(spark.createDataFrame(spans, "k long, id long, start long, end long"), "k")
+    assert "FlatMapGroups" not in lanes._jdf.queryExecution().optimizedPlan().toString()  # a call for every island
+    got = {(r.k, r.id): r.lane for r in lanes.collect()}
+    assert len(got) == len(spans) and all(got[k, 10 * i + j] == 2 - j for k in range(3) for i in range(40) for j in range(3))
