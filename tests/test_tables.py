@@ -457,3 +457,10 @@ def test_lanes_of_many_short_islands(spark):
     assert "FlatMapGroups" not in lanes._jdf.queryExecution().optimizedPlan().toString()  # a call for every island
     got = {(r.k, r.id): r.lane for r in lanes.collect()}
     assert len(got) == len(spans) and all(got[k, 10 * i + j] == 2 - j for k in range(3) for i in range(40) for j in range(3))
+
+
+def test_summary_counts_cells_once(spark):
+    df = spark.createDataFrame([("x", 1, "AC-G"), ("x", 2, "AC-T"), ("x", 3, "AG--"), ("y", 1, "--A")], "alignment string, row long, aligned string")
+    got = alignment.summary(df)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {tuple(r) for r in got.collect()} == {("x", 4, 3, 66.7, 4, 1), ("y", 3, 1, 100.0, 2, 1)}
