@@ -464,3 +464,12 @@ def test_summary_counts_cells_once(spark):
     got = alignment.summary(df)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert {tuple(r) for r in got.collect()} == {("x", 4, 3, 66.7, 4, 1), ("y", 3, 1, 100.0, 2, 1)}
+
+
+def test_star_status_reads_whole_turns(spark, tmp_path):
+    from strandweave.plans import catalog
+
+    texts = ["gattaca" * 40, "gattaca" * 39 + "gatt", "gattaca" * 3]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.row: r for r in catalog.QUERIES["star_status"](spark, str(tmp_path)).collect()}
+    assert [len(got[i].seq) for i in range(3)] == [280, 277, 21] and {r.status for r in got.values()} == {"ok"}
