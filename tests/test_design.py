@@ -349,3 +349,23 @@ def test_primer_features_look_for_pairs_once(spark):
     s = spark.createDataFrame([(0, "ACGT" * 60, 80, 160)], "doc_id long, seq string, target_start int, target_end int")
     plan = oligos.as_features(oligos.primer_pairs(s, most=1))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_primer_pairs_are_of_all_candidates():
+    """More candidates a side than any fixed number: each that passes is in a pair, and the best pairs are those of a look at all of them."""
+    s = bases(40, 1) + "GCATCAGTTGCACTGAGTCA" * 16
+    got = oligos.best_pairs(s, 150, 200, tolerance=15.0, least_hairpin=-30.0, least_dimer=-40.0, most_difference=40.0, most=10**6)
+    forward, reverse = {(p[1], p[3]) for p in got}, {(p[2], p[4]) for p in got}
+    assert len(forward) > 240 and len(reverse) > 240 and len(got) == len(forward) * len(reverse)
+    assert [p[1:] for p in oligos.best_pairs(s, 150, 200, tolerance=15.0, least_hairpin=-30.0, least_dimer=-40.0, most_difference=40.0)] == [p[1:] for p in got[:10]]
+
+
+def test_templates_together_are_as_one_by_one(spark):
+    seqs = [bases(60 + 37 * i, i) for i in range(40)] + [bases(300, 99).lower(), "N" * 90, bases(200, 7)[:100] + "N" + bases(200, 8), "ACGT" * 60]
+    rows = [(i, s, len(s) // 3, -(-2 * len(s) // 3)) for i, s in enumerate(seqs)] + [(90, seqs[30], -1, 400), (91, seqs[30], 400, 300), (92, seqs[30], 300, 10**6), (93, seqs[30], None, 500), (94, None, 0, 1)]
+    got = oligos.primer_pairs(spark.createDataFrame(rows, "doc_id long, seq string, target_start int, target_end int")).collect()
+    want = [(i, *p) for i, s, a, b in rows[: len(seqs)] for p in oligos.best_pairs(s, a, b)]
+    assert want and sorted(tuple(r) for r in got) == want
+    o = [bases(k % 31 + 4, k) for k in range(400)]
+    x, n = oligos.coded(o)
+    assert oligos.steady(x, n, oligos.turned(x, n), -1.0, -2.0).tolist() == ((oligos.hairpin_energies(o)[0] >= -1.0) & (oligos.dimer_energies(o, o)[0] >= -2.0)).tolist()
