@@ -33,6 +33,7 @@ MATCH, PARTLY, MISMATCH, GAP = 3, 1, -3, -4
 
 WORD, MOST_PLACES = 11, 64
 BUCKET = 8
+SPARE = 64
 CHUNK = 4096
 CELLS = 32 << 20
 TASK = 4 * CELLS
@@ -264,11 +265,12 @@ def alignments(reads: DataFrame, references: DataFrame, margin: float) -> DataFr
     """
     names = ["construct", "read"]
     reads = written(reads.select(*names, "calls"), "mapping-reads")
-    most = reads.agg(F.max(F.length("calls"))).first()[0] or 1  # one number
     refs = references.select("construct", "seq", "circular", F.length("seq").alias("n"), (~F.col("seq").rlike("[^ACGT]")).alias("plain"))
-    # A circle goes on for as long as any window can be.
-    more = 12 * most + 4096
-    refs = written(refs.withColumn("text", F.when(F.col("circular"), F.rpad("seq", F.col("n") + more, F.col("seq"))).otherwise(F.col("seq"))), "mapping-references")
+    # A circle goes on for as long as any window of its own reads can be: the widest has 4 n or 1024 diagonals and n + 0.75 n + 3 / 7 n beyond a lap, and reaches n bases further.
+    most = reads.groupBy("construct").agg(F.max(F.length("calls")).alias("most"))
+    refs = refs.join(most.hint("merge"), "construct")
+    more = 7 * F.col("most") + 2048
+    refs = written(refs.withColumn("text", F.when(F.col("circular"), F.rpad("seq", (F.col("n") + more).cast("int"), F.col("seq"))).otherwise(F.col("seq"))).drop("most"), "mapping-references")
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("text") - 1) / CHUNK)))
     chunks = written(refs.select("construct", "text", chunk.alias("chunk")).select("construct", "chunk", F.col("text").substr((F.col("chunk") * CHUNK + 1).cast("int"), F.lit(CHUNK)).alias("text")), "mapping-chunks")
     both = F.explode(F.array(F.struct(F.lit(1).alias("strand"), F.col("calls").alias("calls")), F.struct(F.lit(-1).alias("strand"), S.reverse_complement(F.col("calls")).alias("calls"))))
@@ -281,6 +283,8 @@ def alignments(reads: DataFrame, references: DataFrame, margin: float) -> DataFr
     usable = seeds.groupBy(*names, "strand").agg(F.count("*").alias("m")).join(lost.hint("merge"), [*names, "strand"], "left").select(*names, "strand", (F.col("m") - F.coalesce("lost", F.lit(0))).alias("m"))
     # Both strands give one bound: the weaker one.
     bound = usable.groupBy(*names).agg(F.min("m").alias("m"), F.count("*").alias("strands")).withColumn("errors", F.when((F.col("strands") == 2) & (F.col("m") >= 2), F.floor(F.col("m") * 0.75).cast("int")))
+    # No more errors than it takes to prove a read that has lost SPARE of the best possible score.
+    bound = bound.join(reads.select(*names, F.ceil((margin * MATCH * F.length("calls") + SPARE) / 4).cast("int").alias("enough")).hint("merge"), names).withColumn("errors", F.when(F.col("errors").isNotNull(), F.least("errors", "enough")))
     power = F.pow(2, F.ceil(F.log2(F.col("errors").cast("double"))))
     bound = bound.where("errors IS NOT NULL").withColumn("bucket", F.greatest(F.lit(BUCKET), F.when(F.col("errors") <= 0.75 * power, 0.75 * power).otherwise(power)).cast("int"))  # few sizes, so that windows share a batch
     bound = written(bound.select(*names, "m", "errors", F.col("bucket").alias("size")), "mapping-bounds")

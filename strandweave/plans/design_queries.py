@@ -12,7 +12,7 @@ from strandweave.plans.catalog import register
 from strandweave.plans.scalar_queries import OLIGOS, SEQS, oligos, seqs
 from strandweave.plans.site_queries import FRAGMENTS, PANEL, fragments
 from strandweave.plans.table_queries import ROWS, rows
-from strandweave.session import table
+from strandweave.session import table, written
 
 _Y = "floor(greatest(0, least(1, 1.1::DOUBLE - 0.25::DOUBLE * log10(size))) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE"
 
@@ -105,7 +105,9 @@ def self_dimers(spark, d):  # 148
 
 def _constructs(spark, d):
     """Every turn of 60 bases and more is a construct; its reads are its bases from either end with edits by the conversation's number: none, a substitution, a deletion, an insertion."""
-    t = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("construct"), S.as_bases(F.coalesce("text", F.lit(""))).alias("seq")).where(F.length("seq") >= 60)
+    text = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("construct"), "text").where(F.length("text") >= 60)
+    # Dealt before the bases are worked out, and written: the file's few parts are no measure of the work, and many steps read these rows.
+    t = written(alignment.dealt(text, "construct").select("construct", S.as_bases(F.col("text")).alias("seq")), "constructs-turns").where(F.length("seq") >= 60)
     k = F.floor(F.col("construct") / 1000) % 4
     edited = F.when(k == 1, S.substituted(F.col("seq"), F.lit(30), F.lit("A"))).when(k == 2, S.deleted(F.col("seq"), F.lit(30), F.lit(2))).when(k == 3, S.inserted(F.col("seq"), F.lit(30), F.lit("GATTACA"))).otherwise(F.col("seq"))
     calls = F.explode(F.array(F.struct(F.lit(1).alias("read"), edited.alias("calls"), F.lit(40).alias("q")), F.struct(F.lit(2).alias("read"), S.reverse_complement(edited).alias("calls"), F.lit(30).alias("q"))))

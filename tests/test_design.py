@@ -369,3 +369,10 @@ def test_templates_together_are_as_one_by_one(spark):
     o = [bases(k % 31 + 4, k) for k in range(400)]
     x, n = oligos.coded(o)
     assert oligos.steady(x, n, oligos.turned(x, n), -1.0, -2.0).tolist() == ((oligos.hairpin_energies(o)[0] >= -1.0) & (oligos.dimer_energies(o, o)[0] >= -2.0)).tolist()
+
+
+def test_turns_are_turned_into_bases_once(spark):
+    from strandweave.plans import design_queries
+
+    for df in design_queries._constructs(spark, "/root/testdata/sf0.001"):
+        assert "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()
