@@ -211,11 +211,15 @@ def calls(reads: DataFrame) -> DataFrame:
     return reads.where("status = 'mapped'").select("construct", "read", "strand", F.explode("columns").alias("c")).select("construct", "read", "strand", "c.pos", "c.allele", "c.q")
 
 
-def observed(reads: DataFrame, called: DataFrame, lengths: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """construct, type, start, end, ref, alt, support, depth, high_depth, fraction, mean_q, confidence of every variant that some read shows; depth counts reads with a call at each of its positions."""
-    each = reads.where("status = 'mapped'").select("construct", "read", F.explode("variants").alias("v")).select("construct", "read", "v.*")
+def shown_variants(reads: DataFrame) -> DataFrame:
+    """construct, read and the variants of mapped reads."""
+    return reads.where("status = 'mapped'").select("construct", "read", F.explode("variants").alias("v")).select("construct", "read", "v.*")
+
+
+def observed(reads: DataFrame, spans: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """spans: span_reads of these variants at least. construct, type, start, end, ref, alt, support, depth, high_depth, fraction, mean_q, confidence of every variant that some read shows; depth counts reads with a call at each of its positions."""
+    each = shown_variants(reads)
     kinds = each.select("construct", "type", "start", "end", "ref", "alt").distinct()
-    spans = span_reads(kinds, called, lengths, t)
     s = each.join(spans.select("construct", "type", "start", "end", "ref", "alt", "read", "least").hint("merge"), ["construct", "type", "start", "end", "ref", "alt", "read"])
     key = ["construct", "type", "start", "end", "ref", "alt"]
     total = spans.groupBy(*key).agg(F.count("*").alias("depth"), F.sum(weight(F.col("least"))).alias("w"), F.count_if(F.col("least") >= t.min_quality).alias("high_depth"))
@@ -236,23 +240,26 @@ def span_reads(kinds: DataFrame, called: DataFrame, lengths: DataFrame, t: Thres
     return g.where("have = want").withColumn("least", F.when(F.col("known") == F.col("want"), F.col("low")))
 
 
+ALLELES = "ACGT-"  # what a call can be; of equal ones the first leads
+
+
 def consensus(called: DataFrame, bases: DataFrame, seen: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """construct, pos, base, call, status, depth, forward, reverse, fraction of every position of the references (construct, pos, base).
 
     The allele with most weight is the call, unless two tie or it has too little; a call that changes the reference also needs a sure variant. Else the call is N.
     """
-    w = called.groupBy("construct", "pos", "allele").agg(F.sum(weight(F.col("q"))).alias("w"), F.count("*").alias("k"), F.count_if(F.col("strand") == 1).alias("f"))
-    order = F.when(F.col("allele") == "-", "Z").otherwise(F.col("allele"))
-    g = w.groupBy("construct", "pos").agg(F.sum("w").alias("total"), F.sum("k").alias("depth"), F.sum("f").alias("forward"), F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("m"), order.alias("o"), "allele"))).alias("a"))
+    sums = [F.sum(F.when(F.col("allele") == a, weight(F.col("q")))).alias(f"w{i}") for i, a in enumerate(ALLELES)]
+    g = called.groupBy("construct", "pos").agg(*sums, F.count("*").alias("depth"), F.count_if(F.col("strand") == 1).alias("forward"))
     p = bases.join(g.hint("merge"), ["construct", "pos"], "left").fillna(0, ["depth", "forward"])
-    lead = F.col("a")[0]
-    share = F.coalesce(-lead["m"] / F.col("total"), F.lit(0.0))
-    tie = (F.size("a") > 1) & (F.try_element_at("a", F.lit(2))["m"] == lead["m"])
+    w = [F.col(f"w{i}") for i in range(len(ALLELES))]
+    p = p.withColumn("most", F.greatest(*w)).withColumn("lead", F.coalesce(*[F.when(x == F.col("most"), a) for x, a in zip(w, ALLELES, strict=True)]))
+    share = F.coalesce(F.col("most") / sum((F.coalesce(x, F.lit(0.0)) for x in w), F.lit(0.0)), F.lit(0.0))
+    tie = sum((F.coalesce((x == F.col("most")).cast("int"), F.lit(0)) for x in w), F.lit(0)) > 1
     mask = F.create_map(*[F.lit(x) for k, v in facts.IUPAC.items() for x in (k, v)])
-    alike = F.coalesce(F.try_element_at(mask, F.col("base")).contains(lead["allele"]), F.lit(False))
+    alike = F.coalesce(F.try_element_at(mask, F.col("base")).contains(F.col("lead")), F.lit(False))
     sure = seen.where(F.col("confidence") == "high").where(F.col("fraction") >= t.min_consensus)
     edits = sure.where("type = 'substitution'").select("construct", F.col("start").alias("pos"), F.col("alt").alias("edit")).unionByName(sure.where("type = 'deletion'").select("construct", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"), F.lit("-").alias("edit"))).distinct().groupBy("construct", "pos").agg(F.collect_set("edit").alias("edits"))
-    p = p.join(edits.hint("merge"), ["construct", "pos"], "left").withColumn("lead", lead["allele"])
+    p = p.join(edits.hint("merge"), ["construct", "pos"], "left")
     backed = F.coalesce(F.array_contains("edits", F.col("lead")), F.lit(False))
     status = F.when(F.col("depth") == 0, "uncovered").when(tie | (share < t.min_consensus), "conflict").when(alike, "reference").when(backed, "variant").otherwise("conflict")
     contested = (F.col("depth") > 0) & (tie | (share < t.min_consensus))
@@ -269,10 +276,10 @@ def region_status(positions: DataFrame, regions: DataFrame) -> DataFrame:
     return g.select("construct", "region", "length", "covered", "met", "both", "least", status.alias("status"))
 
 
-def expected_status(expected: DataFrame, seen: DataFrame, called: DataFrame, lengths: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """Expected variants (construct, id, type, start, end, ref, alt) with status: observed, low_confidence, not_observed, not_covered."""
+def expected_status(expected: DataFrame, seen: DataFrame, spans: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """spans: span_reads of these variants at least. Expected variants (construct, id, type, start, end, ref, alt) with status: observed, low_confidence, not_observed, not_covered."""
     key = ["construct", "type", "start", "end", "ref", "alt"]
-    deep = span_reads(expected.select(*key), called, lengths, t).groupBy(*key).agg(F.count_if(F.col("least") >= t.min_quality).alias("depth"))
+    deep = spans.groupBy(*key).agg(F.count_if(F.col("least") >= t.min_quality).alias("depth"))
     j = expected.join(seen.select(*key, "confidence").hint("merge"), key, "left").join(deep.hint("merge"), key, "left").fillna(0, ["depth"])
     return j.withColumn("status", F.when(F.col("confidence") == "high", "observed").when(F.col("confidence") == "low", "low_confidence").when(F.col("depth") == 0, "not_covered").otherwise("not_observed")).drop("confidence")
 
@@ -288,8 +295,11 @@ def verified(reads: DataFrame, references: DataFrame, expected: DataFrame | None
     m = written(map_reads(reads, references, t), "constructs-reads")
     lengths = references.select("construct", F.length("seq").alias("n"), (F.col("topology") == "circular").alias("circular"))
     called = calls(m)
-    seen = observed(m, called, lengths, t)
     key = ["construct", "type", "start", "end", "ref", "alt"]
+    asked = shown_variants(m).select(*key)
+    asked = (asked if expected is None else asked.unionByName(expected.select(*key))).distinct()
+    spans = written(span_reads(asked, called, lengths, t), "constructs-spans")
+    seen = observed(m, spans, t)
     wanted = expected.select(*key, F.lit(True).alias("wanted")) if expected is not None else None
     seen = written(seen.join(wanted.hint("merge"), key, "left") if wanted is not None else seen.withColumn("wanted", F.lit(None).cast("boolean")), "constructs-variants")
     bases = references.select("construct", F.posexplode(F.split(F.upper("seq"), "")).alias("pos", "base")).where("base <> ''")
@@ -297,29 +307,33 @@ def verified(reads: DataFrame, references: DataFrame, expected: DataFrame | None
     says = lambda bad, name: F.when(bad, name)
     by_read = m.groupBy("construct").agg(F.count("*").alias("reads"), F.count_if(F.col("status") == "mapped").alias("usable"), F.collect_set(says(F.col("status") != "mapped", F.col("status"))).alias("r1"))
     bare = reads.groupBy("construct").agg(F.collect_set(says(F.col("quality").isNull(), "missing_quality")).alias("r2"))
-    cover = spots.groupBy("construct").agg((F.count_if(F.col("depth") >= t.min_depth) / F.count("*")).alias("coverage"), F.avg("depth").alias("mean_depth"), F.count_if("contested").alias("conflicts"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "call"))), lambda x: x["call"]), "").alias("calls"))
+    cover = spots.groupBy("construct").agg((F.count_if(F.col("depth") >= t.min_depth) / F.count("*")).alias("coverage"), F.avg("depth").alias("mean_depth"), F.count_if("contested").alias("conflicts"), F.array_join(F.sort_array(F.collect_list(F.struct("pos", "call")))["call"], "").alias("calls"))
     sure_insertion = (F.col("type") == "insertion") & (F.col("confidence") == "high") & (F.col("fraction") >= t.min_consensus)
     per_place = seen.groupBy("construct", "start").agg(
         F.count_if(sure_insertion).alias("k"), F.max(F.when(sure_insertion, F.col("alt"))).alias("added"), F.collect_list(F.concat_ws(":", "type", "start", "end", "ref", "alt", "confidence")).alias("v"),
         F.count_if(F.col("confidence") == "low").alias("low"), F.count_if((F.col("confidence") == "high") & F.col("wanted").isNull()).alias("odd"))
     shown = per_place.groupBy("construct").agg(
-        F.array_sort(F.flatten(F.collect_list("v"))).alias("variants"), F.map_from_entries(F.collect_list(F.when(F.col("k") == 1, F.struct("start", "added")))).alias("added"),
+        F.array_sort(F.flatten(F.collect_list("v"))).alias("variants"), F.collect_list(F.when(F.col("k") == 1, F.struct("start", "added"))).alias("added"),
         F.sum("low").alias("low"), F.sum("odd").alias("odd"), F.count_if(F.col("k") > 1).alias("rivals"))
     out = references.select("construct").join(by_read.hint("merge"), "construct", "left").join(bare.hint("merge"), "construct", "left").join(cover.hint("merge"), "construct", "left").join(shown.hint("merge"), "construct", "left").join(lengths.hint("merge"), "construct")
     out = out.fillna(0, ["reads", "usable", "low", "odd", "rivals", "conflicts"])
     none = F.array().cast("array<string>")
     why = [F.coalesce("r1", none), F.coalesce("r2", none), F.array(says(F.col("usable") == 0, "no_usable_reads"), says(F.col("coverage") < t.min_coverage, "partial_reference_coverage"), says((F.col("conflicts") > 0) | (F.col("rivals") > 0), "conflicting_consensus"), says(F.col("low") > 0, "low_confidence_variant"), says(F.col("odd") > 0, "unexpected_variant"))]
     if expected is not None:
-        state_of = expected_status(expected, seen, called, lengths, t).groupBy("construct").agg(F.collect_set(F.when(F.col("status").isin("not_covered", "not_observed"), F.concat(F.lit("expected_variant_"), "status"))).alias("r3"))
+        state_of = expected_status(expected, seen, spans, t).groupBy("construct").agg(F.collect_set(F.when(F.col("status").isin("not_covered", "not_observed"), F.concat(F.lit("expected_variant_"), "status"))).alias("r3"))
         out = out.join(state_of.hint("merge"), "construct", "left")
         why.append(F.coalesce("r3", none))
     if regions is not None:
         r = region_status(spots, regions).groupBy("construct").agg(F.collect_set(F.when(F.col("status") != "covered", F.concat(F.lit("required_region_"), "status"))).alias("r4"))
         out = out.join(r.hint("merge"), "construct", "left")
         why.append(F.coalesce("r4", none))
-    letters = F.split(F.col("calls"), "")
-    put = lambda i: F.coalesce(F.try_element_at("added", i), F.lit(""))
-    text = F.concat(F.array_join(F.transform(letters, lambda c, i: F.concat(put(i), F.when(c == "-", "").otherwise(c))), ""), F.when(~F.col("circular"), put(F.col("n"))).otherwise(""))
+    # The calls between insertions, each with what is put behind them; deletions leave last. A circle has no place behind its last base.
+    calls_ = F.col("calls")
+    put = F.filter(F.array_sort(F.col("added")), lambda x: (x["start"] < F.col("n")) | (~F.col("circular") & (x["start"] == F.col("n"))))
+    put = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit("").alias("added"))), F.coalesce(put, F.array().cast("array<struct<start:int,added:string>>")))
+    part = lambda x, i: F.concat(x["added"], F.substring(calls_, x["start"] + 1, F.coalesce(F.get("put", i + 1)["start"], F.col("n")) - x["start"]))
+    out = out.withColumn("put", put)
+    text = F.replace(F.array_join(F.transform("put", part), ""), F.lit("-"), F.lit(""))
     out = out.withColumn("reasons", F.array_sort(F.array_compact(F.concat(*why)))).withColumn("variants", F.coalesce("variants", none)).withColumn("consensus", F.coalesce(text, F.lit("")))
     state = F.when(F.arrays_overlap("reasons", F.array(*map(F.lit, INCONSISTENT))), "inconsistent").when(F.size("reasons") > 0, "needs_review").otherwise("consistent")
     out = out.select("construct", state.alias("state"), "reasons", "reads", "usable", F.round("coverage", 6).alias("coverage"), F.round("mean_depth", 6).alias("mean_depth"), "consensus", "variants")
