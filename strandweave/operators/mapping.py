@@ -175,14 +175,20 @@ def scored(windows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            width, size = whole.column("width").to_numpy(), np.array([len(c) for c in whole.column("calls").to_pylist()])
+            same: dict[tuple, list[int]] = {}  # reads of the same letters in the same window are aligned once
+            for i, key in enumerate(zip(*(whole.column(c).to_pylist() for c in ("calls", "text", "lead", "first", "width", "begins", "ends", "circle")), strict=True)):
+                same.setdefault(key, []).append(i)
+            rows = list(same.values())
+            alone = np.array([r[0] for r in rows], np.int64)
+            width, size = whole.column("width").to_numpy()[alone], np.array([len(key[0]) for key in same], np.int64)
             order = np.lexsort((size, width))
             at = 0
             while at < len(order):
                 end = at + 1
                 while end < len(order) and width[order[end]] == width[order[at]] and (end + 1 - at) * (size[order[end]] + 1) * width[order[end]] <= CELLS:
                     end += 1
-                b = whole.take(pa.array(order[at:end]))
+                b = whole.take(pa.array(alone[order[at:end]]))
+                own = [rows[k] for k in order[at:end].tolist()]
                 at, w = end, int(width[order[at]])
                 reads = [masks(c) for c in b.column("calls").to_pylist()]
                 texts = ["." * lead + t for lead, t in zip(b.column("lead").to_pylist(), b.column("text").to_pylist(), strict=True)]
@@ -201,7 +207,8 @@ def scored(windows: DataFrame) -> DataFrame:
                 place = b.column("first").to_numpy() + begin
                 place = np.where(circle > 0, place % np.maximum(circle, 1), place)
                 cols = [pa.array(n.astype(np.int32)), pa.array(score), pa.array(second), pa.array(place), pa.array(paths), pa.array([t[i : i + k] for t, i, k in zip(texts, begin.tolist(), used, strict=True)])]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *cols], names=[*kept, "n", "score", "second", "place", "path", "segment"])
+                of, each = pa.array(np.repeat(np.arange(len(own)), [len(r) for r in own])), pa.array([i for r in own for i in r])
+                yield pa.RecordBatch.from_arrays([*(whole.column(c).take(each) for c in kept), *(c.take(of) for c in cols)], names=[*kept, "n", "score", "second", "place", "path", "segment"])
 
     kinds = ", ".join(f"{c} {windows.schema[c].dataType.simpleString()}" for c in kept)
     columns = [*kept, "calls", "first", "width", "begins", "ends", "lead", "text"]
@@ -240,13 +247,13 @@ def stretches(windows: DataFrame, chunks: DataFrame) -> DataFrame:
     """windows (construct, read, strand, calls, first, width, circle) with lead and text: the reference from `first` on, put together from its chunks (construct, chunk, text)."""
     size = F.col("width") + F.length("calls")
     w = windows.withColumn("lead", F.when(F.col("first") < 0, F.least(-F.col("first"), size)).otherwise(0).cast("int")).withColumn("window", F.monotonically_increasing_id())
-    w = written(w, "mapping-windows")
+    w = written(w, "mapping-windows")  # the same letters in the same window go to one task, which aligns them once
     work = w.agg(F.sum(F.col("width") * F.length("calls").cast("double"))).first()[0] or 0.0  # one number: cells to fill, by which the windows are dealt
     begin = F.greatest(F.col("first"), F.lit(0))
     parts = w.select("window", "construct", "first", begin.alias("begin"), F.explode(F.sequence(F.floor(begin / CHUNK), F.floor((F.greatest(F.col("first") + size, begin + 1) - 1) / CHUNK))).alias("chunk"))
     pieces = parts.join(chunks.hint("merge"), ["construct", "chunk"]).groupBy("window").agg(F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("p"), F.first("begin").alias("begin"))
     text = F.array_join(F.transform("p", lambda p: p["text"]), "").substr((F.col("begin") - F.col("p")[0]["chunk"] * CHUNK + 1).cast("int"), F.lit(2**30))
-    return w.join(pieces.select("window", text.alias("text")).hint("merge"), "window", "left").withColumn("text", F.coalesce(F.substring("text", F.lit(1), (size - F.col("lead")).cast("int")), F.lit(""))).repartition(1 + int(work / TASK), "window").drop("window")
+    return w.join(pieces.select("window", text.alias("text")).hint("merge"), "window", "left").withColumn("text", F.coalesce(F.substring("text", F.lit(1), (size - F.col("lead")).cast("int")), F.lit(""))).repartition(1 + int(work / TASK), "construct", "first", "calls").drop("window")
 
 
 def best_of(rows: DataFrame) -> DataFrame:

@@ -376,3 +376,29 @@ def test_turns_are_turned_into_bases_once(spark):
 
     for df in design_queries._constructs(spark, "/root/testdata/sf0.001"):
         assert "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_same_letters_in_the_same_window_are_aligned_once(spark, monkeypatch):
+    ref = bases(300, 5)
+    rows = [(1, i, 1, ref[40:200], 0, 128, 0, 128, 0, ref, 0) for i in range(5)] + [(1, 9, -1, ref[41:200], 0, 128, 0, 128, 0, ref, 0), (2, 1, 1, ref[40:200], 8, 128, 0, 128, 0, ref, 0)]
+    names = "construct int, read int, strand int, calls string, first long, width int, begins int, ends int, lead int, text string, circle int"
+    seen, real = [], mapping.aligned_batch
+
+    def counted(x, *rest):
+        seen.append(x.shape[1])
+        return real(x, *rest)
+
+    monkeypatch.setattr(mapping, "aligned_batch", counted)
+
+    class Rows:  # the function runs here instead of in a worker, so that its calls are counted
+        schema = spark.createDataFrame(rows, names).schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, kinds):
+            return [r for b in run(iter(spark.createDataFrame(rows, names).toArrow().combine_chunks().to_batches())) for r in b.to_pylist()]
+
+    got = {(r["construct"], r["read"]): r for r in mapping.scored(Rows())}
+    assert len(got) == len(rows) and sum(seen) == 3
+    assert all(got[1, i]["place"] == 40 and got[1, i]["score"] == 480 and got[1, i]["path"] == "m" * 160 for i in range(5)) and got[1, 9]["place"] == 41 and got[2, 1]["place"] == 48
